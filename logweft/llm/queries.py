@@ -4,15 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, langid, matroska, quality_mil
+from .common import id_mod, table
 
-#: The rank file and the pattern of op10; the folder of public tokenizers is installed on every machine.
+#: The rank file of op10; the folder of public tokenizers is installed on every machine.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 
 
+def _is(mod: Column, n: int) -> Column:
+    return F.coalesce(mod == n, F.lit(False))
+
+
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _is(id_mod("doc_id", 4), 2)
+    model = langid.train(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _is(id_mod("doc_id", 3), 1)
+    weights = quality_mil.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_mil.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +43,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_matroska": op2_matroska,
+    "op6_langid": op6_langid,
+    "op7_quality": op7_quality,
     "op10_bpe": op10_bpe,
 }
 
