@@ -7,21 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, matroska, quality_mil
-from .common import id_mod, table
+from . import bpe, langid, matroska, pii_semicrf, quality_mil, url_filter, warc
+from .common import id_mod, table, written
 
 #: The rank file of op10; the folder of public tokenizers is installed on every machine.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
+#: The rules of op1.
+RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
 
 def _is(mod: Column, n: int) -> Column:
     return F.coalesce(mod == n, F.lit(False))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(table(spark, sf_dir, "pages"), RULES)
+
+
 def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(warc.archives(table(spark, sf_dir, "pages")), "warc")
+    return warc.salvage(stored, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = _is(id_mod("doc_id", 4), 2)
@@ -36,6 +47,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_semicrf.digests(docs, pii_semicrf.train(docs))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,10 +59,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_matroska": op2_matroska,
+    "op5_warc": op5_warc,
     "op6_langid": op6_langid,
     "op7_quality": op7_quality,
+    "op8_pii": op8_pii,
     "op10_bpe": op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+f as (select *, min(page_id) over (partition by h) as first from p)
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as bigint) // (32 ** (3 - i % 4))::bigint) % 32 as int) + 1, 1) for i in range(32)], '') as payload_digest,
+  case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+  case when page_id is not distinct from first then null else first end as refers_to
+from f
+""",
+}
