@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, matroska, pii_semicrf, quality_mil, url_filter, warc
+from . import bpe, langid, matroska, minhash, pii_semicrf, quality_mil, url_filter, warc
 from .common import id_mod, table, written
 
 #: The rank file of op10; the folder of public tokenizers is installed on every machine.
@@ -52,6 +52,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_semicrf.digests(docs, pii_semicrf.train(docs))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.clusters(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_langid": op6_langid,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
+    "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
 }
 
@@ -77,5 +82,22 @@ select page_id, cast(strlen(html) as bigint) as payload_bytes,
   case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
   case when page_id is not distinct from first then null else first end as refers_to
 from f
+""",
+    "op9_minhash": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] end)) as s from w),
+k as (select doc_id, len(s) as n, md5(array_to_string(s, chr(10))) as k, s from s),
+r as (select min(doc_id) as id, k from k where n > 0 group by k),
+u as (select k.doc_id as id, n, unnest(s) as h from k join r on k.doc_id = r.id),
+links as (
+  select a.id as a, b.id as b from u a join u b on a.h = b.h and a.id <> b.id and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+  group by a.id, b.id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach as (select id, id as other from r union select reach.id, links.b from reach join links on reach.other = links.a),
+c as (select id, min(other) as component from reach group by id)
+select k.doc_id, cast(k.n as bigint) as n_shingles, coalesce(c.component, k.doc_id) as component_id, k.doc_id = coalesce(c.component, k.doc_id) as kept
+from k left join r on r.k = k.k and k.n > 0 left join c on c.id = r.id
 """,
 }
