@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, matroska, minhash, pii_semicrf, quality_mil, url_filter, warc
+from . import bpe, decontam, langid, matroska, minhash, pii_semicrf, quality_mil, url_filter, warc
 from .common import id_mod, table, written
 
 #: The rank file of op10; the folder of public tokenizers is installed on every machine.
@@ -28,6 +28,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(warc.archives(table(spark, sf_dir, "pages")), "warc")
     return warc.salvage(stored, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -65,6 +69,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_matroska": op2_matroska,
+    "op3_decontam": op3_decontam,
     "op5_warc": op5_warc,
     "op6_langid": op6_langid,
     "op7_quality": op7_quality,
