@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, matroska, minhash, pii_semicrf, quality_mil, url_filter, warc
+from . import bpe, decontam, langid, matroska, minhash, pii_semicrf, quality_mil, secrets_index, url_filter, warc
 from .common import id_mod, table, written
 
 #: The rank file of op10; the folder of public tokenizers is installed on every machine.
@@ -32,6 +32,10 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_index.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(warc.archives(table(spark, sf_dir, "pages")), "warc")
     return warc.salvage(stored, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_matroska": op2_matroska,
     "op3_decontam": op3_decontam,
+    "op4_secrets": op4_secrets,
     "op5_warc": op5_warc,
     "op6_langid": op6_langid,
     "op7_quality": op7_quality,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_secrets": secrets_index.twin(),
     "op5_warc": """
 with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
 f as (select *, min(page_id) over (partition by h) as first from p)
