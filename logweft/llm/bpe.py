@@ -21,12 +21,18 @@ from pyspark.sql import functions as F
 
 from .common import map_rows
 
-#: Pieces kept by a task with their ids, in two halves: when the newer is full the older goes, so memory is bounded.
+#: Pieces kept by a worker with their ids, in two halves: when the newer is full the older goes, so memory is bounded.
 CACHED_PIECES = 500_000
 #: Longer pieces aren't kept.
 CACHED_CHARS = 64
 
 
+@lru_cache(maxsize=2)
+def kept_pieces(path: str) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
+    """Newer and older pieces of a rank file: a worker's next task goes on with them."""
+    return {}, {}
+
+
 @lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -89,7 +95,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     """``keep``, and ``ids`` array<int> of every whole text."""
 
     def make():
-        ranks, find, known, older = read_ranks(ranks_path), regex.compile(pattern).findall, {}, {}
+        ranks, find, (known, older) = read_ranks(ranks_path), regex.compile(pattern).findall, kept_pieces(ranks_path)
 
         def ids_of(piece: str) -> list[int]:
             ids = older.get(piece) or merge_piece(piece.encode(), ranks)

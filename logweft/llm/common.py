@@ -60,3 +60,21 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(got, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def change_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], tuple[list | None, list | None]]]) -> DataFrame:
+    """``df`` with all its columns. ``make()`` runs once a task and gives a function of the values of ``column`` that
+    returns new values, or None to leave them, and marks of the rows that stay, or None for all."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                values, stay = f(part.columns[at].to_pylist())
+                if values is not None:
+                    part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
+                yield part if stay is None else part.filter(pa.array(stay, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import change_rows, map_rows
 
 #: Least share of a language's words that a word needs to be kept, and the same for n-grams of each length.
 WORD_FLOOR = 5e-5
@@ -136,3 +136,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     kinds = dict(docs.dtypes)
     return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double", make)
+
+
+def known_rows(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        of = scorer(shared.value)
+
+        def stays(text: str | None) -> bool:
+            lang, score = of(text)
+            return lang != UND and score >= least
+
+        return lambda texts: (None, [stays(t) for t in texts])
+
+    return change_rows(docs, text, make)

@@ -22,7 +22,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import change_rows, map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment that the field scores.
@@ -261,6 +261,11 @@ def masked(text: str | None, weights: dict[str, float]) -> str | None:
     return "".join([*out, text[end:]]) if out else text
 
 
+def masked_rows(docs: DataFrame, weights: dict[str, float], text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, their texts masked."""
+    return change_rows(docs, text, lambda: lambda texts: ([masked(t, weights) for t in texts], None))
+
+
 def digests(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     def joined(c: str):
         return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
