@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Widest range of a session or window, in seconds, and the width of its bins.
@@ -76,37 +76,38 @@ def stamp_text(line: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(line, shape, 1), F.lit("")) for shape in SHAPES.values()])
 
 
-def parsed(stamp: Column, year: int = 2024) -> Column:
-    """A timestamp's text as (ts, explicit): ``ts`` without zone, in UTC where the text names an offset or counts from
-    1970 (explicit), else local. Years of two digits: 00 to 49 are after 2000. Syslog lines get ``year``."""
-    s = F.replace(F.regexp_replace(F.trim(stamp), r"(?<=:\d\d),(?=\d)", "."), F.lit("/"), F.lit("-"))
-    iso = F.regexp_extract(s, r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d?\s*(Z|[+-]\d{2}:?\d{2})?$", 0) != ""
-    day, time = F.regexp_extract(s, r"^(\S{10})[T ]", 1), F.regexp_extract(s, r"[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)", 1)
-    local = F.when(iso, F.concat(day, F.lit(" "), time)).try_cast("timestamp_ntz")
-    offset = F.regexp_extract(s, r"([+-])(\d{2}):?(\d{2})$", 0)
-    minutes = F.when(offset == "", 0).otherwise(F.concat(F.regexp_extract(offset, r"[+-]", 0), F.lit("1")).cast("int") * (F.regexp_extract(offset, r"(\d{2}):?\d{2}$", 1).try_cast("int") * 60 + F.regexp_extract(offset, r"(\d{2})$", 1).try_cast("int")))
-    minutes = F.when(iso & ((offset != "") | s.endswith("Z")), minutes)
-    digits = s.rlike(r"^\d{10}(\.\d+)?$|^\d{13}$")
-    seconds = F.when(digits & (F.length(s) == 13), s.try_cast("decimal(30,6)") / 1000).otherwise(F.when(digits, s.try_cast("decimal(30,6)")))
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
-    clf = stamp.rlike(r"^\d{2}/[A-Z][a-z]{2}/\d{4}:")
-    other = [F.try_to_timestamp(F.when(~iso & ~digits, F.when(clf, F.substring(stamp, 1, 20)).otherwise(s)), F.lit(f)).cast("timestamp_ntz") for f in ("dd/MMM/yyyy:HH:mm:ss", "MM-dd-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd")]
-    syslog = F.try_to_timestamp(F.when(stamp.rlike(r"^[A-Z][a-z]{2} [ \d]\d "), F.concat(F.lit(f"{year} "), F.regexp_replace(stamp, " +", " "))), F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz")
-    short = F.regexp_extract(s, r"^(\d{2})-(\d{2})-(\d{2}) (\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)$", 1)
-    century = F.when(short.try_cast("int") < 50, "20").otherwise("19")
-    two = F.when(short != "", F.concat(century, s)).try_cast("timestamp_ntz")
-    clf_minutes = F.when(clf, F.concat(F.regexp_extract(stamp, r"([+-])\d{4}$", 1), F.lit("1")).try_cast("int") * (F.regexp_extract(stamp, r"[+-](\d{2})\d{2}$", 1).try_cast("int") * 60 + F.regexp_extract(stamp, r"(\d{2})$", 1).try_cast("int")))
-    away = F.coalesce(minutes, clf_minutes, F.lit(0))
-    ts = F.coalesce(local, epoch, *other, syslog, two)
-    return F.struct((ts - F.make_dt_interval(mins=away)).alias("ts"), (digits | minutes.isNotNull() | clf_minutes.isNotNull()).alias("explicit"), away.alias("minutes"))
-
-
-def in_utc(stamp: Column, zone: str = "UTC") -> Column:
-    """(ts, basis, offset_minutes): the instant; bare times are local in ``zone``."""
-    p = parsed(stamp)
-    utc = F.when(p["explicit"], p["ts"]).otherwise(p["ts"] if zone == "UTC" else zone_to_utc(p["ts"], zone))
-    basis = F.when(p["explicit"] & (p["minutes"] != 0), "FixedOffset").when(p["explicit"] | F.lit(zone == "UTC"), "Utc").otherwise("Zone")
-    return F.struct(utc.alias("ts"), basis.alias("basis"), F.when(p["explicit"], p["minutes"]).otherwise(F.timestamp_diff("MINUTE", utc, p["ts"]).cast("int")).alias("offset_minutes"))
+# Formats of timestamps besides ISO 8601, after slashes became hyphens.
+FORMATS = ("MM-dd-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd")
+
+
+def with_utc(rows: DataFrame, stamp: str, zone: str = "UTC", year: int = 2024) -> DataFrame:
+    """Adds ``utc``, ``basis`` and ``offset_minutes`` for a timestamp's text. A text that names an offset, or counts from 1970,
+    is explicit; else the time is local in ``zone``. Years of two digits: 00 to 49 are after 2000. Syslog lines get ``year``.
+    Text that can't be read gives null. Steps are columns of their own, so that none is computed twice."""
+    number = lambda c: F.col(c).try_cast("int")
+    text = F.col(stamp)
+    one = rows.withColumns({"_raw": F.trim(text), "_s": F.replace(F.regexp_replace(F.trim(text), r"(?<=:\d\d),(?=\d)", "."), F.lit("/"), F.lit("-"))})
+    iso = F.regexp_extract("_s", r"^(\d{4}-\d{2}-\d{2})[T ]\d{2}:", 1)
+    two = F.regexp_extract("_s", r"^(\d{2}-\d{2}-\d{2}) \d{2}:\d{2}:\d{2}", 1)
+    kind = F.when(F.col("_s").rlike(r"^\d{10}(?:\.\d+)?$|^\d{13}$"), "epoch").when(iso != "", "iso").when(two != "", "two").when(F.col("_raw").rlike(r"^\d{2}/[A-Z][a-z]{2}/\d{4}:"), "clf").when(F.col("_raw").rlike(r"^[A-Z][a-z]{2} [ \d]\d "), "syslog").otherwise("other")
+    two_steps = one.withColumns({"_kind": kind, "_day": F.when(iso != "", iso).otherwise(F.concat(F.when(F.substring("_s", 1, 2).try_cast("int") < 50, "20").otherwise("19"), two)), "_time": F.regexp_extract("_s", r"[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)", 1), "_off": F.regexp_extract(F.col("_raw"), r":\d{2}(?:[.,]\d+)?\s*(Z|[+-]\d{2}:?\d{2})$", 1)})
+    parts = two_steps.withColumns({"_sign": F.when(F.startswith("_off", F.lit("-")), -1).otherwise(1), "_h": F.substring("_off", 2, 2), "_m": F.substring("_off", -2, 2)})
+    away = F.when(F.col("_kind") == "epoch", 0).when(F.col("_off") == "Z", 0).when(F.col("_off") != "", F.col("_sign") * (number("_h") * 60 + number("_m")))
+    with_format = lambda c, f: F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz")
+    seconds = F.when(F.length("_s") == 13, F.col("_s").try_cast("decimal(30,6)") / 1000).otherwise(F.col("_s").try_cast("decimal(30,6)"))
+    local = (
+        F.when(F.col("_kind") == "epoch", F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds))
+        .when(F.col("_kind").isin("iso", "two"), F.concat("_day", F.lit(" "), "_time").try_cast("timestamp_ntz"))
+        .when(F.col("_kind") == "clf", with_format(F.substring("_raw", 1, 20), "dd/MMM/yyyy:HH:mm:ss"))
+        .when(F.col("_kind") == "syslog", with_format(F.concat(F.lit(f"{year} "), F.regexp_replace("_raw", " +", " ")), "yyyy MMM d HH:mm:ss"))
+        .otherwise(F.coalesce(*[with_format(F.col("_s"), f) for f in FORMATS]))
+    )
+    found = parts.withColumns({"_away": away, "_local": local})
+    bare = F.col("_local") if zone == "UTC" else zone_to_utc(F.col("_local"), zone)
+    utc = F.when(F.col("_away").isNotNull(), F.col("_local") - F.make_dt_interval(mins=F.coalesce("_away", F.lit(0)))).otherwise(bare)
+    done = found.withColumns({"utc": utc, "basis": F.when(F.col("_away") != 0, "FixedOffset").when(F.col("_away").isNotNull() | F.lit(zone == "UTC"), "Utc").otherwise("Zone")})
+    done = done.withColumn("offset_minutes", F.coalesce("_away", F.timestamp_diff("MINUTE", F.col("utc"), F.col("_local")).cast("int")))
+    return done.drop("_raw", "_s", "_kind", "_day", "_time", "_off", "_sign", "_h", "_m", "_away", "_local")
 
 
 # Units of durations; y is 365 days and M is 30.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweft.functions.text import file_id, logical_source, normal_level, segment_id, string_fields
-from logweft.functions.times import in_utc, stamp_text, starts_record
+from logweft.functions.times import stamp_text, starts_record, with_utc
 from logweft.schema import COLUMNS
 
 #: Continuation lines that a text record may have.
@@ -122,23 +122,25 @@ def log_rows(records: DataFrame, run: str, zone: str = "UTC", files: DataFrame |
         level, message, fields = after_stamp(rest)
         more = F.expr("substring(full_text, length(first_line) + 1)")
         message = F.concat(message, more)
-    timed = records.withColumn("stamp", stamp).withColumn("t", in_utc(F.col("stamp"), zone))
-    missed = timed.where("t.ts is null").select("path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit("TimeParse").alias("reason_code"), F.substring("first_line", 1, 256).cast("binary").alias("sample_prefix"))
-    rows = timed.where("t.ts is not null").select("path", "line_no", "t.*", "stamp", level.alias("level"), message.alias("message"), string_fields(fields).alias("fields"))
+    timed = with_utc(records.withColumn("stamp", stamp), "stamp", zone)
+    missed = timed.where("utc is null").select("path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit("TimeParse").alias("reason_code"), F.substring("first_line", 1, 256).cast("binary").alias("sample_prefix"))
+    rows = timed.select("path", "line_no", "utc", "basis", "offset_minutes", "stamp", level.alias("level"), message.alias("message"), string_fields(fields).alias("fields"))
     if files is not None:
         rows = rows.join(files.select("path", file_id(F.col("path"), F.col("size"), F.col("modified")).alias("physical_file_id")), "path")
     else:
         rows = rows.withColumn("physical_file_id", F.substring(F.sha2("path", 256), 1, 16))
     return with_index(rows).select(
-        F.col("ts").alias("timestamp_utc"), F.col("basis").alias("timestamp_basis"), F.col("offset_minutes").alias("timestamp_effective_offset_minutes"), F.col("stamp").alias("timestamp_original"), logical_source(F.col("path")).alias("logical_source_id"),
+        F.col("utc").alias("timestamp_utc"), F.col("basis").alias("timestamp_basis"), F.col("offset_minutes").alias("timestamp_effective_offset_minutes"), F.col("stamp").alias("timestamp_original"), logical_source(F.col("path")).alias("logical_source_id"),
         F.col("path").alias("source_path"), "physical_file_id", segment_id(F.col("physical_file_id")).alias("segment_id"), F.lit(run).alias("ingest_run_id"), "record_index", "level", "message", "fields",
     ).select(*COLUMNS), missed
 
 
-def with_index(rows: DataFrame) -> DataFrame:
-    """``record_index``: the record's number in its file, from 0; counted within blocks of lines, then over blocks."""
-    cut = rows.withColumn("part", F.floor(F.col("line_no") / 50_000))
+def with_index(rows: DataFrame, known: str = "utc") -> DataFrame:
+    """The rows whose ``known`` isn't null, with ``record_index``: their number in the file, from 0; counted within blocks of
+    lines, then over blocks. They are picked after the count, as a filter before it would compute ``known`` twice."""
+    cut = rows.withColumn("part", F.floor(F.col("line_no") / 50_000)).withColumn("one", F.col(known).isNotNull().cast("long"))
     before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy("path", "part").agg(F.count("*").alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    here = Window.partitionBy("path", "part").orderBy("line_no")
-    return cut.withColumn("k", F.row_number().over(here)).join(sizes, ["path", "part"]).withColumn("record_index", F.col("base") + F.col("k") - 1).drop("k", "base", "part")
+    sizes = cut.groupBy("path", "part").agg(F.sum("one").alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    here = Window.partitionBy("path", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    counted = cut.withColumn("k", F.sum("one").over(here)).where("one = 1")
+    return counted.join(sizes, ["path", "part"]).withColumn("record_index", F.col("base") + F.col("k") - 1).drop("k", "base", "part", "one")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweft.functions import text as tx
-from logweft.functions.times import in_utc
+from logweft.functions.times import with_utc
 from logweft.operators import ingest, upkeep, views
 from logweft.operators.filters import LogFilter, Text, select_logs
 from logweft.operators.intervals import daily, merged, within
@@ -409,7 +409,10 @@ def _(spark, d):
     rows = table(spark, d, "events").select("event_id", ts.alias("s"))
     forms = {"iso": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "UTC"), "offset_iso": ("yyyy-MM-dd HH:mm:ss'+02:00'", "UTC"), "clf": ("dd/MMM/yyyy:HH:mm:ss' +0100'", "UTC"), "rome": ("yyyy/MM/dd HH:mm:ss", "Europe/Rome"), "two_digits": ("yy-MM-dd HH:mm:ss", "UTC"), "american": ("MM/dd/yyyy HH:mm:ss", "UTC")}
     epoch = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("s")).cast("string")
-    return rows.select("event_id", *[in_utc(F.date_format("s", f), z)["ts"].alias(n) for n, (f, z) in forms.items()], in_utc(epoch)["ts"].alias("epoch"))
+    rows = rows.select("event_id", epoch.alias("epoch_text"), *[F.date_format("s", f).alias(f"{n}_text") for n, (f, _) in forms.items()])
+    for n, zone in {"epoch": "UTC", **{n: z for n, (_, z) in forms.items()}}.items():
+        rows = with_utc(rows, f"{n}_text", zone).drop(f"{n}_text", "basis", "offset_minutes").withColumnRenamed("utc", n)
+    return rows
 
 
 # Export
