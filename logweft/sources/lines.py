@@ -82,24 +82,25 @@ def detected(lines: DataFrame) -> DataFrame:
     """The format of each file from its first lines: ``path, format, confidence, ambiguous``; all files at once.
 
     ndjson: five lines at least, 95 % of them objects, and how many have a known time field. csv: the delimiter whose most
-    common number of cells is most consistent, two cells at least. text: lines that begin with a timestamp, half at least.
+    common number of cells is most consistent, two cells at least, and how many lines have a cell with a time. text: lines that begin with a timestamp, half at least.
     """
     some = lines.where((F.trim("line") != "") & (F.col("line_no") <= 2 * SNIFFED))
     order = Window.partitionBy("path").orderBy("line_no")
     head = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SNIFFED)
     times = r'"(?:@?timestamp|@t|time|datetime|date|ts|event_time|log_time|created_at)"\s*:'
     is_object = F.col("line").rlike(r"^\s*\{") & F.try_parse_json("line").isNotNull()
-    cells = {name: F.size(F.split(F.regexp_replace("line", '"(?:[^"]|"")*+"', ""), sep, -1)) for name, sep in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", r"\|"))}
-    seen = head.select("path", "k", is_object.alias("o"), (is_object & F.col("line").rlike(times)).alias("t"), starts_record(F.col("line")).alias("s"), *[c.alias(n) for n, c in cells.items()])
+    cells = {name: F.size(F.split(F.regexp_replace("line", r'"(?:[^"]|"")*+"|(?<=:\d\d),(?=\d{3}\b)', ""), sep, -1)) for name, sep in (("comma", ","), ("semicolon", ";"), ("tab", "\t"), ("pipe", r"\|"))}
+    cell_time = F.col("line").rlike(r'(?:^|[,;\t|])"?\d{4}[-/]\d{2}[-/]\d{2}(?:[T ]\d{2}:\d{2}|"?(?:[,;\t|]|$))')
+    seen = head.select("path", "k", is_object.alias("o"), F.when(F.col("k") > 1, cell_time.cast("int")).alias("c"), (is_object & F.col("line").rlike(times)).alias("t"), starts_record(F.col("line")).alias("s"), *[c.alias(n) for n, c in cells.items()])
     widths = seen.select("path", F.explode(F.array(*[F.struct(F.lit(n).alias("delimiter"), F.col(n).alias("cells")) for n in cells])).alias("w")).groupBy("path", "w.delimiter", "w.cells").count()
     widths = widths.groupBy("path", "delimiter").agg(F.max(F.struct("count", "cells")).alias("m"), F.sum("count").alias("n"))
     widths = widths.where("m.cells >= 2 and m.count >= 0.95 * n").groupBy("path").agg(F.max(F.struct((F.col("m.count") / F.col("n")).alias("share"), F.col("m.cells").alias("cells"), "delimiter")).alias("csv"))
-    rates = seen.groupBy("path").agg(F.count("*").alias("n"), F.avg(F.col("o").cast("int")).alias("o"), F.avg(F.col("t").cast("int")).alias("t"), F.avg(F.col("s").cast("int")).alias("s"))
+    rates = seen.groupBy("path").agg(F.count("*").alias("n"), F.avg(F.col("o").cast("int")).alias("o"), F.avg(F.col("t").cast("int")).alias("t"), F.avg(F.col("s").cast("int")).alias("s"), F.avg("c").alias("c"))
     both = rates.join(widths, "path", "left")
     ndjson = F.when((F.col("n") >= 5) & (F.col("o") >= 0.95), F.greatest(0.5 * F.col("o") + 0.5 * F.col("t"), F.when(F.col("t") < 0.4, 0.9 * F.col("o")).otherwise(0.0)))
-    csv = F.when(F.col("o") < 0.5, 0.4 * F.col("csv.share") + F.when(F.col("s") >= 0.5, 0.3).otherwise(0.55))
+    csv = F.when(F.col("o") < 0.5, 0.4 * F.col("csv.share") + 0.6 * F.coalesce("c", F.lit(0.0)))
     text = F.when((F.col("n") >= 20) & (F.col("s") >= 0.5), 0.7 * F.col("s") + 0.3)
-    ranked = F.sort_array(F.filter(F.array(*[F.struct(c.alias("confidence"), F.lit(n).alias("format")) for n, c in (("text", text), ("csv", csv), ("ndjson", ndjson))]), lambda x: x["confidence"].isNotNull()), asc=False)
+    ranked = F.sort_array(F.filter(F.array(*[F.struct(c.alias("confidence"), F.lit(k).alias("priority"), F.lit(n).alias("format")) for k, (n, c) in enumerate((("text", text), ("csv", csv), ("ndjson", ndjson)))]), lambda x: x["confidence"].isNotNull()), asc=False)
     return both.select("path", F.try_element_at(ranked, F.lit(1)).alias("best"), F.try_element_at(ranked, F.lit(2)).alias("next"), F.col("csv.delimiter").alias("d")).select(
         "path", F.coalesce("best.format", F.lit("unknown")).alias("format"), F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"), F.coalesce(F.col("best.confidence") - F.col("next.confidence") < 0.02, F.lit(False)).alias("ambiguous"), F.when(F.col("best.format") == "csv", F.col("d")).alias("delimiter")
     )
