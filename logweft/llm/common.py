@@ -43,9 +43,17 @@ def id_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]) -> DataFrame:
-    """Python over Arrow batches: ``make()`` runs once a task and gives a function of the batch's columns
-    (lists of Python values) that returns the output columns, as lists or Arrow arrays, in the order of ``schema``."""
+def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """At most ``most`` rows, those of least hash of their key. A bound on the hash, from the number of rows, comes first:
+    so a task hands on its share of the sample, not a sample of its own."""
+    n, least = rows.count(), F.xxhash64(*key)
+    few = rows.where(least < int(-(2**63) + 2**64 * 1.2 * most / n)) if n > 2 * most else rows
+    return few.orderBy(least, *key).limit(most)
+
+
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], arrow: bool = False) -> DataFrame:
+    """Python over Arrow batches: ``make()`` runs once a task and gives a function of the batch's columns (lists of Python
+    values, or Arrow arrays) that returns the output columns, as lists or Arrow arrays, in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -56,7 +64,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):  # a slice at a time bounds what Python holds
                 part = batch.slice(k, 1000)
-                got = f(*(c.to_pylist() for c in part.columns))
+                got = f(*(part.columns if arrow else (c.to_pylist() for c in part.columns)))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(got, out, strict=True)], schema=out)
 
     return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import change_rows, map_rows
+from .common import change_rows, map_rows, sampled
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment that the field scores.
@@ -200,7 +200,7 @@ def examples(text: str) -> list[list[tuple[int, int, bool, list[str]]]]:
 
 def train(docs: DataFrame, text: str = "text") -> dict[str, float]:
     """Weights from the sample: the ``SAMPLE`` least hashes among texts with a digit run or an @ sign."""
-    likely = docs.where(F.col(text).rlike(r"@|[0-9][0-9. ()-]{7}")).select(F.col(text).alias("text")).orderBy(F.xxhash64("text")).limit(SAMPLE)
+    likely = sampled(docs.where(F.col(text).rlike(r"@|[0-9][0-9. ()-]{7}")).select("doc_id", F.col(text).alias("text")), SAMPLE, "doc_id", "text").select("text")
     rows = map_rows(likely, "g array<array<struct<start: bigint, end: bigint, gold: boolean, names: array<string>>>>", lambda: lambda texts: [[[[{"start": s, "end": e, "gold": g, "names": n} for s, e, g, n in group] for group in examples(t)] for t in texts]])
     groups = [[(s.start, s.end, s.gold, s.names) for s in g] for r in rows.collect() for g in r.g]
     weights = dict(START)

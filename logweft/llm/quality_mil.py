@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, sampled
 
 PASSAGE = 60
 SAMPLE = 4000
@@ -135,7 +135,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text", label: str = "quality") -> dict[str, np.ndarray]:
     """Weights from the sample of labelled rows that ``where``, on doc_id, holds for."""
     marked = labels.where(where & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = sampled(marked, SAMPLE, "doc_id")
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")  # at most SAMPLE rows
 
     def run(ids, ys, texts):
