@@ -29,8 +29,8 @@ GRAM_FLOOR = 5e-5
 LENGTHS = (4, 3, 2, 1)
 #: Words are counted by their first so many letters: longer runs of letters are no words.
 LONGEST_WORD = 64
-#: Words that a task keeps with their scores.
-CACHED_WORDS = 200_000
+#: Words that a worker keeps with their scores.
+CACHED_WORDS = 500_000
 UND = "und"
 LETTERS = r"\p{L}+"
 
@@ -81,19 +81,34 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
     return model
 
 
-def word_scores(model: Model, word: str) -> np.ndarray:
-    if (known := model.words.get(word)) is not None:
-        return known
-    w = f"^{word}$"
-    for k in LENGTHS:
-        table = model.grams[k]
-        if found := [table[g] for i in range(len(w) - k + 1) if (g := w[i : i + k]) in table]:
-            return np.mean(found, axis=0)
-    return np.zeros(len(model.langs), np.float32)
+def word_scores(model: Model, words: list[str]) -> np.ndarray:
+    """A row of log shares for each word: its own if it is known, else the mean over its longest known n-grams."""
+    out = np.zeros((len(words), len(model.langs)), np.float32)
+    rows, at, sizes = [], [], []
+    for n, word in enumerate(words):
+        if (known := model.words.get(word)) is not None:
+            found = [known]
+        else:
+            w = f"^{word}$"
+            for k in LENGTHS:
+                get = model.grams[k].get
+                if found := [row for i in range(len(w) - k + 1) if (row := get(w[i : i + k])) is not None]:
+                    break
+        if found:
+            rows += found
+            at.append(n)
+            sizes.append(len(found))
+    if rows:
+        sums = np.add.reduceat(np.array(rows), np.cumsum([0, *sizes[:-1]]), axis=0)
+        out[at] = sums / np.array(sizes, np.float32)[:, None]
+    return out
 
 
 def scorer(model: Model):
-    """A function of a text that gives its language and score: the share of that language among all, by the summed logs."""
+    """A function of a text that gives its language and score: the share of that language among all, by the summed logs.
+    It stays with the model, so a worker's next task goes on with the words it has met."""
+    if (held := model.__dict__.get("held")) is not None:
+        return held
     find = regex.compile(LETTERS).findall
     place: dict[str, int] = {}
     rows = np.zeros((1024, len(model.langs)), np.float32)
@@ -108,16 +123,18 @@ def scorer(model: Model):
         try:
             at = [place[w] for w in words]
         except KeyError:
-            for w in set(words).difference(place):
-                n = place[w] = len(place)
-                if n >= len(rows):
-                    rows = np.concatenate([rows, np.zeros_like(rows)])
-                rows[n] = word_scores(model, w[:LONGEST_WORD])
+            new = list(set(words).difference(place))
+            first = len(place)
+            place.update(zip(new, range(first, first + len(new))))
+            while len(place) > len(rows):
+                rows = np.concatenate([rows, np.zeros_like(rows)])
+            rows[first : len(place)] = word_scores(model, [w[:LONGEST_WORD] for w in new])
             at = [place[w] for w in words]
-        total = np.bincount(at, minlength=len(place)).astype(np.float64) @ rows[: len(place)] if len(at) > 20 * len(place) else rows[at].sum(axis=0, dtype=np.float64)
+        total = rows[at].sum(axis=0, dtype=np.float64)
         best = int(total.argmax())
         return model.langs[best], float(1 / np.exp(total - total[best]).sum())
 
+    model.__dict__["held"] = of
     return of
 
 
