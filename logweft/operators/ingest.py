@@ -6,11 +6,12 @@ A record table has (path, line_no, byte_end, stamp, first_line, message_rest, ce
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweft.functions.text import file_id, logical_source, normal_level, segment_id, string_fields
 from logweft.functions.times import stamp_text, starts_record, with_utc
+from logweft.operators.running import running
 from logweft.schema import COLUMNS
 
 #: Continuation lines that a text record may have.
@@ -26,15 +27,16 @@ HEAD_SOURCE = r"^\s*(\w+)\s+\[([^\]]+)\]\s+(.*)$"
 HEAD_LEVEL = r"^\s*([A-Za-z]\w*)\s+(.*)$"
 
 
+def stretch() -> Column:
+    """Lines that a window takes together."""
+    return F.floor(F.col("line_no") / 50_000)
+
+
 def text_records(lines: DataFrame) -> DataFrame:
-    """(path, line_no, byte_end, first_line, full_text): a line that begins with a timestamp opens a record, the lines after it go on with it, up to
-    ``LOOKAHEAD``; lines before a file's first record are dropped. Records are numbered by counts within blocks of lines and by sums over blocks."""
-    marked = lines.select("path", "line_no", "byte_end", "line", starts_record(F.col("line")).alias("start"), F.floor(F.col("line_no") / 50_000).alias("part"))
-    here = Window.partitionBy("path", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = marked.groupBy("path", "part").agg(F.max(F.when(F.col("start"), F.col("line_no"))).alias("last")).select("path", "part", F.max("last").over(before).alias("open"))
-    owned = marked.withColumn("own", F.max(F.when(F.col("start"), F.col("line_no"))).over(here)).join(parts, ["path", "part"])
-    owned = owned.withColumn("record", F.coalesce("own", "open")).where("record is not null").where(F.col("line_no") - F.col("record") <= LOOKAHEAD)
+    """(path, line_no, byte_end, first_line, full_text): a line that begins with a timestamp opens a record, the lines after it
+    go on with it, up to ``LOOKAHEAD``; lines before a file's first record are dropped."""
+    start = F.when(starts_record(F.col("line")), F.col("line_no"))
+    owned = running(lines, "path", stretch(), "line_no", latest={"record": start}).where("record is not null").where(F.col("line_no") - F.col("record") <= LOOKAHEAD)
     # at most LOOKAHEAD + 1 lines a record
     whole = owned.groupBy("path", "record").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.min("byte_end").alias("byte_end"))
     return whole.select("path", F.col("record").alias("line_no"), "byte_end", F.col("l")[0]["line"].alias("first_line"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("full_text"))
@@ -72,15 +74,15 @@ def regions(lines: DataFrame, bad: DataFrame, kind: str) -> tuple[DataFrame, Dat
     Bad lines with fewer than K good ones between them are one region; it ends with the K-th good line after them, or with
     the file. After ``ABANDON`` bad lines in a row the region ends there, an Abandoned one follows, and the rest is left."""
     k = RESYNC[kind]
-    by_file = Window.partitionBy("path").orderBy("line_no")
-    data = lines.where(F.trim("line") != "").select("path", "line_no", "byte_end").withColumn("idx", F.row_number().over(by_file))
+    data = lines.where(F.trim("line") != "").select("path", "line_no", "byte_end").join(bad.select("path", "line_no", "reason", "detail", "line"), ["path", "line_no"], "left")
+    data = running(data, "path", stretch(), "line_no", sums={"idx": F.lit(1), "bad_no": F.col("reason").isNotNull().cast("long")})
     ends = data.groupBy("path").agg(F.max("idx").alias("last_idx"))
-    marks = bad.join(data.select("path", "line_no", "idx"), ["path", "line_no"])
-    runs = marks.withColumn("run", F.col("idx") - F.row_number().over(by_file))
-    over = runs.groupBy("path", "run").agg(F.min("idx").alias("first"), F.count("*").alias("n")).where(F.col("n") >= ABANDON).groupBy("path").agg((F.min("first") + ABANDON - 1).alias("stop_idx"))
+    marks = data.where("reason is not null").withColumn("run", F.col("idx") - F.col("bad_no"))
+    over = marks.groupBy("path", "run").agg(F.min("idx").alias("first"), F.count("*").alias("n")).where(F.col("n") >= ABANDON).groupBy("path").agg((F.min("first") + ABANDON - 1).alias("stop_idx"))
     kept = marks.join(over, "path", "left").where(F.col("stop_idx").isNull() | (F.col("idx") <= F.col("stop_idx")))
-    gap = F.col("idx") - F.lag("idx").over(by_file)
-    grouped = kept.withColumn("new", F.when(gap.isNull() | (gap > k), 1).otherwise(0)).withColumn("segment_seq", F.sum("new").over(by_file.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = running(kept, "path", stretch(), "line_no", before={"last": F.col("idx")})
+    new = F.when(F.col("last").isNull() | (F.col("idx") - F.col("last") > k), 1).otherwise(0)
+    grouped = running(kept.withColumn("new", new), "path", stretch(), "line_no", sums={"segment_seq": F.col("new")})
     found = grouped.groupBy("path", "segment_seq").agg(F.min("line_no").alias("start_line"), F.max("idx").alias("last_bad"), F.min("byte_end").alias("start_offset"), F.min_by("reason", "line_no").alias("reason_code"), F.min_by("detail", "line_no").alias("reason_detail"), F.substring(F.min_by("line", "line_no"), 1, 256).cast("binary").alias("sample_prefix"), F.first("stop_idx").alias("stop_idx"))
     found = found.join(ends, "path").withColumn("idx", F.least(F.col("last_bad") + k, "last_idx", F.coalesce("stop_idx", "last_idx")))
     found = found.join(data.select("path", "idx", F.col("line_no").alias("end_line"), F.col("byte_end").alias("end_offset")), ["path", "idx"])
@@ -136,11 +138,7 @@ def log_rows(records: DataFrame, run: str, zone: str = "UTC", files: DataFrame |
 
 
 def with_index(rows: DataFrame, known: str = "utc") -> DataFrame:
-    """The rows whose ``known`` isn't null, with ``record_index``: their number in the file, from 0; counted within blocks of
-    lines, then over blocks. They are picked after the count, as a filter before it would compute ``known`` twice."""
-    cut = rows.withColumn("part", F.floor(F.col("line_no") / 50_000)).withColumn("one", F.col(known).isNotNull().cast("long"))
-    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut.groupBy("path", "part").agg(F.sum("one").alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    here = Window.partitionBy("path", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    counted = cut.withColumn("k", F.sum("one").over(here)).where("one = 1")
-    return counted.join(sizes, ["path", "part"]).withColumn("record_index", F.col("base") + F.col("k") - 1).drop("k", "base", "part", "one")
+    """The rows whose ``known`` isn't null, with ``record_index``: their number in the file, from 0. They are picked after the
+    count, as a filter before it would compute ``known`` twice."""
+    counted = running(rows.withColumn("one", F.col(known).isNotNull().cast("long")), "path", stretch(), "line_no", sums={"k": F.col("one")})
+    return counted.where("one = 1").withColumn("record_index", F.col("k") - 1).drop("k", "one")

@@ -10,22 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweft.functions.times import starts_record, stamp_text
+from logweft.functions.times import stamp_text, starts_record
+from logweft.operators.running import running
 
 #: Lines that the format of a file is told from.
 SNIFFED = 2000
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """(path, block, at, line) as (path, line_no, byte_end, line). Numbers and offsets are summed within blocks, and blocks'
-    totals within files; so a large file is as many tasks as it has blocks."""
-    sized = lines.withColumn("size", F.octet_length("line").cast("long") + 1)
-    here = Window.partitionBy("path", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    local = sized.withColumn("n", F.count("*").over(here)).withColumn("bytes", F.sum("size").over(here))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = sized.groupBy("path", "block").agg(F.count("*").alias("lines"), F.sum("size").alias("total"))
-    blocks = blocks.select("path", "block", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("bytes_before"))
-    return local.join(blocks, ["path", "block"]).select("path", (F.col("n") + F.col("lines_before")).alias("line_no"), (F.col("bytes") + F.col("bytes_before")).alias("byte_end"), "line")
+    """(path, block, at, line) as (path, line_no, byte_end, line): numbers and offsets run over a file's blocks."""
+    size = F.octet_length("line").cast("long") + 1
+    return running(lines, "path", F.col("block"), "at", sums={"line_no": F.lit(1), "byte_end": size}).select("path", "line_no", "byte_end", "line")
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
