@@ -9,15 +9,17 @@ the whole sequence as one if it is shorter. Two documents are linked if 100 * in
 2. In each bucket with several classes, all are paired with the smallest: a star, not all pairs. Pairs whose sizes or
    signatures can't reach the threshold go; the others are compared on their full sets.
 3. Components of the links come from alternating large-star and small-star. Buckets whose classes fell into several
-   components are taken again: first a star around the largest id, then those outside the smallest class's component
-   against all members of other components, so that no link within a bucket is left out.
+   components are taken again, so that no link within a bucket is left out: first a star around the largest id; then,
+   in buckets of at most ``SMALL`` classes, those outside the smallest class's component against all of other components;
+   and for larger buckets an exact prefix join: with shingles ordered from rare to common, linked sets share a shingle
+   among their first few, at places that leave room for the rest of what they share.
 
 Two documents at the threshold share a bucket with probability 1 - (1 - 0.8^6)^40 = 1 - 5e-6, and the signature test
 lets them through with probability over 1 - 1e-7.
 
 Null and wordless texts have an empty set and are linked with nothing. Rows with a null id have a null component and
-aren't kept. Repeated rows of one id come out each; if their texts differ, each row has its own text's component. Extra
-columns are ignored, or kept as they are by ``kept_rows``.
+aren't kept. Repeated rows of one id come out each; if their texts differ, each row has its own text's component, and
+classes that the same id stands for are one. Extra columns are ignored, or kept as they are by ``kept_rows``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, map_rows, written
@@ -36,6 +38,8 @@ SLACK = 0.155
 CACHED_WORDS = 500_000
 #: Ids of candidates are broadcast up to so many (8 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes of a bucket that may be paired with each other.
+SMALL = 24
 #: Columns of a block when minima are taken.
 BLOCK = 1024
 
@@ -131,17 +135,24 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", "s_a", "s_b"), f"a {kind}, b {kind}", lambda: run)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a written table) that are links by their full sets."""
-    kind = dict(pairs.dtypes)["a"]
-    ids = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "ids")
+def shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """id and shingles (the bytes of sorted 64-bit hashes) of a written table of ids."""
+    kind = dict(ids.dtypes)["id"]
+    ids = ids.withColumnRenamed("id", "doc_id")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def make():
         of = shingler(width)
         return lambda ids, texts: [ids, [of(t).tobytes() for t in texts]]
 
-    sets = written(map_rows(texts, f"id {kind}, shingles binary", make), "sets")
+    return map_rows(texts, f"id {kind}, shingles binary", make)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a written table) that are links by their full sets."""
+    kind = dict(pairs.dtypes)["a"]
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = written(shingle_sets(ids, docs, width), "sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -159,6 +170,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return links
 
 
+def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the members (a written table: id, component, outside) that may be links between components, without
+    loss: every pair of at least ``percent``, one of them outside, of different components, comes out."""
+    sets = shingle_sets(members.select("id"), docs, width)
+    listed = map_rows(sets, f"id {dict(members.dtypes)['id']}, n bigint, h array<bigint>", lambda: lambda ids, sets: [ids, [len(s) // 8 for s in sets], pa.array([np.frombuffer(s, np.int64) for s in sets], pa.list_(pa.int64()))])
+    shingles = written(listed.distinct().select("id", "n", F.explode("h").alias("h")), "shingles")
+    ranked = shingles.join(shingles.groupBy("h").count(), "h")
+    order = Window.partitionBy("id").orderBy("count", "h")
+    # linked sets share at least percent of the larger, so a shingle of the larger's first n - ceil(p n / 100) + 1
+    first = ranked.withColumn("at", F.row_number().over(order)).where(f"at <= n - ceil({percent} * n / 100) + 1").join(members, "id")
+    first = written(first.select("h", "id", "n", "at", "component", "outside"), "prefixes")
+    side = lambda c: first.select("h", *[F.col(k).alias(f"{k}_{c}") for k in ("id", "n", "at", "component", "outside")])
+    low, high = side("y"), side("x")
+    # the smaller's share of both is 2 p / (100 + p) of itself at least
+    low = low.where(f"at_y <= n_y - ceil(2 * {percent} * n_y / {100 + percent}) + 1")
+    room = F.expr(f"1 + least(n_x - at_x, n_y - at_y) >= {percent} * (n_x + n_y) / {100 + percent}")
+    fits = (F.col("component_x") != F.col("component_y")) & ((F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") > F.col("id_y")))) & F.expr(f"100 * n_y >= {percent} * n_x") & room
+    pairs = [high.where(a).join(low.where(b), "h").where(fits) for a, b in (("outside_x", "true"), ("not outside_x", "outside_y"))]
+    return pairs[0].union(pairs[1]).select(*paired("id_x", "id_y"))
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -212,16 +244,19 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     def labelled() -> DataFrame:
         """Members of buckets that hold several components, with the member's and with the least id's component."""
         rows = members.join(found, "id", "left").select("bucket", "id", "low", "high", F.coalesce("component", "id").alias("component"))
-        spread = rows.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.when(F.col("id") == F.col("low"), F.col("component"))).alias("low_component"), F.max(F.when(F.col("id") == F.col("high"), F.col("component"))).alias("high_component")).where("c1 < c2")
+        spread = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.when(F.col("id") == F.col("low"), F.col("component"))).alias("low_component"), F.max(F.when(F.col("id") == F.col("high"), F.col("component"))).alias("high_component")).where("c1 < c2")
         return rows.join(spread.drop("c1", "c2"), "bucket")
 
     links.append(verified(labelled().where("component != high_component").select(*paired("id", "high"))))
     found = components(links[0].union(links[1]))
     left = written(labelled(), "left")
-    outside = left.where("component != low_component").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = outside.join(left.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), "low_component"), "bucket").where("cx != cy and (cy = low_component or x < y)")
+    small = left.where(F.col("size") <= SMALL)
+    outside = small.where("component != low_component").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
+    across = outside.join(small.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), "low_component"), "bucket").where("cx != cy and (cy = low_component or x < y)")
     links.append(verified(across.select(*paired("x", "y"))))
-    found = components(links[0].union(links[1]).union(links[2]))
+    large = left.where(F.col("size") > SMALL).groupBy("id", "component").agg(F.max(F.col("component") != F.col("low_component")).alias("outside"))
+    links.append(verified(prefix_pairs(written(large, "large"), docs, width, percent)))
+    found = components(links[0].union(links[1]).union(links[2]).union(links[3]))
     named = classes.select("id", "set_key").distinct().join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
