@@ -12,8 +12,10 @@ columns of the input are ignored.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -41,25 +43,13 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     none = len(ranks) + 256  # above every rank
     get = ranks.get
     size = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [none] * (2 * size)
-    for i in range(n - 1):
-        tree[size + i] = get(piece[i : i + 2], none)
-    for node in range(size - 1, 0, -1):
-        left, right = tree[2 * node], tree[2 * node + 1]
-        tree[node] = left if left <= right else right
+    level = [get(piece[i : i + 2], none) for i in range(n - 1)] + [none] * (size - n + 1)
+    tree = level
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        tree = level + tree
+    tree = [none, *tree]  # the root is 1, the children of k are 2 k and 2 k + 1
     end, before = list(range(1, n + 1)), list(range(-1, n))
-
-    def put(leaf: int, rank: int) -> None:
-        node = size + leaf
-        tree[node] = rank
-        while node > 1:
-            node >>= 1
-            left, right = tree[2 * node], tree[2 * node + 1]
-            least = left if left <= right else right
-            if tree[node] == least:
-                return
-            tree[node] = least
-
     while (least := tree[1]) < none:
         node = 1
         while node < size:
@@ -69,15 +59,23 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         i = node - size
         gone = end[i]
         end[i] = stop = end[gone]
+        changes = [(node, get(piece[i : end[stop]], none) if stop < n else none)]
         if gone < n - 1:
-            put(gone, none)
+            changes.append((size + gone, none))
         if stop < n:
             before[stop] = i
-            put(i, get(piece[i : end[stop]], none))
-        else:
-            put(i, none)
         if (left := before[i]) >= 0:
-            put(left, get(piece[left:stop], none))
+            changes.append((size + left, get(piece[left:stop], none)))
+        for node, rank in changes:
+            tree[node] = rank
+            while node > 1:
+                other = tree[node ^ 1]
+                if other < rank:
+                    rank = other
+                node >>= 1
+                if tree[node] == rank:
+                    break
+                tree[node] = rank
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -91,8 +89,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     def make():
         ranks, find, known, older = read_ranks(ranks_path), regex.compile(pattern).findall, {}, {}
 
-        def ids_of(piece: str) -> list[int]:
-            ids = older.get(piece) or merge_piece(piece.encode(), ranks)
+        def ids_of(piece: str) -> array:
+            ids = older.get(piece) or array("i", merge_piece(piece.encode(), ranks))
             if len(piece) <= CACHED_CHARS:
                 if len(known) >= CACHED_PIECES // 2:
                     older.clear()
@@ -102,12 +100,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
             return ids
 
         def run(*columns):
-            values, offsets, seen = [], [0], known.get
+            values, offsets, seen = array("i"), [0], known.get
             for t in columns[-1]:
                 for piece in find(t or ""):
                     values += seen(piece) or ids_of(piece)
                 offsets.append(len(values))
-            return [*columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
+            return [*columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32)))]
 
         return run
 
@@ -122,12 +120,14 @@ def decode(encoded: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id
         token = {rank: b for b, rank in read_ranks(ranks_path).items()}.__getitem__
 
         def run(*columns):
-            return [*columns, [b"".join(map(token, ids or ())) for ids in columns[-1]]]
+            ids = columns[-1].fill_null([]) if columns[-1].null_count else columns[-1]
+            flat, ends = ids.flatten().to_numpy().tolist(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
+            return [*columns, [b"".join(map(token, flat[a:b])) for a, b in zip([0, *ends], ends)]]
 
         return run
 
     kinds = dict(encoded.dtypes)
-    return map_rows(encoded.select(*keep, "ids"), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>, bytes binary", make)
+    return map_rows(encoded.select(*keep, "ids"), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>, bytes binary", make, arrow=True)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
