@@ -6,13 +6,13 @@ the whole sequence as one if it is shorter. Two documents are linked if 100 * in
 1. One pass over all texts gives each document its number of shingles, a 128-bit key of its set, ``BANDS`` bucket numbers
    and a signature of ``BANDS * ROWS`` universal hash minima (a byte of each). Documents with the same key are one class,
    whose id is their smallest doc_id; only classes go on.
-2. In each bucket with several classes, all are paired with the smallest: a star, not all pairs. Pairs whose sizes or
-   signatures can't reach the threshold go; the others are compared on their full sets.
+2. In each bucket with several classes, all are paired with the smallest and the largest: stars, not all pairs. Pairs
+   whose sizes or signatures can't reach the threshold go; the others are compared on their full sets.
 3. Components of the links come from alternating large-star and small-star. Buckets whose classes fell into several
-   components are taken again, so that no link within a bucket is left out: first a star around the largest id; then,
-   in buckets of at most ``SMALL`` classes, those outside the smallest class's component against all of other components;
-   and for larger buckets an exact prefix join: with shingles ordered from rare to common, linked sets share a shingle
-   among their first few, at places that leave room for the rest of what they share.
+   components are taken again, so that no link within a bucket is left out: in buckets of at most ``SMALL`` classes, those
+   outside the smallest class's component against all of other components; and for larger buckets an exact prefix join:
+   with shingles ordered from rare to common, linked sets share a shingle among their first few, at places that leave
+   room for the rest of what they share.
 
 Two documents at the threshold share a bucket with probability 1 - (1 - 0.8^6)^40 = 1 - 5e-6, and the signature test
 lets them through with probability over 1 - 1e-7.
@@ -35,7 +35,7 @@ from .common import dropped, map_rows, written
 BANDS, ROWS = 40, 6
 #: Pairs with a smaller share of equal signature bytes are no candidates: 6 standard deviations below 0.8.
 SLACK = 0.155
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 #: Ids of candidates are broadcast up to so many (8 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Classes of a bucket that may be paired with each other.
@@ -236,27 +236,24 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         held = written(likely(pairs.distinct(), classes, percent), "pairs")
-        return confirmed(held, docs, width, percent)
-
-    links = [verified(members.where("id != low").select(*paired("id", "low")))]
-    found = components(links[0])
-
-    def labelled() -> DataFrame:
-        """Members of buckets that hold several components, with the member's and with the least id's component."""
-        rows = members.join(found, "id", "left").select("bucket", "id", "low", "high", F.coalesce("component", "id").alias("component"))
-        spread = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.when(F.col("id") == F.col("low"), F.col("component"))).alias("low_component"), F.max(F.when(F.col("id") == F.col("high"), F.col("component"))).alias("high_component")).where("c1 < c2")
-        return rows.join(spread.drop("c1", "c2"), "bucket")
-
-    links.append(verified(labelled().where("component != high_component").select(*paired("id", "high"))))
-    found = components(links[0].union(links[1]))
-    left = written(labelled(), "left")
+        links = confirmed(held, docs, width, percent)
+        dropped(held)
+        return links
+
+    stars = [members.where(f"id != {hub}").select(*paired("id", hub)) for hub in ("low", "high")]
+    links = verified(stars[0].union(stars[1]))
+    found = components(links)
+    # members of buckets that hold several components, with the member's and with the least id's component
+    named = members.join(found, "id", "left").select("bucket", "id", "low", F.coalesce("component", "id").alias("component"))
+    spread = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.when(F.col("id") == F.col("low"), F.col("component"))).alias("low_component")).where("c1 < c2")
+    left = written(named.join(spread.drop("c1", "c2"), "bucket"), "left")
+    dropped(members)
     small = left.where(F.col("size") <= SMALL)
     outside = small.where("component != low_component").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
     across = outside.join(small.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), "low_component"), "bucket").where("cx != cy and (cy = low_component or x < y)")
-    links.append(verified(across.select(*paired("x", "y"))))
     large = left.where(F.col("size") > SMALL).groupBy("id", "component").agg(F.max(F.col("component") != F.col("low_component")).alias("outside"))
-    links.append(verified(prefix_pairs(written(large, "large"), docs, width, percent)))
-    found = components(links[0].union(links[1]).union(links[2]).union(links[3]))
+    more = verified(across.select(*paired("x", "y")).union(prefix_pairs(written(large, "large"), docs, width, percent)))
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("id", "set_key").distinct().join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
