@@ -30,7 +30,7 @@ LENGTHS = (4, 3, 2, 1)
 #: Words are counted by their first so many letters: longer runs of letters are no words.
 LONGEST_WORD = 64
 #: Words that a worker keeps with their scores.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 UND = "und"
 LETTERS = r"\p{L}+"
 
