@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
 
-Language ID drops documents without a language; near-dedup keeps one document of each group; decontamination drops
+Language ID drops documents without a language or of none that it knows; near-dedup keeps one document of each group; decontamination drops
 documents that hold benchmark items; PII masks spans; BPE encodes what is left. Stages 1 to 4 return the columns they got.
 """
 
@@ -14,14 +14,14 @@ from logweft.llm import bpe, decontam, langid, minhash, pii_semicrf
 from logweft.llm.common import table, written
 from logweft.llm.queries import RANKS_FILE
 
-#: Documents whose best language has a smaller share of the score go.
+#: Documents whose best language has a smaller share of the score go, and those without the evidence of ``langid``.
 LEAST_SCORE = 0.3
 #: Shingles of five words, similarity 0.8.
 WIDTH, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.known_rows(docs, langid.train(docs, F.lit(True)), LEAST_SCORE)
+    return langid.known_rows(docs, langid.train(docs, F.lit(True), gate=True), LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

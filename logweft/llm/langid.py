@@ -7,6 +7,11 @@ size is bounded by the number of languages. ``predict`` sums, over the words of
 language: a word that any language keeps counts as a word; an unseen word counts by the mean over those of its n-grams
 that are known, of the greatest length that has any.
 
+That score compares languages; it says nothing about texts of none. ``known_rows`` therefore also asks for evidence that
+doesn't grow with the text, where the model was trained for it: the share of the text's n-grams of the greatest length
+that its best language keeps, against ``PART`` of that language's own share over all training rows, less the chance error of
+a text so short.
+
 Null texts and texts without a letter: ``und`` with score 0. Without any training row every text is ``und``. Ties go to
 the first language by name. Null ids are not held out. Repeated rows are scored, and counted in training, each time.
 Other columns of the input are ignored.
@@ -31,6 +36,8 @@ LENGTHS = (4, 3, 2, 1)
 LONGEST_WORD = 64
 #: Words that a worker keeps with their scores.
 CACHED_WORDS = 250_000
+#: A text of a language has this part of the share of known n-grams that the language's training rows have, less so many standard errors.
+PART, ERRORS = 0.4, 2.0
 UND = "und"
 LETTERS = r"\p{L}+"
 
@@ -41,6 +48,8 @@ class Model:
     #: Log shares by language, of a word or n-gram; languages that don't keep it have the log of a part of the floor.
     words: dict[str, np.ndarray] = field(default_factory=dict)
     grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
+    #: By language, the share of known n-grams over all training rows and the standard error of one n-gram.
+    evidence: dict[str, tuple[float, float]] = field(default_factory=dict)
 
 
 def word_counts(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -55,15 +64,37 @@ def shares(counts: DataFrame, floor: float, *by: str) -> DataFrame:
     return counts.join(F.broadcast(total), list(by)).where(F.col("n") >= floor * F.col("total")).withColumn("share", F.col("n") / F.col("total"))
 
 
-def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang") -> Model:
-    """A model of the rows that ``where`` holds for and whose language isn't null."""
+def evidence(counts: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
+    """The model's ``evidence`` from all counted words; a row a language comes to the driver."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        model = shared.value
+        place = {x: i for i, x in enumerate(model.langs)}
+
+        def run(langs, words, n):
+            found = coverage(model, words)
+            return [langs, n, [float(row[place[x]]) if x in place else 0.0 for x, row in zip(langs, found)], found[:, -1].tolist()]
+
+        return run
+
+    words = map_rows(counts.select("lang", "word", "n"), "lang string, n bigint, known double, grams double", make)
+    sums = words.groupBy("lang").agg(*(F.sum(F.expr(f"n * {x}")).alias(a) for a, x in (("k", "known"), ("g", "grams"), ("kk", "known * known"), ("kg", "known * grams"), ("gg", "grams * grams"))))
+    out = {}
+    for r in sums.collect():
+        share = r.k / r.g
+        out[r.lang] = (share, max(0.0, (r.kk - 2 * share * r.kg + share * share * r.gg) / r.g) ** 0.5)
+    return out
+
+
+def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", gate: bool = False) -> Model:
+    """A model of the rows that ``where`` holds for and whose language isn't null; with ``gate``, also its evidence."""
     counts = word_counts(docs, where, text, lang).persist()
     grams = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
     grams = grams.select("lang", "n", F.explode(F.expr(f"flatten(transform(array({', '.join(map(str, LENGTHS))}), k -> transform(sequence(1, greatest(length(w) - k + 1, 1)), i -> substring(w, i, k))))")).alias("gram"))
     grams = grams.groupBy("lang", F.length("gram").alias("k"), "gram").agg(F.sum("n").alias("n"))
     kept_words = shares(counts, WORD_FLOOR, "lang").select("lang", "word", "share").collect()
     kept_grams = shares(grams, GRAM_FLOOR, "lang", "k").select("lang", "k", "gram", "share").collect()
-    counts.unpersist()
     langs = sorted({r.lang for r in kept_words})
     place = {x: i for i, x in enumerate(langs)}
     model = Model(langs, {}, {k: {} for k in LENGTHS})
@@ -78,9 +109,29 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
     for r in kept_grams:
         if r.k in model.grams and r.lang in place:
             put(model.grams[r.k], r.gram, r.lang, r.share, GRAM_FLOOR)
+    if gate:
+        model.evidence = evidence(counts, model)
+    counts.unpersist()
     return model
 
 
+def coverage(model: Model, words: list[str]) -> np.ndarray:
+    """A row for each word: how many of its n-grams of the greatest length each language keeps, and how many there are."""
+    out = np.zeros((len(words), len(model.langs) + 1), np.float32)
+    rows, at = [], []
+    for n, word in enumerate(words):
+        w = f"^{word}$"
+        k = min(LENGTHS[0], len(w))
+        get, many = model.grams[k].get, len(w) - k + 1
+        found = [row for i in range(many) if (row := get(w[i : i + k])) is not None]
+        rows += found
+        at += [n] * len(found)
+        out[n, -1] = many
+    if rows:
+        np.add.at(out[:, :-1], np.array(at), np.array(rows) > np.log(GRAM_FLOOR / 2))
+    return out
+
+
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
     """A row of log shares for each word: its own if it is known, else the mean over its longest known n-grams."""
     out = np.zeros((len(words), len(model.langs)), np.float32)
@@ -105,19 +156,20 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
 
 
 def scorer(model: Model):
-    """A function of a text that gives its language and score: the share of that language among all, by the summed logs.
-    It stays with the model, so a worker's next task goes on with the words it has met."""
+    """A function of a text that gives its language, its score (the share of that language among all, by the summed logs),
+    and whether the text has the evidence that the model asks for. It stays with the model, so a worker's next task goes on with the words it has met."""
     if (held := model.__dict__.get("held")) is not None:
         return held
     find = regex.compile(LETTERS).findall
     place: dict[str, int] = {}
-    rows = np.zeros((1024, len(model.langs)), np.float32)
+    many = len(model.langs)
+    rows = np.zeros((1024, many + (many + 1 if model.evidence else 0)), np.float32)
 
-    def of(text: str | None) -> tuple[str, float]:
+    def of(text: str | None) -> tuple[str, float, bool]:
         nonlocal rows
         words = find((text or "").lower())
         if not words or not model.langs:
-            return UND, 0.0
+            return UND, 0.0, False
         if len(place) > CACHED_WORDS:
             place.clear()
         try:
@@ -128,11 +180,18 @@ def scorer(model: Model):
             place.update(zip(new, range(first, first + len(new))))
             while len(place) > len(rows):
                 rows = np.concatenate([rows, np.zeros_like(rows)])
-            rows[first : len(place)] = word_scores(model, [w[:LONGEST_WORD] for w in new])
+            rows[first : len(place), :many] = word_scores(model, [w[:LONGEST_WORD] for w in new])
+            if model.evidence:
+                rows[first : len(place), many:] = coverage(model, new)
             at = [place[w] for w in words]
-        total = rows[at].sum(axis=0, dtype=np.float64)
+        sums = rows[at].sum(axis=0, dtype=np.float64)
+        total = sums[:many]
         best = int(total.argmax())
-        return model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        lang, enough = model.langs[best], True
+        if model.evidence:
+            share, error = model.evidence.get(lang, (0.0, 0.0))
+            enough = sums[many + best] > 0 and sums[many + best] / sums[-1] >= PART * share - ERRORS * error / sums[-1] ** 0.5
+        return lang, float(1 / np.exp(total - total[best]).sum()), bool(enough)
 
     model.__dict__["held"] = of
     return of
@@ -147,7 +206,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
         def run(*columns):
             found = [of(t) for t in columns[-1]]
-            return [*columns[:-1], [x for x, _ in found], [x for _, x in found]]
+            return [*columns[:-1], [x for x, _, _ in found], [x for _, x, _ in found]]
 
         return run
 
@@ -156,15 +215,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
 
 def known_rows(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language with a score of at least ``least``."""
+    """The rows of docs, with all their columns, whose text has a language with a score of at least ``least``,
+    and the evidence for it where the model has some."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         of = scorer(shared.value)
 
         def stays(text: str | None) -> bool:
-            lang, score = of(text)
-            return lang != UND and score >= least
+            lang, score, enough = of(text)
+            return lang != UND and score >= least and enough
 
         return lambda texts: (None, [stays(t) for t in texts])
 

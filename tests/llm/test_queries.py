@@ -72,6 +72,17 @@ def test_pipeline_against_plain(spark):
             assert got[i].decoded_sha256 == hashlib.sha256(pii_semicrf.masked(rows[i].text, weights).encode()).hexdigest()
 
 
+def test_language_gate_does_not_saturate(spark):
+    """Texts of no known language go however long they are; documents of the table stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = ["zxqj wvkk qpfz xxjw kqzv", "asdf qwer zxcv", "Привет мир это русский текст a", "Det er en god dag i dag og vi skal ud at sejle med vores lille båd på søen, fordi vejret er så smukt", "function(){ var x = document.getElementById('a'); return x.value; }"]
+    rows = lambda texts: spark.createDataFrame([(-1 - k, t, "en", "s", len(t)) for k, t in enumerate(texts)], docs.schema)
+    stayed = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(rows(odd)), SF).collect()}
+    assert stayed == {r.doc_id for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")}
+    model = langid.train(docs, F.lit(True), gate=True)
+    assert langid.known_rows(rows([f"{t} " * 500 for t in odd]), model, corpus_pipeline.LEAST_SCORE).count() == 0
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert len(corpus_pipeline.STAGES) == 5
