@@ -1,7 +1,8 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field over whole spans.
 
 The base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; what they find stays. The
-semi-Markov field adds spans. Candidate segments come from wide shapes around digits and @ signs; each gets features of
+semi-Markov field adds spans. Candidate segments come from wide shapes around digits and @ signs, and from runs of groups
+of digits all sub-spans between edges of groups that a kind of number may have; each gets features of
 the whole span (its shape, its digits and groups, check sums, the words before it, what stands at its edges) and a score
 for each kind; text outside segments scores 0. Dynamic programming over the candidates' ends chooses boundaries and
 kinds together: the best set of segments that don't overlap. A segment is bounded (``LONGEST`` characters), so work grows
@@ -52,8 +53,13 @@ CUES = {
     "ip": frozenset(("ip", "host", "server", "address")),
 }
 #: Starting weights, and the centre of the prior.
-START = {"email:bias": -1.0, "email:at": 4.0, "email:dot": 1.0, "email:spelled": 3.0, "ip:bias": -1.0, "ip:bytes": 4.0, "ip:big": -8.0, "card:bias": -2.0, "card:luhn": 3.0, "card:length": 2.0, "card:noluhn": -5.0, "card:fours": 2.0, "phone:bias": -3.0, "phone:plus": 5.0, "phone:cue": 3.5, "phone:paren": 1.0, "phone:length": 1.0, "phone:groups": 0.5, "phone:date": -6.0, "phone:short": -4.0, "card:cue": 1.5, "email:cue": 0.5, "ip:cue": 0.5, "phone:bytes": -5.0}
+START = {"email:bias": -1.0, "email:at": 4.0, "email:dot": 1.0, "email:spelled": 3.0, "ip:bias": -1.0, "ip:bytes": 4.0, "ip:big": -8.0, "card:bias": -2.0, "card:luhn": 3.0, "card:length": 2.0, "card:noluhn": -5.0, "card:fours": 2.0, "phone:bias": -3.0, "phone:plus": 5.0, "phone:cue": 3.5, "phone:paren": 1.0, "phone:length": 1.0, "phone:groups": 0.5, "phone:date": -6.0, "phone:short": -4.0, "card:cue": 1.5, "email:cue": 0.5, "ip:cue": 0.5, "phone:bytes": -5.0, "card:part": -4.0, "card:amex": 2.0, "phone:part": -2.0, "ip:part": -2.0}
 WORDS_BEFORE = re.compile(r"\w+")
+#: Groups of digits with so little between them are one run.
+GROUP = re.compile("[0-9]+")
+BETWEEN = re.compile(r"[\x20()./-]{1,3}")
+#: Digits of a card or phone number.
+FEWEST, MOST = 9, 19
 
 
 def luhn(digits: str) -> bool:
@@ -105,6 +111,41 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(x for x in found if x[1] - x[0] <= LONGEST)
 
 
+def parts(text: str) -> list[tuple[int, int]]:
+    """Of each run of two groups of digits or more, the sub-spans between edges of groups, with signs and brackets or
+    without, that have as many digits as a card or phone number, or four groups between dots."""
+    found: set[tuple[int, int]] = set()
+    run: list[tuple[int, int]] = []
+
+    def take() -> None:
+        for i, (start, _) in enumerate(run):
+            before = text[max(0, start - 2) : start]
+            starts = [start, *[start - 1] * (before[-1:] in ("(", "+")), *[start - 2] * (before == "+(")]
+            digits = 0
+            for k in range(i, len(run)):
+                end = run[k][1]
+                digits += end - run[k][0]
+                if digits > MOST or end - start > LONGEST:
+                    break
+                dotted = k == i + 3 and all(text[a:b] == "." for (_, a), (b, _) in zip(run[i:k], run[i + 1 : k + 1]))
+                if digits < FEWEST and not dotted:
+                    continue
+                for s in starts:
+                    for e in (end, end + 1) if text[end : end + 1] == ")" else (end,):
+                        if e - s <= LONGEST and text.count("(", s, e) == text.count(")", s, e):
+                            found.add((s, e))
+
+    for m in GROUP.finditer(text):
+        if run and not (m.start() - run[-1][1] <= 3 and BETWEEN.fullmatch(text, run[-1][1], m.start())):
+            if len(run) > 1:
+                take()
+            run = []
+        run.append(m.span())
+    if len(run) > 1:
+        take()
+    return sorted(found)
+
+
 def features(text: str, start: int, end: int) -> dict[str, list[str]]:
     """The whole span's features for each kind that it may be."""
     span = text[start:end]
@@ -133,7 +174,13 @@ def features(text: str, start: int, end: int) -> dict[str, list[str]]:
 
 def lattice(text: str) -> list[tuple[int, int, str, list[str]]]:
     """Candidate segments with kind and features, by end."""
-    return sorted(((s, e, kind, [f"{kind}:{n}" for n in names]) for s, e in candidates(text) for kind, names in features(text, s, e).items()), key=lambda x: (x[1], x[0], x[2]))
+    whole = candidates(text)
+    segments = [(s, e, kind, [f"{kind}:{n}" for n in names]) for s, e in whole for kind, names in features(text, s, e).items()]
+    for s, e in sorted(set(parts(text)).difference(whole)):
+        sizes = [len(g) for g in GROUP.findall(text[s:e])]
+        mark = "part" if len(sizes) > 1 else "group"
+        segments += [(s, e, kind, [f"{kind}:{n}" for n in (*names, mark, *["amex"] * (kind == "card" and sizes == [4, 6, 5]))]) for kind, names in features(text, s, e).items()]
+    return sorted(segments, key=lambda x: (x[1], x[0], x[2]))
 
 
 def score(weights: dict[str, float], names: list[str]) -> float:
@@ -192,9 +239,9 @@ def split(segments: list) -> list[list]:
 
 def examples(text: str) -> list[list[tuple[int, int, bool, list[str]]]]:
     """Groups of the lattice with marks of the segments that the base patterns find. Shapes that no base pattern can find
-    have no label, so they don't train."""
+    have no label, so they don't train; nor do parts of runs, which the base patterns only match whole."""
     gold = set(base_spans(text))
-    told = [x for x in lattice(text) if "email:spelled" not in x[3] and (x[2] != "phone" or "phone:plus" in x[3])]
+    told = [x for x in lattice(text) if "email:spelled" not in x[3] and (x[2] != "phone" or "phone:plus" in x[3]) and f"{x[2]}:part" not in x[3] and f"{x[2]}:group" not in x[3]]
     return [[(s, e, (kind, s, e) in gold, names) for s, e, kind, names in g] for g in split(told)[:GROUPS]]
 
 

@@ -344,6 +344,19 @@ def test_personal_data(spark):
     assert pii_semicrf.digests(empty(spark), pii_semicrf.train(empty(spark))).count() == 0
 
 
+def test_numbers_inside_runs():
+    """Of several numbers in one run of digits each comes out with its own bounds and kind."""
+    spans = lambda t: [(k, t[s:e]) for k, s, e in pii_semicrf.spans_of(t, dict(pii_semicrf.START))[1]]
+    assert spans("4465758382889437 4465758382889437") == [("card", "4465758382889437")] * 2
+    assert spans("a 7536784127813050 4845168114407329 b") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    assert spans("4111 1111 1111 1111 5555 5555 5555 4444") == [("card", "4111 1111 1111 1111"), ("card", "5555 5555 5555 4444")]
+    assert spans("+49 30 1234567 4111-1111-1111-1111") == [("phone", "+49 30 1234567"), ("card", "4111-1111-1111-1111")]
+    assert spans("4465758382889437 4465758382889438") == [("card", "4465758382889437")]
+    assert spans("300.10.0.0.1") == [("ip", "10.0.0.1")]
+    assert spans("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 2024-01-02 10:20 20240102 20240103 20240104") == []
+    assert len(spans("4465758382889437 " * 200)) == 200
+
+
 # op9
 
 
