@@ -5,23 +5,36 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, a laptop).
+#: Used only in local mode, where the session names no shared folder (tests, a laptop).
 LOCAL_SHARED = "file:///tmp/logweft-shared"
+#: A slice of an Arrow batch that Python works on ends after so many rows, or with the row that reaches so many bytes.
+SLICE_ROWS, SLICE_BYTES = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or ``setCheckpointDir`` names it. Without
+    either, a cluster has no such folder: each executor would write to its own disk."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        told = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = told.get() if told.isDefined() else None
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = LOCAL_SHARED
+    return named.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts its lineage, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +51,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(text: str) -> Column:
+    """Identity of a text, 128 bits; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def id_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -51,6 +69,20 @@ def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return few.orderBy(least, *key).limit(most)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``SLICE_ROWS`` rows, each closed by the row whose strings and bytes reach ``SLICE_BYTES``."""
+    ends = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            ends += np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = min(at + SLICE_ROWS, int(np.searchsorted(ends, done + SLICE_BYTES)) + 1, batch.num_rows)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], arrow: bool = False) -> DataFrame:
     """Python over Arrow batches: ``make()`` runs once a task and gives a function of the batch's columns (lists of Python
     values, or Arrow arrays) that returns the output columns, as lists or Arrow arrays, in the order of ``schema``."""
@@ -62,8 +94,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):  # a slice at a time bounds what Python holds
-                part = batch.slice(k, 1000)
+            for part in slices(batch):  # a slice at a time bounds what Python holds
                 got = f(*(part.columns if arrow else (c.to_pylist() for c in part.columns)))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(got, out, strict=True)], schema=out)
 
@@ -78,8 +109,7 @@ def change_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for part in slices(batch):
                 values, stay = f(part.columns[at].to_pylist())
                 if values is not None:
                     part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))

@@ -1,43 +1,56 @@
 """Language identification by words first, then by ever shorter character n-grams.
 
 ``train`` counts, over all labelled rows, the words of each language and the n-grams of those words (with ``^`` and
-``$`` at the ends). A word or n-gram is kept for a language if its share of that language's words, or of its n-grams of
-that length, reaches a floor; so a language keeps at most 1/floor of each, however large the corpus is, and the model's
-size is bounded by the number of languages. ``predict`` sums, over the words of the whole text, the log shares by
-language: a word that any language keeps counts as a word; an unseen word counts by the mean over those of its n-grams
-that are known, of the greatest length that has any.
+``$`` at the ends), and writes both as tables: every word and every n-gram counts, however rare, so the model grows with
+the corpus and never passes through the driver. ``predict`` sums, over the words of the whole text, the log shares by
+language: a word that any language has counts as a word; an unseen word counts by the mean over those of its n-grams that
+are known, of the greatest length that has any. The score is the share of the best language by the mean log per word, so
+it doesn't go to 1 merely because a text is long.
+
+Frequent words (at least ``HEAD`` of all words, so at most 1/HEAD of them at any size) are broadcast and summed where the
+text is; the other words of a text leave the task as (text, word, count), are joined with the word table, and what that
+table doesn't have is joined with the n-gram table. The split changes the way, not the result: log shares are whole
+numbers of 1/65536, so sums don't depend on their order.
+
+A run of more than ``LONGEST`` letters, as in scripts without blanks, is taken as windows of so many letters that overlap
+by three, so that every n-gram of the run is in one; windows are counted and scored like words.
 
 That score compares languages; it says nothing about texts of none. ``known_rows`` therefore also asks for evidence that
 doesn't grow with the text, where the model was trained for it: the share of the text's n-grams of the greatest length
-that its best language keeps, against ``PART`` of that language's own share over all training rows, less the chance error of
-a text so short.
+that are typical of its best language (``TYPICAL`` of that language's n-grams or more), against ``PART`` of that
+language's own share over all training rows, less the chance error of a text so short.
 
 Null texts and texts without a letter: ``und`` with score 0. Without any training row every text is ``und``. Ties go to
-the first language by name. Null ids are not held out. Repeated rows are scored, and counted in training, each time.
-Other columns of the input are ignored.
+the first language by name. Null ids are not held out. Equal texts get equal results; repeated rows come out, and are
+counted in training, each time. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import change_rows, map_rows
+from .common import dropped, map_rows, text_key, written
 
-#: Least share of a language's words that a word needs to be kept, and the same for n-grams of each length.
-WORD_FLOOR = 5e-5
-GRAM_FLOOR = 5e-5
+#: Words with at least this share of all training words are broadcast: at most 1/HEAD of them.
+HEAD = 5e-6
+#: Least share of a language's n-grams of a length that makes one typical: at most 1/TYPICAL a language and length.
+TYPICAL = 5e-5
 LENGTHS = (4, 3, 2, 1)
-#: Words are counted by their first so many letters: longer runs of letters are no words.
-LONGEST_WORD = 64
-#: Words that a worker keeps with their scores.
+#: Letters of a window of a long run.
+LONGEST = 64
+#: Words that a worker keeps with their n-gram counts.
 CACHED_WORDS = 250_000
-#: A text of a language has this part of the share of known n-grams that the language's training rows have, less so many standard errors.
+#: A text of a language has this part of the share of typical n-grams that the language's training rows have, less so many standard errors.
 PART, ERRORS = 0.4, 2.0
+#: Log shares are counted in so many parts of one.
+UNIT = 65536
 UND = "und"
 LETTERS = r"\p{L}+"
 
@@ -45,187 +58,247 @@ LETTERS = r"\p{L}+"
 @dataclass
 class Model:
     langs: list[str] = field(default_factory=list)
-    #: Log shares by language, of a word or n-gram; languages that don't keep it have the log of a part of the floor.
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[int, dict[str, np.ndarray]] = field(default_factory=dict)
-    #: By language, the share of known n-grams over all training rows and the standard error of one n-gram.
+    #: (word, c) and (gram, c): counts by language; None without training rows.
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    #: All words by language, and all n-grams by length and language.
+    word_totals: list[int] = field(default_factory=list)
+    gram_totals: dict[int, list[int]] = field(default_factory=dict)
+    #: n-grams of each length with marks of the languages that they are typical of; only with a gate.
+    typical: dict[str, np.ndarray] = field(default_factory=dict)
+    #: By language, the share of typical n-grams over all training rows and the standard error of one n-gram.
     evidence: dict[str, tuple[float, float]] = field(default_factory=dict)
 
-
-def word_counts(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang") -> DataFrame:
-    words = docs.where(where & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))).alias("word"))
-    return words.groupBy("lang", F.substring("word", 1, LONGEST_WORD).alias("word")).agg(F.count("*").alias("n"))
+    @property
+    def floor(self) -> float:
+        """Log share of what a language doesn't have: half a word of all, for every language alike."""
+        return float(np.log(0.5 / sum(self.word_totals)))
+
+
+def words_of(text: str | None, find) -> list[str]:
+    """The words of a text, in lower case; a long run as windows, marked by a bar and with the run's own ends."""
+    words = find((text or "").lower())
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST:
+            out.append(w)
+        else:
+            w = f"^{w}$"
+            out += ["|" + w[k : k + LONGEST] for k in range(0, len(w) - LENGTHS[0] + 1, LONGEST - LENGTHS[0] + 1)]
+    return out
 
 
-def shares(counts: DataFrame, floor: float, *by: str) -> DataFrame:
-    """Rows whose share of all counts of their group reaches the floor: at most 1/floor rows a group. Groups are languages
-    and lengths, so their sums are a small table."""
-    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), list(by)).where(F.col("n") >= floor * F.col("total")).withColumn("share", F.col("n") / F.col("total"))
+def ended(word: str) -> str:
+    return word[1:] if word[0] == "|" else f"^{word}$"
 
 
-def evidence(counts: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
-    """The model's ``evidence`` from all counted words; a row a language comes to the driver."""
-    shared = counts.sparkSession.sparkContext.broadcast(model)
+def word_counts(docs: DataFrame, where: Column, langs: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """(word, c): how often each language has each word. A task counts a slice's words before they leave it."""
+    place = {x: i for i, x in enumerate(langs)}
 
     def make():
-        model = shared.value
-        place = {x: i for i, x in enumerate(model.langs)}
+        find = regex.compile(LETTERS).findall
 
-        def run(langs, words, n):
-            found = coverage(model, words)
-            return [langs, n, [float(row[place[x]]) if x in place else 0.0 for x, row in zip(langs, found)], found[:, -1].tolist()]
+        def run(labels, texts):
+            counts: dict[str, Counter] = {}
+            for x, t in zip(labels, texts):
+                counts.setdefault(x, Counter()).update(words_of(t, find))
+            return [[w for c in counts.values() for w in c], [place[x] for x, c in counts.items() for _ in c], [n for c in counts.values() for n in c.values()]]
 
         return run
 
-    words = map_rows(counts.select("lang", "word", "n"), "lang string, n bigint, known double, grams double", make)
-    sums = words.groupBy("lang").agg(*(F.sum(F.expr(f"n * {x}")).alias(a) for a, x in (("k", "known"), ("g", "grams"), ("kk", "known * known"), ("kg", "known * grams"), ("gg", "grams * grams"))))
-    out = {}
-    for r in sums.collect():
-        share = r.k / r.g
-        out[r.lang] = (share, max(0.0, (r.kk - 2 * share * r.kg + share * share * r.gg) / r.g) ** 0.5)
-    return out
+    rows = map_rows(docs.where(where & F.col(lang).isNotNull()).select(lang, text), "word string, l int, n bigint", make)
+    return rows.groupBy("word").agg(F.array(*[F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)) for i in range(len(langs))]).alias("c"))
+
+
+def grams_of(words: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and gram: a row for each n-gram of each word."""
+    whole = words.select(*keep, F.expr("if(startswith(word, '|'), substring(word, 2), concat('^', word, '$'))").alias("w"))
+    return whole.select(*keep, F.explode(F.expr(f"flatten(transform(filter(array({', '.join(map(str, LENGTHS))}), k -> k <= length(w)), k -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))))")).alias("gram"))
 
 
 def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", gate: bool = False) -> Model:
     """A model of the rows that ``where`` holds for and whose language isn't null; with ``gate``, also its evidence."""
-    counts = word_counts(docs, where, text, lang).persist()
-    grams = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w"))
-    grams = grams.select("lang", "n", F.explode(F.expr(f"flatten(transform(array({', '.join(map(str, LENGTHS))}), k -> transform(sequence(1, greatest(length(w) - k + 1, 1)), i -> substring(w, i, k))))")).alias("gram"))
-    grams = grams.groupBy("lang", F.length("gram").alias("k"), "gram").agg(F.sum("n").alias("n"))
-    kept_words = shares(counts, WORD_FLOOR, "lang").select("lang", "word", "share").collect()
-    kept_grams = shares(grams, GRAM_FLOOR, "lang", "k").select("lang", "k", "gram", "share").collect()
-    langs = sorted({r.lang for r in kept_words})
-    place = {x: i for i, x in enumerate(langs)}
-    model = Model(langs, {}, {k: {} for k in LENGTHS})
-
-    def put(table: dict[str, np.ndarray], key: str, lang: str, share: float, floor: float) -> None:
-        if key not in table:
-            table[key] = np.full(len(langs), np.log(floor / 4), np.float32)
-        table[key][place[lang]] = np.log(share)
-
-    for r in kept_words:
-        put(model.words, r.word, r.lang, r.share, WORD_FLOOR)
-    for r in kept_grams:
-        if r.k in model.grams and r.lang in place:
-            put(model.grams[r.k], r.gram, r.lang, r.share, GRAM_FLOOR)
+    langs = sorted(r[0] for r in docs.where(where & F.col(lang).isNotNull()).select(lang).distinct().collect())
+    if not langs:
+        return Model()
+    sums = [F.coalesce(F.sum(F.col("c")[i]), F.lit(0)).alias(f"s{i}") for i in range(len(langs))]
+    words = written(word_counts(docs, where, langs, text, lang), "words")
+    word_totals = list(words.agg(*sums).first())
+    if not sum(word_totals):
+        return Model()
+    grams = grams_of(words, "c").groupBy("gram").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(langs))]).alias("c"))
+    grams = written(grams, "grams")
+    totals = {r[0]: list(r)[1:] for r in grams.groupBy(F.length("gram")).agg(*sums).collect()}
+    model = Model(langs, words, grams, word_totals, {k: totals.get(k, [0] * len(langs)) for k in LENGTHS})
     if gate:
-        model.evidence = evidence(counts, model)
-    counts.unpersist()
+        least = F.array(*[F.element_at(F.create_map(*[F.lit(x) for k in LENGTHS for x in (k, max(1.0, TYPICAL * model.gram_totals[k][i]))]), F.length("gram")) for i in range(len(langs))])
+        marks = F.zip_with("c", least, lambda n, m: n >= m)
+        model.typical = {r.gram: np.array(r.marks, bool) for r in grams.select("gram", marks.alias("marks")).where(F.exists("marks", lambda x: x)).collect()}
+        model.evidence = evidence(words, model)
     return model
 
 
-def coverage(model: Model, words: list[str]) -> np.ndarray:
-    """A row for each word: how many of its n-grams of the greatest length each language keeps, and how many there are."""
-    out = np.zeros((len(words), len(model.langs) + 1), np.float32)
+def coverage(typical: dict[str, np.ndarray], langs: int, words: list[str]) -> np.ndarray:
+    """A row for each word: how many of its n-grams of the greatest length are typical of each language, and how many there are."""
+    out = np.zeros((len(words), langs + 1), np.float32)
     rows, at = [], []
+    get = typical.get
     for n, word in enumerate(words):
-        w = f"^{word}$"
+        w = ended(word)
         k = min(LENGTHS[0], len(w))
-        get, many = model.grams[k].get, len(w) - k + 1
+        many = len(w) - k + 1
         found = [row for i in range(many) if (row := get(w[i : i + k])) is not None]
         rows += found
         at += [n] * len(found)
         out[n, -1] = many
     if rows:
-        np.add.at(out[:, :-1], np.array(at), np.array(rows) > np.log(GRAM_FLOOR / 2))
+        np.add.at(out[:, :-1], np.array(at), np.array(rows))
     return out
 
 
-def word_scores(model: Model, words: list[str]) -> np.ndarray:
-    """A row of log shares for each word: its own if it is known, else the mean over its longest known n-grams."""
-    out = np.zeros((len(words), len(model.langs)), np.float32)
-    rows, at, sizes = [], [], []
-    for n, word in enumerate(words):
-        if (known := model.words.get(word)) is not None:
-            found = [known]
-        else:
-            w = f"^{word}$"
-            for k in LENGTHS:
-                get = model.grams[k].get
-                if found := [row for i in range(len(w) - k + 1) if (row := get(w[i : i + k])) is not None]:
-                    break
-        if found:
-            rows += found
-            at.append(n)
-            sizes.append(len(found))
-    if rows:
-        sums = np.add.reduceat(np.array(rows), np.cumsum([0, *sizes[:-1]]), axis=0)
-        out[at] = sums / np.array(sizes, np.float32)[:, None]
+def evidence(words: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
+    """The model's ``evidence`` from all counted words; one row comes to the driver."""
+    shared, many = words.sparkSession.sparkContext.broadcast(model.typical), len(model.langs)
+
+    def make():
+        return lambda w, c: [c, coverage(shared.value, many, w).astype(float).tolist()]
+
+    rows = map_rows(words.select("word", "c"), "c array<bigint>, v array<double>", make)
+    g = F.col("v")[many]
+    parts = [F.sum(F.col("c")[i] * x) for i in range(many) for k in (F.col("v")[i],) for x in (k, g, k * k, k * g, g * g)]
+    got = rows.agg(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).first()
+    out = {}
+    for i, lang in enumerate(model.langs):
+        k, g, kk, kg, gg = got[5 * i : 5 * i + 5]
+        share = k / g if g else 0.0
+        out[lang] = (share, max(0.0, (kk - 2 * share * kg + share * share * gg) / g) ** 0.5 if g else 0.0)
     return out
 
 
-def scorer(model: Model):
-    """A function of a text that gives its language, its score (the share of that language among all, by the summed logs),
-    and whether the text has the evidence that the model asks for. It stays with the model, so a worker's next task goes on with the words it has met."""
-    if (held := model.__dict__.get("held")) is not None:
-        return held
-    find = regex.compile(LETTERS).findall
-    place: dict[str, int] = {}
-    many = len(model.langs)
-    rows = np.zeros((1024, many + (many + 1 if model.evidence else 0)), np.float32)
-
-    def of(text: str | None) -> tuple[str, float, bool]:
-        nonlocal rows
-        words = find((text or "").lower())
-        if not words or not model.langs:
-            return UND, 0.0, False
-        if len(place) > CACHED_WORDS:
-            place.clear()
-        try:
-            at = [place[w] for w in words]
-        except KeyError:
-            new = list(set(words).difference(place))
-            first = len(place)
-            place.update(zip(new, range(first, first + len(new))))
-            while len(place) > len(rows):
-                rows = np.concatenate([rows, np.zeros_like(rows)])
-            rows[first : len(place), :many] = word_scores(model, [w[:LONGEST_WORD] for w in new])
-            if model.evidence:
-                rows[first : len(place), many:] = coverage(model, new)
-            at = [place[w] for w in words]
-        sums = rows[at].sum(axis=0, dtype=np.float64)
-        total = sums[:many]
-        best = int(total.argmax())
-        lang, enough = model.langs[best], True
-        if model.evidence:
-            share, error = model.evidence.get(lang, (0.0, 0.0))
-            enough = sums[many + best] > 0 and sums[many + best] / sums[-1] >= PART * share - ERRORS * error / sums[-1] ** 0.5
-        return lang, float(1 / np.exp(total - total[best]).sum()), bool(enough)
-
-    model.__dict__["held"] = of
-    return of
+def logs(counts: Column, totals: list, floor: float) -> Column:
+    """Log shares of an array of counts by language, in units."""
+    share = lambda n, t: F.when(n > 0, F.log(n / t)).otherwise(F.lit(floor))
+    return F.zip_with(counts, F.array(*[F.lit(float(max(t, 1))) for t in totals]), lambda n, t: F.round(share(n, t) * UNIT).cast("long"))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the floors, see above
+def word_logs(model: Model, where: Column | None = None) -> DataFrame:
+    """(word, v): log shares by language of every counted word, or of those that ``where`` holds for."""
+    words = model.words if where is None else model.words.where(where)
+    return words.select("word", logs(F.col("c"), model.word_totals, model.floor).alias("v"))
+
+
+def unseen_logs(model: Model, words: DataFrame) -> DataFrame:
+    """(word, v) for distinct words that no language has: the mean over their known n-grams of the greatest length that has
+    any; words without a known n-gram are left out."""
+    many = len(model.langs)
+    by_length = F.when(F.lit(False), F.array().cast("array<bigint>"))
+    for k in LENGTHS:
+        by_length = by_length.when(F.length("gram") == k, logs(F.col("c"), model.gram_totals[k], model.floor))
+    known = grams_of(words, "word").join(model.grams.select("gram", by_length.alias("v")), "gram")
+    means = known.groupBy("word", F.length("gram").alias("k")).agg(F.array(*[F.round(F.sum(F.col("v")[i]) / F.count("*")).cast("long") for i in range(many)]).alias("v"))
+    return means.groupBy("word").agg(F.max_by("v", "k").alias("v"))
+
+
+def head_sums(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, key (of the text), n (its words), v (log shares of its frequent words), cover, and rest: its other words with counts."""
+    often = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x) >= HEAD * sum(model.word_totals)
+    head = [(r.word, r.v) for r in word_logs(model, often).collect()]  # at most 1/HEAD
+    place, table = {w: i for i, (w, _) in enumerate(head)}, np.array([v for _, v in head] or np.zeros((0, len(model.langs))), np.int64).reshape(-1, len(model.langs))
+    shared = docs.sparkSession.sparkContext.broadcast((place, table, model.typical))
+    many, gate = len(model.langs), bool(model.evidence)
 
     def make():
-        of = scorer(shared.value)
+        place, table, typical = shared.value
+        find, get, covers = regex.compile(LETTERS).findall, place.get, {}
+
+        def cover(words: Counter) -> list[float]:
+            if len(covers) > CACHED_WORDS:
+                covers.clear()
+            new = [w for w in words if w not in covers]
+            if new:
+                covers.update(zip(new, coverage(typical, many, new)))
+            rows = np.array([covers[w] for w in words])
+            return (rows * np.fromiter(words.values(), np.float64, len(words))[:, None]).sum(axis=0).tolist()
 
         def run(*columns):
-            found = [of(t) for t in columns[-1]]
-            return [*columns[:-1], [x for x, _, _ in found], [x for _, x, _ in found]]
+            keys, sizes, sums, covered, rest = [], [], [], [], []
+            for t in columns[-1]:
+                words = words_of(t, find)
+                counts = Counter(words)
+                at = [i for w in words if (i := get(w)) is not None]
+                keys.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
+                sizes.append(len(words))
+                sums.append(table[at].sum(axis=0).tolist())
+                covered.append(cover(counts) if gate and counts else None)
+                rest.append([{"word": w, "n": n} for w, n in counts.items() if w not in place] if len(at) < len(words) else [])
+            return [*columns[:-1], keys, sizes, sums, covered, rest]
 
         return run
 
     kinds = dict(docs.dtypes)
-    return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double", make)
+    return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", key binary, n bigint, v array<bigint>, cover array<double>, rest array<struct<word: string, n: bigint>>", make)
 
 
-def known_rows(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language with a score of at least ``least``,
-    and the evidence for it where the model has some."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), made: list[DataFrame] | None = None) -> DataFrame:
+    """``keep``, key, lang_pred, score and enough: whether the text has the evidence that the model asks for. The tables that
+    the result still reads are added to ``made``."""
+    many = len(model.langs)
+    if not many:
+        return docs.select(*keep, F.lit(b"").alias("key"), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("enough"))
+    first = written(head_sums(docs, model, text, tuple(keep)), "texts")
+    rest = first.select("key", F.explode("rest").alias("r")).select("key", F.col("r.word").alias("word"), F.col("r.n").alias("m"))
+    # each word is told once, then joined with the texts that have it
+    asked = written(rest.select("word").distinct(), "asked")
+    seen, unseen = word_logs(model).join(asked, "word", "left_semi"), asked.join(model.words, "word", "left_anti")
+    told = written(seen.union(unseen_logs(model, unseen)).withColumnRenamed("v", "w"), "told")
+    sums = rest.join(told, "word").groupBy("key").agg(*[F.sum(F.col("w")[i] * F.col("m")).alias(f"w{i}") for i in range(many)])
+    # of equal texts each brings the same words, so their sums are divided by how many they are
+    copies = first.groupBy("key").agg(F.count("*").alias("copies"))
+    sums = written(sums.join(copies, "key").select("key", F.array(*[(F.col(f"w{i}") / F.col("copies")).cast("long") for i in range(many)]).alias("w")), "sums")
+    for t in (asked, told):
+        dropped(t)
+    if made is not None:
+        made += [first, sums]
+    both = first.select(*keep, "key", "n", "v", "cover").join(sums, "key", "left")
+    both = both.withColumn("v", F.when(F.col("w").isNull(), F.col("v")).otherwise(F.zip_with("v", "w", lambda a, b: a + b)))
+    means = F.transform("v", lambda x: x / F.lit(float(UNIT)) / F.col("n"))
+    best = F.array_max("v")
+    at = F.array_position("v", best)
+    share = F.lit(1.0) / F.aggregate(means, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(means)))
+    named = F.col("n") > 0
+    out = both.select(*keep, "key", "cover", named.alias("named"), at.cast("int").alias("at"), share.alias("share"))
+    langs = F.array(*[F.lit(x) for x in model.langs])
+    enough = F.lit(True)
+    if model.evidence:
+        told = [model.evidence.get(x, (0.0, 0.0)) for x in model.langs]
+        held, all_grams = F.element_at("cover", F.col("at")), F.element_at("cover", F.lit(many + 1))
+        least = PART * F.element_at(F.array(*[F.lit(s) for s, _ in told]), F.col("at")) - ERRORS * F.element_at(F.array(*[F.lit(e) for _, e in told]), F.col("at")) / F.sqrt(all_grams)
+        enough = (held > 0) & (held / all_grams >= least)
+    return out.select(*keep, "key", F.when(F.col("named"), F.element_at(langs, F.col("at"))).otherwise(F.lit(UND)).alias("lang_pred"), F.when(F.col("named"), F.col("share")).otherwise(F.lit(0.0)).alias("score"), F.when(F.col("named"), enough).otherwise(F.lit(False)).alias("enough"))
 
-    def make():
-        of = scorer(shared.value)
 
-        def stays(text: str | None) -> bool:
-            lang, score, enough = of(text)
-            return lang != UND and score >= least and enough
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, lang_pred and score."""
+    return scored(docs, model, text, tuple(keep)).select(*keep, "lang_pred", "score")
 
-        return lambda texts: (None, [stays(t) for t in texts])
 
-    return change_rows(docs, text, make)
+def known_rows(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with a score of at least ``least``,
+    and the evidence for it where the model has some. The texts that go are joined with the rows by their keys."""
+    texts = docs.select(F.col(text).alias("_text")).withColumn("_key", text_key("_text"))
+    made: list[DataFrame] = []
+    told = scored(texts, model, "_text", ("_key",), made)
+    gone = written(told.where((F.col("lang_pred") == UND) | (F.col("score") < least) | ~F.col("enough")).select("_key").distinct(), "gone")
+    for t in made:
+        dropped(t)
+    return docs.withColumn("_key", text_key(text)).join(gone, "_key", "left_anti").select(*docs.columns)
+
+
+def discard(model: Model) -> None:
+    """Deletes the model's tables once nothing reads them any more."""
+    for df in (model.words, model.grams):
+        if df is not None:
+            dropped(df)
