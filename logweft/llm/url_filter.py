@@ -1,34 +1,37 @@
 """URL filter: rules first, then naive Bayes over segmented names.
 
-Host labels and path parts are split into words by a unigram Viterbi: the words' shares come from the text of all
-pages, and a word needs a share of ``FLOOR`` to be kept, so there are at most 1/``FLOOR`` of them at any size. Pieces
-that are no words cost by their length. A multinomial naive Bayes with add-one smoothing learns, from all urls that
-rules decide, the tokens of block and allow (words by where they stand, marks for numbers and for unknown pieces by
-length, so its table is bounded too), and decides the urls that no rule fits.
+Host labels and path parts are cut into names (runs of letters) and numbers. A unigram Viterbi splits each distinct name
+into words: the words' shares come from the text of all pages, every counted word included. The names' substrings of up to
+``LONGEST`` letters, and the names themselves, are joined with the words, so a name meets its own words only and neither
+table passes through the driver. Letters that are in no word come out as pieces of their own. A multinomial naive Bayes
+with add-one smoothing learns, from all urls that rules decide, the tokens of block and allow: each piece and number by
+where it stands. A token's log odds are joined with the names that have it, a name's sum with the urls that have the name;
+frequent names (``HEAD`` of all or more) are broadcast for that, as they stand in so many urls. It decides the urls that no
+rule fits. Log odds are whole numbers of 1/65536, so sums don't depend on their order.
 
 Null urls, and urls without ``://``: empty host and path. No url decided by rules: everything else is allowed, score 0.5.
-Equal odds: allow. Of rules that fit, the longest wins, then the first by text. Repeated rows are judged each time and
-counted each time. Other columns of the input are ignored.
+Equal odds: allow. Of rules that fit, the longest wins, then the first by text. Equal urls get equal results; repeated rows
+come out, and are counted, each time. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import dropped, map_rows, written
 
-FLOOR = 2e-5
-#: Longest word, in letters.
+#: Longest word inside a longer name, in letters; a name itself is looked up at any length.
 LONGEST = 24
-CACHED_NAMES = 100_000
+#: Names with at least this share of all names' occurrences are broadcast: at most 1/HEAD of them.
+HEAD = 1e-4
+#: Odds are counted in so many parts of one.
+UNIT = 65536
 BLOCK, ALLOW = "block", "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PARTS = regex.compile(r"\p{L}+|\p{N}+")
+PARTS = r"\p{L}+|\p{N}+"
 
 
 def split_url(url: str) -> tuple[Column, Column]:
@@ -49,71 +52,6 @@ def decide(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def lexicon(pages: DataFrame, html: str = "html") -> dict[str, float]:
-    """Log shares of the words of all pages' text, tags left out, that reach the floor."""
-    text = F.lower(F.regexp_replace(html, r"<[^>]*>", " "))
-    counts = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))  # one row
-    kept = counts.join(F.broadcast(total), F.col("n") >= FLOOR * F.col("total")).select("word", (F.col("n") / F.col("total")).alias("share"))
-    return {r.word: math.log(r.share) for r in kept.collect()}
-
-
-def segment(name: str, words: dict[str, float]) -> list[str]:
-    """The likeliest split of a name; neighbouring letters that are no words come out as one piece."""
-    best, back = [0.0], [0]
-    unknown = math.log(FLOOR / 10)
-    for end in range(1, len(name) + 1):
-        top, at = best[end - 1] + unknown + math.log(0.1), end - 1
-        for start in range(max(0, end - LONGEST), end):
-            share = words.get(name[start:end])
-            if share is not None and best[start] + share > top:
-                top, at = best[start] + share, start
-        best.append(top)
-        back.append(at)
-    out: list[str] = []
-    end = len(name)
-    odd = False
-    while end:
-        piece = name[back[end] : end]
-        if piece not in words and odd:
-            out[-1] = piece + out[-1]
-        else:
-            out.append(piece)
-        odd = piece not in words
-        end = back[end]
-    return out[::-1]
-
-
-def tokenizer(words: dict[str, float]):
-    """A function of host and path that gives the tokens for naive Bayes."""
-    known: dict[str, list[str]] = {}
-
-    def split(name: str) -> list[str]:
-        if (got := known.get(name)) is None:
-            if len(known) >= CACHED_NAMES:
-                known.clear()
-            got = [w if w in words else f"?{min(len(w), 8)}" for w in segment(name, words)]
-            if len(name) <= 100:
-                known[name] = got
-        return got
-
-    def tokens(host: str, path: str) -> list[str]:
-        return [f"{at}:{w}" for at, text in (("h", host), ("p", path)) for part in PARTS.findall(text.lower()) for w in (split(part) if part[0].isalpha() else [f"#{min(len(part), 8)}"])]
-
-    return tokens
-
-
-@dataclass
-class Bayes:
-    #: Log odds of block against allow: of the classes, of each token, of a token never seen.
-    prior: float
-    tokens: dict[str, float]
-
-    def score(self, tokens: list[str]) -> float:
-        odds = self.prior + sum(self.tokens.get(t, 0.0) for t in tokens)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-
-
 def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep``, host, path, rule and the rule's verdict."""
     host, path = split_url(url)
@@ -122,47 +60,93 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", kee
     return parts.select(*keep, "host", "path", rule.alias("rule"), verdict.alias("verdict"))
 
 
-def train(decided: DataFrame, words: dict[str, float]) -> Bayes:
-    """From all rows with a verdict."""
-    seen = decided.where("verdict is not null").select("verdict", "host", "path")
-    shared = decided.sparkSession.sparkContext.broadcast(words)  # at most 1/FLOOR words
-
-    def make():
-        tokens = tokenizer(shared.value)
-        return lambda verdicts, hosts, paths: [verdicts, [["", *tokens(h, p)] for h, p in zip(hosts, paths)]]  # the empty token counts the url itself
-
-    counts = map_rows(seen, "verdict string, tokens array<string>", make).select("verdict", F.explode("tokens").alias("token")).groupBy("verdict", "token").count().collect()
-    n = {(r.verdict, r.token): r["count"] for r in counts}
-    if not n:
-        return Bayes(0.0, {})
-    vocabulary = {t for _, t in n} - {""}
-    total = {v: sum(k for (w, t), k in n.items() if w == v and t) for v in (BLOCK, ALLOW)}
-    share = lambda v, t: math.log((n.get((v, t), 0) + 1) / (total[v] + len(vocabulary) + 1))
-    prior = math.log((n.get((BLOCK, ""), 0) + 1) / (n.get((ALLOW, ""), 0) + 1))
-    return Bayes(prior, {t: share(BLOCK, t) - share(ALLOW, t) for t in vocabulary})
+def lexicon(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(word, n): the words of all pages' text, tags left out, with their counts."""
+    text = F.lower(F.regexp_replace(html, r"<[^>]*>", " "))
+    return pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+def unknown(letters: int, total: int) -> float:
+    """Log share of a piece that is no word: the longer the rarer."""
+    return math.log(10 / max(total, 20)) - letters * math.log(10)
+
+
+def segment(name: str, words: dict[str, float], total: int) -> list[str]:
+    """The likeliest split of a name into words and pieces that are none."""
+    n, whole = len(name), words.get(name)
+    step, begin = math.log(10), math.log(10 / max(total, 20))
+    best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    odd, since = -math.inf, 0  # the best split whose last piece is no word and ends here, and where that piece begins
+    for end in range(1, n + 1):
+        fresh = best[end - 1] + begin
+        if fresh > odd:
+            odd, since = fresh, end - 1
+        odd -= step
+        best[end], back[end] = odd, since
+        for start in range(max(0, end - LONGEST), end):
+            share = words.get(name[start:end])
+            if share is not None and best[start] + share > best[end]:
+                best[end], back[end] = best[start] + share, start
+    if whole is not None and whole > best[n]:
+        return [name]
+    out: list[str] = []
+    while n:
+        out.append(name[back[n] : n])
+        n = back[n]
+    return out[::-1]
 
 
-def verdicts(decided: DataFrame, words: dict[str, float], model: Bayes, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """``keep``, host, path, rule, verdict, and the method's score (that of block) and tokens."""
-    shared = decided.sparkSession.sparkContext.broadcast((words, model))
+def segments(names: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(name, pieces) of distinct names, by the words of the lexicon that occur in them. A name of L letters has at most
+    LONGEST * L substrings."""
+    inside = lambda x: list({x, *(x[i : i + k] for i in range(len(x)) for k in range(1, min(LONGEST, len(x) - i) + 1))})
+    parts = map_rows(names.select("name"), "name string, parts array<string>", lambda: lambda n: [n, list(map(inside, n))]).select("name", F.explode("parts").alias("word"))
+    share = F.log(F.col("n") / F.lit(float(max(total, 1))))
+    known = parts.join(words, "word").select("name", F.struct("word", share.alias("share")).alias("w"))
+    held = names.join(known.groupBy("name").agg(F.collect_list("w").alias("words")), "name", "left")
+    return map_rows(held.select("name", "words"), "name string, pieces array<string>", lambda: lambda n, w: [n, [segment(x, {y["word"]: y["share"] for y in ws or []}, total) for x, ws in zip(n, w)]])
 
-    def make():
-        words, model = shared.value
-        split = tokenizer(words)
 
-        def run(*columns):
-            hosts, paths, rules, found = columns[-4:]
-            tokens = [split(h, p) for h, p in zip(hosts, paths)]
-            scores = [model.score(t) for t in tokens]
-            return [*columns[:-1], [v or (BLOCK if s > 0.5 else ALLOW) for v, s in zip(found, scores)], scores, [" ".join(t) for t in tokens]]
+def names_of(urls: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, at (h for hosts, p for paths) and name: a row for each name and number of each url."""
+    found = lambda c, at: F.transform(F.regexp_extract_all(F.lower(c), F.lit(PARTS), F.lit(0)), lambda x: F.struct(F.lit(at).alias("at"), x.alias("name")))
+    return urls.select(*keep, F.explode(F.concat(found("host", "h"), found("path", "p"))).alias("f")).select(*keep, "f.at", "f.name")
 
-        return run
 
-    kinds = dict(decided.dtypes)
-    return map_rows(decided.select(*keep, "host", "path", "rule", "verdict"), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", host string, path string, rule string, verdict string, score double, tokens string", make)
+def odds(tokens: DataFrame, rows: dict[str, int]) -> tuple[DataFrame, int]:
+    """(at, piece, o): the log odds of block against allow of each token, from (verdict, at, piece, n); and the classes' log
+    odds, from their numbers of rows."""
+    by = tokens.groupBy("at", "piece").agg(*[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in (BLOCK, ALLOW)])
+    size = by.agg(F.count("*").alias("k"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in (BLOCK, ALLOW)]).first()
+    share = lambda v: F.log((F.col(v) + 1) / F.lit(float(size[v] + size.k + 1)))
+    prior = math.log((rows.get(BLOCK, 0) + 1) / (rows.get(ALLOW, 0) + 1)) if rows else 0.0
+    return by.select("at", "piece", F.round((share(BLOCK) - share(ALLOW)) * UNIT).cast("long").alias("o")), round(prior * UNIT)
 
 
 def filtered(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    words = lexicon(pages, html)
+    """``keep``, host, path, rule, verdict and score, the method's share of block (also where a rule decides)."""
+    words = written(lexicon(pages, html), "lexicon")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     decided = judged(pages, rules, url, keep)
-    return verdicts(decided, words, train(decided, words), keep)
+    urls = written(decided.groupBy("host", "path").agg(F.first("verdict").alias("verdict"), F.count("*").alias("n")), "urls")  # equal urls are judged alike
+    rows = {r.verdict: r.n for r in urls.where("verdict is not null").groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
+    names = written(names_of(urls, "host", "path", "verdict", "n"), "names")
+    split = written(segments(names.select("name").distinct(), words, total), "segments")
+    # the two classes' counts of each name, then of its pieces: a name that many urls have is one row for each class
+    counted = names.where("verdict is not null").groupBy("verdict", "at", "name").agg(F.sum("n").alias("n"))
+    tokens = counted.join(split, "name").select("verdict", "at", "n", F.explode("pieces").alias("piece"))
+    token_odds, prior = odds(tokens.groupBy("verdict", "at", "piece").agg(F.sum("n").alias("n")), rows)
+    pieces = split.select("name", "pieces", F.explode(F.array(F.lit("h"), F.lit("p"))).alias("at")).select("at", "name", F.explode("pieces").alias("piece"))
+    worth = written(pieces.join(token_odds, ["at", "piece"]).groupBy("at", "name").agg(F.sum("o").alias("o")), "worth")
+    most = names.count()
+    frequent = names.groupBy("at", "name").count().where(F.col("count") >= max(HEAD * most, 1)).join(worth, ["at", "name"]).select("at", "name", "o")
+    frequent = written(frequent, "frequent")  # at most 1/HEAD
+    told = names.select("host", "path", "at", "name").join(F.broadcast(frequent), ["at", "name"], "left")
+    rare = told.where("o is null").drop("o").join(worth, ["at", "name"])
+    sums = told.where("o is not null").select("host", "path", "o").union(rare.select("host", "path", "o")).groupBy("host", "path").agg(F.sum("o").alias("o"))
+    sums = written(sums, "sums")
+    for t in (words, urls, names, split, worth, frequent):
+        dropped(t)
+    score = F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), (F.coalesce("o", F.lit(0)) + prior) / F.lit(float(UNIT))))))
+    both = decided.join(sums, ["host", "path"], "left").withColumn("score", score)
+    return both.select(*keep, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("score") > 0.5, BLOCK).otherwise(ALLOW)).alias("verdict"), "score")
