@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, matroska, minhash, pii_semicrf, quality_mil, secrets_index, url_filter, warc
-from .common import id_mod, table, written
+from .common import dropped, id_mod, table, written
 
 #: The rank file of op10; the folder of public tokenizers is installed on every machine.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -37,8 +37,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = written(warc.archives(table(spark, sf_dir, "pages")), "warc")
-    return warc.salvage(stored, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    kind = dict(pages.dtypes)["page_id"]
+    stored = written(warc.archives(pages), "warc")
+    found = warc.salvage(stored, payloads=False).where("kind = 'record'")
+    found = written(found.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind)), "records")
+    dropped(stored)
+    return found
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
