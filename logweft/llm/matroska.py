@@ -3,12 +3,15 @@
 ``store`` lays a byte payload down as 8-bit samples, in frames of a fixed number of samples: blocks of several laced
 frames (the three ways of lacing by turns), clusters of several blocks, and cues that point at the clusters.
 ``packets`` parses any such column, or a file of another writer, into a table of packets with track, timestamp in
-nanoseconds, byte offset and size; elements of unknown size, void elements and unknown elements are handled.
-``read`` joins the packets' bytes in order again and computes features of the samples.
+nanoseconds, byte offset and size; elements of unknown size, void elements and unknown elements are handled. The frames of
+a lace follow each other by the track's default duration; without one they share their block's timestamp. ``read`` joins
+the packets' bytes in order again, computes features of the samples, and counts the cues that point at a cluster of their
+time.
 
 A null payload counts as empty. Payloads are padded to a positive multiple of the frame with bytes 255. A null media
-value, or one that isn't Matroska, has no packets; a truncated one has those that are whole. Repeated rows stay
-repeated, and other columns of the input are ignored.
+value, or one that isn't Matroska, has no packets; a truncated one has those that are whole. Elements that go beyond what
+holds them are left out, and a block whose head, lacing or sizes don't fit into it has no packets; both without an error.
+Repeated rows stay repeated, and other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import dropped, map_rows, written
 
 FRAME = 576
 RATE = 8000
@@ -30,6 +33,7 @@ SCALE = 1_000_000
 EBML, VERSION, READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, MUXER, WRITER = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
 TRACKS, TRACK, NUMBER, UID, KIND, LACES, CODEC, AUDIO, SAMPLING, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION = 0x23E383
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE, CUE_TIME, CUE_TRACKS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NESTED = frozenset({SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, CUE, CUE_TRACKS})
@@ -67,7 +71,7 @@ def mux(payload: bytes) -> bytes:
     head = element(EBML, element(VERSION, 1) + element(READ_VERSION, 1) + element(MAX_ID, 4) + element(MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + element(DOC_VERSION, 4) + element(DOC_READ_VERSION, 2))
     body = [element(INFO, element(TIMESTAMP_SCALE, SCALE) + element(MUXER, b"logweft") + element(WRITER, b"logweft"))]
     audio = element(SAMPLING, np.array([RATE], ">f4").tobytes()) + element(CHANNELS, 1) + element(DEPTH, 8)
-    body.append(element(TRACKS, element(TRACK, element(NUMBER, 1) + element(UID, 1) + element(KIND, 2) + element(LACES, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio))))
+    body.append(element(TRACKS, element(TRACK, element(NUMBER, 1) + element(UID, 1) + element(KIND, 2) + element(LACES, 1) + element(DEFAULT_DURATION, FRAME * 10**9 // RATE) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, audio))))
     at, cues = sum(map(len, body)), []
     block, step = FRAME * FRAMES_A_BLOCK, FRAME * FRAMES_A_BLOCK * BLOCKS_A_CLUSTER
     for k in range(0, len(payload), step):
@@ -99,29 +103,42 @@ def number_at(data: bytes, at: int, keep_mark: bool = False) -> tuple[int, int]:
     return (-1 if n == (1 << 7 * width) - 1 else n), width
 
 
-def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, int, list[tuple[int, int]]]:
-    """Track, relative time, flags, way of lacing, and (offset, size) of each frame of a block."""
+def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, int, list[tuple[int, int]]] | None:
+    """Track, relative time, flags, way of lacing, and (offset, size) of each frame of a block; None if they don't fit into it."""
     track, width = number_at(data, at)
     at += width
+    if not width or at + 3 > end:
+        return None
     time, flags = int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
     at, way = at + 3, flags >> 1 & 3
     if way == NONE:
         return track, time, flags, way, [(at, end - at)]
+    if at >= end:
+        return None
     more, at = data[at], at + 1
     sizes: list[int] = []
     if way == FIXED:
+        if (end - at) % (more + 1):
+            return None
         sizes = [(end - at) // (more + 1)] * more
     elif way == XIPH:
         for _ in range(more):
             size = 0
-            while data[at] == 255:
+            while at < end and data[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= end:
+                return None
             sizes, at = [*sizes, size + data[at]], at + 1
     else:
         for k in range(more):
             n, width = number_at(data, at)
             at += width
+            if not width or at > end or n < 0 and k == 0:
+                return None
+            n = (1 << 7 * width) - 1 if n < 0 else n  # all ones are a difference, too
             sizes.append(n if k == 0 else sizes[-1] + n - (1 << 7 * width - 1) + 1)
+    if any(n < 0 for n in sizes) or at + sum(sizes) > end:
+        return None
     found = []
     for size in sizes:
         found.append((at, size))
@@ -131,40 +148,69 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, int, list[
 
 def demux(data: bytes | None) -> tuple[list[tuple], list[tuple[int, int, int]]]:
     """Packets (track, timestamp ns, keyframe, lacing, offset, size) and cues (timestamp ns, track, offset of the cluster)."""
+    packets, cues, _ = parsed(data)
+    return packets, cues
+
+
+def parsed(data: bytes | None) -> tuple[list[tuple], list[tuple[int, int, int]], dict[int, int]]:
+    """As ``demux``, and the clusters' timestamps in ns by offset."""
     packets: list[tuple] = []
     cues: list[list[int]] = []
+    clusters: dict[int, int] = {}
+    lengths: dict[int, int] = {}
     data = data or b""
     if data[:4] != EBML.to_bytes(4, "big"):
-        return [], []
-    at, scale, cluster, base = 0, SCALE, 0, 0
+        return [], [], {}
+    at, scale, cluster, base, here, track = 0, SCALE, 0, 0, 0, 0
+    ends = [len(data)]  # of the elements that are open
     while at < len(data):
+        while len(ends) > 1 and at >= ends[-1]:
+            ends.pop()
         kind, width = number_at(data, at, True)
         size, more = number_at(data, at + width)
         if not width or not more:
             break
         start = at + width + more
-        end = len(data) if size < 0 else start + size
         if kind in NESTED:
+            # one of unknown size ends with what holds it, or where a sibling begins; both only matter to its children
+            ends.append(ends[-1] if size < 0 else min(start + size, ends[-1]))
             if kind == SEGMENT:
                 base = start
             elif kind == CUE:
                 cues.append([0, 0, 0])
+            elif kind == CLUSTER:
+                here, cluster = at, 0
+            elif kind == TRACK:
+                track = 0
             at = start
             continue
+        end = ends[-1] if size < 0 else start + size
         if end > len(data):
             break
+        if end > ends[-1]:
+            at = ends[-1]
+            continue
         if kind in (SIMPLE_BLOCK, BLOCK):
-            track, time, flags, way, frames = frames_of(data, start, end)
-            packets += [(track, (cluster + time) * scale, bool(flags & 0x80) if kind == SIMPLE_BLOCK else None, way, *f) for f in frames]
+            if (got := frames_of(data, start, end)) is not None:
+                number, time, flags, way, frames = got
+                step = lengths.get(number, 0)
+                packets += [(number, (cluster + time) * scale + k * step, bool(flags & 0x80) if kind == SIMPLE_BLOCK else None, way, *f) for k, f in enumerate(frames)]
         elif kind == TIMESTAMP:
-            cluster = int.from_bytes(data[start:end], "big")
+            cluster = int.from_bytes(data[start : min(end, start + 8)], "big")
+            clusters[here] = cluster * scale
         elif kind == TIMESTAMP_SCALE:
-            scale = int.from_bytes(data[start:end], "big")
+            scale = int.from_bytes(data[start : min(end, start + 8)], "big") or SCALE
+        elif kind == NUMBER:
+            track = int.from_bytes(data[start : min(end, start + 8)], "big")
+            if 0 in lengths:
+                lengths[track] = lengths.pop(0)
+        elif kind == DEFAULT_DURATION:
+            lengths[track] = int.from_bytes(data[start : min(end, start + 8)], "big")
         elif kind in (CUE_TIME, CUE_TRACK, CUE_CLUSTER) and cues:
-            n = int.from_bytes(data[start:end], "big")
+            n = int.from_bytes(data[start : min(end, start + 8)], "big")
             cues[-1][(CUE_TIME, CUE_TRACK, CUE_CLUSTER).index(kind)] = n * scale if kind == CUE_TIME else n + base if kind == CUE_CLUSTER else n
         at = end
-    return packets, [tuple(c) for c in cues]
+    return packets, [tuple(c) for c in cues], clusters
 
 
 def padded(payload: bytes | None) -> bytes:
@@ -197,16 +243,16 @@ def packets(stored: DataFrame, media: str = "media", keep: tuple[str, ...] = ("d
 
 
 def read(stored: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``media``, ``payload`` (the packets' bytes in order) and ``feature``: numbers of packets, cues, the last
-    timestamp in ms and the features of the samples."""
+    """``keep``, ``media``, ``payload`` (the packets' bytes in order) and ``feature``: numbers of packets and of cues that
+    point at a cluster of their time, the last timestamp in ms and the features of the samples."""
 
     def run(*columns):
         payloads, found = [], []
         for x in columns[-1]:
-            table, cues = demux(x)
+            table, cues, clusters = parsed(x)
             payloads.append(b"".join([x[p[4] : p[4] + p[5]] for p in table]))
             last = table[-1][1] // 1_000_000 if table else 0
-            found.append(f"packets={len(table)} cues={len(cues)} last_ms={last} sum={{}} min={{}} max={{}} steps={{}} crossings={{}}".format(*features(payloads[-1])))
+            found.append(f"packets={len(table)} cues={sum(clusters.get(o) == t for t, _, o in cues)} last_ms={last} sum={{}} min={{}} max={{}} steps={{}} crossings={{}}".format(*features(payloads[-1])))
         return [*columns, payloads, found]
 
     kinds = dict(stored.dtypes)
@@ -214,9 +260,10 @@ def read(stored: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document the digests of what was stored and of what was read back."""
-    back = read(store(docs, F.col("text")), keep=("doc_id", "n_bytes"))
-    return back.select(
+    """Per document the digests of what was stored, as a table of media in the shared folder, and of what was read back from it."""
+    stored = written(store(docs, F.col("text")), "media")
+    back = read(stored, keep=("doc_id", "n_bytes"))
+    told = back.select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -226,3 +273,6 @@ def digests(docs: DataFrame) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
     )
+    told = written(told, "digests")
+    dropped(stored)
+    return told
