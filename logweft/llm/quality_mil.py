@@ -1,11 +1,13 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words, over its whole text. Every passage is encoded (measures of its
-letters, marks, words and repetitions, through a tanh layer), a gated attention gives each passage a weight, and a
-logistic unit scores the weighted sum of the encodings. All weights are learned together from document labels alone.
+A document is a bag of passages of ``PASSAGE`` words, over its whole text. Every passage is encoded by itself (measures of
+its letters, marks, words and repetitions, and how often each kind of character follows each other kind, through a tanh
+layer), a gated attention gives each passage a weight, and a logistic unit scores the weighted sum of the encodings. All
+weights are learned together from document labels alone.
 
-Training takes a bounded sample: the ``SAMPLE`` labelled rows of least hash of their id, and of each at most
-``BAG`` passages, evenly spaced; so what reaches the driver is bounded. Scoring takes every passage of every document.
+Training takes a bounded sample of labelled rows, with all their passages: of the ``SAMPLE`` rows of least hash of their
+id, the first ones that have at most ``PASSAGES`` passages together; so what reaches the driver is bounded. Scoring takes
+every passage of every document.
 
 Empty and null texts are one passage without words. Without any label every score is 0.5; with labels of one kind only,
 the scores tend to that kind. Null ids are not held out. Several labels of one id: their mean, 0.5 counting as 1; null labels are left out. Repeated rows
@@ -17,27 +19,32 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, sampled
 
 PASSAGE = 60
 SAMPLE = 4000
-BAG = 48
+PASSAGES = 100_000
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
 
 UPPER, LOWER, DIGIT, STOP, SHOUT, BAR, MARK, SPACE, OTHER = range(9)
-MEASURES = 21
+KINDS = 9
+MEASURES = 19 + KINDS * KINDS
+#: Code points whose kind is told one by one: all planes with scripts; those beyond count as other.
+CODES = 0x32000
 
 
 def _classes() -> np.ndarray:
-    kinds = np.full(0x250, OTHER, np.int8)
-    for code in range(len(kinds)):
+    kinds = np.full(CODES, OTHER, np.int8)
+    for code in range(CODES):
         c = chr(code)
-        kinds[code] = UPPER if c.isupper() else LOWER if c.isalpha() else DIGIT if c.isdigit() else SPACE if c.isspace() else STOP if c in ".,;:'\"?-()" else SHOUT if c == "!" else BAR if c in "|/\\_<>{}[]=" else MARK if code < 128 else OTHER
-    kinds[-1] = LOWER  # stands for every code above
+        if c.isalpha():
+            kinds[code] = UPPER if c.isupper() else LOWER
+        elif code < 128 or not c.isprintable() or c.isdigit():
+            kinds[code] = DIGIT if c.isdigit() else SPACE if c.isspace() else STOP if c in ".,;:'\"?-()" else SHOUT if c == "!" else BAR if c in "|/\\_<>{}[]=" else MARK if code < 128 else OTHER
     return kinds
 
 
@@ -52,14 +59,17 @@ def measures(text: str | None) -> np.ndarray:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     codes = np.frombuffer(" ".join(words).encode("utf-32-le", "replace"), np.uint32)
-    kinds = CLASSES[np.minimum(codes, len(CLASSES) - 1)]
+    kinds = CLASSES[np.minimum(codes, CODES - 1)]
     cut = np.arange(0, len(words), PASSAGE)
     edges = starts[cut]
-    counts = np.stack([np.add.reduceat(kinds == k, edges, dtype=np.int64) for k in range(9)], axis=1)
+    many = len(cut)
+    passage = np.repeat(np.arange(many), np.diff(np.append(edges, len(kinds))))
+    counts = np.bincount(passage * KINDS + kinds, minlength=many * KINDS).reshape(many, KINDS)
+    pairs = np.bincount((passage[:-1] * KINDS + kinds[:-1]) * KINDS + kinds[1:], minlength=many * KINDS * KINDS).reshape(many, KINDS * KINDS)
     chars = np.maximum(counts.sum(axis=1) - counts[:, SPACE], 1)
     n = np.diff(np.append(cut, len(words)))
     first, last = kinds[starts], kinds[starts + sizes - 1]
-    out = np.zeros((len(cut), MEASURES), np.float32)
+    out = np.zeros((many, MEASURES), np.float32)
     out[:, :8] = counts[:, [UPPER, LOWER, DIGIT, STOP, SHOUT, BAR, MARK, OTHER]] / chars[:, None]
     out[:, 8] = np.add.reduceat(sizes, cut) / n / 10
     out[:, 9] = np.sqrt(np.maximum(np.add.reduceat(sizes * sizes, cut) / n - (out[:, 8] * 10) ** 2, 0)) / 10
@@ -75,8 +85,7 @@ def measures(text: str | None) -> np.ndarray:
         out[i, 16] = sum(map(eq, part, part[1:])) / m
         out[i, 17] = len(set(zip(part, part[1:]))) / max(m - 1, 1)
     out[:, 18] = np.log1p(n) / 5
-    out[:, 19] = np.log1p(len(words)) / 10
-    out[:, 20] = len(set(words)) / len(words)
+    out[:, 19:] = pairs / np.maximum(counts.sum(axis=1), 1)[:, None] * 2
     return out
 
 
@@ -97,32 +106,39 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray):
     return sigmoid(m @ p["c"] + p["d"]), z, h, t, g, a, m, bag
 
 
-def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Adam on the mean log loss. The order of the bags and the starting weights come from a fixed seed."""
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Those of the mean log loss of bags."""
+    y, z, h, t, g, a, m, bag = forward(p, x, at)
+    dy = (y - labels) / len(labels)
+    dm = dy[:, None] * p["c"]
+    da = (dm[bag] * h).sum(axis=1)
+    de = a * (da - np.add.reduceat(a * da, at)[bag])
+    dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
+    dh = (a[:, None] * dm[bag] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
+    return {"W": z.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": m.T @ dy, "d": dy.sum(keepdims=True)}
+
+
+def begin(every: np.ndarray) -> dict[str, np.ndarray]:
+    """Starting weights from a fixed seed, and the measures' scale."""
     rng = np.random.default_rng(7)
-    every = np.concatenate(bags) if bags else np.zeros((1, MEASURES), np.float32)
     p = {"mean": every.mean(axis=0), "scale": every.std(axis=0) + 0.05}
-    p |= {"W": rng.normal(0, MEASURES**-0.5, (MEASURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "w": rng.normal(0, 0.1, ATTENTION), "c": np.zeros(HIDDEN), "d": np.zeros(1)}
+    return p | {"W": rng.normal(0, MEASURES**-0.5, (MEASURES, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "U": rng.normal(0, HIDDEN**-0.5, (HIDDEN, ATTENTION)), "w": rng.normal(0, 0.1, ATTENTION), "c": rng.normal(0, 0.1, HIDDEN), "d": np.zeros(1)}
+
+
+def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Adam on the mean log loss; bags in an order from a fixed seed."""
+    p = begin(np.concatenate(bags) if bags else np.zeros((1, MEASURES), np.float32))
     if not bags:
-        return p
-    c = rng.normal(0, 0.1, HIDDEN)
-    p["c"] = c
+        return p | {"c": np.zeros(HIDDEN)}
+    rng = np.random.default_rng(11)
     learned = [k for k in p if k not in ("mean", "scale")]
     first, second, step = {k: np.zeros_like(p[k]) for k in learned}, {k: np.zeros_like(p[k]) for k in learned}, 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
         for k in range(0, len(order), BATCH):
             took = order[k : k + BATCH]
-            x = np.concatenate([bags[i] for i in took])
             at = np.cumsum([0, *(len(bags[i]) for i in took[:-1])])
-            y, z, h, t, g, a, m, bag = forward(p, x, at)
-            dy = (y - labels[took]) / len(took)
-            dm = dy[:, None] * p["c"]
-            da = (dm[bag] * h).sum(axis=1)
-            de = a * (da - np.add.reduceat(a * da, at)[bag])
-            dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
-            dh = (a[:, None] * dm[bag] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-            grads = {"W": z.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": m.T @ dy, "d": dy.sum(keepdims=True)}
+            grads = gradients(p, np.concatenate([bags[i] for i in took]), at, labels[took])
             step += 1
             for n in learned:
                 d = grads[n] + DECAY * p[n]
@@ -140,10 +156,13 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text",
 
     def run(ids, ys, texts):
         bags = [measures(t) for t in texts]
-        return [ids, ys, [b[np.linspace(0, len(b) - 1, min(len(b), BAG)).astype(int)].ravel().tolist() for b in bags]]
+        return [ids, ys, list(map(len, bags)), [b.tobytes() for b in bags]]
 
-    found = map_rows(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, x array<float>", lambda: run).orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(SAMPLE).collect()
-    return fit([np.array(r.x, np.float32).reshape(-1, MEASURES) for r in found], np.array([r.y for r in found], float))
+    order = [F.xxhash64("doc_id"), "doc_id", "x"]
+    bags = map_rows(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, n bigint, x binary", lambda: run).orderBy(*order).limit(SAMPLE)
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over at most SAMPLE rows
+    found = bags.withColumn("total", F.sum("n").over(upto)).where(F.col("total") <= PASSAGES).select("y", "x").collect()
+    return fit([np.frombuffer(r.x, np.float32).reshape(-1, MEASURES) for r in found], np.array([r.y for r in found], float))
 
 
 def score(docs: DataFrame, weights: dict[str, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
