@@ -1,14 +1,19 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field over whole spans.
 
 The base patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers; what they find stays. The
-semi-Markov field adds spans. Candidate segments come from wide shapes around digits and @ signs, and from runs of groups
-of digits all sub-spans between edges of groups that a kind of number may have; each gets features of
-the whole span (its shape, its digits and groups, check sums, the words before it, what stands at its edges) and a score
-for each kind; text outside segments scores 0. Dynamic programming over the candidates' ends chooses boundaries and
-kinds together: the best set of segments that don't overlap. A segment is bounded (``LONGEST`` characters), so work grows
-with the text. Weights maximise the conditional likelihood of the base patterns' spans in a bounded sample of passages
-with candidates, with a Gaussian prior around the starting weights that also holds where a corpus has no such data;
-the likelihood's sum over all segmentations is a forward and backward pass over the same lattice.
+semi-Markov field adds spans. Candidate segments are wide shapes around digits, all sub-spans between token edges of runs
+of groups of digits that have as many digits as a kind of number may have, and around signs that stand for an @ all spans
+from a token edge before to a label edge after; each gets features of the whole span (its shape, its digits and groups,
+check sums, the words before it, what stands at its edges) and a score for each kind; text outside segments scores 0.
+Dynamic programming over the candidates' ends chooses boundaries and kinds together: the best set of segments that don't
+overlap. A segment is bounded (``LONGEST`` characters), so work grows with the text; base spans of any length stay.
+
+Weights maximise a conditional likelihood, with a Gaussian prior around the starting weights that also holds where a corpus
+has no such data; the likelihood's sum over all segmentations is a forward and backward pass over the same lattice. The
+labelled rows are groups of segments that overlap, from a bounded sample of texts: in the texts themselves the base spans,
+for the shapes that the base patterns can tell; and in altered copies of the base spans' surroundings spans that the base
+patterns miss but whose bounds and kinds are known: numbers without their plus after a cue, two cards in one run, addresses
+behind another group, spelled or spaced signs; and the same with a wrong digit or byte, which are none.
 
 Null texts count as empty: no spans. Equal texts give equal spans, repeated rows stay repeated, other columns of the
 input are ignored. Offsets are code points, ends exclusive.
@@ -28,10 +33,8 @@ from .common import change_rows, map_rows, sampled
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment that the field scores.
 LONGEST = 80
-#: Documents whose passages train the field.
-SAMPLE = 2000
-#: Candidate groups of one sampled document that train it.
-GROUPS = 50
+#: Texts whose groups of segments train the field, and distinct groups of them.
+SAMPLE, GROUPS = 2000, 20_000
 #: Least margin over leaving a segment out for a span to be added.
 MARGIN = 0.5
 STEPS, RATE, PRIOR = 60, 0.5, 0.05
@@ -45,7 +48,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Wide shapes of candidates for the field, and words that announce a kind.
 WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-][0-9]{2,5}){1,5}(?![0-9A-Za-z]|[./-][0-9])")
-WIDE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,30}\x20?(?:\[at\]|\(at\))\x20?[A-Za-z0-9-]{1,24}(?:\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z]{2,12}){1,2}(?![A-Za-z])", re.IGNORECASE)
+WIDE_AT = re.compile(r"\x20?(?:@|\[at\]|\(at\))\x20?", re.IGNORECASE)
+NAME_BEFORE = re.compile(r"[A-Za-z0-9]+")
+LABELS_AFTER = re.compile(r"[A-Za-z0-9-]{1,24}(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]{1,24}){1,4}", re.IGNORECASE)
+LABEL_END = re.compile(r"(?<=[A-Za-z])(?![A-Za-z0-9-])")
 CUES = {
     "phone": frozenset(("tel", "phone", "call", "mobile", "fax", "cell", "telefon", "handy", "téléphone", "teléfono", "móvil")),
     "card": frozenset(("card", "visa", "credit", "mastercard", "karte", "carte", "tarjeta")),
@@ -53,7 +59,7 @@ CUES = {
     "ip": frozenset(("ip", "host", "server", "address")),
 }
 #: Starting weights, and the centre of the prior.
-START = {"email:bias": -1.0, "email:at": 4.0, "email:dot": 1.0, "email:spelled": 3.0, "ip:bias": -1.0, "ip:bytes": 4.0, "ip:big": -8.0, "card:bias": -2.0, "card:luhn": 3.0, "card:length": 2.0, "card:noluhn": -5.0, "card:fours": 2.0, "phone:bias": -3.0, "phone:plus": 5.0, "phone:cue": 3.5, "phone:paren": 1.0, "phone:length": 1.0, "phone:groups": 0.5, "phone:date": -6.0, "phone:short": -4.0, "card:cue": 1.5, "email:cue": 0.5, "ip:cue": 0.5, "phone:bytes": -5.0, "card:part": -4.0, "card:amex": 2.0, "phone:part": -2.0, "ip:part": -2.0}
+START = {"email:bias": -1.0, "email:at": 4.0, "email:dot": 1.0, "email:spelled": 3.0, "email:cut": -2.0, "email:number": -1.0, "ip:bias": -1.0, "ip:bytes": 4.0, "ip:big": -8.0, "card:bias": -2.0, "card:luhn": 3.0, "card:length": 2.0, "card:noluhn": -5.0, "card:fours": 2.0, "phone:bias": -3.0, "phone:plus": 5.0, "phone:cue": 3.5, "phone:paren": 1.0, "phone:length": 1.0, "phone:groups": 0.5, "phone:date": -6.0, "phone:short": -4.0, "card:cue": 1.5, "email:cue": 0.5, "ip:cue": 0.5, "phone:bytes": -5.0, "card:part": -4.0, "card:amex": 2.0, "phone:part": -2.0, "ip:part": -2.0}
 WORDS_BEFORE = re.compile(r"\w+")
 #: Groups of digits with so little between them are one run.
 GROUP = re.compile("[0-9]+")
@@ -106,11 +112,28 @@ def candidates(text: str) -> list[tuple[int, int]]:
     if "+" in text:
         found.update(m.span() for m in PHONE.finditer(text))
     found.update(m.span() for m in WIDE_PHONE.finditer(text))
-    if "(at)" in (low := text.lower()) or "[at]" in low:
-        found.update(m.span() for m in WIDE_EMAIL.finditer(text))
+    found.update(addresses(text))
     return sorted(x for x in found if x[1] - x[0] <= LONGEST)
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Spans around signs that stand for an @, from each token edge of the name before to each label edge of what is after."""
+    found = []
+    if "@" not in text and "at)" not in (low := text.lower()) and "at]" not in low:
+        return found
+    for m in WIDE_AT.finditer(text):
+        first = m.start()
+        while first > 0 and m.start() - first < 40 and text[first - 1] in LOCAL:
+            first -= 1
+        after = LABELS_AFTER.match(text, m.end())
+        if first == m.start() or not after:
+            continue
+        starts = {first, *(first + x.start() for x in NAME_BEFORE.finditer(text[first : m.start()]))}
+        ends = [x.start() for x in LABEL_END.finditer(text, m.end(), after.end()) if text[x.start() : x.start() + 1] not in (")", "]") and ("." in text[m.end() : x.start()] or "dot" in text[m.end() : x.start()].lower())]
+        found += [(s, e) for s in starts for e in {*ends, after.end()} if e - s <= LONGEST]
+    return found
+
+
 def parts(text: str) -> list[tuple[int, int]]:
     """Of each run of two groups of digits or more, the sub-spans between edges of groups, with signs and brackets or
     without, that have as many digits as a card or phone number, or four groups between dots."""
@@ -153,7 +176,8 @@ def features(text: str, start: int, end: int) -> dict[str, list[str]]:
     before = {w.lower() for w in WORDS_BEFORE.findall(text[max(0, start - 24) : start])[-2:]}
     out: dict[str, list[str]] = {}
     if "@" in span or "at)" in span.lower() or "at]" in span.lower():
-        out["email"] = ["bias", "at" if "@" in span else "spelled", *["dot"] * ("." in span or "dot" in span.lower())]
+        cut = start > 0 and text[start - 1] in LOCAL or text[end : end + 1].isalnum() or text[end : end + 1] == "." and text[end + 1 : end + 2].isalnum()
+        out["email"] = ["bias", "at" if "@" in span else "spelled", *["dot"] * ("." in span or "dot" in span.lower()), *["cut"] * cut, *["number"] * span[-1].isdigit()]
     parts = span.split(".")
     bytes_ = len(parts) == 4 and all(p.isdigit() for p in parts)
     if bytes_:
@@ -209,20 +233,28 @@ def log_sum(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
-def expected(segments: list, weights: dict[str, float]) -> list[float]:
-    """Each segment's probability over all segmentations: forward sums by end, backward sums by start."""
+def starts_after(segments: list) -> list[int]:
+    """For each segment, by end, how many segments end where it starts or before."""
     ends = [s[1] for s in segments]
-    scores = [score(weights, s[3]) for s in segments]
-    upto = [bisect_right(ends, s[0], 0, k) for k, s in enumerate(segments)]
+    return [bisect_right(ends, s[0], 0, k) for k, s in enumerate(segments)]
+
+
+def expected(segments: list, weights: dict[str, float]) -> list[float]:
+    """Each segment's probability over all segmentations."""
+    return marginals(starts_after(segments), [score(weights, s[3]) for s in segments])
+
+
+def marginals(upto: list[int], scores: list[float]) -> list[float]:
+    """Forward sums by end, backward sums by start."""
     ahead = [0.0]
-    for k in range(len(segments)):
+    for k in range(len(scores)):
         ahead.append(log_sum(ahead[-1], ahead[upto[k]] + scores[k]))
-    back = [-math.inf] * len(segments) + [0.0]
-    for k in range(len(segments) - 1, -1, -1):  # what is left after k segments by end flows to k-1 or, by taking one, to its start
+    back = [-math.inf] * len(scores) + [0.0]
+    for k in range(len(scores) - 1, -1, -1):  # what is left after k segments by end flows to k-1 or, by taking one, to its start
         back[k] = log_sum(back[k], back[k + 1]) if back[k] > -math.inf else back[k + 1]
         j, v = upto[k], back[k + 1] + scores[k]
         back[j] = log_sum(back[j], v) if back[j] > -math.inf else v
-    return [math.exp(min(0.0, ahead[upto[k]] + scores[k] + back[k + 1] - ahead[-1])) for k in range(len(segments))]
+    return [math.exp(min(0.0, ahead[upto[k]] + scores[k] + back[k + 1] - ahead[-1])) for k in range(len(scores))]
 
 
 def split(segments: list) -> list[list]:
@@ -237,32 +269,77 @@ def split(segments: list) -> list[list]:
     return [sorted(g, key=lambda x: (x[1], x[0], x[2])) for g in groups]
 
 
-def examples(text: str) -> list[list[tuple[int, int, bool, list[str]]]]:
-    """Groups of the lattice with marks of the segments that the base patterns find. Shapes that no base pattern can find
-    have no label, so they don't train; nor do parts of runs, which the base patterns only match whole."""
+def altered(text: str) -> list[tuple[str, set[tuple[str, int, int]]]]:
+    """Short texts made from the base spans and what stands around them, each with the spans that it holds."""
+    out = []
+    for kind, s, e in base_spans(text):
+        before, after, span = re.sub(r"[0-9@+(]", "", text[max(0, s - 30) : s]), re.sub(r"[0-9@]", "", text[e : e + 10]), text[s:e]
+        if before and not before[-1].isspace():
+            before += " "
+        if after and (after[0] in LOCAL or after[0] == ")"):
+            after = " " + after
+
+        def put(*parts: tuple[str, bool]) -> None:
+            made, gold = before, set()
+            for part, is_gold in parts:
+                if is_gold:
+                    gold.add((kind, len(made), len(made) + len(part)))
+                made += part
+            out.append((made + after, gold))
+
+        if kind == "phone":
+            rest = re.sub(r"^\+[0-9]+[\x20().-]*", "", span)
+            if rest.count("(") == rest.count(")") and sum(c.isdigit() for c in rest) >= FEWEST:
+                put(("tel ", False), (rest, True))
+                put(("call ", False), (rest, True))
+        elif kind == "card":
+            wrong = span[:-1] + str((int(span[-1]) + 1) % 10)
+            put((span, True), (" ", False), (span, True))
+            put((span, True), (" ", False), (wrong, False))
+            put((wrong, False))
+        elif kind == "ip":
+            put(("300.", False), (span, True))
+            put((span.rsplit(".", 1)[0] + ".999", False))
+        else:
+            local, _, domain = span.partition("@")
+            put((f"{local} (at) {domain.replace('.', ' (dot) ')}", True))
+            put((f"{local} [at] {domain}", True))
+            put((f"{local} @ {domain}", True))
+    return out
+
+
+def examples(text: str) -> list[list[tuple[int, bool, list[str]]]]:
+    """Groups of the lattice of the text and of its altered copies: for each segment how many of the group end before it,
+    whether it is a span, and its features. In the text itself, shapes that no base pattern can tell have no label, so they
+    don't train; nor do parts of runs, which the base patterns only match whole."""
     gold = set(base_spans(text))
-    told = [x for x in lattice(text) if "email:spelled" not in x[3] and (x[2] != "phone" or "phone:plus" in x[3]) and f"{x[2]}:part" not in x[3] and f"{x[2]}:group" not in x[3]]
-    return [[(s, e, (kind, s, e) in gold, names) for s, e, kind, names in g] for g in split(told)[:GROUPS]]
+    told = [x for x in lattice(text) if "email:spelled" not in x[3] and "email:cut" not in x[3] and (x[2] != "phone" or "phone:plus" in x[3]) and f"{x[2]}:part" not in x[3] and f"{x[2]}:group" not in x[3]]
+    out = []
+    for segments, spans in [(told, gold), *((lattice(t), g) for t, g in altered(text))]:
+        for g in split(segments):
+            taken, end = [], -1
+            for s, e, kind, _ in g:  # spans of two kinds may overlap: the first by end counts
+                taken.append((kind, s, e) in spans and s >= end)
+                end = e if taken[-1] else end
+            out.append([(u, t, x[3]) for u, t, x in zip(starts_after(g), taken, g)])
+    return out
 
 
 def train(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Weights from the sample: the ``SAMPLE`` least hashes among texts with a digit run or an @ sign."""
+    """Weights from the sample: the ``SAMPLE`` least hashes among texts with a digit run or an @ sign, and of their groups,
+    equal ones counted as one, the ``GROUPS`` least hashes."""
     likely = sampled(docs.where(F.col(text).rlike(r"@|[0-9][0-9. ()-]{7}")).select("doc_id", F.col(text).alias("text")), SAMPLE, "doc_id", "text").select("text")
-    rows = map_rows(likely, "g array<array<struct<start: bigint, end: bigint, gold: boolean, names: array<string>>>>", lambda: lambda texts: [[[[{"start": s, "end": e, "gold": g, "names": n} for s, e, g, n in group] for group in examples(t)] for t in texts]])
-    groups = [[(s.start, s.end, s.gold, s.names) for s in g] for r in rows.collect() for g in r.g]
-    weights = dict(START)
+    rows = map_rows(likely, "g array<array<struct<upto: int, gold: boolean, names: array<string>>>>", lambda: lambda texts: [[[[{"upto": u, "gold": t, "names": n} for u, t, n in group] for group in examples(t)] for t in texts]])
+    groups = rows.select(F.explode("g").alias("g")).groupBy("g").agg(F.count("*").alias("n")).orderBy(F.xxhash64("g"), "g").limit(GROUPS).collect()
+    weights, total = dict(START), sum(r.n for r in groups)
     for _ in range(STEPS if groups else 0):
         gradient: dict[str, float] = {}
-        for g in groups:
-            taken, end = [], -1
-            for s in g:  # gold segments of two kinds may overlap: the first by end counts
-                taken.append(bool(s[2] and s[0] >= end))
-                end = s[1] if taken[-1] else end
-            for s, p, gold in zip(g, expected(g, weights), taken, strict=True):
-                for n in s[3]:
-                    gradient[n] = gradient.get(n, 0.0) + gold - p
+        for r in groups:
+            for s, p in zip(r.g, marginals([s.upto for s in r.g], [score(weights, s.names) for s in r.g]), strict=True):
+                for n in s.names:
+                    gradient[n] = gradient.get(n, 0.0) + r.n * (s.gold - p)
         for n in gradient.keys() | START.keys():
-            weights[n] = weights.get(n, 0.0) + RATE * (gradient.get(n, 0.0) / len(groups) - PRIOR * (weights.get(n, 0.0) - START.get(n, 0.0)))
+            weights[n] = weights.get(n, 0.0) + RATE * (gradient.get(n, 0.0) / total - PRIOR * (weights.get(n, 0.0) - START.get(n, 0.0)))
     return weights
 
 
