@@ -19,7 +19,7 @@ lets them through with probability over 1 - 1e-7.
 
 Null and wordless texts have an empty set and are linked with nothing. Rows with a null id have a null component and
 aren't kept. Repeated rows of one id come out each; if their texts differ, each row has its own text's component, and
-classes that the same id stands for are one. Extra columns are ignored, or kept as they are by ``kept_rows``.
+classes that the same id stands for, as their least, are one. Extra columns are ignored, or kept as they are by ``kept_rows``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, map_rows, written
+from .common import dropped, map_rows, slices, written
 
 BANDS, ROWS = 40, 6
 #: Pairs with a smaller share of equal signature bytes are no candidates: 6 standard deviations below 0.8.
@@ -42,6 +42,8 @@ BROADCAST_IDS = 1_000_000
 SMALL = 24
 #: Columns of a block when minima are taken.
 BLOCK = 1024
+#: Nodes with more than one of so many parts of the rows, and more rows than a task minds, are hubs.
+HUBS, HUB_ROWS = 100_000, 500
 
 _seeds = np.random.default_rng(11)
 #: The universal family: a * x + b modulo 2^32, a odd, on hashes of 32 bits.
@@ -170,9 +172,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return links
 
 
-def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int, made: list[DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) of the members (a written table: id, component, outside) that may be links between components, without
-    loss: every pair of at least ``percent``, one of them outside, of different components, comes out."""
+    loss: every pair of at least ``percent``, one of them outside, of different components, comes out. The tables that the result reads are added to ``made``."""
     sets = shingle_sets(members.select("id"), docs, width)
     listed = map_rows(sets, f"id {dict(members.dtypes)['id']}, n bigint, h array<bigint>", lambda: lambda ids, sets: [ids, [len(s) // 8 for s in sets], pa.array([np.frombuffer(s, np.int64) for s in sets], pa.list_(pa.int64()))])
     shingles = written(listed.distinct().select("id", "n", F.explode("h").alias("h")), "shingles")
@@ -181,6 +183,9 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int)
     # linked sets share at least percent of the larger, so a shingle of the larger's first n - ceil(p n / 100) + 1
     first = ranked.withColumn("at", F.row_number().over(order)).where(f"at <= n - ceil({percent} * n / 100) + 1").join(members, "id")
     first = written(first.select("h", "id", "n", "at", "component", "outside"), "prefixes")
+    dropped(shingles)
+    if made is not None:
+        made.append(first)
     side = lambda c: first.select("h", *[F.col(k).alias(f"{k}_{c}") for k in ("id", "n", "at", "component", "outside")])
     low, high = side("y"), side("x")
     # the smaller's share of both is 2 p / (100 + p) of itself at least
@@ -191,33 +196,43 @@ def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int)
     return pairs[0].union(pairs[1]).select(*paired("id_x", "id_y"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def tied(rows: DataFrame, size: int) -> DataFrame:
+    """(a, b, m): each row with the least ``b`` of its ``a``. Nodes with a large part of the rows are so few that their least
+    is broadcast, so no task holds all rows of such a node; the others are joined."""
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    many = max(HUB_ROWS, size // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > many).select("a", "m"))  # at most 2 * HUBS
+    rest = least.where(F.col("n") <= many).select("a", "m")
+    return rows.join(hubs, "a").select("a", "b", "m").union(rows.join(hubs, "a", "left_anti").join(rest, "a").select("a", "b", "m"))
+
+
+def large_star(edges: DataFrame, size: int) -> DataFrame:
     """Every greater neighbour of a node is tied to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return tied(both, size).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, size: int) -> DataFrame:
     """The node and its lesser neighbours are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.union(least.select("a", F.col("m").alias("b"))).distinct()
+    told = tied(down, size)
+    return told.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(told.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component (the least id) of every node of the links (a, b): the two stars by turns until nothing changes."""
     edges = written(links.select("a", "b").where("a != b").distinct(), "edges")
-    told = None
+    told, size = None, edges.count()
     while True:
-        stars = written(small_star(large_star(edges)), "edges")
+        large = written(large_star(edges, size), "edges")
+        stars = written(small_star(large, size), "edges")
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         dropped(edges)
+        dropped(large)
         edges = stars
         if tuple(now) == told:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        told = tuple(now)
+        told, size = tuple(now), now[0]
 
 
 def paired(a: str, b: str) -> list:
@@ -226,6 +241,11 @@ def paired(a: str, b: str) -> list:
 
 def clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    return keyed_clusters(docs, width, percent).drop("set_key")
+
+
+def keyed_clusters(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """As ``clusters``, with the key of each row's set."""
     signed = written(signatures(docs, width), "signed")
     least = signed.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     # joined by id and key, which no two classes share; repeated rows of an id are the same class
@@ -252,16 +272,52 @@ def clusters(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     outside = small.where("component != low_component").select("bucket", F.col("id").alias("x"), F.col("component").alias("cx"))
     across = outside.join(small.select("bucket", F.col("id").alias("y"), F.col("component").alias("cy"), "low_component"), "bucket").where("cx != cy and (cy = low_component or x < y)")
     large = left.where(F.col("size") > SMALL).groupBy("id", "component").agg(F.max(F.col("component") != F.col("low_component")).alias("outside"))
-    more = verified(across.select(*paired("x", "y")).union(prefix_pairs(written(large, "large"), docs, width, percent)))
-    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    large = written(large, "large")
+    made: list[DataFrame] = []
+    more = verified(across.select(*paired("x", "y")).union(prefix_pairs(large, docs, width, percent, made)))
+    last = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
+    for t in (links, found, left, large, more, *made):
+        dropped(t)
+    found = last
     named = classes.select("id", "set_key").distinct().join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    named = written(named, "named")
+    for t in (classes, found):
+        dropped(t)
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"), "set_key")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that stay: one document of each group. Rows with a null id stay out of
-    the comparison and stay; of repeated rows of one id all stay or go."""
-    gone = clusters(docs, width, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    the comparison and stay. Where rows share an id, each is judged by its own text, and of rows with one id and one set the
+    first by text stays (of rows alike in both any one); texts without a word are no copies and stay."""
+    told = written(keyed_clusters(docs, width, percent).where("doc_id is not null"), "told")
+    shared = written(told.groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+    gone = written(told.where("not kept").select("doc_id").union(shared).distinct(), "gone")
+    # rows that share an id are few; only they are told apart by their sets
+    again = written(docs.join(shared, "doc_id", "left_semi").select(*docs.columns), "again")
+    keys = told.join(shared, "doc_id", "left_semi").where("kept and set_key is not null").select("doc_id", "set_key").distinct()
+    by_key = signed_rows(again, width)
+    first = Window.partitionBy("doc_id", "_set").orderBy("text", F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind]))
+    one = by_key.where("_set is not null").withColumnRenamed("_set", "set_key").join(keys, ["doc_id", "set_key"], "left_semi").withColumnRenamed("set_key", "_set")
+    one = one.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*docs.columns)
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return out.union(one).union(by_key.where("_set is null").select(*docs.columns))
+
+
+def signed_rows(docs: DataFrame, width: int) -> DataFrame:
+    """docs with ``_set``, the key of each row's set; null for an empty set."""
+
+    def make():
+        of = shingler(width)
+
+        def run(batches):
+            for batch in batches:
+                for part in slices(batch):
+                    sets = [of(t) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                    yield part.append_column("_set", pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()))
+
+        return run
+
+    return docs.mapInArrow(make(), docs.withColumn("_set", F.lit(None).cast("binary")).schema)
