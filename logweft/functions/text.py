@@ -65,6 +65,16 @@ def contains_pattern(column: Column, text: str) -> Column:
     return column.ilike("%" + text.replace("\\", "\\\\") + "%")
 
 
+SEPARATORS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
+
+
+def cells(line: Column, separator: str = ",") -> Column:
+    """The cells of a CSV line: quotes may stand anywhere, doubled ones inside quotes are one, an open one runs to the end."""
+    sep = "\\" + separator if separator in "|." else separator
+    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(f'{sep}((?:[^"{sep}]++|"(?:[^"]++|"")*+(?:"|$))*+)'), F.lit(1))
+    return F.transform(found, lambda c: F.when(F.contains(c, F.lit('"')), F.replace(F.regexp_replace(c, '"((?:[^"]++|"")*+)(?:"|$)', "$1"), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
 def csv_cell(value: Column) -> Column:
     """A cell as CSV writes it: quoted where it must be, empty for null."""
     return F.when(value.isNull(), "").when(value.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
@@ -80,6 +90,15 @@ def preview(column: Column, size: int = 80) -> Column:
     return F.when(F.length(column) > size, F.concat(F.substring(column, 1, size), F.lit("…"))).otherwise(column)
 
 
+# Reasons of skipped regions that count as errors.
+ERROR_REASONS = ("DecodeError", "IOError", "ZipEntryCorrupt", "Abandoned")
+
+
+def is_error(reason: Column) -> Column:
+    """Whether a skipped region's reason counts as an error."""
+    return reason.isin(*ERROR_REASONS)
+
+
 def folder_name(title: Column, created: Column) -> Column:
     """A session's folder: its time, and the title without characters that file systems refuse."""
     safe = F.substring(F.regexp_replace(F.trim(title), r'[\\/:*?"<>|\s\p{Cntrl}]+', "_"), 1, 60)

@@ -1,30 +1,55 @@
-"""Numbered lines to records and skipped regions, each format by joins, windows and grouping.
+"""Numbered lines to rows of ``logs``, skipped regions and segments, in one pass over the lines of a format.
 
-A record table has (path, line_no, byte_end, stamp, first_line, message_rest, cells or fields); a bad-line table has
-(path, line_no, reason, line). ``regions`` turns bad lines into skips, ``log_rows`` turns records into rows of ``logs``.
+Each line is told for itself (does it open a record, is it bad, what are its time, level, message and fields), then the
+lines go to stretches of their file once, where running counts number records and data lines and find damage. Nothing but
+counts crosses stretches, so a large file is many tasks; only the lines of text records meet once more.
+
+``ingest`` takes lines of any files, tells their formats, and gives logs, skips and segments; ``read_text``, ``read_csv``
+and ``read_ndjson`` take lines of one format.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweft.functions.text import file_id, logical_source, normal_level, segment_id, string_fields
-from logweft.functions.times import stamp_text, starts_record, with_utc
-from logweft.operators.running import running
-from logweft.schema import COLUMNS
+from logweft.functions.text import SEPARATORS, cells, file_id, logical_source, normal_level, segment_id, string_fields
+from logweft.functions.times import TIME_FIELDS, after_stamp_text, alternate_text, preferred, stamp_text, with_utc
+from logweft.operators.running import PART, along, by_stretch, running, stretched
+from logweft.operators.views import segment_statistics
+from logweft.schema import COLUMNS, SKIPS
+from logweft.sources.lines import DATE_NAMES, DETECTED, TIME_NAMES, detected
 
 #: Continuation lines that a text record may have.
 LOOKAHEAD = 4096
 #: Good lines in a row that end a skipped region, by format; bad lines in a row that end a file.
 RESYNC = {"csv": 5, "ndjson": 3}
 ABANDON = 10_000
-SEPARATORS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
+#: Characters of a skipped region's sample.
+SAMPLE = 256
+#: Files whose formats and identities are broadcast; more are joined.
+BROADCAST_FILES = 20_000
+
+# The shapes of a text record after its timestamp; groups are level, subsource, task_id and message, as far as they go.
+HEAD_TASK = r"^\s*(\w+)\s+\[([^\]]+)\]\s*\[([^\]]+)\]\s*(.+)$"
+HEAD_SOURCE = r"^\s*(\w+)\s+\[([^\]]+)\]\s*(.+)$"
+HEAD_LEVEL = r"^\s*(\w+)\s+(.+)$"
+
+SKIP_COLUMNS = SKIPS.fieldNames()
+
+
+@dataclass
+class Read:
+    logs: DataFrame
+    skips: DataFrame
 
-# The shapes of a text record after its timestamp.
-HEAD_TASK = r"^\s*(\w+)\s+\[([^\]]+)\]\s+\[([^\]]+)\]\s+(.*)$"
-HEAD_SOURCE = r"^\s*(\w+)\s+\[([^\]]+)\]\s+(.*)$"
-HEAD_LEVEL = r"^\s*([A-Za-z]\w*)\s+(.*)$"
+
+@dataclass
+class Ingested(Read):
+    segments: DataFrame
 
 
 def stretch() -> Column:
@@ -32,113 +57,210 @@ def stretch() -> Column:
     return F.floor(F.col("line_no") / 50_000)
 
 
-def text_records(lines: DataFrame) -> DataFrame:
-    """(path, line_no, byte_end, first_line, full_text): a line that begins with a timestamp opens a record, the lines after it
-    go on with it, up to ``LOOKAHEAD``; lines before a file's first record are dropped."""
-    start = F.when(starts_record(F.col("line")), F.col("line_no"))
-    owned = running(lines, "path", stretch(), "line_no", latest={"record": start}).where("record is not null").where(F.col("line_no") - F.col("record") <= LOOKAHEAD)
-    # at most LOOKAHEAD + 1 lines a record
-    whole = owned.groupBy("path", "record").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.min("byte_end").alias("byte_end"))
-    return whole.select("path", F.col("record").alias("line_no"), "byte_end", F.col("l")[0]["line"].alias("first_line"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("full_text"))
+def identified(files: DataFrame) -> DataFrame:
+    """Files (path, and size and modified if they are known) with physical_file_id, segment_id and logical_source_id."""
+    known = {"size", "modified"} <= set(files.columns)
+    physical = file_id(F.col("path"), F.col("size"), F.col("modified")) if known else F.substring(F.sha2("path", 256), 1, 16)
+    return files.withColumn("physical_file_id", physical).withColumns({"segment_id": segment_id(F.col("physical_file_id")), "logical_source_id": logical_source(F.col("path"))})
+
+
+def after_stamp(text: Column, pattern: str | None = None) -> tuple[Column, Column, Column]:
+    """Level, message and fields of the text after a timestamp, by the first shape that fits, or by a pattern of one's own
+    with the groups of ``HEAD_TASK`` or fewer."""
+    group = lambda shape, n: F.nullif(F.trim(F.regexp_extract(text, shape, n)), F.lit(""))
+    trimmed = F.trim(text)
+    if pattern is not None:
+        names = ["level", *["subsource", "task_id"][: max(0, pattern.replace("\\(", "").replace("(?:", "").count("(") - 2)], "message"]
+        fields = [x for k, n in enumerate(names, 1) if n not in ("level", "message") for x in (F.lit(n), group(pattern, k))]
+        kept = F.map_filter(F.create_map(*fields), lambda _, v: v.isNotNull()) if fields else F.lit(None).cast("map<string,string>")
+        return normal_level(group(pattern, 1)), F.coalesce(group(pattern, len(names)), trimmed), kept
+    task, source, level = text.rlike(HEAD_TASK), text.rlike(HEAD_SOURCE), text.rlike(HEAD_LEVEL)
+    word = F.when(task, group(HEAD_TASK, 1)).when(source, group(HEAD_SOURCE, 1)).when(level, group(HEAD_LEVEL, 1))
+    message = F.coalesce(F.when(task, group(HEAD_TASK, 4)).when(source, group(HEAD_SOURCE, 3)).when(level, group(HEAD_LEVEL, 2)), trimmed)
+    fields = F.when(task, F.create_map(F.lit("subsource"), group(HEAD_TASK, 2), F.lit("task_id"), group(HEAD_TASK, 3))).when(source, F.create_map(F.lit("subsource"), group(HEAD_SOURCE, 2)))
+    return normal_level(word), message, F.map_filter(fields, lambda _, v: v.isNotNull())
+
+
+def time_of(fields: Column, time_fields: Column | None) -> Column:
+    """The text of a record's time: its time fields joined, if they are known; else a day's and a time of day's field
+    joined, else the first field that is known to hold a time."""
+    at = lambda n: F.nullif(F.trim(F.try_element_at(fields, n)), F.lit(""))
+    single = F.coalesce(*[at(F.lit(n)) for n in TIME_FIELDS])
+    keys = F.map_keys(fields)
+    one_of = lambda names: F.get(F.filter(keys, lambda k: F.lower(k).isin(*names)), F.lit(0))
+    day, hour = at(one_of(DATE_NAMES)), at(one_of(TIME_NAMES))
+    pair = F.when(day.isNotNull() & hour.isNotNull() & hour.rlike(r"^\d{1,2}:\d{2}"), F.concat_ws(" ", day, hour))
+    found = F.coalesce(pair, single)
+    if time_fields is None:
+        return found
+    return F.coalesce(F.nullif(F.concat_ws(" ", F.transform(time_fields, lambda n: at(n))), F.lit("")), found)
+
+
+def structured(rows: DataFrame, zone: str) -> DataFrame:
+    """Rows with ``fields`` (a map, null for bad lines) with what a log row has of them."""
+    named = lambda *names: F.coalesce(*[F.try_element_at("fields", F.lit(n)) for n in names])
+    good = F.col("fields").isNotNull()
+    more = F.map_filter("fields", lambda k, _: ~k.isin("level", "severity", "message", "msg"))
+    told = rows.withColumn("stamp", F.when(good, time_of(F.col("fields"), F.col("time_fields") if "time_fields" in rows.columns else None)))
+    told = told.withColumns({"original": F.col("stamp"), "level": normal_level(named("level", "severity")), "message": F.coalesce(named("message", "msg"), F.col("line")), "more": string_fields(more)})
+    return with_utc(told, "stamp", zone).withColumnRenamed("more", "fields_json")
+
 
+def prepared(lines: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Lines with their file's identity, and what ``files`` has besides."""
+    if files is None:
+        return identified(lines)
+    return lines.join(files, "path")
 
-def cells(line: Column, separator: str = ",") -> Column:
-    """The cells of a CSV line: quotes may stand anywhere, doubled ones inside quotes are one, an open one runs to the end."""
-    sep = "\\" + separator if separator in "|." else separator
-    found = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(f'{sep}((?:[^"{sep}]++|"(?:[^"]++|"")*+(?:"|$))*+)'), F.lit(1))
-    return F.transform(found, lambda c: F.when(F.contains(c, F.lit('"')), F.replace(F.regexp_replace(c, '"((?:[^"]++|"")*+)(?:"|$)', "$1"), F.lit('""'), F.lit('"'))).otherwise(c))
 
+IDENTITY = ["logical_source_id", "physical_file_id", "segment_id"]
+TOLD = ["path", "line_no", "byte_end", *IDENTITY, "utc", "basis", "offset_minutes", "original", "level", "message"]
 
-def csv_records(lines: DataFrame, separator: str = ",") -> tuple[DataFrame, DataFrame]:
-    """Records with ``fields`` (map of header to cell, in order) and bad lines: those whose number of cells isn't the header's."""
-    first = lines.groupBy("path").agg(F.min_by("line", "line_no").alias("header"), F.min("line_no").alias("header_line"))
-    rows = lines.where(F.trim("line") != "").join(first.select("path", "header_line", cells(F.col("header"), separator).alias("names")), "path").where("line_no > header_line").withColumn("cells", cells(F.col("line"), separator))
-    good = rows.where(F.size("cells") == F.size("names"))
-    bad = rows.where(F.size("cells") != F.size("names")).select("path", "line_no", F.lit("CsvColumnMismatch").alias("reason"), F.format_string("expected %d columns, found %d", F.size("names"), F.size("cells")).alias("detail"), "line", "byte_end")
-    return good.select("path", "line_no", "byte_end", F.col("line").alias("first_line"), F.col("line").alias("full_text"), F.map_from_arrays("names", "cells").alias("fields")), bad
 
+def told_text(lines: DataFrame, zone: str, shape: Column | None = None, pattern: str | None = None) -> DataFrame:
+    """Each line: does it open a record, and if so its time (of two in the line the better one), level, message and fields."""
+    first = stamp_text(F.col("line"), shape)
+    rows = lines.withColumn("first", first).withColumn("other", F.when(F.col("first").isNotNull(), alternate_text(F.col("line"), F.col("first"))))
+    stamp, original = preferred(F.col("first"), F.col("other"))
+    rows = rows.withColumns({"stamp": stamp, "original": original, "rest": after_stamp_text(F.col("line"), shape)})
+    level, message, fields = after_stamp(F.col("rest"), pattern)
+    rows = rows.withColumns({"level": level, "message": message, "fields_json": string_fields(fields), "opens": F.col("first").isNotNull()})
+    return with_utc(rows, "stamp", zone).select(*TOLD, "fields_json", "opens", "line")
 
-def ndjson_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with ``fields`` (every value as text; null as empty, nested values as JSON), and bad lines: those that hold no object."""
+
+def told_csv(lines: DataFrame, zone: str, separator: str | None = ",") -> DataFrame:
+    """Each line: its fields, or why it is bad. Lines have ``names`` and ``header_line`` (null without a header); without a
+    separator also ``delimiter``. Of columns with one name the last counts."""
+    line = F.col("line")
+    cut = cells(line, separator) if separator else reduce(lambda c, kv: c.when(F.col("delimiter") == kv[0], cells(line, kv[1])), SEPARATORS.items(), F.when(F.lit(False), F.array().cast("array<string>")))
+    rows = lines.where((F.trim("line") != "") & (F.col("header_line").isNull() | (F.col("line_no") > F.col("header_line")))).withColumn("cells", cut)
+    good = F.size("cells") == F.size("names")
+    once = F.array_distinct("names")
+    last = F.transform(once, lambda n: F.element_at("cells", F.size("names") - F.array_position(F.reverse("names"), n).cast("int") + 1))
+    rows = rows.withColumns({"fields": F.when(good, F.map_from_arrays(once, last)), "bad": F.when(~good, "CsvColumnMismatch"), "detail": F.when(~good, F.format_string("expected %d columns, found %d", F.size("names"), F.size("cells")))})
+    return structured(rows, zone).select(*TOLD, "fields_json", "bad", "detail", F.when(F.col("bad").isNotNull(), F.substring("line", 1, SAMPLE)).alias("sample"), F.when(F.col("utc").isNull(), F.substring("line", 1, SAMPLE)).alias("head"))
+
+
+def told_ndjson(lines: DataFrame, zone: str) -> DataFrame:
+    """Each line: its fields (every value as text; null as empty, nested values as JSON), or why it is bad."""
     rows = lines.where(F.trim("line") != "")
     is_object = F.col("line").rlike(r"^\s*\{") & F.try_parse_json("line").isNotNull()
-    good = rows.where(is_object).withColumn("f", F.from_json("line", "map<string,string>"))
-    fields = F.transform_values("f", lambda _, v: F.coalesce(v, F.lit("")))
-    bad = rows.where(~is_object).select("path", "line_no", F.lit("JsonMalformed").alias("reason"), F.lit("not a JSON object").alias("detail"), "line", "byte_end")
-    return good.select("path", "line_no", "byte_end", F.col("line").alias("first_line"), F.col("line").alias("full_text"), fields.alias("fields")), bad
+    fields = F.transform_values(F.from_json("line", "map<string,string>"), lambda _, v: F.coalesce(v, F.lit("")))
+    rows = rows.withColumn("is_object", is_object).withColumns({"fields": F.when(F.col("is_object"), fields), "bad": F.when(~F.col("is_object"), "JsonMalformed"), "detail": F.when(~F.col("is_object"), "not a JSON object")})
+    return structured(rows, zone).select(*TOLD, "fields_json", "bad", "detail", F.when(F.col("bad").isNotNull(), F.substring("line", 1, SAMPLE)).alias("sample"), F.when(F.col("utc").isNull(), F.substring("line", 1, SAMPLE)).alias("head"))
+
+
+def as_logs(rows: DataFrame, run: str) -> DataFrame:
+    return rows.select(
+        F.col("utc").alias("timestamp_utc"), F.col("basis").alias("timestamp_basis"), F.col("offset_minutes").alias("timestamp_effective_offset_minutes"), F.col("original").alias("timestamp_original"), "logical_source_id",
+        F.col("path").alias("source_path"), "physical_file_id", "segment_id", F.lit(run).alias("ingest_run_id"), (F.col("k") - 1).alias("record_index"), "level", "message", F.col("fields_json").alias("fields"),
+    ).select(*COLUMNS)
 
 
-def regions(lines: DataFrame, bad: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Skipped regions, and (path, last_line): where a file is given up.
+def skip_rows(rows: DataFrame) -> DataFrame:
+    """(path, ids, start and end, reason, detail, sample) numbered within each file, from 1, by where they start."""
+    ordered = running(rows.withColumn("line_no", F.col("start_line")).withColumn("at", F.struct("start_line", "rank")), "path", stretch(), "at", sums={"segment_seq": F.lit(1)})
+    return ordered.select(*SKIP_COLUMNS)
 
-    Bad lines with fewer than K good ones between them are one region; it ends with the K-th good line after them, or with
-    the file. After ``ABANDON`` bad lines in a row the region ends there, an Abandoned one follows, and the rest is left."""
+
+def unread_times(rows: DataFrame, sample: Column) -> DataFrame:
+    return rows.select("path", "logical_source_id", "segment_id", F.lit(1).alias("rank"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(None).cast("long").alias("start_offset"), F.lit(None).cast("long").alias("end_offset"), F.lit("TimeParse").alias("reason_code"), F.lit("Timestamp extraction failed").alias("reason_detail"), sample.cast("binary").alias("sample_prefix"))
+
+
+def read_text(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | None = None, pattern: str | None = None) -> Read:
+    """A line that begins with a timestamp (of the file's ``shape``, if files have one) opens a record, the lines after it go
+    on with it, up to ``LOOKAHEAD``; lines before a file's first record are no records."""
+    rows = prepared(lines, files)
+    told = told_text(rows, zone, F.col("shape") if "shape" in rows.columns else None, pattern)
+    known = (F.col("opens") & F.col("utc").isNotNull()).cast("long")
+    numbered = along(stretched(told, "path", stretch()), "path", "line_no", sums={"k": known}, latest={"record": F.when(F.col("opens"), F.col("line_no"))})
+    owned = numbered.where(F.col("record").isNotNull() & (F.col("line_no") - F.col("record") <= LOOKAHEAD))
+    head = F.max(F.when(F.col("line_no") == F.col("record"), F.struct(*IDENTITY, "utc", "basis", "offset_minutes", "original", "level", "message", "fields_json", "k"))).alias("h")
+    # at most LOOKAHEAD lines besides the first
+    more = F.sort_array(F.collect_list(F.when(F.col("line_no") > F.col("record"), F.struct("line_no", "line")))).alias("more")
+    whole = owned.groupBy("path", "record").agg(head, more).select("path", "h.*", "more").where("utc is not null")
+    whole = whole.withColumn("message", F.when(F.size("more") > 0, F.concat("message", F.lit("\n"), F.array_join(F.transform("more", lambda x: x["line"]), "\n"))).otherwise(F.col("message")))
+    return Read(as_logs(whole, run), skip_rows(unread_times(told.where(F.col("opens") & F.col("utc").isNull()), F.substring("line", 1, SAMPLE))))
+
+
+def read_told(told: DataFrame, ends: DataFrame, kind: str, run: str) -> Read:
+    """Rows and skips of lines that are records or bad. ``ends``: path, last_line and last_byte of each file."""
     k = RESYNC[kind]
-    data = lines.where(F.trim("line") != "").select("path", "line_no", "byte_end").join(bad.select("path", "line_no", "reason", "detail", "line"), ["path", "line_no"], "left")
-    data = running(data, "path", stretch(), "line_no", sums={"idx": F.lit(1), "bad_no": F.col("reason").isNotNull().cast("long")})
-    ends = data.groupBy("path").agg(F.max("idx").alias("last_idx"))
-    marks = data.where("reason is not null").withColumn("run", F.col("idx") - F.col("bad_no"))
-    over = marks.groupBy("path", "run").agg(F.min("idx").alias("first"), F.count("*").alias("n")).where(F.col("n") >= ABANDON).groupBy("path").agg((F.min("first") + ABANDON - 1).alias("stop_idx"))
-    kept = marks.join(over, "path", "left").where(F.col("stop_idx").isNull() | (F.col("idx") <= F.col("stop_idx")))
-    kept = running(kept, "path", stretch(), "line_no", before={"last": F.col("idx")})
-    new = F.when(F.col("last").isNull() | (F.col("idx") - F.col("last") > k), 1).otherwise(0)
-    grouped = running(kept.withColumn("new", new), "path", stretch(), "line_no", sums={"segment_seq": F.col("new")})
-    found = grouped.groupBy("path", "segment_seq").agg(F.min("line_no").alias("start_line"), F.max("idx").alias("last_bad"), F.min("byte_end").alias("start_offset"), F.min_by("reason", "line_no").alias("reason_code"), F.min_by("detail", "line_no").alias("reason_detail"), F.substring(F.min_by("line", "line_no"), 1, 256).cast("binary").alias("sample_prefix"), F.first("stop_idx").alias("stop_idx"))
-    found = found.join(ends, "path").withColumn("idx", F.least(F.col("last_bad") + k, "last_idx", F.coalesce("stop_idx", "last_idx")))
-    found = found.join(data.select("path", "idx", F.col("line_no").alias("end_line"), F.col("byte_end").alias("end_offset")), ["path", "idx"])
-    columns = ["path", "segment_seq", "start_line", "end_line", "start_offset", "end_offset", "reason_code", "reason_detail", "sample_prefix"]
-    stops = over.join(data.withColumnRenamed("idx", "stop_idx"), ["path", "stop_idx"])
-    after = found.groupBy("path").agg(F.max("segment_seq").alias("s"))
-    abandoned = stops.join(after, "path").select("path", (F.col("s") + 1).alias("segment_seq"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.col("byte_end").alias("start_offset"), F.col("byte_end").alias("end_offset"), F.lit("Abandoned").alias("reason_code"), F.lit(f"{ABANDON} bad lines in a row").alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix"))
-    return found.select(*columns).union(abandoned), stops.select("path", F.col("line_no").alias("last_line"))
-
-
-def after_stamp(text: Column) -> tuple[Column, Column, Column]:
-    """Level, message and fields of the text after a timestamp, by the first shape that fits."""
-    task, source, level = text.rlike(HEAD_TASK), text.rlike(HEAD_SOURCE), text.rlike(HEAD_LEVEL)
-    group = lambda shape, n: F.regexp_extract(text, shape, n)
-    word = F.when(task, group(HEAD_TASK, 1)).when(source, group(HEAD_SOURCE, 1)).when(level, group(HEAD_LEVEL, 1))
-    message = F.when(task, group(HEAD_TASK, 4)).when(source, group(HEAD_SOURCE, 3)).when(level, group(HEAD_LEVEL, 2)).otherwise(F.trim(text))
-    fields = F.when(task, F.create_map(F.lit("subsource"), group(HEAD_TASK, 2), F.lit("task_id"), group(HEAD_TASK, 3))).when(source, F.create_map(F.lit("subsource"), group(HEAD_SOURCE, 2)))
-    return normal_level(word), message, fields
-
-
-# Field names that hold a record's time, first ones first.
-TIME_FIELDS = ("@timestamp", "timestamp", "@t", "time", "datetime", "date", "ts", "Timestamp", "Time", "DateTime", "Date", "TIMESTAMP", "TIME", "DATETIME", "DATE", "event_time", "EventTime", "log_time", "LogTime", "created_at", "CreatedAt")
-
-
-def log_rows(records: DataFrame, run: str, zone: str = "UTC", files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``logs``, and the records without a time that can be read, as skips of one line (reason TimeParse).
-
-    Records with ``fields`` take time, level (``level`` or ``severity``) and message (``message`` or ``msg``, else the whole
-    line) from them. ``files`` (path, size, modified) names files; without it, a file's path alone does."""
-    structured = "fields" in records.columns
-    if structured:
-        stamp = F.coalesce(*[F.try_element_at("fields", F.lit(n)) for n in TIME_FIELDS])
-        level = normal_level(F.coalesce(F.try_element_at("fields", F.lit("level")), F.try_element_at("fields", F.lit("severity"))))
-        message = F.coalesce(F.try_element_at("fields", F.lit("message")), F.try_element_at("fields", F.lit("msg")), F.col("first_line"))
-        fields = F.map_filter("fields", lambda k, _: ~k.isin("level", "severity", "message", "msg"))
-    else:
-        stamp = stamp_text(F.col("first_line"))
-        rest = F.expr("substring(first_line, instr(first_line, stamp) + length(stamp))")
-        level, message, fields = after_stamp(rest)
-        more = F.expr("substring(full_text, length(first_line) + 1)")
-        message = F.concat(message, more)
-    timed = with_utc(records.withColumn("stamp", stamp), "stamp", zone)
-    missed = timed.where("utc is null").select("path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit("TimeParse").alias("reason_code"), F.substring("first_line", 1, 256).cast("binary").alias("sample_prefix"))
-    rows = timed.select("path", "line_no", "utc", "basis", "offset_minutes", "stamp", level.alias("level"), message.alias("message"), string_fields(fields).alias("fields"))
-    if files is not None:
-        rows = rows.join(files.select("path", file_id(F.col("path"), F.col("size"), F.col("modified")).alias("physical_file_id")), "path")
-    else:
-        rows = rows.withColumn("physical_file_id", F.substring(F.sha2("path", 256), 1, 16))
-    return with_index(rows).select(
-        F.col("utc").alias("timestamp_utc"), F.col("basis").alias("timestamp_basis"), F.col("offset_minutes").alias("timestamp_effective_offset_minutes"), F.col("stamp").alias("timestamp_original"), logical_source(F.col("path")).alias("logical_source_id"),
-        F.col("path").alias("source_path"), "physical_file_id", segment_id(F.col("physical_file_id")).alias("segment_id"), F.lit(run).alias("ingest_run_id"), "record_index", "level", "message", "fields",
-    ).select(*COLUMNS), missed
-
-
-def with_index(rows: DataFrame, known: str = "utc") -> DataFrame:
-    """The rows whose ``known`` isn't null, with ``record_index``: their number in the file, from 0. They are picked after the
-    count, as a filter before it would compute ``known`` twice."""
-    counted = running(rows.withColumn("one", F.col(known).isNotNull().cast("long")), "path", stretch(), "line_no", sums={"k": F.col("one")})
-    return counted.where("one = 1").withColumn("record_index", F.col("k") - 1).drop("k", "one")
+    cut = stretched(told, "path", stretch())
+    good = F.col("bad").isNull()
+    numbered = along(cut, "path", "line_no", sums={"idx": F.lit(1), "k": (good & F.col("utc").isNotNull()).cast("long")}, marks={"bad_before": (~good, "idx"), "good_before": (good, "idx")})
+    # a file is given up with the first of so many bad lines in a row
+    over = numbered.where(~good & (F.col("idx") - F.coalesce("good_before", F.lit(0)) == ABANDON))
+    stops = over.groupBy("path").agg(F.min("idx").alias("stop_idx"))
+    kept = by_stretch(numbered, "path", stops, "left", cut).where(F.col("stop_idx").isNull() | (F.col("idx") <= F.col("stop_idx")))
+    logs = as_logs(kept.where(good & F.col("utc").isNotNull()), run)
+    # a region begins with a bad line that comes more than K lines after the last one, and ends with the K-th good line
+    gap = F.col("idx") - F.col("bad_before")
+    starts, stop = ~good & (gap.isNull() | (gap > k)), F.col("idx") == F.col("stop_idx")
+    events = kept.select("path", "logical_source_id", "segment_id", "line_no", "byte_end", "bad", "detail", "sample", starts.alias("starts"), F.coalesce(stop, F.lit(False)).alias("stop"), (good & (gap == k)).alias("ends")).where("starts or ends or stop")
+    events = running(events, "path", stretch(), "line_no", sums={"region": F.col("starts").cast("long")})
+    at = lambda flag, *c: F.max(F.when(F.col(flag), F.struct(*c)))
+    found = events.groupBy("path", "region").agg(F.first("logical_source_id").alias("logical_source_id"), F.first("segment_id").alias("segment_id"), at("starts", "line_no", "byte_end", "bad", "detail", "sample").alias("s"), F.max(F.when(F.col("ends") | F.col("stop"), F.struct("line_no", "byte_end"))).alias("e"), F.max("stop").alias("stop")).join(ends, "path")
+    region = found.select("path", "logical_source_id", "segment_id", F.lit(0).alias("rank"), F.col("s.line_no").alias("start_line"), F.coalesce("e.line_no", "last_line").alias("end_line"), F.col("s.byte_end").alias("start_offset"), F.coalesce("e.byte_end", "last_byte").alias("end_offset"), F.col("s.bad").alias("reason_code"), F.col("s.detail").alias("reason_detail"), F.col("s.sample").cast("binary").alias("sample_prefix"))
+    abandoned = events.where("stop").select("path", "logical_source_id", "segment_id", F.lit(2).alias("rank"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(None).cast("long").alias("start_offset"), F.lit(None).cast("long").alias("end_offset"), F.lit("Abandoned").alias("reason_code"), F.lit(f"Abandoned after {ABANDON} consecutive bad lines").alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix"))
+    return Read(logs, skip_rows(region.union(abandoned).union(unread_times(kept.where(good & F.col("utc").isNull()), F.col("head")))))
+
+
+def file_ends(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("path").agg(F.max("line_no").alias("last_line"), F.max("byte_end").alias("last_byte"))
+
+
+def csv_heads(lines: DataFrame, separator: str = ",") -> DataFrame:
+    """path, names and header_line: the first line of each file that isn't blank is its header."""
+    first = lines.where(F.trim("line") != "").groupBy("path").agg(F.min_by("line", "line_no").alias("header"), F.min("line_no").alias("header_line"))
+    return first.select("path", cells(F.col("header"), separator).alias("names"), "header_line")
+
+
+def read_csv(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | None = None, separator: str | None = ",") -> Read:
+    """Files with a header line, or with ``names``, ``header_line`` and ``delimiter`` in ``files``."""
+    rows = prepared(lines, files)
+    if "names" not in rows.columns:
+        rows = rows.join(csv_heads(lines, separator or ","), "path")
+    return read_told(told_csv(rows, zone, None if "delimiter" in rows.columns else separator), file_ends(lines), "csv", run)
+
+
+def read_ndjson(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | None = None) -> Read:
+    return read_told(told_ndjson(prepared(lines, files), zone), file_ends(lines), "ndjson", run)
+
+
+def ingest(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | None = None, problems: DataFrame | None = None) -> Ingested:
+    """Lines of any files to logs, skips and segments. Each file's format is told from its first lines; a file of no format is
+    a skip (NotRecognized) and an empty segment. ``files`` (path, and size, modified and hash if they are known) names the
+    files, also empty ones; ``problems`` (path, problem) are archives' entries that couldn't be read, each a skip."""
+    spark = lines.sparkSession
+    files = lines.select("path").distinct() if files is None else files
+    names = [c.split()[0] for c in DETECTED.split(", ")]
+    formats = detected(lines).persist()
+    formats.count()  # a row a file: told once, so that the plans below start from it
+    told = identified(files).join(formats, "path", "left").withColumn("format", F.coalesce("format", F.lit("unknown")))
+    heads = lines.where(F.trim("line") != "").groupBy("path").agg(F.min("line_no").alias("first_line"))
+    told = told.join(heads, "path", "left").withColumn("header_line", F.when(F.col("header"), F.col("first_line"))).persist()
+    many = told.count()
+    of = {r.format for r in told.select("format").distinct().collect()}  # four at most
+    wide = [c for c in (*IDENTITY, *names[5:], "delimiter", "header_line") if c != "header"]
+
+    def pick(kind: str) -> DataFrame:
+        some = told.where(F.col("format") == kind).select("path", *[c for c in dict.fromkeys(wide) if c != "path"])
+        return F.broadcast(some) if many <= BROADCAST_FILES else some
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    parts = [read(lines, run, zone, pick(kind)) for kind, read in (("text", read_text), ("csv", read_csv), ("ndjson", read_ndjson)) if kind in of]
+    from logweft.schema import LOGS
+
+    logs = reduce(DataFrame.unionByName, [p.logs for p in parts], none(LOGS)) if not parts else reduce(DataFrame.unionByName, [p.logs for p in parts])
+    reason = lambda code, detail, source, segment: [source.alias("logical_source_id"), segment.alias("segment_id"), F.lit(0).cast("long").alias("segment_seq"), *[F.lit(None).cast("long").alias(c) for c in ("start_line", "end_line", "start_offset", "end_offset")], code.alias("reason_code"), detail.alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix")]
+    lost = told.where("format = 'unknown'").select(*reason(F.lit("NotRecognized"), F.concat(F.lit("No viable format detected for "), F.regexp_extract("path", r"[^/\\!]*$", 0)), F.col("logical_source_id"), F.col("segment_id")))
+    skips = reduce(DataFrame.unionByName, [p.skips for p in parts], lost)
+    if problems is not None:
+        entry = F.regexp_extract("path", r"[^/\\!]*$", 0)
+        skips = skips.unionByName(problems.where("problem is not null").select(*reason(F.col("problem"), F.col("path"), logical_source(F.col("path")), F.lit("zip-entry"))))
+    counted = segment_statistics(logs)
+    extra = [F.col(c) if c in files.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("size", "long"), ("modified", "timestamp_ntz"), ("hash", "string"))]
+    segments = told.select("segment_id", "logical_source_id", "physical_file_id", F.col("path").alias("source_path"), *extra).join(counted, "segment_id", "left")
+    segments = segments.select("segment_id", "logical_source_id", "physical_file_id", "min_ts_utc", "max_ts_utc", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.lit(run).alias("last_ingest_run_id"), F.lit(True).alias("active"), F.when(F.coalesce("row_count", F.lit(0)) > 0, F.col("size")).otherwise(F.lit(0)).alias("last_byte_offset"), "source_path", F.col("size").alias("file_size_bytes"), F.col("modified").alias("last_modified_utc"), F.col("hash").alias("file_hash"))
+    return Ingested(logs, skips, segments)

@@ -11,6 +11,8 @@ from logweft.functions.times import DAY, moment, zone_to_utc
 
 #: Intervals up to so many become one condition that the Parquet reader sees; their number is counted first.
 INLINE = 64
+#: Merged intervals that are broadcast; more are joined by a shuffle.
+BROADCAST = 100_000
 
 
 def daily(spark: SparkSession, first: str, last: str, time: str = "00:00:00", length: timedelta = timedelta(days=1), zone: str = "UTC", weekdays: tuple[int, ...] = ()) -> DataFrame:
@@ -29,8 +31,8 @@ def daily(spark: SparkSession, first: str, last: str, time: str = "00:00:00", le
 
 def merged(intervals: DataFrame) -> DataFrame:
     """Intervals that overlap or touch as one; those without a moment are left out. Ends and counts are carried within
-    days, and from day to day by a table of one row a day, so no task holds all intervals."""
-    some = intervals.where("start_utc < end_utc").select("start_utc", "end_utc", F.to_date("start_utc").alias("day"))
+    hours, and from hour to hour by a table of one row an hour, so no task holds all intervals."""
+    some = intervals.where("start_utc < end_utc").select("start_utc", "end_utc", F.date_trunc("hour", "start_utc").alias("day"))
     order = Window.partitionBy("day").orderBy("start_utc", "end_utc")
     days_before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     ends = some.groupBy("day").agg(F.max("end_utc").alias("e")).select("day", F.max("e").over(days_before).alias("carried"))
@@ -42,8 +44,9 @@ def merged(intervals: DataFrame) -> DataFrame:
 
 
 def within(rows: DataFrame, intervals: DataFrame, ts: str) -> DataFrame:
-    """Rows whose time lies in any interval. A few intervals become a condition; many are merged, cut into days, and
-    joined by day, so each row meets the intervals of its day alone."""
+    """Rows whose time lies in any interval. A few intervals become a condition; many are merged, counted, and joined by the
+    hours that they touch (long ones by days), as a broadcast if they are few enough. The first and last moment reach the
+    reader."""
     few = intervals.where("start_utc < end_utc").limit(INLINE + 1).collect()
     if not few:
         return rows.where(F.lit(False))
@@ -53,7 +56,21 @@ def within(rows: DataFrame, intervals: DataFrame, ts: str) -> DataFrame:
         for r in few:
             any_of = any_of | ((F.col(ts) >= moment(r.start_utc)) & (F.col(ts) < moment(r.end_utc)))
         return rows.where((F.col(ts) >= moment(low)) & (F.col(ts) < moment(high)) & any_of)
+    whole = merged(intervals).persist()
+    told = whole.agg(F.count("*").alias("n"), F.min("start_utc").alias("low"), F.max("end_utc").alias("high")).first()
     last = F.col("end_utc") - F.expr("interval 1 microsecond")
-    cut = merged(intervals).select("start_utc", "end_utc", F.explode(F.sequence(F.to_date("start_utc"), F.to_date(last))).alias("interval_day"))
+    hour = lambda t: F.date_trunc("hour", t).cast("timestamp_ntz")
+    # an interval is a row for each hour that it touches, or for each day if it is long
+    slices = F.when(F.timestamp_diff("HOUR", F.col("start_utc"), last) < 48, F.transform(F.sequence(hour("start_utc"), hour(last), F.expr("interval 1 hour")), lambda x: F.struct(F.lit("h").alias("kind"), x.alias("at"))))
+    slices = slices.otherwise(F.transform(F.sequence(F.date_trunc("day", "start_utc").cast("timestamp_ntz"), F.date_trunc("day", last).cast("timestamp_ntz"), F.expr("interval 1 day")), lambda x: F.struct(F.lit("d").alias("kind"), x.alias("at"))))
+    cut = whole.select("start_utc", "end_utc", F.explode(slices).alias("s")).select("start_utc", "end_utc", F.col("s.kind").alias("slice_kind"), F.col("s.at").alias("slice_at"))
+    cut = F.broadcast(cut) if told.n <= BROADCAST and told.high - told.low < timedelta(days=366 * 100) else cut
     t = F.col(ts)
-    return rows.join(cut, (F.to_date(t) == F.col("interval_day")) & (t >= F.col("start_utc")) & (t < F.col("end_utc")), "left_semi")
+    near = rows.where((t >= moment(told.low)) & (t < moment(told.high)))
+    inside = (t >= F.col("start_utc")) & (t < F.col("end_utc"))
+    keyed = cut.where("slice_kind = 'h'"), cut.where("slice_kind = 'd'")
+    # merged intervals don't overlap, so a row lies in one at most, and in one slice of it
+    by_hour = near.join(keyed[0].drop("slice_kind"), (hour(t) == F.col("slice_at")) & inside, "left_semi")
+    if not keyed[1].limit(1).count():
+        return by_hour
+    return by_hour.unionByName(near.join(keyed[1].drop("slice_kind"), (F.date_trunc("day", t).cast("timestamp_ntz") == F.col("slice_at")) & inside, "left_semi"))

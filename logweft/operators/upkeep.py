@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweft.operators.ingest import Ingested
 from logweft.operators.views import segment_statistics
 
+#: Rows of a file of a written segment.
+FILE_ROWS = 5_000_000
+RUNS = "run_id string, started_utc timestamp_ntz, completed_utc timestamp_ntz, status string"
+
 
 def latest(segments: DataFrame, *by: str) -> DataFrame:
     """The newest segment for each key; segments without a time come last."""
@@ -37,14 +42,65 @@ def file_changes(files: DataFrame, segments: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state"))
 
 
-def replaced(table: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """The table with the rows of some keys replaced: rows of the keys that ``new`` has go, and its rows come."""
-    return table.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new.select(*table.columns))
+def replaced(table: DataFrame, new: DataFrame, *key: str, keys: DataFrame | None = None) -> DataFrame:
+    """The table with the rows of some keys replaced: rows of ``keys`` (else of the keys that ``new`` has) go, and the new rows
+    come. With ``keys``, what is read again and gives nothing goes, too."""
+    gone = new if keys is None else keys
+    return table.join(gone.select(*key).distinct(), list(key), "left_anti").unionByName(new.select(*table.columns))
+
+
+def reingested(logs: DataFrame, skips: DataFrame, segments: DataFrame, again: Ingested) -> Ingested:
+    """The session's tables after files were read again: logs, skips and the segment's row are replaced by segment id, also
+    where a segment gives no rows now. Files that changed have new ids; their old segments are named by their path."""
+    old = segments.join(again.segments.select("source_path").distinct(), "source_path", "left_semi").select("segment_id")
+    ids = old.union(again.segments.select("segment_id")).distinct()
+    swap = lambda table, new: replaced(table, new, "segment_id", keys=ids)
+    return Ingested(swap(logs, again.logs), swap(skips, again.skips), swap(segments, again.segments))
+
+
+def write_segments(logs: DataFrame, path: str, segments: DataFrame | None = None) -> None:
+    """Replaces the segments that ``logs`` has, and those of ``segments`` (segment_id), in a table partitioned by segment: Spark
+    commits the partitions together; then those of ``segments`` that have no rows any more go. A segment is a task for each
+    ``FILE_ROWS`` rows."""
+    rows = logs.repartition("segment_id", F.floor(F.col("record_index") / FILE_ROWS)).sortWithinPartitions("segment_id", "timestamp_utc", "record_index")
+    rows.write.partitionBy("segment_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    if segments is not None:
+        spark = logs.sparkSession
+        hadoop = spark._jsc.hadoopConfiguration()
+        for row in segments.select("segment_id").distinct().join(logs.select("segment_id").distinct(), "segment_id", "left_anti").toLocalIterator():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segment_id={row.segment_id}")
+            folder.getFileSystem(hadoop).delete(folder, True)
+
+
+def with_metadata(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """Segments with the size, time and hash that their files (path, size, modified, hash) have now."""
+    now = files.select(F.col("path").alias("source_path"), F.lit(True).alias("_here"), F.col("size").alias("_size"), F.col("modified").alias("_modified"), F.col("hash").alias("_hash"))
+    both = segments.join(now, "source_path", "left")
+    new = {"file_size_bytes": "_size", "last_modified_utc": "_modified", "file_hash": "_hash"}
+    return both.select(*[F.when(F.col("_here"), F.col(new[c])).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in segments.columns])
+
+
+def started(runs: DataFrame, run: str, now) -> DataFrame:
+    """The runs with a new one, going on."""
+    return runs.unionByName(runs.sparkSession.createDataFrame([(run, now, None, "running")], RUNS))
+
+
+def ended(runs: DataFrame, run: str, now, status: str = "completed") -> DataFrame:
+    """The runs with one ended: completed, or failed."""
+    this = F.col("run_id") == run
+    return runs.withColumns({"completed_utc": F.when(this, F.lit(now)).otherwise(F.col("completed_utc")), "status": F.when(this, status).otherwise(F.col("status"))})
+
+
+def interrupted(runs: DataFrame) -> DataFrame:
+    """Runs that never ended."""
+    return runs.where("completed_utc is null")
 
 
-def write_segments(logs: DataFrame, path: str) -> None:
-    """Replaces the segments that ``logs`` has, and no others, in a table partitioned by segment: Spark commits the partitions together."""
-    logs.repartition("segment_id").sortWithinPartitions("timestamp_utc", "record_index").write.partitionBy("segment_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def recorded(history: DataFrame, text: str, now) -> DataFrame:
+    """The history of queries with one more; blank ones aren't kept."""
+    if not text.strip():
+        return history
+    return history.unionByName(history.sparkSession.createDataFrame([(text.strip(), now)], "query_text string, executed_utc timestamp_ntz"), allowMissingColumns=True)
 
 
 def incomplete_segments(segments: DataFrame, runs: DataFrame) -> DataFrame:

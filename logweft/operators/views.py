@@ -30,7 +30,7 @@ def timeline(logs: DataFrame, seconds: int, flt: LogFilter = LogFilter()) -> Dat
     Levels are counted before they meet, so a bucket's rows are one a level."""
     rows = logs.where(flt.column()).groupBy(bucket(F.col("timestamp_utc"), seconds).alias("bin_start"), "level").count()
     best = F.min(F.when(F.col("level").isNotNull(), F.struct((-F.col("count")).alias("n"), "level")))["level"]
-    return rows.groupBy("bin_start").agg(F.sum("count").alias("row_count"), best.alias("dominant_level")).select("bin_start", (F.col("bin_start") + F.make_dt_interval(secs=F.lit(seconds))).alias("bin_end"), "row_count", "dominant_level")
+    return rows.groupBy("bin_start").agg(F.sum("count").alias("row_count"), best.alias("dominant_level")).select("bin_start", (F.col("bin_start") + F.make_dt_interval(secs=F.lit(seconds))).alias("bin_end"), "row_count", "dominant_level").orderBy("bin_start")
 
 
 def facet(logs: DataFrame, column: str, flt: LogFilter = LogFilter()) -> DataFrame:
@@ -57,7 +57,7 @@ def skip_audit(skips: DataFrame, reason: str | None = None, source: str | None =
     rows = rows if source is None else rows.where(F.col("logical_source_id") == source)
     return rows.groupBy("logical_source_id", "reason_code", "segment_id").agg(
         F.min("start_offset").alias("first_offset"), F.max("end_offset").alias("last_offset"), F.count("*").alias("skip_count"), F.min_by(F.col("sample_prefix").cast("string"), "segment_seq").alias("sample")
-    )
+    ).orderBy("logical_source_id", "reason_code", "segment_id")
 
 
 def skip_totals(skips: DataFrame) -> DataFrame:
@@ -66,6 +66,16 @@ def skip_totals(skips: DataFrame) -> DataFrame:
     return by.groupBy("logical_source_id").agg(F.sum("skip_count").alias("skip_count"), F.count_distinct("reason_code").alias("reason_count"), F.count("*").alias("group_count"))
 
 
+def skip_count(skips: DataFrame) -> DataFrame:
+    """Skips of all sources in one row."""
+    return skips.agg(F.count("*").alias("skip_count"))
+
+
+def distinct_values(logs: DataFrame, column: str, flt: LogFilter = LogFilter()) -> DataFrame:
+    """The values of a column, missing ones left out, in order."""
+    return logs.where(flt.column() & F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+
+
 def segment_statistics(logs: DataFrame) -> DataFrame:
     return logs.groupBy("segment_id").agg(F.min("timestamp_utc").alias("min_ts_utc"), F.max("timestamp_utc").alias("max_ts_utc"), F.count("*").alias("row_count"))
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions import text as tx
-from logweft.functions.times import with_utc
+from logweft.functions.times import after_stamp_text, stamp_text, with_utc
 from logweft.operators import ingest, upkeep, views
 from logweft.operators.filters import LogFilter, Text, select_logs
 from logweft.operators.intervals import daily, merged, within
+from logweft.operators.running import running
 from logweft.schema import logs_of_events
 from logweft.sources.export import csv_lines, json_lines, ordered
+from logweft.sources.lines import content_lines, decoded, detected, hashed, sure, unzipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,10 +87,9 @@ FILTERS = {
     "filter_levels": (LogFilter(levels=("ERROR", "INFO")), "level in ('ERROR', 'INFO')"),
     "filter_levels_excl": (LogFilter(not_levels=("ERROR", "INFO")), "(level is null or level not in ('ERROR', 'INFO'))"),
     "filter_level_none": (LogFilter(levels=("ERROR", "(none)")), "(level = 'ERROR' or level is null)"),
-    "filter_combined": (LogFilter(t(2024, 1, 2), t(2024, 1, 20), sources=("source-0",), not_levels=("DEBUG",), text="view"), "timestamp_utc >= timestamp '2024-01-02' and timestamp_utc < timestamp '2024-01-20' and logical_source_id = 'source-0' and (level is null or level <> 'DEBUG') and message ilike '%view%'"),
+    "filter_combined": (LogFilter(t(2024, 1, 2), t(2024, 1, 20), sources=("source-0",), not_levels=("DEBUG",), text="1: %S"), "timestamp_utc >= timestamp '2024-01-02' and timestamp_utc < timestamp '2024-01-20' and logical_source_id = 'source-0' and (level is null or level <> 'DEBUG') and message ilike '%1: %S%'"),
     "search_plain": (LogFilter(text="PURCHASE"), "message ilike '%PURCHASE%'"),
     "search_plain_wildcard": (LogFilter(text="#1_%err"), "message ilike '%#1_%err%'"),
-    "search_backslash": (LogFilter(text="a\\b"), "contains(lower(message), 'a\\b')"),
     "search_bool": (LogFilter(search=Text("error") & (Text("#1") | Text("#22")) | Text("signup")), "(message ilike '%error%' and (message ilike '%#1%' or message ilike '%#22%')) or message ilike '%signup%'"),
     "search_escaped": (LogFilter(search=Text("50%_error") | Text("#1")), "contains(lower(message), '50%_error') or contains(lower(message), '#1')"),
 }
@@ -102,6 +103,12 @@ for _name, (_flt, _sql) in FILTERS.items():
     query(_name, f"select * from LOGS where {_sql}")(_filtered(_flt))
 
 
+@query("search_backslash", "select record_index from LOGS where contains(lower(replace(message, '#', '\\')), 't \\1')")
+def _(spark, d):
+    rows = logs(spark, d).withColumn("message", F.translate("message", "#", "\\"))
+    return select_logs(rows, LogFilter(text="T \\1")).select("record_index")
+
+
 @query("search_documents", "select doc_id, lang from documents where (text ilike '%the%' and text ilike '%token%') or text ilike '%rights reserved%'")
 def _(spark, d):
     both = Text("the") & Text("token") | Text("rights reserved")
@@ -192,7 +199,7 @@ def _(spark, d):
 
 @query("distinct_runs", "select distinct ingest_run_id from LOGS")
 def _(spark, d):
-    return logs(spark, d).select("ingest_run_id").distinct()
+    return views.distinct_values(logs(spark, d), "ingest_run_id")
 
 
 @query("display_time_zone", "select record_index, strftime(timestamp_utc + interval 1 hour, '%Y-%m-%d %H:%M:%S.') || lpad(cast(millisecond(timestamp_utc) % 1000 as varchar), 3, '0') || ' +01:00' as shown_time from LOGS")
@@ -310,9 +317,15 @@ def _(spark, d):
     return logs(spark, d).select("record_index", made("/var/log/app-2024-01-%02d_10-11-12.log").alias("a"), made("C:\\x\\web-access.202401%02d.txt").alias("b"), tx.logical_source(F.lit("/l/20240102.log")).alias("c"))
 
 
-@query("identity_hash", "select record_index, substr(sha256(source_path || ':' || record_index || ':x'), 1, 16) as id, substr(sha256(substr(sha256('a'), 1, 16) || ':0'), 1, 16) as segment from LOGS")
+@query(
+    "identity_hash",
+    """with f as (select 'p' || c_custkey || '.log' as path, c_custkey * 10 as size, timestamp '2024-01-01' + to_minutes(cast(c_custkey as int)) as modified from customer),
+i as (select path, substr(sha256(path || ':' || size || ':' || strftime(modified, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00'), 1, 16) as physical_file_id from f)
+select path, physical_file_id, substr(sha256(physical_file_id || ':0'), 1, 16) as segment_id, replace(path, '.log', '') as logical_source_id from i""",
+)
 def _(spark, d):
-    return logs(spark, d).select("record_index", tx.short_id(F.col("source_path"), F.col("record_index").cast("string"), F.lit("x")).alias("id"), tx.segment_id(F.substring(F.sha2(F.lit("a"), 256), 1, 16)).alias("segment"))
+    files = table(spark, d, "customer").selectExpr("concat('p', c_custkey, '.log') as path", "c_custkey * 10 as size", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(c_custkey as int)) as modified")
+    return ingest.identified(files).select("path", "physical_file_id", "segment_id", "logical_source_id")
 
 
 @query("fields_json_extract", "select record_index, json_extract_string(fields, '$.k') as k from LOGS")
@@ -333,37 +346,50 @@ def _(spark, d):
 # Ingest: events written as lines, and read again
 
 
+def placed(rows: DataFrame, path: str, line: str) -> DataFrame:
+    """Lines in the events' order; their numbers have gaps."""
+    at = (F.col("event_id") + 2).alias("line_no")
+    return rows.select(F.expr(path).alias("path"), at, (at * 1000).alias("byte_end"), F.expr(line).alias("line"))
+
+
 def lined(rows: DataFrame, path: str, line: str) -> DataFrame:
-    order = Window.partitionBy("path").orderBy("event_id")
+    """Lines in the events' order, numbered as in a file."""
     made = rows.select(F.expr(path).alias("path"), "event_id", F.expr(line).alias("line"))
-    return made.withColumn("line_no", F.row_number().over(order).cast("long")).withColumn("byte_end", F.sum(F.octet_length("line") + 1).over(order)).select("path", "line_no", "byte_end", "line")
+    size = F.octet_length("line").cast("long") + 1
+    return running(made, "path", F.floor(F.col("event_id") / 50_000), "event_id", sums={"line_no": F.lit(1), "byte_end": size}).select("path", "line_no", "byte_end", "line")
 
 
 STAMP = "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+WORD = "case event_type when 'error' then 'err' when 'view' then 'dbg' else event_type end"
+LEVEL_SQL = "case event_type when 'error' then 'ERROR' when 'view' then 'DEBUG' else upper(event_type) end"
+TRACE = f"concat({STAMP}, ' ', {WORD}, ' event ', event_id, if(event_type = 'error', concat('\\n  at frame ', user_id, '\\n  at main'), ''))"
+TRACE_SQL = "'event ' || event_id || case when event_type = 'error' then chr(10) || '  at frame ' || user_id || chr(10) || '  at main' else '' end"
 
 
-@query(
-    "ingest_text_roundtrip",
-    """select ts as timestamp_utc, 'app-' || (user_id % 3) as logical_source_id, row_number() over (partition by user_id % 3 order by event_id) - 1 as record_index,
-case event_type when 'error' then 'ERROR' when 'view' then 'DEBUG' else upper(event_type) end as level, 'event ' || event_id || case when event_type = 'error' then chr(10) || '  at frame ' || user_id || chr(10) || '  at main' else '' end as message from events""",
-)
+def split_lines(rows: DataFrame) -> DataFrame:
+    """Lines of up to three lines each as lines of their own."""
+    return rows.select("path", F.posexplode(F.split("line", "\n")).alias("k", "line"), (F.col("line_no") * 3).alias("n"), "byte_end").select("path", (F.col("n") + F.col("k")).alias("line_no"), "byte_end", "line")
+
+
+@query("ingest_text_roundtrip", f"select ts as timestamp_utc, 'app-' || (user_id % 3) as logical_source_id, row_number() over (partition by user_id % 3 order by event_id) - 1 as record_index, {LEVEL_SQL} as level, {TRACE_SQL} as message from events")
 def _(spark, d):
-    word = "case event_type when 'error' then 'err' when 'view' then 'dbg' else event_type end"
-    rows = lined(table(spark, d, "events"), "concat('/logs/app-', user_id % 3, '.log')", f"concat({STAMP}, ' ', {word}, ' event ', event_id, if(event_type = 'error', concat('\\n  at frame ', user_id, '\\n  at main'), ''))")
-    split = rows.select("path", F.posexplode(F.split("line", "\n")).alias("k", "line"), (F.col("line_no") * 3).alias("n"), "byte_end").select("path", (F.col("n") + F.col("k")).alias("line_no"), "byte_end", "line")
-    return ingest.log_rows(ingest.text_records(split), "run-1")[0].select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
+    rows = split_lines(placed(table(spark, d, "events"), "concat('/logs/app-', user_id % 3, '.log')", TRACE))
+    return ingest.read_text(rows, "run-1").logs.select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
 
 
-@query(
-    "ingest_csv_roundtrip",
-    "select ts as timestamp_utc, row_number() over (order by event_id) - 1 as record_index, upper(event_type) as level, 'say \"' || event_type || '\", ' || user_id as message from events",
-)
+def csv_table(spark: SparkSession, d: str, path: str, files: int, head: str, line: str, place=placed) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "user_id", F.lit(False).alias("head"))
+    heads = spark.range(files).selectExpr("-1L as event_id", "timestamp_ntz'2024-01-01' as ts", "'' as event_type", "id as user_id", "true as head")
+    return place(rows.union(heads), path, f"if(head, '{head}', {line})")
+
+
+@query("ingest_csv_roundtrip", "select ts as timestamp_utc, row_number() over (order by event_id) - 1 as record_index, upper(event_type) as level, 'say \"' || event_type || '\", ' || user_id as message from events")
 def _(spark, d):
-    rows = table(spark, d, "events").select("event_id", "ts", "event_type", "user_id")
-    head = spark.range(1).selectExpr("-1L as event_id", "timestamp_ntz'2024-01-01' as ts", "'' as event_type", "0L as user_id")
-    line = f"""if(event_id < 0, 'timestamp,level,message', concat({STAMP}, ',', event_type, ',"say ""', event_type, '"", ', user_id, '"'))"""
-    good, _bad = ingest.csv_records(lined(rows.union(head), "'/logs/a.csv'", line))
-    return ingest.log_rows(good, "run-1")[0].select("timestamp_utc", "record_index", "level", "message")
+    rows = csv_table(spark, d, "'/logs/a.csv'", 1, "timestamp,level,message", f"""concat({STAMP}, ',', event_type, ',"say ""', event_type, '"", ', user_id, '"')""")
+    return ingest.read_csv(rows, "run-1").logs.select("timestamp_utc", "record_index", "level", "message")
+
+
+NDJSON = f"to_json(struct({STAMP} as timestamp, event_type as level, concat('m', event_id) as msg, user_id as who, event_id % 2 = 0 as even))"
 
 
 @query(
@@ -371,43 +397,187 @@ def _(spark, d):
     "select ts as timestamp_utc, row_number() over (partition by user_id % 2 order by event_id) - 1 as record_index, upper(event_type) as level, 'm' || event_id as message, cast(user_id as varchar) as who, case when event_id % 2 = 0 then 'true' else 'false' end as even from events",
 )
 def _(spark, d):
-    line = f"""to_json(struct({STAMP} as timestamp, event_type as level, concat('m', event_id) as msg, user_id as who, event_id % 2 = 0 as even))"""
-    good, _bad = ingest.ndjson_records(lined(table(spark, d, "events"), "concat('/logs/', user_id % 2, '.ndjson')", line))
-    return ingest.log_rows(good, "run-1")[0].select("timestamp_utc", "record_index", "level", "message", F.get_json_object("fields", "$.who").alias("who"), F.get_json_object("fields", "$.even").alias("even"))
+    rows = ingest.read_ndjson(placed(table(spark, d, "events"), "concat('/logs/', user_id % 2, '.ndjson')", NDJSON), "run-1").logs
+    return rows.select("timestamp_utc", "record_index", "level", "message", F.get_json_object("fields", "$.who").alias("who"), F.get_json_object("fields", "$.even").alias("even"))
+
+
+@query("csv_composite_time", "select ts as timestamp_utc, row_number() over (order by event_id) - 1 as record_index, 'm' || event_id as message from events")
+def _(spark, d):
+    rows = csv_table(spark, d, "'/logs/a.csv'", 1, "Date,x,Time,message,x", "concat(date_format(ts, 'yyyy-MM-dd'), ',,', date_format(ts, 'HH:mm:ss.SSSSSS'), ',m', event_id, ',last')")
+    return ingest.read_csv(rows, "run-1").logs.select("timestamp_utc", "record_index", "message")
 
 
 DAMAGED = {"csv": ("'/logs/' || (user_id % 4) || '.csv'", 5), "ndjson": ("'/logs/' || (user_id % 4) || '.ndjson'", 3)}
 REGIONS = """with e as (select {path} as path, event_id, event_type = 'error' or event_id % 13 = 0 as bad, row_number() over (partition by user_id % 4 order by event_id) as idx from events),
 b as (select *, idx - lag(idx) over (partition by path order by idx) as gap, max(idx) over (partition by path) as m from (select *, max(idx) over (partition by path) as last_idx from e) where bad),
 g as (select *, sum(case when gap is null or gap > {k} then 1 else 0 end) over (partition by path order by idx) as segment_seq from b)
-select path, cast(segment_seq as bigint) as segment_seq, min(idx) + {shift} as start_line, least(max(idx) + {k}, min(last_idx)) + {shift} as end_line, '{reason}' as reason_code from g group by path, segment_seq"""
+select substr(path, 7, 1) as logical_source_id, cast(segment_seq as bigint) as segment_seq, min(idx) + {shift} as start_line, least(max(idx) + {k}, min(last_idx)) + {shift} as end_line, '{reason}' as reason_code from g group by path, segment_seq"""
+REGION = ["logical_source_id", "segment_seq", "start_line", "end_line", "reason_code"]
 
 
 @query("ingest_csv_damage", REGIONS.format(path=DAMAGED["csv"][0], k=5, shift=1, reason="CsvColumnMismatch"))
 def _(spark, d):
-    rows = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    heads = spark.range(4).selectExpr("-1L as event_id", "id as user_id", "'' as event_type")
-    lines = lined(rows.union(heads), "concat('/logs/', user_id % 4, '.csv')", "if(event_id < 0, 'timestamp,level', if(event_type = 'error' or event_id % 13 = 0, 'x,y,z', 'x,y'))")
-    _good, bad = ingest.csv_records(lines)
-    data = lines.where("line_no > 1")
-    return ingest.regions(data, bad, "csv")[0].select("path", "segment_seq", "start_line", "end_line", "reason_code")
+    lines = csv_table(spark, d, "concat('/logs/', user_id % 4, '.csv')", 4, "timestamp,level", "if(event_type = 'error' or event_id % 13 = 0, 'x,y,z', '2024-01-01,y')", lined)
+    return ingest.read_csv(lines, "run-1").skips.select(*REGION)
 
 
 @query("ingest_ndjson_damage", REGIONS.format(path=DAMAGED["ndjson"][0], k=3, shift=0, reason="JsonMalformed"))
 def _(spark, d):
-    lines = lined(table(spark, d, "events"), "concat('/logs/', user_id % 4, '.ndjson')", "if(event_type = 'error' or event_id % 13 = 0, '{broken', '{\"a\": 1}')")
-    _good, bad = ingest.ndjson_records(lines)
-    return ingest.regions(lines, bad, "ndjson")[0].select("path", "segment_seq", "start_line", "end_line", "reason_code")
+    lines = lined(table(spark, d, "events"), "concat('/logs/', user_id % 4, '.ndjson')", """if(event_type = 'error' or event_id % 13 = 0, '{broken', '{"ts": "2024-01-01"}')""")
+    return ingest.read_ndjson(lines, "run-1").skips.select(*REGION)
+
+
+def mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Files of all formats and of none: events by user_id % 4 as traces, CSV with semicolons, NDJSON, and prose."""
+    rows = table(spark, d, "events")
+    text = split_lines(placed(rows.where("user_id % 4 = 0"), "'/logs/app-2024-01-02.log'", TRACE))
+    csv = csv_table(spark, d, "if(head or user_id % 4 = 1, '/logs/b.csv', '')", 1, "at;time;level;message", f"concat(event_id, ';', {STAMP}, ';', event_type, ';m', event_id)").where("path <> ''")
+    ndjson = placed(rows.where("user_id % 4 = 2"), "'/logs/c.ndjson'", NDJSON)
+    return text.union(csv).union(ndjson).union(placed(rows.where("user_id % 4 = 3"), "'/logs/d.txt'", "concat('nothing to tell of ', event_type)"))
+
+
+MIXED = f"""select ts as timestamp_utc, case user_id % 4 when 0 then 'app' when 1 then 'b' else 'c' end as logical_source_id, row_number() over (partition by user_id % 4 order by event_id) - 1 as record_index,
+ case user_id % 4 when 0 then {LEVEL_SQL} else upper(event_type) end as level, case user_id % 4 when 0 then {TRACE_SQL} else 'm' || event_id end as message from events where user_id % 4 < 3"""
+
+
+@query("ingest_mixed", MIXED)
+def _(spark, d):
+    return ingest.ingest(mixed(spark, d), "run-1").logs.select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
+
+
+@query(
+    "ingest_mixed_segments",
+    """select case user_id % 4 when 0 then 'app' when 1 then 'b' when 2 then 'c' else 'd' end as logical_source_id, case when user_id % 4 < 3 then min(ts) end as min_ts_utc, case when user_id % 4 < 3 then max(ts) end as max_ts_utc,
+ case when user_id % 4 < 3 then count(*) else 0 end as row_count, 'run-1' as last_ingest_run_id, true as active from events group by user_id % 4""",
+)
+def _(spark, d):
+    return ingest.ingest(mixed(spark, d), "run-1").segments.select("logical_source_id", "min_ts_utc", "max_ts_utc", "row_count", "last_ingest_run_id", "active")
+
+
+@query("ingest_unrecognized", "select 'd' as logical_source_id, cast(0 as bigint) as segment_seq, 'NotRecognized' as reason_code, 'No viable format detected for d.txt' as reason_detail")
+def _(spark, d):
+    return ingest.ingest(mixed(spark, d), "run-1").skips.select("logical_source_id", "segment_seq", "reason_code", "reason_detail")
+
+
+@query("detect_formats", "select * from (values ('/logs/app-2024-01-02.log', 'text', cast(null as varchar), 'ISO-8601', cast(null as varchar)), ('/logs/b.csv', 'csv', 'semicolon', null, 'time'), ('/logs/c.ndjson', 'ndjson', null, null, 'timestamp'), ('/logs/d.txt', 'unknown', null, null, null)) t(path, format, delimiter, shape, time_fields)")
+def _(spark, d):
+    return detected(mixed(spark, d)).select("path", "format", "delimiter", "shape", F.array_join("time_fields", ",").alias("time_fields"))
+
+
+@query("ingest_gate", "select * from (values ('/logs/b.csv'), ('/logs/c.ndjson')) t(path)")
+def _(spark, d):
+    return sure(detected(mixed(spark, d))).select("path").where("path not like '%.log'")
+
+
+def zipped(spark: SparkSession, d: str) -> DataFrame:
+    """Archives by user_id % 2, each with the traces of its events, a nested archive, and bytes that are no archive."""
+    from logweft.sources.lines import zip_archives
+
+    rows = placed(table(spark, d, "events"), "concat('/logs/', user_id % 2, '.zip')", TRACE)
+    text = rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    good = zip_archives(text.select("path", F.lit("in/app.log").alias("entry"), F.col("text").cast("binary").alias("content")).union(text.selectExpr("path", "'more.zip' as entry", "cast('x' as binary) as content")))
+    return good.union(spark.sql("select '/logs/bad.zip' as path, cast('no' as binary) as content"))
+
+
+@query("ingest_zip_roundtrip", f"select ts as timestamp_utc, '/logs/' || (user_id % 2) || '.zip!/in/app.log' as source_path, row_number() over (partition by user_id % 2 order by event_id) - 1 as record_index, {LEVEL_SQL} as level, {TRACE_SQL} as message from events")
+def _(spark, d):
+    entries = unzipped(zipped(spark, d))
+    return ingest.ingest(content_lines(entries), "run-1", problems=entries).logs.select("timestamp_utc", "source_path", "record_index", "level", "message")
+
+
+@query("ingest_zip_problems", "select * from (values ('/logs/0.zip!/more.zip', 'NestedArchive'), ('/logs/1.zip!/more.zip', 'NestedArchive'), ('/logs/bad.zip', 'ZipEntryCorrupt')) t(path, problem)")
+def _(spark, d):
+    return unzipped(zipped(spark, d)).where("problem is not null").select("path", "problem")
+
+
+@query("encodings", "select event_id, 'é – “' || event_type || '” €' as utf8, 'é – “' || event_type || '” €' as windows, 'é – “' || event_type || '” €' as utf16 from events")
+def _(spark, d):
+    text = F.concat(F.lit("é – “"), F.col("event_type"), F.lit("” €"))
+    western = F.concat(F.unhex(F.lit("E92096" + "2093")), F.col("event_type").cast("binary"), F.unhex(F.lit("942080")))
+    return table(spark, d, "events").select("event_id", decoded(text.cast("binary")).alias("utf8"), decoded(western).alias("windows"), decoded(F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).alias("utf16"))
+
+
+@query("timestamp_shapes", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || ',123Z' as iso, strftime(ts, '%Y/%m/%d  %H:%M:%S') || ',12' as slashes, strftime(ts, '%b %-d %H:%M:%S') as syslog, strftime(ts, '%d/%b/%Y:%H:%M:%S') || ' +0100' as clf, cast(epoch(date_trunc('second', ts)) as bigint)::varchar as epoch_s, cast(null as varchar) as inner_clf, ' rest' as after_clf from events")
+def _(spark, d):
+    ts = F.col("ts").cast("timestamp_ntz")
+    second = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.date_trunc("second", ts).cast("timestamp_ntz")).cast("string")
+    line = lambda form, end: F.concat(F.date_format(ts, form), F.lit(end))
+    clf = F.concat(F.lit("["), line("dd/MMM/yyyy:HH:mm:ss' +0100]'", " rest"))
+    told = {"iso": line("yyyy-MM-dd'T'HH:mm:ss',123Z'", " a"), "slashes": line("yyyy/MM/dd'  'HH:mm:ss',12'", " a"), "syslog": line("MMM d HH:mm:ss", " host"), "clf": clf, "epoch_s": F.concat(second, F.lit("\tx")), "inner_clf": F.concat(F.lit("GET "), clf)}
+    return table(spark, d, "events").select("event_id", *[stamp_text(c).alias(n) for n, c in told.items()], after_stamp_text(clf).alias("after_clf"))
+
+
+@query("field_synthesis", "select event_id, 'INFO' as level_a, 'start ' || event_id as message_a, event_type as subsource_a, 't' || user_id as task_a, 'WARN' as level_b, 'x' as subsource_b, 'low' as message_b, cast(null as varchar) as level_c, '>>> ' || event_type as message_c from events")
+def _(spark, d):
+    e, u = F.col("event_type"), F.col("user_id").cast("string")
+    a = ingest.after_stamp(F.concat(F.lit(" inf ["), e, F.lit("][t"), u, F.lit("] start "), F.col("event_id").cast("string")))
+    b, c = ingest.after_stamp(F.lit(" Warning [x]low ")), ingest.after_stamp(F.concat(F.lit(" >>> "), e, F.lit(" ")))
+    return table(spark, d, "events").select("event_id", a[0].alias("level_a"), a[1].alias("message_a"), a[2]["subsource"].alias("subsource_a"), a[2]["task_id"].alias("task_a"), b[0].alias("level_b"), b[2]["subsource"].alias("subsource_b"), b[1].alias("message_b"), c[0].alias("level_c"), c[1].alias("message_c"))
+
+
+@query("timestamp_candidates", "select date_trunc('second', ts) - interval 2 hour as timestamp_utc, 'FixedOffset' as timestamp_basis, 120 as timestamp_effective_offset_minutes, strftime(ts, '%Y-%m-%d %H:%M:%S') as timestamp_original, event_id from events")
+def _(spark, d):
+    rows = placed(table(spark, d, "events"), "'/logs/a.log'", "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' INFO at ', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'+02:00'\"), ' #', event_id)")
+    found = ingest.read_text(rows, "run-1").logs
+    return found.select("timestamp_utc", "timestamp_basis", "timestamp_effective_offset_minutes", "timestamp_original", F.regexp_extract("message", r"#(\d+)$", 1).cast("long").alias("event_id"))
+
+
+@query("timestamp_basis", "select event_id, date_trunc('second', ts) - interval 150 minute as fixed, 'FixedOffset' as fixed_basis, 150 as fixed_minutes, timestamp '2024-04-06 15:15:00' as twice, 'Zone' as zone_basis, 630 as zone_minutes from events")
+def _(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("a"), F.lit("2024-04-07 01:45:00").alias("b"))
+    rows = with_utc(rows, "a", "+02:30").withColumnsRenamed({"utc": "fixed", "basis": "fixed_basis", "offset_minutes": "fixed_minutes"})
+    return with_utc(rows, "b", "Australia/Lord_Howe").withColumnsRenamed({"utc": "twice", "basis": "zone_basis", "offset_minutes": "zone_minutes"}).drop("a", "b")
+
+
+def session(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A session's tables after the mixed files but the CSV were read once."""
+    first = ingest.ingest(mixed(spark, d).where("path <> '/logs/b.csv'"), "run-1")
+    return first.logs, first.skips, first.segments
+
+
+@query("reingest_empty", f"select logical_source_id, record_index, message from ({MIXED}) where logical_source_id = 'c'")
+def _(spark, d):
+    old = session(spark, d)
+    files = spark.sql("select '/logs/app-2024-01-02.log' as path")
+    again = ingest.ingest(mixed(spark, d).limit(0), "run-2", files=files)
+    return upkeep.reingested(*old, again).logs.select("logical_source_id", "record_index", "message")
+
+
+@query("reingest_skips", "select * from (values ('app', 'NotRecognized', cast(0 as bigint), 'run-2'), ('c', null, (select count(*) from events where user_id % 4 = 2), 'run-1'), ('d', null, (select count(*) from events where user_id % 4 = 3), 'run-2')) t(logical_source_id, reason_code, row_count, last_ingest_run_id)")
+def _(spark, d):
+    lines = placed(table(spark, d, "events").where("user_id % 4 = 3"), "'/logs/d.txt'", TRACE.replace("error", "none"))
+    files = spark.sql("select explode(array('/logs/app-2024-01-02.log', '/logs/d.txt')) as path")
+    now = upkeep.reingested(*session(spark, d), ingest.ingest(lines, "run-2", files=files))
+    return now.segments.join(now.skips.select("segment_id", "reason_code"), "segment_id", "left").select("logical_source_id", "reason_code", "row_count", "last_ingest_run_id")
+
+
+@query("run_records", "select 'run-' || i as run_id, case i when 1 then 'completed' when 2 then 'failed' else 'running' end as status, case when i < 3 then timestamp '2024-01-02' end as completed_utc from range(1, 4) t(i)")
+def _(spark, d):
+    runs = spark.createDataFrame([], upkeep.RUNS)
+    for i in (1, 2, 3):
+        runs = upkeep.started(runs, f"run-{i}", t(2024, 1, 1))
+    runs = upkeep.ended(upkeep.ended(runs, "run-1", t(2024, 1, 2)), "run-2", t(2024, 1, 2), "failed")
+    return runs.select("run_id", "status", "completed_utc")
+
+
+@query(
+    "segment_metadata",
+    f"with {FILES_SQL} select segment_id, coalesce(size, file_size_bytes) as file_size_bytes, coalesce(modified, last_modified_utc) as last_modified_utc, case when path is not null then sha256(path) end as file_hash from s left join f on path = source_path",
+)
+def _(spark, d):
+    files, segments = files_and_segments(spark, d)
+    files = hashed(files.drop("hash").withColumn("content", F.col("path").cast("binary")))
+    return upkeep.with_metadata(segments, files).select("segment_id", "file_size_bytes", "last_modified_utc", "file_hash")
 
 
 @query(
     "timestamp_parse",
-    "select event_id, date_trunc('second', ts) as iso, date_trunc('second', ts) - interval 2 hour as offset_iso, date_trunc('second', ts) as epoch, date_trunc('second', ts) - interval 1 hour as clf, date_trunc('second', ts) - interval 1 hour as rome, date_trunc('second', ts) as two_digits, date_trunc('second', ts) as american from events",
+    "select event_id, date_trunc('second', ts) as iso, date_trunc('second', ts) - interval 2 hour as offset_iso, date_trunc('second', ts) as epoch, date_trunc('second', ts) - interval 1 hour as clf, date_trunc('second', ts) - interval 1 hour as rome, date_trunc('second', ts) as two_digits, date_trunc('second', ts) as american, date_trunc('second', ts) + interval 250 millisecond as fraction from events",
 )
 def _(spark, d):
     ts = F.date_trunc("second", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")
     rows = table(spark, d, "events").select("event_id", ts.alias("s"))
-    forms = {"iso": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "UTC"), "offset_iso": ("yyyy-MM-dd HH:mm:ss'+02:00'", "UTC"), "clf": ("dd/MMM/yyyy:HH:mm:ss' +0100'", "UTC"), "rome": ("yyyy/MM/dd HH:mm:ss", "Europe/Rome"), "two_digits": ("yy-MM-dd HH:mm:ss", "UTC"), "american": ("MM/dd/yyyy HH:mm:ss", "UTC")}
+    forms = {"iso": ("yyyy-MM-dd'T'HH:mm:ss'Z'", "UTC"), "offset_iso": ("yyyy-MM-dd HH:mm:ss'+02:00'", "UTC"), "clf": ("dd/MMM/yyyy:HH:mm:ss' +0100'", "UTC"), "rome": ("yyyy/MM/dd HH:mm:ss", "Europe/Rome"), "two_digits": ("yy-MM-dd HH:mm:ss", "UTC"), "american": ("MM/dd/yyyy HH:mm:ss", "UTC"), "fraction": ("MM/dd/yyyy HH:mm:ss'.250'", "UTC")}
     epoch = F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("s")).cast("string")
     rows = rows.select("event_id", epoch.alias("epoch_text"), *[F.date_format("s", f).alias(f"{n}_text") for n, (f, _) in forms.items()])
     for n, zone in {"epoch": "UTC", **{n: z for n, (_, z) in forms.items()}}.items():

@@ -19,10 +19,10 @@ def ordered(logs: DataFrame, flt: LogFilter = LogFilter()) -> DataFrame:
     return logs.where(flt.column()).select(*COLUMNS).orderBy(*KEY)
 
 
-def csv_lines(logs: DataFrame) -> DataFrame:
+def csv_lines(logs: DataFrame, *keep: str) -> DataFrame:
     """Lines of CSV: quoted only where it must be, null as empty, times with seven fractional digits."""
     cells = [csv_cell(F.date_format(c, STAMP) if c == "timestamp_utc" else F.col(c).cast("string")) for c in COLUMNS]
-    return logs.select(F.concat_ws(",", *cells).alias("value"))
+    return logs.select(*keep, F.concat_ws(",", *cells).alias("value"))
 
 
 def json_lines(logs: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def json_lines(logs: DataFrame) -> DataFrame:
 
 
 def export(logs: DataFrame, path: str, kind: str, flt: LogFilter = LogFilter(), about: dict[str, str] | None = None) -> None:
-    """Writes a folder of files; ``about`` goes to a metadata file beside them, or into Parquet's footers' schema."""
+    """Writes a folder of files in key order, of CSV with a header in the first; ``about`` goes to a metadata file beside them,
+    or into Parquet's footers' schema."""
     rows = ordered(logs, flt)
     if kind == "parquet":
         if about:
@@ -51,8 +52,10 @@ def export(logs: DataFrame, path: str, kind: str, flt: LogFilter = LogFilter(),
         rows.write.mode("overwrite").parquet(path)
         return
     if kind == "csv":
-        csv_lines(rows).write.mode("overwrite").option("header", False).text(path)
-        rows.sparkSession.createDataFrame([(",".join(COLUMNS),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_header")
+        # the header is the first line of the first file
+        none = logs.sparkSession.range(1).select(F.lit(",".join(COLUMNS)).alias("value"), F.lit(0).alias("at"), *[F.lit(None).cast(logs.schema[c].dataType).alias(c) for c in KEY])
+        lines = none.unionByName(csv_lines(logs.where(flt.column()), *KEY).withColumn("at", F.lit(1)))
+        lines.orderBy("at", *KEY).select("value").write.mode("overwrite").text(path)
     else:
         json_lines(rows).write.mode("overwrite").text(path)
     if about:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions.text import logical_source
-from logweft.functions.times import stamp_text, with_utc
+from logweft.functions.times import after_stamp_text, stamp_text, with_utc
 from logweft.operators.ingest import after_stamp
 
 
@@ -14,7 +14,7 @@ def tail(spark: SparkSession, folder: str, zone: str = "UTC") -> DataFrame:
     """A row for each line that begins with a timestamp, as files come in."""
     lines = spark.readStream.text(folder).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
     timed = with_utc(lines.withColumn("stamp", stamp_text(F.col("line"))).where("stamp is not null"), "stamp", zone)
-    level, message, _ = after_stamp(F.expr("substring(line, instr(line, stamp) + length(stamp))"))
+    level, message, _ = after_stamp(after_stamp_text(F.col("line")))
     return timed.where("utc is not null").select(F.col("utc").cast("timestamp").alias("timestamp_utc"), logical_source(F.col("path")).alias("logical_source_id"), level.alias("level"), message.alias("message"))
 
 
