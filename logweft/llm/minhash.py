@@ -300,7 +300,7 @@ def kept_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     keys = told.join(shared, "doc_id", "left_semi").where("kept and set_key is not null").select("doc_id", "set_key").distinct()
     by_key = signed_rows(again, width)
     first = Window.partitionBy("doc_id", "_set").orderBy("text", F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind]))
-    one = by_key.where("_set is not null").withColumnRenamed("_set", "set_key").join(keys, ["doc_id", "set_key"], "left_semi").withColumnRenamed("set_key", "_set")
+    one = by_key.where("_set is not null").join(keys.withColumnsRenamed({"doc_id": "_id", "set_key": "_key"}), (F.col("doc_id") == F.col("_id")) & (F.col("_set") == F.col("_key")), "left_semi")
     one = one.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*docs.columns)
     out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return out.union(one).union(by_key.where("_set is null").select(*docs.columns))
