@@ -7,9 +7,9 @@ language: a word that any language has counts as a word; an unseen word counts b
 are known, of the greatest length that has any. The score is the share of the best language by the mean log per word, so
 it doesn't go to 1 merely because a text is long.
 
-Frequent words (at least ``HEAD`` of all words, so at most 1/HEAD of them at any size) are broadcast and summed where the
-text is; the other words of a text leave the task as (text, word, count), are joined with the word table, and what that
-table doesn't have is joined with the n-gram table. The split changes the way, not the result: log shares are whole
+The most frequent words (``HEAD`` at most, at any size) are broadcast and summed where the text is; the other words of a
+text leave the task as (text, word, count), are joined with the word table, and what that table doesn't have is joined with
+the n-gram table. The split changes the way, not the result: log shares are whole
 numbers of 1/65536, so sums don't depend on their order.
 
 A run of more than ``LONGEST`` letters, as in scripts without blanks, is taken as windows of so many letters that overlap
@@ -32,14 +32,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, map_rows, text_key, written
 
-#: Words with at least this share of all training words are broadcast: at most 1/HEAD of them.
-HEAD = 5e-6
+#: Words that are broadcast, at most, and their log shares, at most.
+HEAD, HEAD_LOGS = 200_000, 8_000_000
 #: Least share of a language's n-grams of a length that makes one typical: at most 1/TYPICAL a language and length.
 TYPICAL = 5e-5
 LENGTHS = (4, 3, 2, 1)
@@ -69,11 +68,6 @@ class Model:
     #: By language, the share of typical n-grams over all training rows and the standard error of one n-gram.
     evidence: dict[str, tuple[float, float]] = field(default_factory=dict)
 
-    @property
-    def floor(self) -> float:
-        """Log share of what a language doesn't have: half a word of all, for every language alike."""
-        return float(np.log(0.5 / sum(self.word_totals)))
-
 
 def words_of(text: str | None, find) -> list[str]:
     """The words of a text, in lower case; a long run as windows, marked by a bar and with the run's own ends."""
@@ -178,8 +172,10 @@ def evidence(words: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
     return out
 
 
-def logs(counts: Column, totals: list, floor: float) -> Column:
-    """Log shares of an array of counts by language, in units."""
+def logs(counts: Column, totals: list) -> Column:
+    """Log shares of an array of counts by language, in units. What a language doesn't have counts as half of one of all,
+    for every language alike: below all that it may have."""
+    floor = float(np.log(0.5 / max(1, sum(totals))))
     share = lambda n, t: F.when(n > 0, F.log(n / t)).otherwise(F.lit(floor))
     return F.zip_with(counts, F.array(*[F.lit(float(max(t, 1))) for t in totals]), lambda n, t: F.round(share(n, t) * UNIT).cast("long"))
 
@@ -187,7 +183,7 @@ def logs(counts: Column, totals: list, floor: float) -> Column:
 def word_logs(model: Model, where: Column | None = None) -> DataFrame:
     """(word, v): log shares by language of every counted word, or of those that ``where`` holds for."""
     words = model.words if where is None else model.words.where(where)
-    return words.select("word", logs(F.col("c"), model.word_totals, model.floor).alias("v"))
+    return words.select("word", logs(F.col("c"), model.word_totals).alias("v"))
 
 
 def unseen_logs(model: Model, words: DataFrame) -> DataFrame:
@@ -196,17 +192,29 @@ def unseen_logs(model: Model, words: DataFrame) -> DataFrame:
     many = len(model.langs)
     by_length = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for k in LENGTHS:
-        by_length = by_length.when(F.length("gram") == k, logs(F.col("c"), model.gram_totals[k], model.floor))
+        by_length = by_length.when(F.length("gram") == k, logs(F.col("c"), model.gram_totals[k]))
     known = grams_of(words, "word").join(model.grams.select("gram", by_length.alias("v")), "gram")
     means = known.groupBy("word", F.length("gram").alias("k")).agg(F.array(*[F.round(F.sum(F.col("v")[i]) / F.count("*")).cast("long") for i in range(many)]).alias("v"))
     return means.groupBy("word").agg(F.max_by("v", "k").alias("v"))
 
 
+def frequent(model: Model) -> Column:
+    """Marks of the most frequent words: those above the least count that so many words reach at most, by a histogram."""
+    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    bars = model.words.select(n.alias("n")).groupBy(F.floor(F.log2("n") * 8).alias("bar")).agg(F.count("*").alias("k"), F.min("n").alias("n")).orderBy(F.desc("bar")).collect()
+    least, many = 2**62, 0
+    for r in bars:
+        if (many := many + r.k) > min(HEAD, HEAD_LOGS // len(model.langs)):
+            break
+        least = r.n
+    return n >= least
+
+
 def head_sums(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """``keep``, key (of the text), n (its words), v (log shares of its frequent words), cover, and rest: its other words with counts."""
-    often = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x) >= HEAD * sum(model.word_totals)
-    head = [(r.word, r.v) for r in word_logs(model, often).collect()]  # at most 1/HEAD
-    place, table = {w: i for i, (w, _) in enumerate(head)}, np.array([v for _, v in head] or np.zeros((0, len(model.langs))), np.int64).reshape(-1, len(model.langs))
+    """``keep``, n (the text's words), v (log shares of its frequent words), cover, and rest: its other words with counts."""
+    head = word_logs(model, frequent(model)).toArrow()  # at most HEAD words
+    place = {w: i for i, w in enumerate(head.column("word").to_pylist())}
+    table = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy().astype(np.int32) for c in head.column("v").chunks)]).reshape(-1, len(model.langs))
     shared = docs.sparkSession.sparkContext.broadcast((place, table, model.typical))
     many, gate = len(model.langs), bool(model.evidence)
 
@@ -224,60 +232,60 @@ def head_sums(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...]) -
             return (rows * np.fromiter(words.values(), np.float64, len(words))[:, None]).sum(axis=0).tolist()
 
         def run(*columns):
-            keys, sizes, sums, covered, rest = [], [], [], [], []
+            sizes, sums, covered, rest = [], [], [], []
             for t in columns[-1]:
                 words = words_of(t, find)
                 counts = Counter(words)
                 at = [i for w in words if (i := get(w)) is not None]
-                keys.append(xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")))
                 sizes.append(len(words))
-                sums.append(table[at].sum(axis=0).tolist())
+                sums.append(table[at].sum(axis=0, dtype=np.int64).tolist())
                 covered.append(cover(counts) if gate and counts else None)
                 rest.append([{"word": w, "n": n} for w, n in counts.items() if w not in place] if len(at) < len(words) else [])
-            return [*columns[:-1], keys, sizes, sums, covered, rest]
+            return [*columns[:-1], sizes, sums, covered, rest]
 
         return run
 
     kinds = dict(docs.dtypes)
-    return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", key binary, n bigint, v array<bigint>, cover array<double>, rest array<struct<word: string, n: bigint>>", make)
+    return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n bigint, v array<bigint>, cover array<double>, rest array<struct<word: string, n: bigint>>", make)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), made: list[DataFrame] | None = None) -> DataFrame:
-    """``keep``, key, lang_pred, score and enough: whether the text has the evidence that the model asks for. The tables that
+    """``keep``, lang_pred, score and enough: whether the text has the evidence that the model asks for. The tables that
     the result still reads are added to ``made``."""
     many = len(model.langs)
     if not many:
-        return docs.select(*keep, F.lit(b"").alias("key"), F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("enough"))
-    first = written(head_sums(docs, model, text, tuple(keep)), "texts")
-    rest = first.select("key", F.explode("rest").alias("r")).select("key", F.col("r.word").alias("word"), F.col("r.n").alias("m"))
-    # each word is told once, then joined with the texts that have it
+        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("enough"))
+    # rows get their number as they are written, so it stays
+    first = written(head_sums(docs, model, text, tuple(keep)).withColumn("row_id", F.monotonically_increasing_id()), "texts")
+    rest = first.select("row_id", F.explode("rest").alias("r")).select("row_id", F.col("r.word").alias("word"), F.col("r.n").alias("m"))
+    # each word is told once, then joined with the texts that have it; what all languages get alike is left out
     asked = written(rest.select("word").distinct(), "asked")
     seen, unseen = word_logs(model).join(asked, "word", "left_semi"), asked.join(model.words, "word", "left_anti")
-    told = written(seen.union(unseen_logs(model, unseen)).withColumnRenamed("v", "w"), "told")
-    sums = rest.join(told, "word").groupBy("key").agg(*[F.sum(F.col("w")[i] * F.col("m")).alias(f"w{i}") for i in range(many)])
-    # of equal texts each brings the same words, so their sums are divided by how many they are
-    copies = first.groupBy("key").agg(F.count("*").alias("copies"))
-    sums = written(sums.join(copies, "key").select("key", F.array(*[(F.col(f"w{i}") / F.col("copies")).cast("long") for i in range(many)]).alias("w")), "sums")
+    # what a language has more than the one that has least; rare words are mostly of one language
+    more = F.posexplode(F.transform("v", lambda x: x - F.array_min("v"))).alias("l", "d")
+    told = written(seen.union(unseen_logs(model, unseen)).select("word", more).where("d != 0"), "told")
+    sums = rest.join(told, "word").groupBy("row_id", "l").agg(F.sum(F.col("d") * F.col("m")).alias("s"))
+    sums = written(sums.groupBy("row_id").agg(F.array(*[F.sum(F.when(F.col("l") == i, F.col("s")).otherwise(0)) for i in range(many)]).alias("w")), "sums")
     for t in (asked, told):
         dropped(t)
     if made is not None:
         made += [first, sums]
-    both = first.select(*keep, "key", "n", "v", "cover").join(sums, "key", "left")
+    both = first.select(*keep, "row_id", "n", "v", "cover").join(sums, "row_id", "left")
     both = both.withColumn("v", F.when(F.col("w").isNull(), F.col("v")).otherwise(F.zip_with("v", "w", lambda a, b: a + b)))
-    means = F.transform("v", lambda x: x / F.lit(float(UNIT)) / F.col("n"))
+    means = F.transform("v", lambda x: x / F.lit(float(UNIT)) / F.greatest("n", F.lit(1)))
     best = F.array_max("v")
     at = F.array_position("v", best)
     share = F.lit(1.0) / F.aggregate(means, F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max(means)))
     named = F.col("n") > 0
-    out = both.select(*keep, "key", "cover", named.alias("named"), at.cast("int").alias("at"), share.alias("share"))
+    out = both.select(*keep, "cover", named.alias("named"), at.cast("int").alias("at"), share.alias("share"))
     langs = F.array(*[F.lit(x) for x in model.langs])
     enough = F.lit(True)
     if model.evidence:
         told = [model.evidence.get(x, (0.0, 0.0)) for x in model.langs]
         held, all_grams = F.element_at("cover", F.col("at")), F.element_at("cover", F.lit(many + 1))
-        least = PART * F.element_at(F.array(*[F.lit(s) for s, _ in told]), F.col("at")) - ERRORS * F.element_at(F.array(*[F.lit(e) for _, e in told]), F.col("at")) / F.sqrt(all_grams)
-        enough = (held > 0) & (held / all_grams >= least)
-    return out.select(*keep, "key", F.when(F.col("named"), F.element_at(langs, F.col("at"))).otherwise(F.lit(UND)).alias("lang_pred"), F.when(F.col("named"), F.col("share")).otherwise(F.lit(0.0)).alias("score"), F.when(F.col("named"), enough).otherwise(F.lit(False)).alias("enough"))
+        least = PART * F.element_at(F.array(*[F.lit(s) for s, _ in told]), F.col("at")) - ERRORS * F.element_at(F.array(*[F.lit(e) for _, e in told]), F.col("at")) / F.sqrt(F.greatest(all_grams, F.lit(1.0)))
+        enough = (held > 0) & (held >= least * all_grams)
+    return out.select(*keep, F.when(F.col("named"), F.element_at(langs, F.col("at"))).otherwise(F.lit(UND)).alias("lang_pred"), F.when(F.col("named"), F.col("share")).otherwise(F.lit(0.0)).alias("score"), F.when(F.col("named"), enough).otherwise(F.lit(False)).alias("enough"))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
