@@ -35,12 +35,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+def highest(ranks: dict[bytes, int]) -> int:
+    """The highest rank; files may have gaps."""
+    if (found := HIGHEST.get(id(ranks))) is None or found[0] is not ranks:
+        HIGHEST.clear()
+        HIGHEST[id(ranks)] = found = (ranks, max(ranks.values(), default=0))
+    return found[1]
+
+
+HIGHEST: dict[int, tuple[dict[bytes, int], int]] = {}
+
+
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one piece."""
     if (whole := ranks.get(piece)) is not None:
         return [whole]
     n = len(piece)
-    none = len(ranks) + 256  # above every rank
+    none = highest(ranks) + 1
     get = ranks.get
     size = 1 << (n - 2).bit_length() if n > 2 else 1
     level = [get(piece[i : i + 2], none) for i in range(n - 1)] + [none] * (size - n + 1)

@@ -4,11 +4,13 @@ import hashlib
 import re
 
 import duckdb
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logweft.llm import langid, pii_semicrf, queries
+from logweft.llm import bpe, langid, pii_semicrf, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,8 +44,8 @@ def test_pipeline_against_plain(spark):
     """The stages' decisions one document at a time: language by the model, all pairs for near copies, all windows for leaks."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
-    of = langid.scorer(langid.train(docs, F.lit(True)))
-    left = [i for i, r in sorted(rows.items()) if of(r.text)[0] != "und" and of(r.text)[1] >= corpus_pipeline.LEAST_SCORE]
+    told = {r.doc_id: r for r in langid.scored(docs, langid.train(docs, F.lit(True), gate=True)).collect()}
+    left = [i for i in sorted(rows) if told[i].lang_pred != "und" and told[i].score >= corpus_pipeline.LEAST_SCORE and told[i].enough]
     words = {i: (rows[i].text or "").encode().lower().split() for i in left}
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for i, w in words.items()}
     parent = {i: i for i in left}
@@ -64,12 +66,13 @@ def test_pipeline_against_plain(spark):
     left = [i for i in left if not any(w and len(w & windows(rows[i].text)) >= 0.8 * len(w) for w in items)]
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert sorted(got) == left
-    weights = dict(pii_semicrf.START)
+    weights = pii_semicrf.train(docs.where(F.col("doc_id").isin(left)))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(queries.RANKS_FILE)), special_tokens={})
     for i in left:
-        if not pii_semicrf.lattice(rows[i].text):
-            assert got[i].decoded_sha256 == hashlib.sha256(rows[i].text.encode()).hexdigest()
-        elif pii_semicrf.base_spans(rows[i].text):
-            assert got[i].decoded_sha256 == hashlib.sha256(pii_semicrf.masked(rows[i].text, weights).encode()).hexdigest()
+        text = pii_semicrf.masked(rows[i].text, weights)
+        ids = library.encode_ordinary(text)
+        assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
 
 
 def test_language_gate_does_not_saturate(spark):
