@@ -159,7 +159,7 @@ def as_logs(rows: DataFrame, run: str) -> DataFrame:
 
 def skip_rows(rows: DataFrame) -> DataFrame:
     """(path, ids, start and end, reason, detail, sample) numbered within each file, from 1, by where they start."""
-    ordered = running(rows.withColumn("line_no", F.col("start_line")).withColumn("at", F.struct("start_line", "rank")), "path", stretch(), "at", sums={"segment_seq": F.lit(1)})
+    ordered = running(rows.persist().withColumn("line_no", F.col("start_line")).withColumn("at", F.struct("start_line", "rank")), "path", stretch(), "at", sums={"segment_seq": F.lit(1)})
     return ordered.select(*SKIP_COLUMNS)
 
 
@@ -197,13 +197,17 @@ def read_told(told: DataFrame, ends: DataFrame, kind: str, run: str) -> Read:
     # a region begins with a bad line that comes more than K lines after the last one, and ends with the K-th good line
     gap = F.col("idx") - F.col("bad_before")
     starts, stop = ~good & (gap.isNull() | (gap > k)), F.col("idx") == F.col("stop_idx")
-    events = kept.select("path", "logical_source_id", "segment_id", "line_no", "byte_end", "bad", "detail", "sample", starts.alias("starts"), F.coalesce(stop, F.lit(False)).alias("stop"), (good & (gap == k)).alias("ends")).where("starts or ends or stop")
-    events = running(events, "path", stretch(), "line_no", sums={"region": F.col("starts").cast("long")})
+    unread = good & F.col("utc").isNull()
+    events = kept.select("path", "logical_source_id", "segment_id", "line_no", "byte_end", "bad", "detail", "sample", "head", starts.alias("starts"), F.coalesce(stop, F.lit(False)).alias("stop"), (good & (gap == k)).alias("ends"), unread.alias("unread")).where("starts or ends or stop or unread")
+    # a few rows a region: kept, so that the lines are read for them once
+    events = events.persist()
+    missed = events.where("unread")
+    events = running(events.where("starts or ends or stop"), "path", stretch(), "line_no", sums={"region": F.col("starts").cast("long")})
     at = lambda flag, *c: F.max(F.when(F.col(flag), F.struct(*c)))
     found = events.groupBy("path", "region").agg(F.first("logical_source_id").alias("logical_source_id"), F.first("segment_id").alias("segment_id"), at("starts", "line_no", "byte_end", "bad", "detail", "sample").alias("s"), F.max(F.when(F.col("ends") | F.col("stop"), F.struct("line_no", "byte_end"))).alias("e"), F.max("stop").alias("stop")).join(ends, "path")
     region = found.select("path", "logical_source_id", "segment_id", F.lit(0).alias("rank"), F.col("s.line_no").alias("start_line"), F.coalesce("e.line_no", "last_line").alias("end_line"), F.col("s.byte_end").alias("start_offset"), F.coalesce("e.byte_end", "last_byte").alias("end_offset"), F.col("s.bad").alias("reason_code"), F.col("s.detail").alias("reason_detail"), F.col("s.sample").cast("binary").alias("sample_prefix"))
     abandoned = events.where("stop").select("path", "logical_source_id", "segment_id", F.lit(2).alias("rank"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(None).cast("long").alias("start_offset"), F.lit(None).cast("long").alias("end_offset"), F.lit("Abandoned").alias("reason_code"), F.lit(f"Abandoned after {ABANDON} consecutive bad lines").alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix"))
-    return Read(logs, skip_rows(region.union(abandoned).union(unread_times(kept.where(good & F.col("utc").isNull()), F.col("head")))))
+    return Read(logs, skip_rows(region.union(abandoned).union(unread_times(missed, F.col("head")))))
 
 
 def file_ends(lines: DataFrame) -> DataFrame:
