@@ -1,4 +1,4 @@
-"""The queries op1 to op10, each over its whole table with production parameters, and their DuckDB twins."""
+"""The queries op1 to op13, each over its whole table with production parameters, and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, matroska, minhash, pii_semicrf, quality_mil, secrets_index, url_filter, warc
+from . import bpe, decontam, filter_audit, langid, matroska, minhash, phrases, pii_semicrf, quality_mil, secrets_index, turns, url_filter, warc
 from .common import dropped, id_mod, table, written
 
 #: The rank file of op10; the folder of public tokenizers is installed on every machine.
@@ -75,6 +75,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS_FILE), public_tokenizers.PATTERN)
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return turns.repair(rows, turns.damaged(rows))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.recurring(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_matroska": op2_matroska,
@@ -86,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_bpe": op10_bpe,
+    "op11_turns": op11_turns,
+    "op12_phrases": op12_phrases,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -116,4 +132,7 @@ c as (select id, min(other) as component from reach group by id)
 select k.doc_id, cast(k.n as bigint) as n_shingles, coalesce(c.component, k.doc_id) as component_id, k.doc_id = coalesce(c.component, k.doc_id) as kept
 from k left join r on r.k = k.k and k.n > 0 left join c on c.id = r.id
 """,
+    "op11_turns": turns.TWIN,
+    "op12_phrases": phrases.TWIN,
+    "op13_filter_audit": filter_audit.TWIN,
 }
