@@ -10,17 +10,19 @@ and ``read_ndjson`` take lines of one format.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweft.functions.json_text import json_fields
 from logweft.functions.text import SEPARATORS, cells, file_id, logical_source, normal_level, segment_id, string_fields
 from logweft.functions.times import TIME_FIELDS, after_stamp_text, alternate_text, preferred, stamp_text, with_utc
 from logweft.operators.running import PART, along, by_stretch, running, stretched
 from logweft.operators.views import segment_statistics
 from logweft.schema import COLUMNS, SKIPS
+from logweft.sources.shared import written
 from logweft.sources.lines import DATE_NAMES, DETECTED, TIME_NAMES, detected
 
 #: Continuation lines that a text record may have.
@@ -41,15 +43,23 @@ HEAD_LEVEL = r"^\s*(\w+)\s+(.+)$"
 SKIP_COLUMNS = SKIPS.fieldNames()
 
 
-@dataclass
 class Read:
-    logs: DataFrame
-    skips: DataFrame
+    """Logs, and skips, which are made when they are asked for."""
+
+    def __init__(self, logs: DataFrame, skips: DataFrame | Callable[[], DataFrame]):
+        self.logs, self._skips = logs, skips
+
+    @property
+    def skips(self) -> DataFrame:
+        if not isinstance(self._skips, DataFrame):
+            self._skips = self._skips()
+        return self._skips
 
 
-@dataclass
 class Ingested(Read):
-    segments: DataFrame
+    def __init__(self, logs: DataFrame, skips: DataFrame | Callable[[], DataFrame], segments: DataFrame):
+        super().__init__(logs, skips)
+        self.segments = segments
 
 
 def stretch() -> Column:
@@ -114,9 +124,21 @@ def prepared(lines: DataFrame, files: DataFrame | None) -> DataFrame:
 
 
 IDENTITY = ["logical_source_id", "physical_file_id", "segment_id"]
+#: Columns of lines that were read by ranges.
+RANGED = ["start", "is_end", "problem"]
 TOLD = ["path", "line_no", "byte_end", *IDENTITY, "utc", "basis", "offset_minutes", "original", "level", "message"]
 
 
+def ranged(rows: DataFrame) -> list[str]:
+    return [c for c in RANGED if c in rows.columns]
+
+
+def filled(rows: DataFrame, more: Column | None = None) -> DataFrame:
+    """Lines that aren't blank, and the rows that close ranges, which have no line."""
+    full = F.trim("line") != ""
+    return rows.where(F.col("line").isNull() | (full if more is None else full & more))
+
+
 def told_text(lines: DataFrame, zone: str, shape: Column | None = None, pattern: str | None = None) -> DataFrame:
     """Each line: does it open a record, and if so its time (of two in the line the better one), level, message and fields."""
     first = stamp_text(F.col("line"), shape)
@@ -125,7 +147,7 @@ def told_text(lines: DataFrame, zone: str, shape: Column | None = None, pattern:
     rows = rows.withColumns({"stamp": stamp, "original": original, "rest": after_stamp_text(F.col("line"), shape)})
     level, message, fields = after_stamp(F.col("rest"), pattern)
     rows = rows.withColumns({"level": level, "message": message, "fields_json": string_fields(fields), "opens": F.col("first").isNotNull()})
-    return with_utc(rows, "stamp", zone).select(*TOLD, "fields_json", "opens", "line")
+    return with_utc(rows, "stamp", zone).select(*TOLD, *ranged(rows), "fields_json", "opens", "line")
 
 
 def told_csv(lines: DataFrame, zone: str, separator: str | None = ",") -> DataFrame:
@@ -133,21 +155,21 @@ def told_csv(lines: DataFrame, zone: str, separator: str | None = ",") -> DataFr
     separator also ``delimiter``. Of columns with one name the last counts."""
     line = F.col("line")
     cut = cells(line, separator) if separator else reduce(lambda c, kv: c.when(F.col("delimiter") == kv[0], cells(line, kv[1])), SEPARATORS.items(), F.when(F.lit(False), F.array().cast("array<string>")))
-    rows = lines.where((F.trim("line") != "") & (F.col("header_line").isNull() | (F.col("line_no") > F.col("header_line")))).withColumn("cells", cut)
+    rows = filled(lines, F.col("header_line").isNull() | (F.col("line_no") > F.col("header_line"))).withColumn("cells", cut)
     good = F.size("cells") == F.size("names")
     once = F.array_distinct("names")
     last = F.transform(once, lambda n: F.element_at("cells", F.size("names") - F.array_position(F.reverse("names"), n).cast("int") + 1))
     rows = rows.withColumns({"fields": F.when(good, F.map_from_arrays(once, last)), "bad": F.when(~good, "CsvColumnMismatch"), "detail": F.when(~good, F.format_string("expected %d columns, found %d", F.size("names"), F.size("cells")))})
-    return structured(rows, zone).select(*TOLD, "fields_json", "bad", "detail", F.when(F.col("bad").isNotNull(), F.substring("line", 1, SAMPLE)).alias("sample"), F.when(F.col("utc").isNull(), F.substring("line", 1, SAMPLE)).alias("head"))
+    return structured(rows, zone).select(*TOLD, *ranged(rows), "fields_json", "bad", "detail", F.when(F.col("bad").isNotNull(), F.substring("line", 1, SAMPLE)).alias("sample"), F.when(F.col("utc").isNull(), F.substring("line", 1, SAMPLE)).alias("head"))
 
 
 def told_ndjson(lines: DataFrame, zone: str) -> DataFrame:
-    """Each line: its fields (every value as text; null as empty, nested values as JSON), or why it is bad."""
-    rows = lines.where(F.trim("line") != "")
-    is_object = F.col("line").rlike(r"^\s*\{") & F.try_parse_json("line").isNotNull()
-    fields = F.transform_values(F.from_json("line", "map<string,string>"), lambda _, v: F.coalesce(v, F.lit("")))
-    rows = rows.withColumn("is_object", is_object).withColumns({"fields": F.when(F.col("is_object"), fields), "bad": F.when(~F.col("is_object"), "JsonMalformed"), "detail": F.when(~F.col("is_object"), "not a JSON object")})
-    return structured(rows, zone).select(*TOLD, "fields_json", "bad", "detail", F.when(F.col("bad").isNotNull(), F.substring("line", 1, SAMPLE)).alias("sample"), F.when(F.col("utc").isNull(), F.substring("line", 1, SAMPLE)).alias("head"))
+    """Each line: its fields (every value in the line's own text; null as empty; of one name the last), or why it is bad."""
+    rows = filled(lines)
+    rows = rows.withColumn("fields", json_fields("line"))
+    is_bad = F.col("fields").isNull()
+    rows = rows.withColumns({"bad": F.when(is_bad, "JsonMalformed"), "detail": F.when(is_bad, "not a JSON object")})
+    return structured(rows, zone).select(*TOLD, *ranged(rows), "fields_json", "bad", "detail", F.when(F.col("bad").isNotNull(), F.substring("line", 1, SAMPLE)).alias("sample"), F.when(F.col("utc").isNull(), F.substring("line", 1, SAMPLE)).alias("head"))
 
 
 def as_logs(rows: DataFrame, run: str) -> DataFrame:
@@ -159,7 +181,7 @@ def as_logs(rows: DataFrame, run: str) -> DataFrame:
 
 def skip_rows(rows: DataFrame) -> DataFrame:
     """(path, ids, start and end, reason, detail, sample) numbered within each file, from 1, by where they start."""
-    ordered = running(rows.persist().withColumn("line_no", F.col("start_line")).withColumn("at", F.struct("start_line", "rank")), "path", stretch(), "at", sums={"segment_seq": F.lit(1)})
+    ordered = running(rows.withColumn("line_no", F.col("start_line")).withColumn("at", F.struct("start_line", "rank")), "path", stretch(), "at", sums={"segment_seq": F.lit(1)})
     return ordered.select(*SKIP_COLUMNS)
 
 
@@ -194,20 +216,25 @@ def read_told(told: DataFrame, ends: DataFrame, kind: str, run: str) -> Read:
     stops = over.groupBy("path").agg(F.min("idx").alias("stop_idx"))
     kept = by_stretch(numbered, "path", stops, "left", cut).where(F.col("stop_idx").isNull() | (F.col("idx") <= F.col("stop_idx")))
     logs = as_logs(kept.where(good & F.col("utc").isNotNull()), run)
-    # a region begins with a bad line that comes more than K lines after the last one, and ends with the K-th good line
+    return Read(logs, lambda: skip_rows(regions(kept, k, ends)))
+
+
+def regions(kept: DataFrame, k: Column | int, ends: DataFrame) -> DataFrame:
+    """Skipped regions, given-up files and unread times of rows with idx, bad_before and stop_idx (null unless their file is given
+    up). A region begins with a bad line that comes more than ``k`` lines after the last one, and ends with the k-th good line."""
+    good = F.col("bad").isNull()
     gap = F.col("idx") - F.col("bad_before")
     starts, stop = ~good & (gap.isNull() | (gap > k)), F.col("idx") == F.col("stop_idx")
     unread = good & F.col("utc").isNull()
     events = kept.select("path", "logical_source_id", "segment_id", "line_no", "byte_end", "bad", "detail", "sample", "head", starts.alias("starts"), F.coalesce(stop, F.lit(False)).alias("stop"), (good & (gap == k)).alias("ends"), unread.alias("unread")).where("starts or ends or stop or unread")
-    # a few rows a region: kept, so that the lines are read for them once
-    events = events.persist()
+    events = written(events, "regions")  # a few rows a region, so that the lines are read for them once
     missed = events.where("unread")
     events = running(events.where("starts or ends or stop"), "path", stretch(), "line_no", sums={"region": F.col("starts").cast("long")})
     at = lambda flag, *c: F.max(F.when(F.col(flag), F.struct(*c)))
     found = events.groupBy("path", "region").agg(F.first("logical_source_id").alias("logical_source_id"), F.first("segment_id").alias("segment_id"), at("starts", "line_no", "byte_end", "bad", "detail", "sample").alias("s"), F.max(F.when(F.col("ends") | F.col("stop"), F.struct("line_no", "byte_end"))).alias("e"), F.max("stop").alias("stop")).join(ends, "path")
     region = found.select("path", "logical_source_id", "segment_id", F.lit(0).alias("rank"), F.col("s.line_no").alias("start_line"), F.coalesce("e.line_no", "last_line").alias("end_line"), F.col("s.byte_end").alias("start_offset"), F.coalesce("e.byte_end", "last_byte").alias("end_offset"), F.col("s.bad").alias("reason_code"), F.col("s.detail").alias("reason_detail"), F.col("s.sample").cast("binary").alias("sample_prefix"))
     abandoned = events.where("stop").select("path", "logical_source_id", "segment_id", F.lit(2).alias("rank"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(None).cast("long").alias("start_offset"), F.lit(None).cast("long").alias("end_offset"), F.lit("Abandoned").alias("reason_code"), F.lit(f"Abandoned after {ABANDON} consecutive bad lines").alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix"))
-    return Read(logs, skip_rows(region.union(abandoned).union(unread_times(missed, F.col("head")))))
+    return region.union(abandoned).union(unread_times(missed, F.col("head")))
 
 
 def file_ends(lines: DataFrame) -> DataFrame:
@@ -259,10 +286,9 @@ def ingest(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | Non
     logs = reduce(DataFrame.unionByName, [p.logs for p in parts], none(LOGS)) if not parts else reduce(DataFrame.unionByName, [p.logs for p in parts])
     reason = lambda code, detail, source, segment: [source.alias("logical_source_id"), segment.alias("segment_id"), F.lit(0).cast("long").alias("segment_seq"), *[F.lit(None).cast("long").alias(c) for c in ("start_line", "end_line", "start_offset", "end_offset")], code.alias("reason_code"), detail.alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix")]
     lost = told.where("format = 'unknown'").select(*reason(F.lit("NotRecognized"), F.concat(F.lit("No viable format detected for "), F.regexp_extract("path", r"[^/\\!]*$", 0)), F.col("logical_source_id"), F.col("segment_id")))
-    skips = reduce(DataFrame.unionByName, [p.skips for p in parts], lost)
     if problems is not None:
-        entry = F.regexp_extract("path", r"[^/\\!]*$", 0)
-        skips = skips.unionByName(problems.where("problem is not null").select(*reason(F.col("problem"), F.col("path"), logical_source(F.col("path")), F.lit("zip-entry"))))
+        lost = lost.unionByName(problems.where("problem is not null").select(*reason(F.col("problem"), F.col("path"), logical_source(F.col("path")), F.lit("zip-entry"))))
+    skips = lambda: reduce(DataFrame.unionByName, [p.skips for p in parts], lost)
     counted = segment_statistics(logs)
     extra = [F.col(c) if c in files.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("size", "long"), ("modified", "timestamp_ntz"), ("hash", "string"))]
     segments = told.select("segment_id", "logical_source_id", "physical_file_id", F.col("path").alias("source_path"), *extra).join(counted, "segment_id", "left")

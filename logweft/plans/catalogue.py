@@ -12,11 +12,13 @@ from logweft.functions import text as tx
 from logweft.functions.times import after_stamp_text, stamp_text, with_utc
 from logweft.operators import ingest, upkeep, views
 from logweft.operators.filters import LogFilter, Text, select_logs
+from logweft.operators.ingest_files import ingest_files
 from logweft.operators.intervals import daily, merged, within
-from logweft.operators.running import running
 from logweft.schema import logs_of_events
-from logweft.sources.export import csv_lines, json_lines, ordered
+from logweft.sources.export import csv_lines, export, json_lines, ordered
 from logweft.sources.lines import content_lines, decoded, detected, hashed, sure, unzipped
+from logweft.sources.shared import new_folder
+from logweft.sources.sink import write_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -352,13 +354,6 @@ def placed(rows: DataFrame, path: str, line: str) -> DataFrame:
     return rows.select(F.expr(path).alias("path"), at, (at * 1000).alias("byte_end"), F.expr(line).alias("line"))
 
 
-def lined(rows: DataFrame, path: str, line: str) -> DataFrame:
-    """Lines in the events' order, numbered as in a file."""
-    made = rows.select(F.expr(path).alias("path"), "event_id", F.expr(line).alias("line"))
-    size = F.octet_length("line").cast("long") + 1
-    return running(made, "path", F.floor(F.col("event_id") / 50_000), "event_id", sums={"line_no": F.lit(1), "byte_end": size}).select("path", "line_no", "byte_end", "line")
-
-
 STAMP = "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
 WORD = "case event_type when 'error' then 'err' when 'view' then 'dbg' else event_type end"
 LEVEL_SQL = "case event_type when 'error' then 'ERROR' when 'view' then 'DEBUG' else upper(event_type) end"
@@ -371,13 +366,45 @@ def split_lines(rows: DataFrame) -> DataFrame:
     return rows.select("path", F.posexplode(F.split("line", "\n")).alias("k", "line"), (F.col("line_no") * 3).alias("n"), "byte_end").select("path", (F.col("n") + F.col("k")).alias("line_no"), "byte_end", "line")
 
 
+def filed(rows: DataFrame, path: str, line: str) -> DataFrame:
+    """Lines in the events' order, as ``write_lines`` takes them."""
+    return rows.select(F.regexp_replace(F.expr(path), "^/logs/", "").alias("file"), F.col("event_id").alias("at"), F.expr(line).alias("line"))
+
+
+def from_files(spark: SparkSession, *parts: tuple[DataFrame, str], formats: dict[str, dict] | None = None, **options) -> ingest.Ingested:
+    """What is read from files that are written from lines, each part in an encoding. ``formats``: what is given by file name."""
+    folder = new_folder(spark, "files")
+    for lines, encoding in parts:
+        write_lines(lines, folder, "at", encoding)
+    given = None
+    if formats:
+        columns = "path string, format string, delimiter string, header boolean, names array<string>, time_fields array<string>"
+        given = spark.createDataFrame([(f"{folder}/{n}", *(f.get(c) for c in ("format", "delimiter", "header", "names", "time_fields"))) for n, f in formats.items()], columns)
+    return ingest_files(spark, folder, run="run-1", formats=given, **options)
+
+
 @query("ingest_text_roundtrip", f"select ts as timestamp_utc, 'app-' || (user_id % 3) as logical_source_id, row_number() over (partition by user_id % 3 order by event_id) - 1 as record_index, {LEVEL_SQL} as level, {TRACE_SQL} as message from events")
 def _(spark, d):
-    rows = split_lines(placed(table(spark, d, "events"), "concat('/logs/app-', user_id % 3, '.log')", TRACE))
-    return ingest.read_text(rows, "run-1").logs.select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
+    rows = filed(table(spark, d, "events"), "concat('app-', user_id % 3, '.log')", TRACE)
+    return from_files(spark, (rows, "utf-8")).logs.select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
+
+
+FOUR = ["utf-8-sig", "utf-16-le", "utf-16-be", "cp1252"]
+
+
+@query(
+    "ingest_files",
+    f"""select ts as timestamp_utc, 'app-' || (user_id % 4) as logical_source_id, row_number() over (partition by user_id % 4 order by event_id) - 1 as record_index, {LEVEL_SQL} as level,
+ replace({TRACE_SQL}, 'event ', 'é – “€” ') as message from events""",
+)
+def _(spark, d):
+    """Files of four encodings, cut into ranges of 64 KiB."""
+    rows = filed(table(spark, d, "events"), "concat('app-', user_id % 4, '.log')", TRACE.replace("' event '", "' é – “€” '"))
+    parts = [(rows.where(F.col("file") == f"app-{k}.log"), encoding) for k, encoding in enumerate(FOUR)]
+    return from_files(spark, *parts, range_bytes=65_536).logs.select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
 
 
-def csv_table(spark: SparkSession, d: str, path: str, files: int, head: str, line: str, place=placed) -> DataFrame:
+def csv_table(spark: SparkSession, d: str, path: str, files: int, head: str, line: str, place=filed) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "user_id", F.lit(False).alias("head"))
     heads = spark.range(files).selectExpr("-1L as event_id", "timestamp_ntz'2024-01-01' as ts", "'' as event_type", "id as user_id", "true as head")
     return place(rows.union(heads), path, f"if(head, '{head}', {line})")
@@ -386,7 +413,7 @@ def csv_table(spark: SparkSession, d: str, path: str, files: int, head: str, lin
 @query("ingest_csv_roundtrip", "select ts as timestamp_utc, row_number() over (order by event_id) - 1 as record_index, upper(event_type) as level, 'say \"' || event_type || '\", ' || user_id as message from events")
 def _(spark, d):
     rows = csv_table(spark, d, "'/logs/a.csv'", 1, "timestamp,level,message", f"""concat({STAMP}, ',', event_type, ',"say ""', event_type, '"", ', user_id, '"')""")
-    return ingest.read_csv(rows, "run-1").logs.select("timestamp_utc", "record_index", "level", "message")
+    return from_files(spark, (rows, "utf-8")).logs.select("timestamp_utc", "record_index", "level", "message")
 
 
 NDJSON = f"to_json(struct({STAMP} as timestamp, event_type as level, concat('m', event_id) as msg, user_id as who, event_id % 2 = 0 as even))"
@@ -397,14 +424,14 @@ NDJSON = f"to_json(struct({STAMP} as timestamp, event_type as level, concat('m',
     "select ts as timestamp_utc, row_number() over (partition by user_id % 2 order by event_id) - 1 as record_index, upper(event_type) as level, 'm' || event_id as message, cast(user_id as varchar) as who, case when event_id % 2 = 0 then 'true' else 'false' end as even from events",
 )
 def _(spark, d):
-    rows = ingest.read_ndjson(placed(table(spark, d, "events"), "concat('/logs/', user_id % 2, '.ndjson')", NDJSON), "run-1").logs
+    rows = from_files(spark, (filed(table(spark, d, "events"), "concat(user_id % 2, '.ndjson')", NDJSON), "utf-8")).logs
     return rows.select("timestamp_utc", "record_index", "level", "message", F.get_json_object("fields", "$.who").alias("who"), F.get_json_object("fields", "$.even").alias("even"))
 
 
 @query("csv_composite_time", "select ts as timestamp_utc, row_number() over (order by event_id) - 1 as record_index, 'm' || event_id as message from events")
 def _(spark, d):
     rows = csv_table(spark, d, "'/logs/a.csv'", 1, "Date,x,Time,message,x", "concat(date_format(ts, 'yyyy-MM-dd'), ',,', date_format(ts, 'HH:mm:ss.SSSSSS'), ',m', event_id, ',last')")
-    return ingest.read_csv(rows, "run-1").logs.select("timestamp_utc", "record_index", "message")
+    return from_files(spark, (rows, "utf-8")).logs.select("timestamp_utc", "record_index", "message")
 
 
 DAMAGED = {"csv": ("'/logs/' || (user_id % 4) || '.csv'", 5), "ndjson": ("'/logs/' || (user_id % 4) || '.ndjson'", 3)}
@@ -417,23 +444,44 @@ REGION = ["logical_source_id", "segment_seq", "start_line", "end_line", "reason_
 
 @query("ingest_csv_damage", REGIONS.format(path=DAMAGED["csv"][0], k=5, shift=1, reason="CsvColumnMismatch"))
 def _(spark, d):
-    lines = csv_table(spark, d, "concat('/logs/', user_id % 4, '.csv')", 4, "timestamp,level", "if(event_type = 'error' or event_id % 13 = 0, 'x,y,z', '2024-01-01,y')", lined)
-    return ingest.read_csv(lines, "run-1").skips.select(*REGION)
+    lines = csv_table(spark, d, "concat('/logs/', user_id % 4, '.csv')", 4, "timestamp,level", "if(event_type = 'error' or event_id % 13 = 0, 'x,y,z', '2024-01-01,y')")
+    given = {"format": "csv", "delimiter": "comma", "header": True, "names": ["timestamp", "level"], "time_fields": ["timestamp"]}
+    return from_files(spark, (lines, "utf-8"), formats={f"{k}.csv": given for k in range(4)}, range_bytes=65_536).skips.select(*REGION)
 
 
 @query("ingest_ndjson_damage", REGIONS.format(path=DAMAGED["ndjson"][0], k=3, shift=0, reason="JsonMalformed"))
 def _(spark, d):
-    lines = lined(table(spark, d, "events"), "concat('/logs/', user_id % 4, '.ndjson')", """if(event_type = 'error' or event_id % 13 = 0, '{broken', '{"ts": "2024-01-01"}')""")
-    return ingest.read_ndjson(lines, "run-1").skips.select(*REGION)
+    lines = filed(table(spark, d, "events"), "concat(user_id % 4, '.ndjson')", """if(event_type = 'error' or event_id % 13 = 0, '{broken', '{"ts": "2024-01-01"}')""")
+    return from_files(spark, (lines, "utf-8"), formats={f"{k}.ndjson": {"format": "ndjson"} for k in range(4)}, range_bytes=65_536).skips.select(*REGION)
+
+
+@query(
+    "ndjson_edges",
+    """select ts as timestamp_utc, row_number() over (order by event_id) - 1 as record_index, 'second ' || event_id as message,
+ '{"ts":"' || strftime(ts, '%Y-%m-%d %H:%M:%S.%f') || '","n":"' || event_id || '.50","nested":"{\\"a\\":  [1, ' || user_id || ']}","none":"","yes":"true"}' as fields from events""",
+)
+def _(spark, d):
+    """A repeated key's last value counts, and values keep the text that the line has."""
+    line = f"""concat('{{"message": "first", "ts": "', {STAMP}, '", "n": ', event_id, '.50, "nested": {{"a":  [1, ', user_id, ']}}, "none": null, "yes": true, "message": "second ', event_id, '"}}')"""
+    return from_files(spark, (filed(table(spark, d, "events"), "'a.ndjson'", line), "utf-8")).logs.select("timestamp_utc", "record_index", "message", "fields")
 
 
-def mixed(spark: SparkSession, d: str) -> DataFrame:
+@query("ingest_unread_times", "select 'a' as logical_source_id, row_number() over (order by event_id) as segment_seq, n as start_line, 'TimeParse' as reason_code from (select event_id, event_type, row_number() over (order by event_id) as n from events) where event_type = 'error'")
+def _(spark, d):
+    lines = filed(table(spark, d, "events"), "'a.log'", f"concat(if(event_type = 'error', '2024-99-99 00:00:00', {STAMP}), ' INFO x')")
+    return from_files(spark, (lines, "utf-16-le"), range_bytes=65_536).skips.select("logical_source_id", "segment_seq", "start_line", "reason_code")
+
+
+def mixed(spark: SparkSession, d: str, place=placed) -> DataFrame:
     """Files of all formats and of none: events by user_id % 4 as traces, CSV with semicolons, NDJSON, and prose."""
     rows = table(spark, d, "events")
-    text = split_lines(placed(rows.where("user_id % 4 = 0"), "'/logs/app-2024-01-02.log'", TRACE))
-    csv = csv_table(spark, d, "if(head or user_id % 4 = 1, '/logs/b.csv', '')", 1, "at;time;level;message", f"concat(event_id, ';', {STAMP}, ';', event_type, ';m', event_id)").where("path <> ''")
-    ndjson = placed(rows.where("user_id % 4 = 2"), "'/logs/c.ndjson'", NDJSON)
-    return text.union(csv).union(ndjson).union(placed(rows.where("user_id % 4 = 3"), "'/logs/d.txt'", "concat('nothing to tell of ', event_type)"))
+    text = place(rows.where("user_id % 4 = 0"), "'/logs/app-2024-01-02.log'", TRACE)
+    csv = csv_table(spark, d, "if(head or user_id % 4 = 1, '/logs/b.csv', '')", 1, "at;time;level;message", f"concat(event_id, ';', {STAMP}, ';', event_type, ';m', event_id)", place)
+    ndjson = place(rows.where("user_id % 4 = 2"), "'/logs/c.ndjson'", NDJSON)
+    prose = place(rows.where("user_id % 4 = 3"), "'/logs/d.txt'", "concat('nothing to tell of ', event_type)")
+    if place is placed:
+        text = split_lines(text)
+    return text.union(csv.where(F.col(csv.columns[0]) != "")).union(ndjson).union(prose)
 
 
 MIXED = f"""select ts as timestamp_utc, case user_id % 4 when 0 then 'app' when 1 then 'b' else 'c' end as logical_source_id, row_number() over (partition by user_id % 4 order by event_id) - 1 as record_index,
@@ -442,7 +490,7 @@ MIXED = f"""select ts as timestamp_utc, case user_id % 4 when 0 then 'app' when
 
 @query("ingest_mixed", MIXED)
 def _(spark, d):
-    return ingest.ingest(mixed(spark, d), "run-1").logs.select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
+    return from_files(spark, (mixed(spark, d, filed), "utf-8")).logs.select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
 
 
 @query(
@@ -451,12 +499,12 @@ def _(spark, d):
  case when user_id % 4 < 3 then count(*) else 0 end as row_count, 'run-1' as last_ingest_run_id, true as active from events group by user_id % 4""",
 )
 def _(spark, d):
-    return ingest.ingest(mixed(spark, d), "run-1").segments.select("logical_source_id", "min_ts_utc", "max_ts_utc", "row_count", "last_ingest_run_id", "active")
+    return from_files(spark, (mixed(spark, d, filed), "utf-8")).segments.select("logical_source_id", "min_ts_utc", "max_ts_utc", "row_count", "last_ingest_run_id", "active")
 
 
 @query("ingest_unrecognized", "select 'd' as logical_source_id, cast(0 as bigint) as segment_seq, 'NotRecognized' as reason_code, 'No viable format detected for d.txt' as reason_detail")
 def _(spark, d):
-    return ingest.ingest(mixed(spark, d), "run-1").skips.select("logical_source_id", "segment_seq", "reason_code", "reason_detail")
+    return from_files(spark, (mixed(spark, d, filed), "utf-8")).skips.select("logical_source_id", "segment_seq", "reason_code", "reason_detail")
 
 
 @query("detect_formats", "select * from (values ('/logs/app-2024-01-02.log', 'text', cast(null as varchar), 'ISO-8601', cast(null as varchar)), ('/logs/b.csv', 'csv', 'semicolon', null, 'time'), ('/logs/c.ndjson', 'ndjson', null, null, 'timestamp'), ('/logs/d.txt', 'unknown', null, null, null)) t(path, format, delimiter, shape, time_fields)")
@@ -593,6 +641,13 @@ def _(spark, d):
     return csv_lines(ordered(logs(spark, d)))
 
 
+@query("export_parquet_readback", "select record_index, timestamp_utc, level, message, fields, segment_id, timestamp_basis from LOGS")
+def _(spark, d):
+    folder = new_folder(spark, "export")
+    export(logs(spark, d), folder, "parquet", about={"export_scope": "all"})
+    return spark.read.parquet(folder).select("record_index", "timestamp_utc", "level", "message", "fields", "segment_id", "timestamp_basis")
+
+
 @query("export_json_readback", "select record_index, timestamp_utc, level, message, segment_id from LOGS")
 def _(spark, d):
     value = F.from_json("value", "record_index bigint, timestamp_utc string, level string, message string, segment_id string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logweft.functions.text import csv_cell
 from logweft.operators.filters import LogFilter
 from logweft.schema import COLUMNS, KEY
+from logweft.sources.sink import write_sink
 
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0'"
 
@@ -43,20 +44,13 @@ def json_lines(logs: DataFrame) -> DataFrame:
 
 
 def export(logs: DataFrame, path: str, kind: str, flt: LogFilter = LogFilter(), about: dict[str, str] | None = None) -> None:
-    """Writes a folder of files in key order, of CSV with a header in the first; ``about`` goes to a metadata file beside them,
-    or into Parquet's footers' schema."""
+    """Writes a folder of files in key order, which appear together: ``csv`` with a header in the first, ``jsonl``, or ``parquet``. ``about``
+    is in the footer of each Parquet file, else in ``_metadata.json`` beside the files."""
     rows = ordered(logs, flt)
+    said = {"kind": kind, "about": json.dumps(about or {})}
     if kind == "parquet":
-        if about:
-            rows = rows.withMetadata("timestamp_utc", {k: str(v) for k, v in about.items()})
-        rows.write.mode("overwrite").parquet(path)
-        return
-    if kind == "csv":
-        # the header is the first line of the first file
-        none = logs.sparkSession.range(1).select(F.lit(",".join(COLUMNS)).alias("value"), F.lit(0).alias("at"), *[F.lit(None).cast(logs.schema[c].dataType).alias(c) for c in KEY])
-        lines = none.unionByName(csv_lines(logs.where(flt.column()), *KEY).withColumn("at", F.lit(1)))
-        lines.orderBy("at", *KEY).select("value").write.mode("overwrite").text(path)
+        write_sink(rows, path, **said)
+    elif kind == "csv":
+        write_sink(csv_lines(rows), path, header=",".join(COLUMNS), **said)
     else:
-        json_lines(rows).write.mode("overwrite").text(path)
-    if about:
-        rows.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}_metadata")
+        write_sink(json_lines(rows), path, **said)

@@ -250,6 +250,13 @@ def text_probe(lines: list[str]) -> dict | None:
     return best
 
 
+def told_format(lines: list[str]) -> dict:
+    """The format of a file with these first lines that aren't blank; of equally sure ones ndjson comes before csv, csv before text."""
+    found = sorted(filter(None, (f(lines) for f in (ndjson_probe, csv_probe, text_probe))), key=lambda x: -x["confidence"])
+    best = found[0] if found else {"format": "unknown", "confidence": 0.0}
+    return best | {"ambiguous": len(found) > 1 and found[0]["confidence"] - found[1]["confidence"] < 0.02}
+
+
 DETECTED = "path string, format string, confidence double, ambiguous boolean, delimiter string, header boolean, names array<string>, time_fields array<string>, shape string"
 
 
@@ -261,11 +268,8 @@ def detected(lines: DataFrame) -> DataFrame:
     columns = [c.split()[0] for c in DETECTED.split(", ")]
 
     def probe(rows: pd.DataFrame) -> pd.DataFrame:
-        some = rows.sort_values("k")["line"].tolist()
-        found = sorted(filter(None, (f(some) for f in (ndjson_probe, csv_probe, text_probe))), key=lambda x: -x["confidence"])
-        best = found[0] if found else {"format": "unknown", "confidence": 0.0}
-        close = len(found) > 1 and found[0]["confidence"] - found[1]["confidence"] < 0.02
-        return pd.DataFrame([[(best | {"path": rows["path"].iloc[0], "ambiguous": close}).get(c) for c in columns]], columns=columns)
+        best = told_format(rows.sort_values("k")["line"].tolist())
+        return pd.DataFrame([[(best | {"path": rows["path"].iloc[0]}).get(c) for c in columns]], columns=columns)
 
     return head_lines(lines).select("path", "k", "line").groupBy("path").applyInPandas(probe, DETECTED)
 

@@ -1,3 +1,4 @@
+import csv
 import glob
 import io
 import json
@@ -5,6 +6,7 @@ import random
 import zipfile
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from logweft.functions import text
 from logweft.operators import ingest, intervals, upkeep
 from logweft.schema import logs_of_events
-from logweft.sources import export, lines
+from logweft.sources import export, lines, sink
 from logweft.streaming import tail
 
 
@@ -199,16 +201,48 @@ def test_export(spark, tmp_path, kind):
     logs = logs_of_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     path = str(tmp_path / kind)
     export.export(logs, path, kind, about={"title": "t"})
+    files = sorted(glob.glob(f"{path}/part-*"))
+    want = logs.orderBy("timestamp_utc", "segment_id", "record_index").collect()
     if kind == "parquet":
-        back = spark.read.parquet(path)
-        assert back.count() == logs.count() and back.schema["timestamp_utc"].metadata == {"title": "t"}
-    else:
-        assert spark.read.text(path).count() == logs.count() + (kind == "csv") and json.loads(spark.read.text(f"{path}_metadata").first().value) == {"title": "t"}
+        back = [r for f in files for r in pq.read_table(f).to_pylist()]
+        assert [(r["segment_id"], r["record_index"]) for r in back] == [(r.segment_id, r.record_index) for r in want]
+        assert all(pq.ParquetFile(f).metadata.metadata[b"title"] == b"t" for f in files)
+        assert spark.read.parquet(path).schema["timestamp_utc"].dataType.simpleString() == "timestamp_ntz"
+        return
+    lines = [x for f in files for x in open(f).read().splitlines()]
+    assert json.load(open(f"{path}/_metadata.json")) == {"title": "t"}
     if kind == "csv":
-        assert open(sorted(glob.glob(f"{path}/part-*"))[0]).readline().startswith("timestamp_utc,timestamp_basis,")
-    if kind == "jsonl":
-        first = json.loads(spark.read.text(path).first().value)
-        assert len(first) == 13 and first["timestamp_original"] is None and isinstance(first["fields"], dict)
+        head, *cells = csv.reader(lines)
+        assert head == logs.columns and [int(c[9]) for c in cells] == [r.record_index for r in want]
+    else:
+        first = json.loads(lines[0])
+        assert len(lines) == len(want) and len(first) == 13 and first["timestamp_original"] is None and isinstance(first["fields"], dict)
+
+
+def test_failed_export_leaves_what_was_there(spark, tmp_path):
+    logs = logs_of_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
+    path = tmp_path / "out"
+    export.export(logs.limit(5), str(path), "csv")
+    before = {f.name: f.read_text() for f in path.iterdir()}
+    broken = logs.withColumn("message", F.when(F.col("record_index") == 700, F.raise_error(F.lit("no"))).otherwise(F.col("message")))
+    with pytest.raises(Exception, match="no"):
+        export.export(broken.repartition(3), str(path), "csv")
+    assert {f.name: f.read_text() for f in path.iterdir()} == before
+    export.export(logs, str(path), "jsonl")
+    assert all(f.name.endswith(".jsonl") for f in path.iterdir())
+
+
+def test_repeated_tasks_leave_one_copy(tmp_path):
+    """Two attempts of a task write; the commit takes one, and the other goes."""
+    import pyarrow as pa
+
+    writer = sink.SinkWriter({"path": str(tmp_path / "out"), "kind": "jsonl"}, True)
+    batch = pa.RecordBatch.from_pydict({"value": ["a", "b"]})
+    system, folder = sink.filesystem(writer.path)
+    system.create_dir(f"{folder}/{writer.attempts}")
+    first, second = (writer.text(system, iter([batch]), f"{folder}/{writer.attempts}/{k}", 0) for k in "xy")
+    writer.commit([sink.Written(second)])
+    assert [(f.name, f.read_text()) for f in (tmp_path / "out").iterdir()] == [("part-00000.jsonl", "a\nb\n")] and first != second
 
 
 def test_abandoned_runs(spark):
