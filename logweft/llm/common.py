@@ -69,8 +69,8 @@ def sampled(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return few.orderBy(least, *key).limit(most)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most ``SLICE_ROWS`` rows, each closed by the row whose strings and bytes reach ``SLICE_BYTES``."""
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``SLICE_ROWS`` rows, each closed by the row whose strings and bytes reach ``most`` bytes."""
     ends = np.zeros(batch.num_rows, np.int64)
     for c in batch.columns:
         if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
@@ -78,12 +78,12 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < batch.num_rows:
         done = int(ends[at - 1]) if at else 0
-        stop = min(at + SLICE_ROWS, int(np.searchsorted(ends, done + SLICE_BYTES)) + 1, batch.num_rows)
+        stop = min(at + SLICE_ROWS, int(np.searchsorted(ends, done + most)) + 1, batch.num_rows)
         yield batch.slice(at, stop - at)
         at = stop
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], arrow: bool = False) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], arrow: bool = False, most: int = SLICE_BYTES) -> DataFrame:
     """Python over Arrow batches: ``make()`` runs once a task and gives a function of the batch's columns (lists of Python
     values, or Arrow arrays) that returns the output columns, as lists or Arrow arrays, in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -94,7 +94,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch):  # a slice at a time bounds what Python holds
+            for part in slices(batch, most):  # a slice at a time bounds what Python holds
                 got = f(*(part.columns if arrow else (c.to_pylist() for c in part.columns)))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(got, out, strict=True)], schema=out)
 

@@ -11,7 +11,7 @@ that are covered by a window which also starts in a document of a smaller id are
 3. The windows of the phrases left are hashed to 96 bits; a window that several documents have recurs, and the smallest of them
    owns it. A hot window is summed up in the tasks before it is shuffled.
 4. Recurring windows in a row that have one owner are a passage of their document. Documents with passages are dealt to
-   shards (``slices``: 1,000 documents or 8 MB each); a shard's passages, each text once with its least owner, become one
+   shards (``slices`` of 1,000 documents or 2 MB); a shard's passages, each text once with its least owner, become one
    automaton over words, and all documents of the shard stream through it. Each occurrence of a passage in a document with an
    id above its owner's is removed. A document meets one automaton, whatever the number of shards.
 
@@ -39,6 +39,8 @@ WINDOW, PHRASE = 50, 16
 BROADCAST_IDS = 1_000_000
 #: Bytes of texts that are hashed together; longer words are hashed by themselves.
 BLOCK, LONG_WORD = 1 << 19, 256
+#: Bytes of a shard's texts and windows.
+SHARD = 2 << 20
 #: Code points for words of an automaton; with more distinct words, a word is two of them.
 CODES = 1_000_000
 
@@ -179,17 +181,26 @@ def coded(words: list[bytes], codes: dict[bytes, int], wide: bool) -> str:
     return "".join(chr(n % CODES) + chr(n // CODES) for n in numbers)
 
 
-def covered(ids: list, texts: list[list[bytes]], runs: list[list[tuple]]) -> list[np.ndarray]:
-    """For each text: which of its words a passage of a smaller owner covers. ``runs``: place and owner of recurring windows."""
-    passages: dict[tuple[bytes, ...], object] = {}
-    for words, run in zip(texts, runs, strict=True):
-        run = sorted(run)
-        begin = 0
-        for k in range(1, len(run) + 1):
-            if k == len(run) or run[k][0] != run[k - 1][0] + 1 or run[k][1] != run[k - 1][1]:
-                passage, owner = tuple(words[run[begin][0] : run[k - 1][0] + WINDOW]), run[begin][1]
-                passages[passage] = min(owner, passages.get(passage, owner))
-                begin = k
+Runs = tuple[np.ndarray, np.ndarray]
+
+
+def passages_of(texts: list[list[bytes]], runs: list[Runs]) -> dict[tuple[bytes, ...], object]:
+    """The texts' passages with their least owners. ``runs``: places and owners of each text's recurring windows."""
+    out: dict[tuple[bytes, ...], object] = {}
+    for words, (places, owners) in zip(texts, runs, strict=True):
+        order = np.argsort(places, kind="stable")
+        places, owners = places[order], owners[order]
+        cuts = np.flatnonzero((np.diff(places) != 1) | (owners[1:] != owners[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)], strict=True):
+            if a < b:
+                passage, owner = tuple(words[places[a] : places[b - 1] + WINDOW]), owners[a]
+                out[passage] = min(owner, out.get(passage, owner))
+    return out
+
+
+def covered(ids: list, texts: list[list[bytes]], runs: list[Runs]) -> list[np.ndarray]:
+    """For each text: which of its words a passage of a smaller owner covers."""
+    passages = passages_of(texts, runs)
     codes: dict[bytes, int] = {}
     for passage in passages:
         for w in passage:
@@ -217,14 +228,17 @@ def removed(rows: DataFrame, kind: str) -> DataFrame:
 
     def make():
         def run(ids, keys, texts, runs):
-            words = [t.encode().split() for t in texts]
-            gone = covered(ids, words, [[(r["at"], r["owner"]) for r in run] for run in runs])
+            words = [t.encode().split() for t in texts.to_pylist()]
+            windows = runs.flatten()
+            places, owners = windows.field("at").to_numpy(zero_copy_only=False), windows.field("owner").to_numpy(zero_copy_only=False)
+            cuts = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
+            gone = covered(ids.to_pylist(), words, [(places[a:b], owners[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             kept = [hashlib.sha256(b" ".join(w for w, g in zip(ws, gs.tolist(), strict=True) if not g)).hexdigest() for ws, gs in zip(words, gone, strict=True)]
             return ids, keys, [int(g.sum()) for g in gone], kept
 
         return run
 
-    return map_rows(rows.select("doc_id", "key", "text", "runs"), f"doc_id {kind}, key binary, n_removed long, kept_sha256 string", make)
+    return map_rows(rows.select("doc_id", "key", "text", "runs"), f"doc_id {kind}, key binary, n_removed long, kept_sha256 string", make, arrow=True, most=SHARD)
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -242,12 +256,13 @@ def recurring(docs: DataFrame) -> DataFrame:
         some = some.join(F.broadcast(candidates.select("doc_id")), "doc_id", "left_semi")
     found = written(windows(some.join(candidates, "doc_id"), kind), "windows")
     each = found.select("doc_id", "key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "key", "w.*")
-    owners = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    owners = each.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    owners = written(owners, "owners")  # so that both sides of the join below are dealt anew, and a hot window can be split
     later = each.join(owners, ["h1", "h2"]).where("owner < doc_id")
     runs = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("at", "owner")).alias("runs"))
     gone = written(removed(found.select("doc_id", "key", "text").join(runs, ["doc_id", "key"]), kind).dropDuplicates(["doc_id", "key"]), "removed")
-    dropped(found)
-    dropped(candidates)
+    for done in (found, candidates, owners):
+        dropped(done)
     copy, whole = F.col("doc_id") > F.col("first"), F.lower(F.hex("key"))
     kept = F.when(copy, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", whole))
     n = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
