@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 FILTERS = "ABCDE"
 #: Bytes of texts that a task's chains hold before they go on.
 HELD = 48 << 20
+#: Rows of a partition of chains, on average.
+ROWS = 50_000
 #: Parts of a part's vectors that are merged by themselves first.
 SALTS = 16
 #: Cells of a part: mask, quality is 1, toxic is 1.
@@ -113,7 +115,7 @@ def settled(rows: Iterator[Row]) -> Iterator[tuple]:
 def masks(docs: DataFrame) -> DataFrame:
     """doc_id, part, mask and n: n rows of that id and part which fail these filters."""
     rows = docs.select("doc_id", "text", F.coalesce(F.col("lang").cast("string"), F.lit(""))).rdd.mapPartitions(routed)
-    many = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    many = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROWS)
     dealt = rows.repartitionAndSortWithinPartitions(many, lambda key: key[0], keyfunc=order_of)
     kind = dict(docs.dtypes)["doc_id"]
     return docs.sparkSession.createDataFrame(dealt.mapPartitions(settled), f"doc_id {kind}, part string, mask int, n long", verifySchema=False)
