@@ -108,7 +108,7 @@ def solver():
     return solve
 
 
-def solved(rows: DataFrame, kind: str) -> DataFrame:
+def solved(rows: DataFrame, kind: str, batch_rows: int) -> DataFrame:
     """conv_id, cost and audit. Rows of a task come a conversation after the other, each from its last turn to its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +135,11 @@ def solved(rows: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             for conv, initial, fault in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not names or names[-1] != conv:
-                    if len(convs) >= BATCH:
+                    if len(convs) >= batch_rows:
                         yield flush(True)
                     names.append(conv)
                     step = 0
-                elif len(convs) >= BATCH:
+                elif len(convs) >= batch_rows:
                     yield flush(False)
                     step = 0
                 step += 1
@@ -215,7 +215,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), again.alias("copy")).drop("copy")
 
 
-def repair(conversations: DataFrame, rows: DataFrame) -> DataFrame:
+def repair(conversations: DataFrame, rows: DataFrame, batch_rows: int = BATCH) -> DataFrame:
     """For each conv_id of ``conversations``: gaps, blank, duplicate, truncated, illegal, cost, audit and repaired_sha256 of its ``rows``
     (conv_id, turn, role, text)."""
     kind = dict(conversations.dtypes)["conv_id"]
@@ -235,7 +235,7 @@ def repair(conversations: DataFrame, rows: DataFrame) -> DataFrame:
     initial = F.when(F.substring("role", 1, 1).isin("s", "u", "a"), F.substring("role", 1, 1)).otherwise("-")
     edits = F.when(F.col("fault").isin("blank", "duplicate"), "drop").when(F.col("fault") == "truncated", "cut").otherwise("none")
     last_first = marked.withColumns({"initial": initial, "edit": edits}).drop("fault").withColumnRenamed("edit", "fault").sortWithinPartitions("conv_id", F.desc("turn"), F.desc("role"), F.desc("key"), F.desc("seen"))
-    best = solved(last_first, kind)
+    best = solved(last_first, kind, batch_rows)
     told = best.select("conv_id", "audit", F.lit(None).cast(dict(rows.dtypes)["turn"]).alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("key"), F.lit(0).alias("rank"))
     each = keyed.select("conv_id", F.lit(None).cast("string").alias("audit"), "turn", "role", "text", "key", F.lit(1).alias("rank"))
     first_first = told.union(each).repartition("conv_id").sortWithinPartitions("conv_id", "rank", "turn", "role", "key")
