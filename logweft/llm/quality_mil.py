@@ -22,11 +22,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, sampled
+from .common import dropped, map_rows, sampled, written
 
 PASSAGE = 60
 SAMPLE = 4000
 PASSAGES = 100_000
+#: Passages of one training row; scoring takes all passages of a text.
+ROW = 2_000
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.01, 1e-4
 
@@ -155,16 +157,26 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, text: str = "text",
     rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")  # at most SAMPLE rows
 
     def run(ids, ys, texts):
-        bags = [measures(t) for t in texts]
+        bags = [thinned(measures(t)) for t in texts]
         return [ids, ys, list(map(len, bags)), [b.tobytes() for b in bags]]
 
     order = [F.xxhash64("doc_id"), "doc_id", "x"]
     bags = map_rows(rows, f"doc_id {dict(docs.dtypes)['doc_id']}, y int, n bigint, x binary", lambda: run).orderBy(*order).limit(SAMPLE)
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over at most SAMPLE rows
-    found = bags.withColumn("total", F.sum("n").over(upto)).where(F.col("total") <= PASSAGES).select("y", "x").collect()
+    bags = written(bags.withColumn("k", F.row_number().over(Window.orderBy(*order))), "bags")  # at most SAMPLE rows
+    chosen, total = [], 0
+    for k, n in sorted((r.k, r.n) for r in bags.select("k", "n").collect()):
+        if total + n <= PASSAGES:  # a row that doesn't fit is left out, and smaller ones after it may fit
+            chosen, total = [*chosen, k], total + n
+    found = bags.where(F.col("k").isin(chosen)).orderBy("k").select("y", "x").collect()
+    dropped(bags)
     return fit([np.frombuffer(r.x, np.float32).reshape(-1, MEASURES) for r in found], np.array([r.y for r in found], float))
 
 
+def thinned(bag: np.ndarray) -> np.ndarray:
+    """A training row's passages: all, or ``ROW`` that lie evenly over a longer text."""
+    return bag if len(bag) <= ROW else bag[np.linspace(0, len(bag) - 1, ROW).round().astype(int)]
+
+
 def score(docs: DataFrame, weights: dict[str, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and score."""
 
