@@ -41,6 +41,8 @@ STEPS, RATE, PRIOR = 60, 0.5, 0.05
 
 # The base patterns. Where a match of digits may start is written out, so that long runs take linear time.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+LABEL = ALNUM | {"-"}
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -50,7 +52,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WIDE_PHONE = re.compile(r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-][0-9]{2,5}){1,5}(?![0-9A-Za-z]|[./-][0-9])")
 WIDE_AT = re.compile(r"\x20?(?:@|\[at\]|\(at\))\x20?", re.IGNORECASE)
 NAME_BEFORE = re.compile(r"[A-Za-z0-9]+")
-LABELS_AFTER = re.compile(r"[A-Za-z0-9-]{1,24}(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]{1,24}){1,4}", re.IGNORECASE)
+LABELS_AFTER = re.compile(r"[A-Za-z0-9-]{1,80}+(?:(?:\.|\x20?(?:\[dot\]|\(dot\))\x20?)[A-Za-z0-9-]{1,80}+){1,40}+", re.IGNORECASE)
 LABEL_END = re.compile(r"(?<=[A-Za-z])(?![A-Za-z0-9-])")
 CUES = {
     "phone": frozenset(("tel", "phone", "call", "mobile", "fax", "cell", "telefon", "handy", "téléphone", "teléfono", "móvil")),
@@ -123,14 +125,17 @@ def addresses(text: str) -> list[tuple[int, int]]:
         return found
     for m in WIDE_AT.finditer(text):
         first = m.start()
-        while first > 0 and m.start() - first < 40 and text[first - 1] in LOCAL:
+        while first > 0 and m.start() - first <= LONGEST and text[first - 1] in LOCAL:
             first -= 1
         after = LABELS_AFTER.match(text, m.end())
         if first == m.start() or not after:
             continue
-        starts = {first, *(first + x.start() for x in NAME_BEFORE.finditer(text[first : m.start()]))}
+        starts = {first + x.start() for x in NAME_BEFORE.finditer(text[first : m.start()])} | {first}
+        if first > 0 and text[first - 1] in LOCAL:  # longer than any span: its middle is no start
+            starts = {x for x in starts if text[x - 1 : x] not in ALNUM}
         ends = [x.start() for x in LABEL_END.finditer(text, m.end(), after.end()) if text[x.start() : x.start() + 1] not in (")", "]") and ("." in text[m.end() : x.start()] or "dot" in text[m.end() : x.start()].lower())]
-        found += [(s, e) for s in starts for e in {*ends, after.end()} if e - s <= LONGEST]
+        last = [after.end()] if text[after.end() : after.end() + 1] not in LABEL else []
+        found += [(s, e) for s in starts for e in {*ends, *last} if e - s <= LONGEST]
     return found
 
 
