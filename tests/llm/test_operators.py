@@ -237,13 +237,14 @@ def test_edited_and_partial_copies(spark):
     assert got[0] == (True, 29 / 30) and got[1] == (True, 28 / 30) and got[2][0] and not got[3][0]
 
 
-def plain_template(text):
-    """Words with typed placeholders, one token after another: (placeholder or word, value)."""
+def plain_template(text, common=None):
+    """Words with typed placeholders, one token after another: (placeholder or word, value). With ``common``, words at a
+    sentence's start that aren't among these are names, too."""
     out, last = [], decontam.END
     for t in re.findall(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n]", text or ""):
         low = t.lower()
         kind = decontam.END if t in ".!?\n" else decontam.NUM if t[0].isdecimal() or low in decontam.NUMBER_WORDS else decontam.UNIT if low in decontam.UNITS else decontam.CAPITAL if t[0].isupper() and t[1:2].islower() else decontam.PLAIN
-        slot = kind == decontam.NUM and "NUM" or kind == decontam.UNIT and last == decontam.NUM and "UNIT" or kind == decontam.CAPITAL and last != decontam.END and "NAME"
+        slot = kind == decontam.NUM and "NUM" or kind == decontam.UNIT and last == decontam.NUM and "UNIT" or kind == decontam.CAPITAL and (last != decontam.END or common is not None and low not in common) and "NAME"
         if slot == "NAME" and out and out[-1][0] == "NAME" and last == decontam.CAPITAL:
             out[-1] = ("NAME", out[-1][1] + " " + low)
         elif kind != decontam.END:
@@ -261,8 +262,10 @@ def test_templates_against_plain(spark):
     swap = {"Alice": "Carol", "Bob": "Dan", "3": "9", "kg": "lb", "12": "8"}
     texts = [make(30) for _ in range(30)] + [f"well {' '.join(swap.get(w, w) if k % 2 else w for w in t.split())} end" for k, t in enumerate(items.values())] + [f"{t} {make(9)}" for t in items.values()]
 
-    def plain(text, item):
-        doc, own = plain_template(text), plain_template(item)
+    common = {t for x in items.values() for t in re.findall(r"[^\W\d_]+", x) if not t[0].isupper()}
+
+    def plain(text, item, common=None):
+        doc, own = plain_template(text, common), plain_template(item, common)
         lines = collections.defaultdict(list)
         for a in range(len(doc) - 4):
             for b in range(len(own) - 4):
@@ -290,10 +293,24 @@ def test_templates_against_plain(spark):
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: {int(x) for x in r.item_ids.split(",") if x} for r in decontam.report(rows, benchmark).collect()}
-    want = {k: {i for i, t in items.items() if plain(text, t) or same_words(text, t)} for k, text in enumerate(texts)}
+    want = {k: {i for i, t in items.items() if plain(text, t) or plain(text, t, common) or same_words(text, t)} for k, text in enumerate(texts)}
     assert got == want and sum(map(bool, want.values())) >= 12
 
 
+def test_names_at_a_sentences_start(spark):
+    """Questions that begin with an exchanged name are found; of words that stand in lower case elsewhere, a start is no name."""
+    cases = {
+        "Alice has 3 apples. Bob has 5 apples. How many apples do they have together?": "Carol has 7 apples. Dave has 9 apples. How many apples do they have together?",
+        "Tom runs 5 km. Tom rests 10 minutes. Tom runs again.": "Ann runs 6 km. Ann rests 20 minutes. Ann runs again.",
+        "Eve has 3 apples": "Zoe has 7 apples",
+    }
+    items = spark.createDataFrame([(k, t, 0) for k, t in enumerate(cases)], "item_id long, text string, key int")
+    texts = [f"Some words before it. {t} And after it" for t in cases.values()]
+    clean = ["Carol has 7 pears. Dave likes 9 apples. How few apples would she want alone?", "Ann runs 6 km. Bea rests 20 minutes. Cid runs again.", "They say Zoe had 7 apples", "Apples run. Minutes rest. Many have."]
+    got = {r.doc_id: r.item_ids for r in decontam.report(docs(spark, *texts, *clean), items).collect() if r.doc_id is not None and r.doc_id < 1000}
+    assert got == {0: "0,2", 1: "1", 2: "2", 3: "", 4: "", 5: "", 6: ""}  # the first holds the third, too
+
+
 def test_the_filter_loses_nothing(spark, monkeypatch):
     documents, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     want = sorted(map(tuple, decontam.report(documents, benchmark).collect()))
@@ -496,6 +513,30 @@ def test_long_runs_of_letters(spark):
 # op7
 
 
+def test_rows_that_dont_fit_the_sample_are_left_out_alone(spark, monkeypatch):
+    """A row over the bound doesn't end the training, nor do rows after it go; a very long row is thinned."""
+    monkeypatch.setattr(quality_mil, "PASSAGES", 60)
+    monkeypatch.setattr(quality_mil, "SAMPLE", 40)
+    rows = spark.createDataFrame([(i, " ".join(["word number", "Good text."][i % 2] for _ in range(3000 if i % 7 == 0 else 30))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality_mil, "fit", lambda bags, y: seen.update(sizes=[len(b) for b in bags], y=y))
+    quality_mil.train(rows, labels, F.lit(True))
+    assert sum(seen["sizes"]) <= 60 and len(seen["sizes"]) > 20 and set(seen["y"]) == {0.0, 1.0}
+    bag = np.arange(5000, dtype=np.float32)[:, None]
+    thin = quality_mil.thinned(bag)
+    assert len(thin) == quality_mil.ROW and thin[0] == 0 and thin[-1] == 4999 and len(quality_mil.thinned(bag[:7])) == 7
+
+
+def test_spans_of_long_names_begin_at_their_token():
+    text = "mail averyveryverylongfirstname.averyveryverylonglastname1 (at) example.com now"
+    assert {(5, 75), (32, 75)} <= set(pii_semicrf.addresses(text)) and all(text[s - 1] in " ." for s, _ in pii_semicrf.addresses(text))
+    long = "x" * 100 + ".tail (at) example.com"
+    assert pii_semicrf.addresses(long) == [(101, len(long))]
+    deep = "me [at] " + "a-label-of-more-than-24-letters" + ".b.c.d.e.f.com"
+    assert (0, len(deep)) in pii_semicrf.addresses(deep)
+
+
 def test_quality(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
