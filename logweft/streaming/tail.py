@@ -1,13 +1,34 @@
-"""Live tail: new files of a folder as a stream of log rows, and running counts with late rows."""
+"""Live tail: lines as a stream of log rows and skips, and running counts with late rows.
+
+``followed`` keeps a state for each path: how many lines, records and bad lines there were, the record that is still open, and the
+skipped region that is. So a file that comes in any number of batches gives the rows that ``ingest`` gives for the whole file.
+Lines of a path are taken in the order of ``line_no`` within a batch; batches must be in order. A row without a line, with the number of lines and bytes, ends its
+path's file. A text record ends with the next one, with its file, or when its path is silent for ``silence``, if that is given
+(such a stream never runs out: it waits for the time to pass); lines that come after that are no part of it.
+"""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from logweft.functions.text import logical_source
 from logweft.functions.times import after_stamp_text, stamp_text, with_utc
-from logweft.operators.ingest import after_stamp
+from logweft.operators.ingest import ABANDON, IDENTITY, LOOKAHEAD, RESYNC, SAMPLE, after_stamp, identified, told_csv, told_ndjson, told_text
+from logweft.schema import LOGS, SKIPS
+
+#: What a path's state holds: the counts, then the open record with its lines, and the open region, as JSON.
+STATE = "lines long, bytes long, idx long, k long, bad_at long, good_at long, seq long, n long, stopped boolean, record string, more string, region string"
+FRESH = (0, 0, 0, 0, 0, 0, 0, 0, False, None, None, None)
+#: Rows that come out: a log row or a skip.
+FOLLOWED = StructType([StructField(f.name, f.dataType) for f in (*LOGS, *(g for g in SKIPS if g.name not in LOGS.names))])
+OF_LINE = [*IDENTITY, "utc", "basis", "offset_minutes", "original", "level", "message", "fields_json"]
 
 
 def tail(spark: SparkSession, folder: str, zone: str = "UTC") -> DataFrame:
@@ -21,3 +42,127 @@ def tail(spark: SparkSession, folder: str, zone: str = "UTC") -> DataFrame:
 def counted(rows: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Counts by window, source and level; rows later than the watermark are left out."""
     return rows.withWatermark("timestamp_utc", late).groupBy(F.window("timestamp_utc", width).alias("w"), "logical_source_id", "level").agg(F.count("*").alias("row_count")).select(F.col("w.start").alias("window_start"), "logical_source_id", "level", "row_count")
+
+
+class Follower:
+    """The rows of one path, a line after the other."""
+
+    def __init__(self, path: str, run: str, state: tuple):
+        self.path, self.run, self.out = path, run, []
+        (self.lines, self.bytes, self.idx, self.k, self.bad_at, self.good_at, self.seq, self.n, self.stopped, record, more, region) = state
+        self.record, self.more, self.region = (json.loads(x) if x else None for x in (record, more, region))
+
+    def state(self) -> tuple:
+        held = [json.dumps(x) if x is not None else None for x in (self.record, self.more, self.region)]
+        return (self.lines, self.bytes, self.idx, self.k, self.bad_at, self.good_at, self.seq, self.n, self.stopped, *held)
+
+    def log(self, row: dict) -> None:
+        self.out.append(
+            {
+                "timestamp_utc": pd.Timestamp(row["utc"]), "timestamp_basis": row["basis"], "timestamp_effective_offset_minutes": row["offset_minutes"], "timestamp_original": row["original"],
+                "logical_source_id": row["logical_source_id"], "source_path": self.path, "physical_file_id": row["physical_file_id"], "segment_id": row["segment_id"], "ingest_run_id": self.run,
+                "record_index": row["k"], "level": row["level"], "message": row["message"], "fields": row["fields_json"],
+            }
+        )
+
+    def skip(self, row: dict, seq: int, code: str, detail: str, start: int, end: int, start_offset=None, end_offset=None, sample=None) -> None:
+        self.out.append(
+            {
+                "logical_source_id": row["logical_source_id"], "segment_id": row["segment_id"], "segment_seq": seq, "start_line": start, "end_line": end, "start_offset": start_offset,
+                "end_offset": end_offset, "reason_code": code, "reason_detail": detail, "sample_prefix": None if sample is None else sample.encode(),
+            }
+        )
+
+    def next_seq(self) -> int:
+        self.seq += 1
+        return self.seq
+
+    def unread(self, row: dict, line: int, sample: str) -> None:
+        self.skip(row, self.next_seq(), "TimeParse", "Timestamp extraction failed", line, line, sample=sample)
+
+    def close_record(self) -> None:
+        if self.record is not None:
+            self.log(self.record | {"message": "\n".join([self.record["message"], *self.more])})
+        self.record, self.more = None, None
+
+    def text(self, row: dict) -> None:
+        if row["opens"]:
+            self.close_record()
+            self.n = 0
+            if row["utc"] is None:
+                self.unread(row, row["line_no"], row["line"][:SAMPLE])
+            else:
+                self.record, self.more = {c: row[c] for c in OF_LINE} | {"k": self.k}, []
+                self.k += 1
+        elif self.record is not None:
+            self.n += 1
+            if self.n <= LOOKAHEAD:
+                self.more.append(row["line"])
+
+    def close_region(self, line: int, offset: int) -> None:
+        if self.region is not None:
+            r = self.region
+            self.skip(r, r["seq"], r["bad"], r["detail"], r["line_no"], line, r["byte_end"], offset, r["sample"])
+        self.region = None
+
+    def structured(self, row: dict, resync: int) -> None:
+        if self.stopped:
+            return
+        self.idx += 1
+        if row["bad"] is not None:
+            if not self.bad_at or self.idx - self.bad_at > resync:
+                self.region = {c: row[c] for c in ("logical_source_id", "segment_id", "bad", "detail", "sample", "line_no", "byte_end")} | {"seq": self.next_seq()}
+            self.bad_at = self.idx
+            if self.idx - self.good_at == ABANDON:
+                self.close_region(row["line_no"], row["byte_end"])
+                self.skip(row, self.next_seq(), "Abandoned", f"Abandoned after {ABANDON} consecutive bad lines", row["line_no"], row["line_no"])
+                self.stopped = True
+            return
+        self.good_at = self.idx
+        if self.bad_at and self.idx - self.bad_at == resync:
+            self.close_region(row["line_no"], row["byte_end"])
+        if row["utc"] is None:
+            self.unread(row, row["line_no"], row["head"])
+        else:
+            self.log(row | {"k": self.k})
+            self.k += 1
+
+    def end(self) -> None:
+        self.close_record()
+        self.close_region(self.lines, self.bytes)
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame(self.out, columns=FOLLOWED.names).astype({"timestamp_utc": "datetime64[us]"} | {c: "Int64" for c in ("record_index", "segment_seq", "start_line", "end_line", "start_offset", "end_offset")} | {"timestamp_effective_offset_minutes": "Int32"})
+
+
+def followed(lines: DataFrame, kind: str, run: str, zone: str = "UTC", files: DataFrame | None = None, silence: str | None = None) -> DataFrame:
+    """Log rows and skips (told apart by ``reason_code``) of a stream of lines (path, line_no, byte_end, line) of one format. ``files`` has, by path, what a
+    head tells: for CSV ``names``, ``header_line`` and ``delimiter``."""
+    rows = identified(lines)
+    if files is not None:
+        rows = rows.join(F.broadcast(files), "path", "left")
+    rows = rows.withColumns({"start": F.lit(0).cast("long"), "is_end": F.col("line").isNull()})
+    told = told_text(rows, zone) if kind == "text" else told_csv(rows, zone, None) if kind == "csv" else told_ndjson(rows, zone)
+    wait = int(pd.Timedelta(silence).total_seconds() * 1000) if silence else 0
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        follower = Follower(key[0], run, state.get if state.exists else FRESH)
+        if state.hasTimedOut:
+            follower.close_record()
+            follower.n = LOOKAHEAD
+        else:
+            some = pd.concat(list(batches)).sort_values(["line_no", "is_end"])
+            some = some.astype(object).where(some.notna(), None)
+            for row in some.to_dict("records"):
+                follower.lines, follower.bytes = row["line_no"], row["byte_end"]
+                if row["is_end"]:
+                    follower.end()
+                    continue
+                follower.text(row | {"utc": str(row["utc"]) if row["utc"] is not None else None}) if kind == "text" else follower.structured(row, RESYNC[kind])
+        state.update(follower.state())
+        if follower.record is not None and wait:
+            state.setTimeoutDuration(wait)
+        yield follower.rows()
+
+    out = told.groupBy("path").applyInPandasWithState(step, FOLLOWED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
+    return out.withColumn("timestamp_utc", F.col("timestamp_utc").cast("timestamp_ntz"))
