@@ -105,6 +105,11 @@ def folder_name(title: Column, created: Column) -> Column:
     return F.concat(F.date_format(created, "yyyyMMdd_HHmmss"), F.lit("_"), safe)
 
 
+def field_of(fields: Column, name: str) -> Column:
+    """A member of ``fields`` (JSON text) by name, as text; null where there is none. The name is taken as it is, dots and all."""
+    return F.try_variant_get(F.try_parse_json(fields), "$[" + "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "']", "string")
+
+
 def string_fields(fields: Column) -> Column:
     """A map of strings as JSON text; null where it is empty."""
     return F.when(F.size(fields) > 0, F.to_json(fields))

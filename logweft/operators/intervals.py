@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,33 @@ def daily(spark: SparkSession, first: str, last: str, time: str = "00:00:00", le
     return days.select(start.alias("start_utc"), end.alias("end_utc"))
 
 
+def occurrences(sets: DataFrame) -> DataFrame:
+    """(set_id, start_utc, end_utc) of calendar sets, a row a set: arrays ``years``, ``months``, ``days`` and ``zones``, ``times`` (local, null or empty for
+    whole days) and ``seconds``. Each combination is an interval of ``seconds`` from its local time on, or to the zone's next midnight
+    for whole days. Days that a month doesn't have are left out; missing zones are UTC. Equal intervals of a set come once."""
+    first = F.make_date("year", "month", F.lit(1))
+    each = sets.select("set_id", "times", "zones", "seconds", F.explode(F.array_distinct("years")).alias("year"), "months", "days")
+    each = each.select("*", F.explode(F.array_distinct("months")).alias("month")).where("month between 1 and 12")
+    each = each.select("*", F.explode(F.array_distinct("days")).alias("d")).where((F.col("d") >= 1) & (F.col("d") <= F.day(F.last_day(first))))
+    each = each.withColumns({"time": F.explode_outer("times")}).withColumns({"zone": F.explode_outer("zones")})
+    day = F.date_add(F.make_date("year", "month", F.lit(1)), F.col("d") - 1)
+    local = lambda d, time: F.to_timestamp_ntz(F.concat(d.cast("string"), F.lit(" "), time))
+    zone, midnight = F.coalesce("zone", F.lit("UTC")), F.lit("00:00:00")
+    full = F.when(F.length("time") == 5, F.concat("time", F.lit(":00"))).otherwise(F.col("time"))
+    start = zone_to_utc(local(day, F.coalesce(full, midnight)), zone)
+    end = F.when(F.col("time").isNull(), zone_to_utc(local(F.date_add(day, 1), midnight), zone)).otherwise(start + F.make_dt_interval(secs=F.coalesce("seconds", F.lit(0))))
+    return each.select("set_id", start.alias("start_utc"), end.alias("end_utc")).distinct()
+
+
+def span(rows: DataFrame, start: datetime | str, end: datetime | str, ts: str = "timestamp_utc") -> DataFrame:
+    """(start_utc, end_utc) from a moment, or the ``first`` row's, to a moment, or the ``latest`` row's, which is inside; no row without rows."""
+    low = F.min(ts) if start == "first" else F.max(ts) if start == "latest" else moment(start)
+    high = F.min(ts) if end == "first" else F.max(ts) if end == "latest" else moment(end)
+    if end in ("first", "latest"):
+        high = high + F.expr("interval 1 microsecond")
+    return rows.agg(F.max(ts).alias("_any"), low.alias("start_utc"), high.alias("end_utc")).where("_any is not null").drop("_any")
+
+
 def merged(intervals: DataFrame) -> DataFrame:
     """Intervals that overlap or touch as one; those without a moment are left out. Ends and counts are carried within
     hours, and from hour to hour by a table of one row an hour, so no task holds all intervals."""

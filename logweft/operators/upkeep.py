@@ -10,6 +10,8 @@ from logweft.operators.views import segment_statistics
 
 #: Rows of a file of a written segment.
 FILE_ROWS = 5_000_000
+#: The column of microseconds in a written log, and what it has for a segment without rows.
+MICROS, GONE = "timestamp_us", -(2**63)
 RUNS = "run_id string, started_utc timestamp_ntz, completed_utc timestamp_ntz, status string"
 
 
@@ -59,17 +61,15 @@ def reingested(logs: DataFrame, skips: DataFrame, segments: DataFrame, again: In
 
 
 def write_segments(logs: DataFrame, path: str, segments: DataFrame | None = None) -> None:
-    """Replaces the segments that ``logs`` has, and those of ``segments`` (segment_id), in a table partitioned by segment: Spark
-    commits the partitions together; then those of ``segments`` that have no rows any more go. A segment is a task for each
-    ``FILE_ROWS`` rows."""
-    rows = logs.repartition("segment_id", F.floor(F.col("record_index") / FILE_ROWS)).sortWithinPartitions("segment_id", "timestamp_utc", "record_index")
-    rows.write.partitionBy("segment_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    """Replaces the segments that ``logs`` has, and those of ``segments`` (segment_id), in a table partitioned by segment, in one commit of Spark: a
+    segment without rows any more becomes one row without a time, which ``read_segments`` leaves out. A segment is a task for each ``FILE_ROWS`` rows. Rows get their time
+    in microseconds besides, which footers sum up."""
+    rows = logs.withColumn(MICROS, F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), F.col("timestamp_utc")))
     if segments is not None:
-        spark = logs.sparkSession
-        hadoop = spark._jsc.hadoopConfiguration()
-        for row in segments.select("segment_id").distinct().join(logs.select("segment_id").distinct(), "segment_id", "left_anti").toLocalIterator():
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/segment_id={row.segment_id}")
-            folder.getFileSystem(hadoop).delete(folder, True)
+        gone = segments.select("segment_id").distinct().join(logs.select("segment_id").distinct(), "segment_id", "left_anti")
+        rows = rows.unionByName(gone.withColumn(MICROS, F.lit(GONE)), allowMissingColumns=True)
+    rows = rows.repartition("segment_id", F.floor(F.col("record_index") / FILE_ROWS)).sortWithinPartitions("segment_id", "timestamp_utc", "record_index")
+    rows.write.partitionBy("segment_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def with_metadata(segments: DataFrame, files: DataFrame) -> DataFrame:
@@ -97,10 +97,11 @@ def interrupted(runs: DataFrame) -> DataFrame:
 
 
 def recorded(history: DataFrame, text: str, now) -> DataFrame:
-    """The history of queries with one more; blank ones aren't kept."""
+    """The history of queries (query_id, query_text, executed_utc) with one more, under the next number; blank ones aren't kept."""
     if not text.strip():
         return history
-    return history.unionByName(history.sparkSession.createDataFrame([(text.strip(), now)], "query_text string, executed_utc timestamp_ntz"), allowMissingColumns=True)
+    new = history.agg((F.coalesce(F.max("query_id"), F.lit(0)) + 1).alias("query_id"))
+    return history.unionByName(new.select("query_id", F.lit(text.strip()).alias("query_text"), F.lit(now).cast("timestamp_ntz").alias("executed_utc")), allowMissingColumns=True)
 
 
 def incomplete_segments(segments: DataFrame, runs: DataFrame) -> DataFrame:

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from logweft.functions import text as tx
 from logweft.functions.times import after_stamp_text, stamp_text, with_utc
-from logweft.operators import ingest, upkeep, views
+from logweft.operators import ingest, segments, upkeep, views
 from logweft.operators.filters import LogFilter, Text, select_logs
 from logweft.operators.ingest_files import ingest_files
-from logweft.operators.intervals import daily, merged, within
+from logweft.operators.intervals import daily, merged, occurrences, span, within
 from logweft.schema import logs_of_events
 from logweft.sources.export import csv_lines, export, json_lines, ordered
 from logweft.sources.lines import content_lines, decoded, detected, hashed, sure, unzipped
 from logweft.sources.shared import new_folder
 from logweft.sources.sink import write_lines
+from logweft.streaming.tail import followed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,7 +333,7 @@ def _(spark, d):
 
 @query("fields_json_extract", "select record_index, json_extract_string(fields, '$.k') as k from LOGS")
 def _(spark, d):
-    return logs(spark, d).select("record_index", F.get_json_object("fields", "$.k").alias("k"))
+    return logs(spark, d).select("record_index", tx.field_of(F.col("fields"), "k").alias("k"))
 
 
 @query("fuzzy_match", "select record_index from LOGS where regexp_matches(lower(message), 'e.*1.*p')")
@@ -599,13 +600,118 @@ def _(spark, d):
     return now.segments.join(now.skips.select("segment_id", "reason_code"), "segment_id", "left").select("logical_source_id", "reason_code", "row_count", "last_ingest_run_id")
 
 
-@query("run_records", "select 'run-' || i as run_id, case i when 1 then 'completed' when 2 then 'failed' else 'running' end as status, case when i < 3 then timestamp '2024-01-02' end as completed_utc from range(1, 4) t(i)")
+RUNS_SQL = "select 'run-' || (event_id % 20) as run_id, min(ts) as started_utc, case when event_id % 20 < 15 then max(ts) end as completed_utc, case when event_id % 20 < 15 then 'completed' else 'running' end as status from events group by event_id % 20"
+
+
+def runs_of(spark: SparkSession, d: str) -> DataFrame:
+    """Runs by event_id % 20; those from 15 on never ended."""
+    k = F.col("event_id") % 20
+    rows = table(spark, d, "events").groupBy(k.alias("k")).agg(F.min("ts").cast("timestamp_ntz").alias("started_utc"), F.max("ts").cast("timestamp_ntz").alias("last"))
+    done = F.col("k") < 15
+    return rows.select(F.concat(F.lit("run-"), "k").alias("run_id"), "started_utc", F.when(done, F.col("last")).alias("completed_utc"), F.when(done, "completed").otherwise("running").alias("status"))
+
+
+@query("run_records", f"with r as ({RUNS_SQL}) select run_id, case when run_id = 'run-16' then 'failed' when status = 'running' then 'abandoned' else status end as status, case when run_id = 'run-16' then timestamp '2024-01-02' when status = 'running' then timestamp '2024-01-03' else completed_utc end as completed_utc from r union all select 'run-new', 'abandoned', timestamp '2024-01-03'")
+def _(spark, d):
+    """Runs with a new one, one that failed, and those left over given up."""
+    runs = upkeep.started(runs_of(spark, d), "run-new", t(2024, 1, 1))
+    return upkeep.abandoned(upkeep.ended(runs, "run-16", t(2024, 1, 2), "failed"), t(2024, 1, 3)).select("run_id", "status", "completed_utc")
+
+
+@query("run_interrupted", f"select run_id, started_utc from ({RUNS_SQL}) where completed_utc is null")
+def _(spark, d):
+    return upkeep.interrupted(runs_of(spark, d)).select("run_id", "started_utc")
+
+
+@query("history_recorded", "select event_id as query_id, event_type as query_text, ts as executed_utc from events union all select max(event_id) + 1, 'level:error', timestamp '2024-01-02' from events")
+def _(spark, d):
+    history = table(spark, d, "events").select(F.col("event_id").alias("query_id"), F.col("event_type").alias("query_text"), F.col("ts").cast("timestamp_ntz").alias("executed_utc"))
+    return upkeep.recorded(upkeep.recorded(history, "  level:error ", t(2024, 1, 2)), " ", t(2024, 1, 3))
+
+
+@query("skip_previews", "select event_id, case when length(props) > 8 then substr(props, 1, 8) || '…' else props end as shown, event_type in ('error', 'view') as is_error from events")
+def _(spark, d):
+    reason = F.when(F.col("event_type") == "error", "IOError").when(F.col("event_type") == "view", "Abandoned").otherwise("TimeParse")
+    return table(spark, d, "events").select("event_id", tx.preview(F.col("props"), 8).alias("shown"), tx.is_error(reason).alias("is_error"))
+
+
+# Segments by footers, and counts by hour
+
+
+def stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str]:
+    """The log with a segment for each 3,000 events, written; its rows read back, and its footers."""
+    rows = logs(spark, d).withColumn("segment_id", F.concat(F.lit("seg-"), F.floor(F.col("record_index") / 3000)))
+    folder = new_folder(spark, "segments")
+    upkeep.write_segments(rows, folder)
+    return segments.read_segments(spark, folder), segments.footers(spark, folder), folder
+
+
+STORED = "(select * replace ('seg-' || (record_index // 3000) as segment_id) from LOGS)"
+WINDOW = (t(2024, 1, 3, 4, 30), t(2024, 1, 20, 17, 15))
+WINDOW_SQL = "timestamp_utc >= timestamp '2024-01-03 04:30:00' and timestamp_utc < timestamp '2024-01-20 17:15:00'"
+
+
+@query("segment_footers", f"select segment_id, min(timestamp_utc) as min_ts_utc, max(timestamp_utc) as max_ts_utc, count(*) as row_count from {STORED} group by segment_id")
+def _(spark, d):
+    return stored(spark, d)[1]
+
+
+@query("segments_window", f"select timestamp_utc, segment_id, record_index, level from {STORED} where {WINDOW_SQL}")
+def _(spark, d):
+    rows, zones, _ = stored(spark, d)
+    return segments.in_window(rows, zones, *WINDOW).select("timestamp_utc", "segment_id", "record_index", "level")
+
+
+@query("segments_first_page", f"select timestamp_utc, segment_id, record_index, message from {STORED} where timestamp_utc >= timestamp '2024-01-03 04:30:00' order by timestamp_utc, segment_id, record_index limit 2000")
+def _(spark, d):
+    rows, zones, _ = stored(spark, d)
+    return segments.first_page(rows, zones, start=WINDOW[0]).select("timestamp_utc", "segment_id", "record_index", "message")
+
+
+@query("cube_window", f"select logical_source_id, level, count(*) as row_count from {STORED} where {WINDOW_SQL} group by logical_source_id, level")
+def _(spark, d):
+    rows, _, _ = stored(spark, d)
+    return segments.window_counts(segments.cube(rows), rows, *WINDOW, "logical_source_id", "level")
+
+
+@query("cube_reingest", f"select level, count(*) as row_count from {STORED} where {WINDOW_SQL} and (segment_id <> 'seg-1' or record_index % 2 = 0) and segment_id <> 'seg-2' group by level")
+def _(spark, d):
+    """The cube after half of one segment's rows came back, and none of another's."""
+    rows, _, _ = stored(spark, d)
+    again = rows.where("segment_id = 'seg-1' and record_index % 2 = 0")
+    now = rows.where("segment_id not in ('seg-1', 'seg-2')").unionByName(again)
+    keys = spark.sql("select explode(array('seg-1', 'seg-2')) as segment_id")
+    return segments.window_counts(segments.cube_after(segments.cube(rows), again, keys), now, *WINDOW, "level")
+
+
+@query(
+    "calendar_sets",
+    """with i as (select make_timestamp(2024, m, day, h, 0, 0) as a, make_timestamp(2024, m, day, h, 0, 0) + interval 90 minute as b from (values (1), (2)) x(m), (values (5), (15), (29), (30)) y(day), (values (8), (20)) z(h)
+ where not (m = 2 and day = 30)) select event_id from events where exists (select 1 from i where ts >= a and ts < b)""",
+)
+def _(spark, d):
+    """Days 5, 15, 29 and 30 of two months, at 9 and 21 o'clock in Rome, which is an hour ahead in winter, for 90 minutes."""
+    sets = spark.createDataFrame([(1, [2024], [1, 2], [5, 15, 29, 30], ["09:00", "21:00"], ["Europe/Rome"], 5400)], "set_id int, years array<int>, months array<int>, days array<int>, times array<string>, zones array<string>, seconds long")
+    return within(logs(spark, d), occurrences(sets), "timestamp_utc").select(F.col("record_index").alias("event_id"))
+
+
+@query("span_of_data", "select count(*) as row_count, max(timestamp_utc) as last_utc from LOGS where timestamp_utc >= timestamp '2024-01-03 04:30:00'")
+def _(spark, d):
+    rows = logs(spark, d)
+    return within(rows, span(rows, WINDOW[0], "latest"), "timestamp_utc").agg(F.count("*").alias("row_count"), F.max("timestamp_utc").alias("last_utc"))
+
+
+@query("tail_followed", f"select ts as timestamp_utc, 'app-' || (user_id % 3) as logical_source_id, row_number() over (partition by user_id % 3 order by event_id) - 1 as record_index, {LEVEL_SQL} as level, {TRACE_SQL} as message from events")
 def _(spark, d):
-    runs = spark.createDataFrame([], upkeep.RUNS)
-    for i in (1, 2, 3):
-        runs = upkeep.started(runs, f"run-{i}", t(2024, 1, 1))
-    runs = upkeep.ended(upkeep.ended(runs, "run-1", t(2024, 1, 2)), "run-2", t(2024, 1, 2), "failed")
-    return runs.select("run_id", "status", "completed_utc")
+    """Lines that come in several batches, in the order of their numbers, as a stream into a table."""
+    rows = split_lines(placed(table(spark, d, "events"), "concat('/logs/app-', user_id % 3, '.log')", TRACE))
+    ends = rows.groupBy("path").agg((F.max("line_no") + 1).alias("line_no"), F.max("byte_end").alias("byte_end")).withColumn("line", F.lit(None).cast("string"))
+    into, out, state = (new_folder(spark, x) for x in ("arriving", "followed", "follower"))
+    rows.unionByName(ends).write.parquet(into)
+    stream = followed(spark.readStream.schema(rows.schema).parquet(into), "text", "run-1")
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out).where("reason_code is null").select("timestamp_utc", "logical_source_id", "record_index", "level", "message")
 
 
 @query(

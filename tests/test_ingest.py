@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logweft.functions import text
-from logweft.operators import ingest, intervals, upkeep
+from logweft.operators import ingest, intervals, segments, upkeep
 from logweft.schema import logs_of_events
 from logweft.sources import export, lines, sink
 from logweft.streaming import tail
@@ -190,10 +190,10 @@ def test_segments_are_replaced_alone(spark, tmp_path):
     upkeep.write_segments(logs, path)
     upkeep.write_segments(logs.where("segment_id = 'seg-1' and record_index < 100"), path)
     upkeep.write_segments(logs.where("segment_id = 'seg-2'"), path, spark.sql("select 'seg-2' as segment_id"))
-    got = {r.segment_id: r["count"] for r in spark.read.parquet(path).groupBy("segment_id").count().collect()}
+    got = {r.segment_id: r["count"] for r in segments.read_segments(spark, path).groupBy("segment_id").count().collect()}
     assert got == {"seg-0": 500, "seg-1": 50}
     upkeep.write_segments(logs.limit(0), path, spark.sql("select 'seg-0' as segment_id"))
-    assert {r.segment_id for r in spark.read.parquet(path).select("segment_id").distinct().collect()} == {"seg-1"}
+    assert {r.segment_id for r in segments.read_segments(spark, path).select("segment_id").distinct().collect()} == {"seg-1"}
 
 
 @pytest.mark.parametrize("kind", ["csv", "jsonl", "parquet"])
