@@ -33,6 +33,8 @@ from logweft.sources.shared import written
 
 #: Files that are read together: their formats are broadcast, so that lines stay in order. More are read in several groups.
 GROUP = 20_000
+#: Bytes that a range has at least, but for a file's end.
+LEAST_RANGE = 1 << 20
 #: Ranges whose sums are broadcast; more are joined by a shuffle.
 BROADCAST_RANGES = 1_000_000
 #: What a file keeps of its head.
@@ -198,9 +200,10 @@ def told_lines(spark: SparkSession, kind: str, some: list, files: DataFrame, zon
     return told.mapInArrow(counted_lines, kept_schema(told, (), COUNTED))
 
 
-def ingest_files(spark: SparkSession, *paths: str, run: str, zone: str = "UTC", formats: DataFrame | None = None, range_bytes: int = RANGE) -> Ingested:
+def ingest_files(spark: SparkSession, *paths: str, run: str, zone: str = "UTC", formats: DataFrame | None = None, range_bytes: int | None = None) -> Ingested:
     """Files, folders and archives to logs, skips and segments. ``formats``: path and any columns of a head that it overrides. The paths of
-    the files pass through the driver, as they do when Spark lists files; their lines don't."""
+    the files pass through the driver, as they do when Spark lists files; their lines don't. A range has 64 MB, or less if the files
+    are too small to keep all cores busy otherwise."""
     heads = written(read_heads(spark, *paths), "heads")
     if formats is not None:
         own = [c for c in formats.columns if c != "path"]
@@ -208,12 +211,13 @@ def ingest_files(spark: SparkSession, *paths: str, run: str, zone: str = "UTC",
         heads = heads.join(given, "path", "left").select(*[F.when(F.col("given"), F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in heads.columns])
     files = identified(heads).withColumns({"format": F.coalesce("format", F.lit("unknown")), "header_line": F.when(F.col("header"), F.col("first_line"))})
     readable = files.where("problem is null and format <> 'unknown'").select("path", "archive", "entry_at", "size", "format", "delimiter").collect()
+    size = range_bytes or min(RANGE, max(LEAST_RANGE, sum(r.size for r in readable) // spark.sparkContext.defaultParallelism))
     logs, skips, broken = [], [], []
     for structured in (False, True):
         parts = []
         for kind in ("csv", "ndjson") if structured else ("text",):
             some = [r for r in readable if r.format == kind]
-            parts += [told_lines(spark, kind, some[at : at + GROUP], files, zone, range_bytes) for at in range(0, len(some), GROUP)]
+            parts += [told_lines(spark, kind, some[at : at + GROUP], files, zone, size) for at in range(0, len(some), GROUP)]
         if parts:
             table = written(reduce(DataFrame.unionByName, parts), "structured" if structured else "records")
             ranges = ranges_of(table, not structured)
