@@ -22,8 +22,8 @@ from logweft.functions.times import TIME_FIELDS, after_stamp_text, alternate_tex
 from logweft.operators.running import PART, along, by_stretch, running, stretched
 from logweft.operators.views import segment_statistics
 from logweft.schema import COLUMNS, SKIPS
-from logweft.sources.shared import written
 from logweft.sources.lines import DATE_NAMES, DETECTED, TIME_NAMES, detected
+from logweft.sources.shared import written
 
 #: Continuation lines that a text record may have.
 LOOKAHEAD = 4096
@@ -185,8 +185,18 @@ def skip_rows(rows: DataFrame) -> DataFrame:
     return ordered.select(*SKIP_COLUMNS)
 
 
+def skip_columns(rank: int, code: Column | str, detail: Column, start: Column, end: Column, offsets: tuple[Column, Column] | None = None, sample: Column | None = None) -> list[Column]:
+    """What a skip has besides its file; of skips that start at one line the smaller rank comes first."""
+    none = F.lit(None).cast("long")
+    first, last = offsets or (none, none)
+    code = F.lit(code) if isinstance(code, str) else code
+    sample = F.lit(None).cast("string") if sample is None else sample
+    named = {"rank": F.lit(rank), "start_line": start, "end_line": end, "start_offset": first, "end_offset": last, "reason_code": code, "reason_detail": detail, "sample_prefix": sample.cast("binary")}
+    return [c.alias(n) for n, c in named.items()]
+
+
 def unread_times(rows: DataFrame, sample: Column) -> DataFrame:
-    return rows.select("path", "logical_source_id", "segment_id", F.lit(1).alias("rank"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(None).cast("long").alias("start_offset"), F.lit(None).cast("long").alias("end_offset"), F.lit("TimeParse").alias("reason_code"), F.lit("Timestamp extraction failed").alias("reason_detail"), sample.cast("binary").alias("sample_prefix"))
+    return rows.select("path", "logical_source_id", "segment_id", *skip_columns(1, "TimeParse", F.lit("Timestamp extraction failed"), F.col("line_no"), F.col("line_no"), sample=sample))
 
 
 def read_text(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | None = None, pattern: str | None = None) -> Read:
@@ -231,9 +241,14 @@ def regions(kept: DataFrame, k: Column | int, ends: DataFrame) -> DataFrame:
     missed = events.where("unread")
     events = running(events.where("starts or ends or stop"), "path", stretch(), "line_no", sums={"region": F.col("starts").cast("long")})
     at = lambda flag, *c: F.max(F.when(F.col(flag), F.struct(*c)))
-    found = events.groupBy("path", "region").agg(F.first("logical_source_id").alias("logical_source_id"), F.first("segment_id").alias("segment_id"), at("starts", "line_no", "byte_end", "bad", "detail", "sample").alias("s"), F.max(F.when(F.col("ends") | F.col("stop"), F.struct("line_no", "byte_end"))).alias("e"), F.max("stop").alias("stop")).join(ends, "path")
-    region = found.select("path", "logical_source_id", "segment_id", F.lit(0).alias("rank"), F.col("s.line_no").alias("start_line"), F.coalesce("e.line_no", "last_line").alias("end_line"), F.col("s.byte_end").alias("start_offset"), F.coalesce("e.byte_end", "last_byte").alias("end_offset"), F.col("s.bad").alias("reason_code"), F.col("s.detail").alias("reason_detail"), F.col("s.sample").cast("binary").alias("sample_prefix"))
-    abandoned = events.where("stop").select("path", "logical_source_id", "segment_id", F.lit(2).alias("rank"), F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(None).cast("long").alias("start_offset"), F.lit(None).cast("long").alias("end_offset"), F.lit("Abandoned").alias("reason_code"), F.lit(f"Abandoned after {ABANDON} consecutive bad lines").alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix"))
+    ids = [F.first(c).alias(c) for c in ("logical_source_id", "segment_id")]
+    begin = at("starts", "line_no", "byte_end", "bad", "detail", "sample").alias("s")
+    end = F.max(F.when(F.col("ends") | F.col("stop"), F.struct("line_no", "byte_end"))).alias("e")
+    found = events.groupBy("path", "region").agg(*ids, begin, end).join(ends, "path")
+    last, offsets = F.coalesce("e.line_no", "last_line"), (F.col("s.byte_end"), F.coalesce("e.byte_end", "last_byte"))
+    region = found.select("path", "logical_source_id", "segment_id", *skip_columns(0, F.col("s.bad"), F.col("s.detail"), F.col("s.line_no"), last, offsets, F.col("s.sample")))
+    given_up = skip_columns(2, "Abandoned", F.lit(f"Abandoned after {ABANDON} consecutive bad lines"), F.col("line_no"), F.col("line_no"))
+    abandoned = events.where("stop").select("path", "logical_source_id", "segment_id", *given_up)
     return region.union(abandoned).union(unread_times(missed, F.col("head")))
 
 
@@ -266,11 +281,11 @@ def ingest(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | Non
     spark = lines.sparkSession
     files = lines.select("path").distinct() if files is None else files
     names = [c.split()[0] for c in DETECTED.split(", ")]
-    formats = detected(lines).persist()
-    formats.count()  # a row a file: told once, so that the plans below start from it
+    formats = written(detected(lines), "formats")  # a row a file: told once, so that the plans below start from it
     told = identified(files).join(formats, "path", "left").withColumn("format", F.coalesce("format", F.lit("unknown")))
     heads = lines.where(F.trim("line") != "").groupBy("path").agg(F.min("line_no").alias("first_line"))
-    told = told.join(heads, "path", "left").withColumn("header_line", F.when(F.col("header"), F.col("first_line"))).persist()
+    told = told.join(heads, "path", "left").withColumn("header_line", F.when(F.col("header"), F.col("first_line")))
+    told = written(told, "told")
     many = told.count()
     of = {r.format for r in told.select("format").distinct().collect()}  # four at most
     wide = [c for c in (*IDENTITY, *names[5:], "delimiter", "header_line") if c != "header"]
@@ -284,7 +299,10 @@ def ingest(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | Non
     from logweft.schema import LOGS
 
     logs = reduce(DataFrame.unionByName, [p.logs for p in parts], none(LOGS)) if not parts else reduce(DataFrame.unionByName, [p.logs for p in parts])
-    reason = lambda code, detail, source, segment: [source.alias("logical_source_id"), segment.alias("segment_id"), F.lit(0).cast("long").alias("segment_seq"), *[F.lit(None).cast("long").alias(c) for c in ("start_line", "end_line", "start_offset", "end_offset")], code.alias("reason_code"), detail.alias("reason_detail"), F.lit(None).cast("binary").alias("sample_prefix")]
+    def reason(code: Column, detail: Column, source: Column, segment: Column) -> list[Column]:
+        named = {"logical_source_id": source, "segment_id": segment, "segment_seq": F.lit(0).cast("long"), "reason_code": code, "reason_detail": detail}
+        return [named.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in SKIPS]
+
     lost = told.where("format = 'unknown'").select(*reason(F.lit("NotRecognized"), F.concat(F.lit("No viable format detected for "), F.regexp_extract("path", r"[^/\\!]*$", 0)), F.col("logical_source_id"), F.col("segment_id")))
     if problems is not None:
         lost = lost.unionByName(problems.where("problem is not null").select(*reason(F.col("problem"), F.col("path"), logical_source(F.col("path")), F.lit("zip-entry"))))
@@ -292,5 +310,11 @@ def ingest(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | Non
     counted = segment_statistics(logs)
     extra = [F.col(c) if c in files.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("size", "long"), ("modified", "timestamp_ntz"), ("hash", "string"))]
     segments = told.select("segment_id", "logical_source_id", "physical_file_id", F.col("path").alias("source_path"), *extra).join(counted, "segment_id", "left")
-    segments = segments.select("segment_id", "logical_source_id", "physical_file_id", "min_ts_utc", "max_ts_utc", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.lit(run).alias("last_ingest_run_id"), F.lit(True).alias("active"), F.when(F.coalesce("row_count", F.lit(0)) > 0, F.col("size")).otherwise(F.lit(0)).alias("last_byte_offset"), "source_path", F.col("size").alias("file_size_bytes"), F.col("modified").alias("last_modified_utc"), F.col("hash").alias("file_hash"))
+    rows = F.coalesce("row_count", F.lit(0))
+    named = {
+        "row_count": rows, "last_ingest_run_id": F.lit(run), "active": F.lit(True), "last_byte_offset": F.when(rows > 0, F.col("size")).otherwise(F.lit(0)), "source_path": F.col("source_path"),
+        "file_size_bytes": F.col("size"), "last_modified_utc": F.col("modified"), "file_hash": F.col("hash"),
+    }
+    ids = ("segment_id", "logical_source_id", "physical_file_id", "min_ts_utc", "max_ts_utc")
+    segments = segments.select(*ids, *[c.alias(n) for n, c in named.items()])
     return Ingested(logs, skips, segments)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweft.functions.times import DAY, moment, zone_to_utc
+from logweft.sources.shared import written
 
 #: Intervals up to so many become one condition that the Parquet reader sees; their number is counted first.
 INLINE = 64
@@ -83,7 +84,7 @@ def within(rows: DataFrame, intervals: DataFrame, ts: str) -> DataFrame:
         for r in few:
             any_of = any_of | ((F.col(ts) >= moment(r.start_utc)) & (F.col(ts) < moment(r.end_utc)))
         return rows.where((F.col(ts) >= moment(low)) & (F.col(ts) < moment(high)) & any_of)
-    whole = merged(intervals).persist()
+    whole = written(merged(intervals), "intervals")
     told = whole.agg(F.count("*").alias("n"), F.min("start_utc").alias("low"), F.max("end_utc").alias("high")).first()
     last = F.col("end_utc") - F.expr("interval 1 microsecond")
     hour = lambda t: F.date_trunc("hour", t).cast("timestamp_ntz")
