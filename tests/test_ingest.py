@@ -101,7 +101,7 @@ def test_ndjson_fields(spark):
     line = '{"timestamp": "2024-01-01T00:00:00Z", "level": "inf", "msg": "x", "n": 1, "ok": true, "z": null, "deep": {"a": [1]}}'
     read = ingest.read_ndjson(table(spark, line + "\n[1]\nnope\n\n{bad", "/l/a.ndjson"), "r")
     row = read.logs.first()
-    assert (row.level, row.message, json.loads(row.fields)) == ("INFO", "x", {"timestamp": "2024-01-01T00:00:00Z", "n": "1", "ok": "true", "z": "", "deep": '{"a":[1]}'})
+    assert (row.level, row.message, json.loads(row.fields)) == ("INFO", "x", {"timestamp": "2024-01-01T00:00:00Z", "n": "1", "ok": "true", "z": "", "deep": '{"a": [1]}'})
     assert [(r.start_line, r.end_line) for r in read.skips.collect()] == [(2, 5)]
 
 
