@@ -1,6 +1,7 @@
 """A sink whose files appear together: tasks write attempts, the commit publishes them.
 
-``logsink`` writes ``csv``, ``jsonl`` or ``parquet`` of log rows, or ``lines``: rows (file, line) to files of these names, in an encoding. A
+``logsink`` writes ``csv``, ``jsonl`` or ``parquet`` of log rows, ``parts``: rows (file, line) to a part of each of these files, in an encoding,
+and ``joined``: rows (file, part) to files of these names, each the bytes of its parts. A
 task writes into a folder of attempts, under a name of its own; only the attempts of the tasks that Spark counts are renamed into place,
 and the rest goes with the folder. So a killed or repeated task leaves nothing, and a failed job leaves what was there before.
 Rows keep their order within a partition and files are named by partition, so rows that were sorted by range are in order from
@@ -15,6 +16,8 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 ATTEMPTS = "_attempts"
+#: Lines of a file that one task sorts and writes, and bytes that are copied at a time.
+PART_LINES, COPIED = 200_000, 8 << 20
 #: Marks of encodings.
 MARKS = {"utf-16-le": codecs.BOM_UTF16_LE, "utf-16-be": codecs.BOM_UTF16_BE, "utf-8-sig": codecs.BOM_UTF8}
 
@@ -41,7 +46,7 @@ class Written(WriterCommitMessage):
 
 class SinkWriter(DataSourceArrowWriter):
     def __init__(self, options, overwrite: bool):
-        self.path, self.kind, self.encoding, self.overwrite = options["path"], options.get("kind", "lines"), options.get("encoding", "utf-8"), overwrite
+        self.path, self.kind, self.encoding, self.overwrite = options["path"], options["kind"], options.get("encoding", "utf-8"), overwrite
         self.about = json.loads(options.get("about", "{}"))
         self.header = options.get("header")
         self.attempts = f"{ATTEMPTS}-{uuid.uuid4().hex}"
@@ -52,7 +57,7 @@ class SinkWriter(DataSourceArrowWriter):
         system.create_dir(f"{folder}/{self.attempts}")
         task = TaskContext.get().partitionId()
         attempt = f"{folder}/{self.attempts}/{uuid.uuid4().hex}"
-        write = {"lines": self.named_files, "parquet": self.parquet}.get(self.kind, self.text)
+        write = {"parts": self.parts, "joined": self.joined, "parquet": self.parquet}.get(self.kind, self.text)
         return Written(write(system, batches, attempt, task))
 
     def text(self, system, batches, attempt: str, task: int) -> list:
@@ -75,18 +80,34 @@ class SinkWriter(DataSourceArrowWriter):
         writer.close()
         return [(attempt, f"part-{task:05d}{self.suffix}.parquet")]
 
-    def named_files(self, system, batches, attempt: str, task: int) -> list:
-        """Rows (file, line), those of a file one after the other, to files of these names."""
+    def parts(self, system, batches, attempt: str, task: int) -> list:
+        """Rows (file, line), those of a file one after the other, to this task's part of each file."""
+        encoding = self.encoding.removesuffix("-sig")
+        found = self.named_files(system, batches, attempt, "line", b"", lambda out, lines: out.write("".join(f"{x}\n" for x in lines).encode(encoding)))
+        return [(a, f"{name}/{task:06d}") for a, name in found]
+
+    def joined(self, system, batches, attempt: str, task: int) -> list:
+        """Rows (file, part), those of a file in order, to files of these names; bytes are copied as they are."""
+
+        def copy(out, parts) -> None:
+            for part in parts:
+                with system.open_input_stream(part) as source:
+                    while data := source.read(COPIED):
+                        out.write(data)
+
+        return self.named_files(system, batches, attempt, "part", MARKS.get(self.encoding, b""), copy)
+
+    def named_files(self, system, batches, attempt: str, column: str, mark: bytes, put) -> list:
         out, name, found = None, None, []
         for batch in batches:
-            for file, line in zip(batch.column("file").to_pylist(), batch.column("line").to_pylist(), strict=True):
+            for file, rows in groupby(zip(batch.column("file").to_pylist(), batch.column(column).to_pylist(), strict=True), itemgetter(0)):
                 if file != name:
                     if out:
                         out.close()
                     name, found = file, [*found, (f"{attempt}-{len(found)}", file)]
                     out = system.open_output_stream(found[-1][0])
-                    out.write(MARKS.get(self.encoding, b""))
-                out.write((line + "\n").encode(self.encoding.removesuffix("-sig")))
+                    out.write(mark)
+                put(out, (x for _, x in rows))
         if out:
             out.close()
         if len({f for _, f in found}) < len(found):
@@ -137,5 +158,21 @@ def write_sink(rows: DataFrame, path: str, mode: str = "overwrite", **options: s
 
 
 def write_lines(rows: DataFrame, path: str, order: str, encoding: str = "utf-8") -> None:
-    """(file, ``order``, line) as text files; a file is written by one task, as one writer writes it."""
-    write_sink(rows.repartition("file").sortWithinPartitions("file", order).select("file", "line"), path, mode="append", encoding=encoding)
+    """(file, ``order``, line) as text files. Ranges of lines are sorted and written as parts by tasks of their own, so a task's memory doesn't
+    grow with its file; then the parts' bytes are put together, a file by one task."""
+    system, folder = filesystem(path)
+    inner = f"{ATTEMPTS}-parts-{uuid.uuid4().hex}"
+    some = rows.select("file", order, "line")
+    ranges = some.repartitionByRange(1 + some.count() // PART_LINES, "file", order).sortWithinPartitions("file", order)
+    write_sink(ranges.select("file", "line"), f"{path}/{inner}", mode="append", kind="parts", encoding=encoding)
+    try:
+        root = f"{folder}/{inner}"
+        found = [f.path for f in system.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if f.type == pafs.FileType.File]
+        if found:
+            names = [f[len(root) + 1 :].rpartition("/")[0] for f in found]
+            parts = rows.sparkSession.createDataFrame(pa.table({"file": names, "part": found}))  # names only
+            parts = parts.repartition(len(set(names)), "file").sortWithinPartitions("file", "part")  # by number, so that small rows of many bytes aren't coalesced
+            write_sink(parts, path, mode="append", kind="joined", encoding=encoding)
+    finally:
+        if system.get_file_info(f"{folder}/{inner}").type == pafs.FileType.Directory:
+            system.delete_dir(f"{folder}/{inner}")

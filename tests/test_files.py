@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweft.operators import ingest
 from logweft.operators.ingest_files import ingest_files
-from logweft.sources import files
+from logweft.sources import files, sink
 from logweft.sources.lines import content_lines
 
 ENCODINGS = {"utf-8": b"", "utf-8-sig": b"", "utf-16-le": b"\xff\xfe", "utf-16-be": b"\xfe\xff", "cp1252": b""}
@@ -175,3 +175,30 @@ def test_heads_dont_grow_with_files(tmp_path):
 def test_no_files(spark, tmp_path):
     got = ingest_files(spark, str(tmp_path), run="r")
     assert (got.logs.count(), got.skips.count(), got.segments.count()) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("encoding", ENCODINGS)
+def test_a_file_is_sorted_by_many_tasks(spark, tmp_path, monkeypatch, encoding):
+    """Ranges of a file's lines are written by tasks of their own, and its bytes are those of one writer."""
+    lines = {name: [f"é {name} {k}" for k in range(n)] for name, n in (("a.log", 500), ("in/b.log", 40), ("c.log", 1))}
+    table = spark.createDataFrame([(name, k, x) for name, some in lines.items() for k, x in enumerate(some)], "file string, at long, line string").orderBy(F.rand(3))
+    seen, real = [], sink.write_sink
+
+    def spied(rows, path, **options):
+        seen.append((options["kind"], rows.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]))
+        real(rows, path, **options)
+
+    monkeypatch.setattr(sink, "write_sink", spied)
+    monkeypatch.setattr(sink, "PART_LINES", 50)
+    sink.write_lines(table, str(tmp_path / "out"), "at", encoding)
+    mark = {"utf-8-sig": b"\xef\xbb\xbf"}.get(encoding, ENCODINGS[encoding])
+    assert {name: (tmp_path / "out" / name).read_bytes() for name in lines} == {name: mark + "".join(f"{x}\n" for x in some).encode(encoding.removesuffix("-sig")) for name, some in lines.items()}
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("_")] == []
+    assert seen[0][0] == "parts" and seen[0][1] < 250
+
+
+def test_small_ranges_share_tasks():
+    """Tasks grow with the bytes, not with the number of ranges."""
+    options = {"files": '[["/a.log", null, null, 100000]]', "range": "100", "task": "50000"}
+    tasks = [t.ranges for t in files.LineReader(options).partitions()]
+    assert [len(t) for t in tasks] == [500, 500] and [r[3] for t in tasks for r in t] == list(range(0, 100_000, 100))
