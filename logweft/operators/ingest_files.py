@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from logweft.functions.text import SEPARATORS
-from logweft.operators.ingest import ABANDON, IDENTITY, LOOKAHEAD, RESYNC, SAMPLE, SKIP_COLUMNS, Ingested, as_logs, identified, regions, told_csv, told_ndjson, told_text, unread_times
+from logweft.operators.ingest import ABANDON, IDENTITY, LOOKAHEAD, RESYNC, SAMPLE, SKIP_COLUMNS, Ingested, as_logs, identified, regions, skip_rows, told_csv, told_ndjson, told_text, unread_times
 from logweft.operators.views import segment_statistics
 from logweft.schema import LOGS, SKIPS
 from logweft.sources.files import RANGE, read_heads, read_ranges
@@ -186,9 +186,9 @@ def kept_schema(rows: DataFrame, drop: tuple[str, ...], more: str) -> StructType
     return StructType([*[f for f in rows.schema.fields if f.name not in drop], *StructType.fromDDL(more).fields])
 
 
-def told_lines(spark: SparkSession, kind: str, some: list, files: DataFrame, zone: str, size: int) -> DataFrame:
+def told_lines(spark: SparkSession, kind: str, some: list, files: DataFrame, zone: str, size: int, task: int) -> DataFrame:
     """The lines of files of one format, told, and counted in their ranges."""
-    lines = read_ranges(spark, [(r.path, r.archive, r.entry_at, r.size) for r in some], size)
+    lines = read_ranges(spark, [(r.path, r.archive, r.entry_at, r.size) for r in some], size, task)
     rows = lines.join(F.broadcast(files.where(F.col("format") == kind).select("path", *OF_FILE)), "path").withColumns({"is_end": F.col("line").isNull(), "header_line": F.when(F.col("start") == 0, F.col("header_line"))})
     if kind == "text":
         told = told_text(rows, zone, F.col("shape"))
@@ -203,7 +203,7 @@ def told_lines(spark: SparkSession, kind: str, some: list, files: DataFrame, zon
 def ingest_files(spark: SparkSession, *paths: str, run: str, zone: str = "UTC", formats: DataFrame | None = None, range_bytes: int | None = None) -> Ingested:
     """Files, folders and archives to logs, skips and segments. ``formats``: path and any columns of a head that it overrides. The paths of
     the files pass through the driver, as they do when Spark lists files; their lines don't. A range has 64 MB, or less if the files
-    are too small to keep all cores busy otherwise."""
+    are too small to keep all cores busy otherwise; a task takes as many smaller ranges."""
     heads = written(read_heads(spark, *paths), "heads")
     if formats is not None:
         own = [c for c in formats.columns if c != "path"]
@@ -211,13 +211,14 @@ def ingest_files(spark: SparkSession, *paths: str, run: str, zone: str = "UTC",
         heads = heads.join(given, "path", "left").select(*[F.when(F.col("given"), F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in heads.columns])
     files = identified(heads).withColumns({"format": F.coalesce("format", F.lit("unknown")), "header_line": F.when(F.col("header"), F.col("first_line"))})
     readable = files.where("problem is null and format <> 'unknown'").select("path", "archive", "entry_at", "size", "format", "delimiter").collect()
-    size = range_bytes or min(RANGE, max(LEAST_RANGE, sum(r.size for r in readable) // spark.sparkContext.defaultParallelism))
+    share = min(RANGE, max(LEAST_RANGE, sum(r.size for r in readable) // spark.sparkContext.defaultParallelism))
+    size = range_bytes or share
     logs, skips, broken = [], [], []
     for structured in (False, True):
         parts = []
         for kind in ("csv", "ndjson") if structured else ("text",):
             some = [r for r in readable if r.format == kind]
-            parts += [told_lines(spark, kind, some[at : at + GROUP], files, zone, size) for at in range(0, len(some), GROUP)]
+            parts += [told_lines(spark, kind, some[at : at + GROUP], files, zone, size, max(size, share)) for at in range(0, len(some), GROUP)]
         if parts:
             table = written(reduce(DataFrame.unionByName, parts), "structured" if structured else "records")
             ranges = ranges_of(table, not structured)
@@ -232,7 +233,7 @@ def ingest_files(spark: SparkSession, *paths: str, run: str, zone: str = "UTC",
     unread = known.withColumns({"reason_code": reason, "reason_detail": detail, "segment_seq": F.lit(0).cast("long")}).where("reason_code is not null")
     unread = unread.select(*[F.col(c) if c in unread.columns else F.lit(None).cast(SKIPS[c].dataType).alias(c) for c in SKIP_COLUMNS])
     all_logs = reduce(DataFrame.unionByName, logs) if logs else spark.createDataFrame([], LOGS)
-    all_skips = lambda: unread.unionByName(numbered_skips(reduce(DataFrame.unionByName, [s() for s in skips]))) if skips else unread
+    all_skips = lambda: unread.unionByName(skip_rows(reduce(DataFrame.unionByName, [s() for s in skips]))) if skips else unread
     return Ingested(all_logs, all_skips, segments_of(known, all_logs, run))
 
 
@@ -244,9 +245,3 @@ def segments_of(files: DataFrame, logs: DataFrame, run: str) -> DataFrame:
         F.when(rows > 0, F.col("size")).otherwise(F.lit(0)).alias("last_byte_offset"), F.col("path").alias("source_path"), F.col("size").alias("file_size_bytes"),
         F.col("modified").alias("last_modified_utc"), F.lit(None).cast("string").alias("file_hash"),
     )
-
-
-def numbered_skips(rows: DataFrame) -> DataFrame:
-    """Skips numbered from 1 within their file, by where they start."""
-    order = Window.partitionBy("path").orderBy("start_line", "rank")
-    return rows.withColumn("segment_seq", F.row_number().over(order).cast("long")).select(*SKIP_COLUMNS)
