@@ -84,22 +84,6 @@ def unzipped(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, content binary, problem string")
 
 
-def zip_archives(entries: DataFrame) -> DataFrame:
-    """(path, entry, content) as archives (path, content); an archive's entries meet in one task, as they are one file."""
-    packed = entries.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("entry", "content"))).alias("entries"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                box = io.BytesIO()
-                with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as archive:
-                    for part in parts:
-                        archive.writestr(zipfile.ZipInfo(part["entry"]), part["content"])
-                yield pa.RecordBatch.from_pydict({"path": [path], "content": pa.array([box.getvalue()], pa.binary())})
-
-    return packed.mapInArrow(run, "path string, content binary")
-
-
 #: Files up to this size are hashed.
 HASHED_BYTES = 50 << 20
 

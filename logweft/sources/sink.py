@@ -1,7 +1,8 @@
 """A sink whose files appear together: tasks write attempts, the commit publishes them.
 
 ``logsink`` writes ``csv``, ``jsonl`` or ``parquet`` of log rows, ``parts``: rows (file, line) to a part of each of these files, in an encoding,
-and ``joined``: rows (file, part) to files of these names, each the bytes of its parts. A
+``joined``: rows (file, part) to files of these names, each the bytes of its parts, and ``zipped``: rows (file, entry, part) to archives whose
+entries are deflated from the bytes of their parts. A
 task writes into a folder of attempts, under a name of its own; only the attempts of the tasks that Spark counts are renamed into place,
 and the rest goes with the folder. So a killed or repeated task leaves nothing, and a failed job leaves what was there before.
 Rows keep their order within a partition and files are named by partition, so rows that were sorted by range are in order from
@@ -14,6 +15,7 @@ import codecs
 import json
 import os
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -24,9 +26,12 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 ATTEMPTS = "_attempts"
+#: What stands between an archive and its entry in the names of parts.
+INSIDE = "/_entry_/"
 #: Lines of a file that one task sorts and writes, and bytes that are copied at a time.
 PART_LINES, COPIED = 200_000, 8 << 20
 #: Marks of encodings.
@@ -57,7 +62,7 @@ class SinkWriter(DataSourceArrowWriter):
         system.create_dir(f"{folder}/{self.attempts}")
         task = TaskContext.get().partitionId()
         attempt = f"{folder}/{self.attempts}/{uuid.uuid4().hex}"
-        write = {"parts": self.parts, "joined": self.joined, "parquet": self.parquet}.get(self.kind, self.text)
+        write = {"parts": self.parts, "joined": self.joined, "zipped": self.zipped, "parquet": self.parquet}.get(self.kind, self.text)
         return Written(write(system, batches, attempt, task))
 
     def text(self, system, batches, attempt: str, task: int) -> list:
@@ -97,6 +102,23 @@ class SinkWriter(DataSourceArrowWriter):
 
         return self.named_files(system, batches, attempt, "part", MARKS.get(self.encoding, b""), copy)
 
+    def zipped(self, system, batches, attempt: str, task: int) -> list:
+        """Rows (file, entry, part), those of an entry one after the other, to archives; an entry is deflated as its parts are read."""
+        rows = ((file, entry, part) for batch in batches for file, entry, part in zip(*(batch.column(c).to_pylist() for c in ("file", "entry", "part")), strict=True))
+        found = []
+        for name, of_file in groupby(rows, itemgetter(0)):
+            found.append((f"{attempt}-{len(found)}", name))
+            with system.open_output_stream(found[-1][0]) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                for entry, of_entry in groupby(of_file, itemgetter(1)):
+                    info = zipfile.ZipInfo(entry)
+                    info.compress_type = zipfile.ZIP_DEFLATED
+                    with archive.open(info, "w", force_zip64=True) as inside:
+                        for _, _, part in of_entry:
+                            with system.open_input_stream(part) as source:
+                                while data := source.read(COPIED):
+                                    inside.write(data)
+        return found
+
     def named_files(self, system, batches, attempt: str, column: str, mark: bytes, put) -> list:
         out, name, found = None, None, []
         for batch in batches:
@@ -160,6 +182,15 @@ def write_sink(rows: DataFrame, path: str, mode: str = "overwrite", **options: s
 def write_lines(rows: DataFrame, path: str, order: str, encoding: str = "utf-8") -> None:
     """(file, ``order``, line) as text files. Ranges of lines are sorted and written as parts by tasks of their own, so a task's memory doesn't
     grow with its file; then the parts' bytes are put together, a file by one task."""
+    put_together(rows, path, order, encoding, "joined")
+
+
+def write_archives(rows: DataFrame, path: str, order: str, encoding: str = "utf-8") -> None:
+    """(file, entry, ``order``, line) as archives of text entries, as ``write_lines`` writes files."""
+    put_together(rows.withColumn("file", F.concat("file", F.lit(INSIDE), "entry")), path, order, encoding, "zipped")
+
+
+def put_together(rows: DataFrame, path: str, order: str, encoding: str, kind: str) -> None:
     system, folder = filesystem(path)
     inner = f"{ATTEMPTS}-parts-{uuid.uuid4().hex}"
     some = rows.select("file", order, "line")
@@ -170,9 +201,11 @@ def write_lines(rows: DataFrame, path: str, order: str, encoding: str = "utf-8")
         found = [f.path for f in system.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True)) if f.type == pafs.FileType.File]
         if found:
             names = [f[len(root) + 1 :].rpartition("/")[0] for f in found]
-            parts = rows.sparkSession.createDataFrame(pa.table({"file": names, "part": found}))  # names only
-            parts = parts.repartition(len(set(names)), "file").sortWithinPartitions("file", "part")  # by number, so that small rows of many bytes aren't coalesced
-            write_sink(parts, path, mode="append", kind="joined", encoding=encoding)
+            split = [name.partition(INSIDE) for name in names] if kind == "zipped" else [(name, "", "") for name in names]
+            parts = pa.table({"file": [x[0] for x in split], "entry": [x[2] for x in split], "part": found})  # names only
+            parts = rows.sparkSession.createDataFrame(parts).repartition(len({x[0] for x in split}), "file")
+            parts = parts.sortWithinPartitions("file", "entry", "part")  # by number, so that small rows of many bytes aren't coalesced
+            write_sink(parts if kind == "zipped" else parts.drop("entry"), path, mode="append", kind=kind, encoding=encoding)
     finally:
         if system.get_file_info(f"{folder}/{inner}").type == pafs.FileType.Directory:
             system.delete_dir(f"{folder}/{inner}")

@@ -202,3 +202,17 @@ def test_small_ranges_share_tasks():
     options = {"files": '[["/a.log", null, null, 100000]]', "range": "100", "task": "50000"}
     tasks = [t.ranges for t in files.LineReader(options).partitions()]
     assert [len(t) for t in tasks] == [500, 500] and [r[3] for t in tasks for r in t] == list(range(0, 100_000, 100))
+
+
+def test_archives_are_cut(spark, tmp_path):
+    """An archive is written from sorted ranges of its entry's lines, and the entry is read by ranges of which none has all of it."""
+    lines = [f"{stamped(k)} INFO é {k}" for k in range(3000)]
+    table = spark.createDataFrame([(name, "in/app.log", k, x) for name in ("0.zip", "1.zip") for k, x in enumerate(lines)], "file string, entry string, at long, line string").orderBy(F.rand(3))
+    sink.write_archives(table.union(spark.sql("select '0.zip', 'more.zip', 0L, 'x'")), str(tmp_path), "at")
+    with zipfile.ZipFile(tmp_path / "0.zip") as box:
+        assert box.namelist() == ["in/app.log", "more.zip"] and box.testzip() is None
+        entry = box.getinfo("in/app.log")
+        assert box.read(entry).decode().splitlines() == lines
+    tasks = files.LineReader({"files": f'[["a", "{tmp_path / "0.zip"}", {entry.header_offset}, {entry.file_size}]]', "range": "20000"})
+    found = [[x for b in tasks.read(t) for x in b.column("line").to_pylist() if x is not None] for t in tasks.partitions()]
+    assert len(found) > 3 and max(map(len, found)) < 1500 and [x for some in found for x in some] == lines
