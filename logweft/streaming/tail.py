@@ -9,10 +9,13 @@ path's file. A text record ends with the next one, with its file, or when its pa
 
 from __future__ import annotations
 
+import heapq
 import json
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,6 +31,8 @@ STATE = "lines long, bytes long, idx long, k long, bad_at long, good_at long, se
 FRESH = (0, 0, 0, 0, 0, 0, 0, 0, False, None, None, None)
 #: Rows that come out: a log row or a skip.
 FOLLOWED = StructType([StructField(f.name, f.dataType) for f in (*LOGS, *(g for g in SKIPS if g.name not in LOGS.names))])
+#: Lines of a path that are sorted in memory, lines of a sorted run that are read at a time, and rows that come out together.
+HELD, READ, OUT = 100_000, 500, 10_000
 OF_LINE = [*IDENTITY, "utc", "basis", "offset_minutes", "original", "level", "message", "fields_json"]
 
 
@@ -135,6 +140,34 @@ class Follower:
         return pd.DataFrame(self.out, columns=FOLLOWED.names).astype({"timestamp_utc": "datetime64[us]"} | {c: "Int64" for c in ("record_index", "segment_seq", "start_line", "end_line", "start_offset", "end_offset")} | {"timestamp_effective_offset_minutes": "Int32"})
 
 
+def in_order(frames: Iterator[pd.DataFrame], held: int = HELD) -> Iterator[dict]:
+    """Rows by line_no, a path's end last. More than ``held`` rows are sorted as runs, which wait on the task's disk and are merged
+    as they are read: of each run there are ``READ`` rows in memory."""
+
+    def run(some: list[pd.DataFrame]) -> list[pa.RecordBatch]:
+        rows = pd.concat(some).sort_values(["line_no", "is_end"])
+        return pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=READ)
+
+    def read(path: str) -> Iterator[dict]:
+        with pa.OSFile(path) as source, pa.ipc.open_stream(source) as batches:
+            for batch in batches:
+                yield from batch.to_pylist()
+
+    with tempfile.TemporaryDirectory() as folder:
+        paths, some, n = [], [], 0
+        for frame in frames:
+            some, n = [*some, frame], n + len(frame)
+            if n >= held:
+                paths.append(f"{folder}/{len(paths)}")
+                batches = run(some)
+                with pa.OSFile(paths[-1], "wb") as into, pa.ipc.new_stream(into, batches[0].schema) as out:
+                    for batch in batches:
+                        out.write_batch(batch)
+                some, n = [], 0
+        last = (row for batch in (run(some) if n else []) for row in batch.to_pylist())
+        yield from heapq.merge(*map(read, paths), last, key=lambda row: (row["line_no"], row["is_end"]))
+
+
 def followed(lines: DataFrame, kind: str, run: str, zone: str = "UTC", files: DataFrame | None = None, silence: str | None = None) -> DataFrame:
     """Log rows and skips (told apart by ``reason_code``) of a stream of lines (path, line_no, byte_end, line) of one format. ``files`` has, by path, what a
     head tells: for CSV ``names``, ``header_line`` and ``delimiter``."""
@@ -151,9 +184,10 @@ def followed(lines: DataFrame, kind: str, run: str, zone: str = "UTC", files: Da
             follower.close_record()
             follower.n = LOOKAHEAD
         else:
-            some = pd.concat(list(batches)).sort_values(["line_no", "is_end"])
-            some = some.astype(object).where(some.notna(), None)
-            for row in some.to_dict("records"):
+            for row in in_order(batches):
+                if len(follower.out) >= OUT:
+                    yield follower.rows()
+                    follower.out = []
                 follower.lines, follower.bytes = row["line_no"], row["byte_end"]
                 if row["is_end"]:
                     follower.end()

@@ -114,3 +114,15 @@ def test_windows_of_a_followed_stream(spark, tmp_path):
     rows = [("/l/a.log", k + 1, 30 * k, f"2024-01-01 00:{k:02d}:00 INFO a") for k in range(10)] + [("/l/a.log", 10, 300, None)]
     got = tail.followed(batches(spark, tmp_path, rows, [3]), "text", "r").where(F.col("reason_code").isNull())
     assert drained(got.select("message", "timestamp_utc"), "windows_followed").count() == 10
+
+
+def test_more_lines_than_memory_holds():
+    """Rows in any order, with nulls, come out in order from runs on disk."""
+    numbers = list(range(1, 2001))
+    random.Random(5).shuffle(numbers)
+    frames = [pd.DataFrame({"line_no": numbers[k : k + 30], "is_end": [n == 2000 for n in numbers[k : k + 30]], "utc": [pd.Timestamp("2024-01-01") if n % 3 else pd.NaT for n in numbers[k : k + 30]], "bad": ["x" if n % 2 else None for n in numbers[k : k + 30]]}) for k in range(0, 2000, 30)]
+    frames.append(pd.DataFrame({"line_no": [2000], "is_end": [False], "utc": [pd.NaT], "bad": [None]}))
+    for held in (100, 10**6):
+        got = list(tail.in_order(iter(frames), held))
+        assert [r["line_no"] for r in got] == [*range(1, 2001), 2000] and [r["is_end"] for r in got[-2:]] == [False, True]
+        assert all((r["utc"] is None) == (r["line_no"] % 3 == 0) and r["bad"] == ("x" if r["line_no"] % 2 else None) for r in got if r["line_no"] < 2000)
