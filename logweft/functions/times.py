@@ -132,16 +132,23 @@ def with_utc(rows: DataFrame, stamp: str, zone: str = "UTC", year: int = 2024) -
     kind_of_zone = basis_of(zone)
     zone = rows.sparkSession.conf.get("spark.sql.session.timeZone") if zone == "local" else zone
     number = lambda c: F.col(c).try_cast("int")
-    text = F.col(stamp)
-    one = rows.withColumns({"_raw": F.regexp_replace(F.trim(text), r"\s+", " "), "_s": F.replace(F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r"(?<=:\d\d),(?=\d)", "."), F.lit("/"), F.lit("-"))})
-    iso = F.regexp_extract("_s", r"^(\d{4}-\d{2}-\d{2})[T ]\d{2}:", 1)
-    two = F.regexp_extract("_s", r"^(\d{2}-\d{2}-\d{2}) \d{2}:\d{2}:\d{2}(?:\.\d{3})?$", 1)
+    one = rows.withColumn("_t", F.trim(F.col(stamp)))
+    one = one.withColumn("_raw", F.when(F.col("_t").rlike(r"[\t\n\x0B\f\r]|  "), F.regexp_replace("_t", r"\s+", " ")).otherwise(F.col("_t")))
+    # patterns are tried only where they may fit, as they take most of the time
+    dots = F.when(F.contains("_raw", F.lit(",")), F.regexp_replace("_raw", r"(?<=:\d\d),(?=\d)", ".")).otherwise(F.col("_raw"))
+    one = one.withColumn("_s", F.replace(dots, F.lit("/"), F.lit("-"))).withColumn("_iso", F.col("_s").rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:"))
+    is_iso = F.col("_iso")
+    one = one.withColumn("_two", F.when(~is_iso, F.regexp_extract("_s", r"^(\d{2}-\d{2}-\d{2}) \d{2}:\d{2}:\d{2}(?:\.\d{3})?$", 1) != "").otherwise(False))
+    is_two = F.col("_two")
     full = lambda n: F.concat(F.when(F.substring("_s", n, 2).try_cast("int") < 50, "20").otherwise("19"), F.substring("_s", n, 2))
     a_b_c = lambda y, m, d: F.concat(full(y), F.lit("-"), F.substring("_s", m, 2), F.lit("-"), F.substring("_s", d, 2)).try_cast("date").cast("string")
     slashed = F.substring("_raw", 3, 1) == "/"
-    kind = F.when(F.col("_s").rlike(r"^\d{10}(?:\.\d+)?$|^\d{13}$"), "epoch").when(iso != "", "iso").when(two != "", "two").when(F.col("_raw").rlike(r"^\d{2}/[A-Z][a-z]{2}/\d{4}:"), "clf").when(F.col("_raw").rlike(r"^[A-Z][a-z]{2} \d{1,2} "), "syslog").otherwise("other")
-    day = F.when(iso != "", iso).when(two != "", F.coalesce(a_b_c(1, 4, 7), F.when(slashed, a_b_c(7, 1, 4)), F.when(slashed, a_b_c(7, 4, 1))))
-    two_steps = one.withColumns({"_kind": kind, "_day": day, "_time": F.regexp_extract("_s", r"[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)", 1), "_off": F.regexp_extract(F.col("_raw"), r":\d{2}(?:[.,]\d*)?\s*(Z|[+-]\d{2}:?\d{2})$", 1)})
+    kind = F.when(is_iso, "iso").when(F.col("_s").rlike(r"^\d{10}(?:\.\d+)?$|^\d{13}$"), "epoch").when(is_two, "two").when(F.col("_raw").rlike(r"^\d{2}/[A-Z][a-z]{2}/\d{4}:"), "clf").when(F.col("_raw").rlike(r"^[A-Z][a-z]{2} \d{1,2} "), "syslog").otherwise("other")
+    day = F.when(is_iso, F.substring("_s", 1, 10)).when(is_two, F.coalesce(a_b_c(1, 4, 7), F.when(slashed, a_b_c(7, 1, 4)), F.when(slashed, a_b_c(7, 4, 1))))
+    time = F.when(is_iso | is_two, F.regexp_extract("_s", r"[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)", 1))
+    may_name_offset = F.endswith("_raw", F.lit("Z")) | F.substring("_raw", -6, 1).isin("+", "-") | F.substring("_raw", -5, 1).isin("+", "-")
+    offset = F.when(F.col("_raw").isNotNull(), F.when(may_name_offset, F.regexp_extract("_raw", r":\d{2}(?:[.,]\d*)?\s*(Z|[+-]\d{2}:?\d{2})$", 1)).otherwise(""))
+    two_steps = one.withColumns({"_kind": kind, "_day": day, "_time": time, "_off": offset})
     parts = two_steps.withColumns({"_sign": F.when(F.startswith("_off", F.lit("-")), -1).otherwise(1), "_h": F.substring("_off", 2, 2), "_m": F.substring("_off", -2, 2)})
     away = F.when(F.col("_kind") == "epoch", 0).when(F.col("_off") == "Z", 0).when(F.col("_off") != "", F.col("_sign") * (number("_h") * 60 + number("_m")))
     with_format = lambda c, f: F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz")
@@ -158,7 +165,7 @@ def with_utc(rows: DataFrame, stamp: str, zone: str = "UTC", year: int = 2024) -
     utc = F.when(F.col("_away").isNotNull(), F.col("_local") - F.make_dt_interval(mins=F.coalesce("_away", F.lit(0)))).otherwise(bare)
     done = found.withColumns({"utc": utc, "basis": F.when(F.col("_away") != 0, "FixedOffset").when(F.col("_away").isNotNull(), "Utc").otherwise(kind_of_zone)})
     done = done.withColumn("offset_minutes", F.coalesce("_away", F.timestamp_diff("MINUTE", F.col("utc"), F.col("_local")).cast("int")))
-    return done.drop("_raw", "_s", "_kind", "_day", "_time", "_off", "_sign", "_h", "_m", "_away", "_local")
+    return done.drop("_raw", "_s", "_kind", "_day", "_time", "_off", "_sign", "_h", "_m", "_away", "_local", "_t", "_iso", "_two")
 
 
 # Units of durations; y is 365 days and M is 30.
