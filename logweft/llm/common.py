@@ -31,11 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts its lineage, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether the shuffle files of a query go as soon as it ends, instead of when the driver collects its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str, cleaned: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts its lineage, and a lost executor loses nothing. With ``cleaned``, the shuffle files
+    of writing it go at once, so that those of one step don't lie beside those of the next."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(CLEANED, "false")
+    if cleaned:
+        spark.conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:

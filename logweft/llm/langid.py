@@ -29,11 +29,15 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import dropped, map_rows, text_key, written
 
@@ -44,13 +48,15 @@ TYPICAL = 5e-5
 LENGTHS = (4, 3, 2, 1)
 #: Letters of a window of a long run.
 LONGEST = 64
-#: Words that a worker keeps with their n-gram counts.
-CACHED_WORDS = 250_000
+#: Bits that each language has in a sum of typical n-grams, which is one whole number for all languages.
+LANE = 48
 #: A text of a language has this part of the share of typical n-grams that the language's training rows have, less so many standard errors.
 PART, ERRORS = 0.4, 2.0
 #: Log shares are counted in so many parts of one.
 UNIT = 65536
 UND = "und"
+#: The words of a text that aren't broadcast, with their counts.
+REST = "rest array<struct<word: string, n: bigint>>"
 LETTERS = r"\p{L}+"
 
 
@@ -63,8 +69,10 @@ class Model:
     #: All words by language, and all n-grams by length and language.
     word_totals: list[int] = field(default_factory=list)
     gram_totals: dict[int, list[int]] = field(default_factory=dict)
-    #: n-grams of each length with marks of the languages that they are typical of; only with a gate.
-    typical: dict[str, np.ndarray] = field(default_factory=dict)
+    #: The n-grams that coverage asks for and which are typical of a language, each with its place in ``lanes``; only with a gate.
+    typical: dict[str, int] = field(default_factory=dict)
+    #: Sets of languages, as sums that have one for each of them; the first is empty.
+    lanes: list[int] = field(default_factory=list)
     #: By language, the share of typical n-grams over all training rows and the standard error of one n-gram.
     evidence: dict[str, tuple[float, float]] = field(default_factory=dict)
 
@@ -107,10 +115,10 @@ def word_counts(docs: DataFrame, where: Column, langs: list[str], text: str = "t
     return rows.groupBy("word").agg(F.array(*[F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)) for i in range(len(langs))]).alias("c"))
 
 
-def grams_of(words: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and gram: a row for each n-gram of each word."""
+def grams_of(words: DataFrame, *keep: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """``keep`` and gram: a row for each n-gram of these lengths of each word."""
     whole = words.select(*keep, F.expr("if(startswith(word, '|'), substring(word, 2), concat('^', word, '$'))").alias("w"))
-    return whole.select(*keep, F.explode(F.expr(f"flatten(transform(filter(array({', '.join(map(str, LENGTHS))}), k -> k <= length(w)), k -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))))")).alias("gram"))
+    return whole.select(*keep, F.explode(F.expr(f"flatten(transform(filter(array({', '.join(map(str, lengths))}), k -> k <= length(w)), k -> transform(sequence(1, length(w) - k + 1), i -> substring(w, i, k))))")).alias("gram"))
 
 
 def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", gate: bool = False) -> Model:
@@ -119,46 +127,47 @@ def train(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang"
     if not langs:
         return Model()
     sums = [F.coalesce(F.sum(F.col("c")[i]), F.lit(0)).alias(f"s{i}") for i in range(len(langs))]
-    words = written(word_counts(docs, where, langs, text, lang), "words")
+    words = written(word_counts(docs, where, langs, text, lang), "words", cleaned=True)
     word_totals = list(words.agg(*sums).first())
     if not sum(word_totals):
         return Model()
     grams = grams_of(words, "c").groupBy("gram").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(langs))]).alias("c"))
-    grams = written(grams, "grams")
+    grams = written(grams, "grams", cleaned=True)
     totals = {r[0]: list(r)[1:] for r in grams.groupBy(F.length("gram")).agg(*sums).collect()}
     model = Model(langs, words, grams, word_totals, {k: totals.get(k, [0] * len(langs)) for k in LENGTHS})
     if gate:
         least = F.array(*[F.element_at(F.create_map(*[F.lit(x) for k in LENGTHS for x in (k, max(1.0, TYPICAL * model.gram_totals[k][i]))]), F.length("gram")) for i in range(len(langs))])
         marks = F.zip_with("c", least, lambda n, m: n >= m)
-        model.typical = {r.gram: np.array(r.marks, bool) for r in grams.select("gram", marks.alias("marks")).where(F.exists("marks", lambda x: x)).collect()}
+        # coverage asks for n-grams of the greatest length, and for whole words of one letter
+        asked = (F.length("gram") == LENGTHS[0]) | (F.col("gram").startswith("^") & F.col("gram").endswith("$"))
+        found = grams.where(asked).select("gram", marks.alias("marks")).where(F.exists("marks", lambda x: x)).collect()
+        sets: dict[tuple, int] = {(): 0}
+        model.typical = {r.gram: sets.setdefault(tuple(i for i, x in enumerate(r.marks) if x), len(sets)) for r in found}
+        model.lanes = [sum(1 << LANE * i for i in some) for some in sets]
         model.evidence = evidence(words, model)
     return model
 
 
-def coverage(typical: dict[str, np.ndarray], langs: int, words: list[str]) -> np.ndarray:
-    """A row for each word: how many of its n-grams of the greatest length are typical of each language, and how many there are."""
-    out = np.zeros((len(words), langs + 1), np.float32)
-    rows, at = [], []
-    get = typical.get
-    for n, word in enumerate(words):
-        w = ended(word)
-        k = min(LENGTHS[0], len(w))
-        many = len(w) - k + 1
-        found = [row for i in range(many) if (row := get(w[i : i + k])) is not None]
-        rows += found
-        at += [n] * len(found)
-        out[n, -1] = many
-    if rows:
-        np.add.at(out[:, :-1], np.array(at), np.array(rows))
-    return out
+def coverage(typical: dict[str, int], lanes: list[int], langs: int, word: str) -> int:
+    """How many of a word's n-grams of the greatest length are typical of each language, and how many there are, as one sum."""
+    w, get = ended(word), typical.get
+    k = min(LENGTHS[0], len(w))
+    many = len(w) - k + 1
+    return sum([lanes[get(w[i : i + k], 0)] for i in range(many)]) + (many << LANE * langs)
+
+
+def apart(total: int, langs: int) -> list[int]:
+    """The counts in a sum of coverage: one for each language, and all."""
+    return [total >> LANE * i & (1 << LANE) - 1 for i in range(langs + 1)]
 
 
 def evidence(words: DataFrame, model: Model) -> dict[str, tuple[float, float]]:
     """The model's ``evidence`` from all counted words; one row comes to the driver."""
-    shared, many = words.sparkSession.sparkContext.broadcast(model.typical), len(model.langs)
+    shared, many = words.sparkSession.sparkContext.broadcast((model.typical, model.lanes)), len(model.langs)
 
     def make():
-        return lambda w, c: [c, coverage(shared.value, many, w).astype(float).tolist()]
+        typical, lanes = shared.value
+        return lambda words, c: [c, [[float(x) for x in apart(coverage(typical, lanes, many, w), many)] for w in words]]
 
     rows = map_rows(words.select("word", "c"), "c array<bigint>, v array<double>", make)
     g = F.col("v")[many]
@@ -186,16 +195,23 @@ def word_logs(model: Model, where: Column | None = None) -> DataFrame:
     return words.select("word", logs(F.col("c"), model.word_totals).alias("v"))
 
 
-def unseen_logs(model: Model, words: DataFrame) -> DataFrame:
-    """(word, v) for distinct words that no language has: the mean over their known n-grams of the greatest length that has
-    any; words without a known n-gram are left out."""
-    many = len(model.langs)
-    by_length = F.when(F.lit(False), F.array().cast("array<bigint>"))
+def unseen_logs(model: Model, words: DataFrame) -> list[DataFrame]:
+    """Tables (word, v) for distinct words that no language has: the mean over their known n-grams of the greatest length that has
+    any; words without a known n-gram are left out. A length is only asked for by the words that no greater one told, so most
+    words' shorter n-grams are never made."""
+    many, found, left = len(model.langs), [], words
     for k in LENGTHS:
-        by_length = by_length.when(F.length("gram") == k, logs(F.col("c"), model.gram_totals[k]))
-    known = grams_of(words, "word").join(model.grams.select("gram", by_length.alias("v")), "gram")
-    means = known.groupBy("word", F.length("gram").alias("k")).agg(F.array(*[F.round(F.sum(F.col("v")[i]) / F.count("*")).cast("long") for i in range(many)]).alias("v"))
-    return means.groupBy("word").agg(F.max_by("v", "k").alias("v"))
+        grams = model.grams.where(F.length("gram") == k).select("gram", logs(F.col("c"), model.gram_totals[k]).alias("v"))
+        known = grams_of(left, "word", lengths=(k,)).join(grams, "gram")
+        found.append(written(known.groupBy("word").agg(F.array(*[F.round(F.sum(F.col("v")[i]) / F.count("*")).cast("long") for i in range(many)]).alias("v")), "backoff", cleaned=True))
+        more = written(left.join(found[-1], "word", "left_anti"), "left", cleaned=True)
+        if left is not words:
+            dropped(left)
+        left = more
+        if left.isEmpty():
+            break
+    dropped(left)
+    return found
 
 
 def frequent(model: Model) -> Column:
@@ -214,39 +230,42 @@ def head_sums(docs: DataFrame, model: Model, text: str, keep: tuple[str, ...]) -
     """``keep``, n (the text's words), v (log shares of its frequent words), cover, and rest: its other words with counts."""
     head = word_logs(model, frequent(model)).toArrow()  # at most HEAD words
     place = {w: i for i, w in enumerate(head.column("word").to_pylist())}
-    table = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy().astype(np.int32) for c in head.column("v").chunks)]).reshape(-1, len(model.langs))
-    shared = docs.sparkSession.sparkContext.broadcast((place, table, model.typical))
     many, gate = len(model.langs), bool(model.evidence)
+    table = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy().astype(np.int32) for c in head.column("v").chunks)]).reshape(-1, many)
+    covers = np.array([apart(coverage(model.typical, model.lanes, many, w), many) for w in place] if gate else [], np.int32).reshape(-1, many + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((place, table, covers, model.typical, model.lanes))
+    kind = to_arrow_schema(StructType.fromDDL(REST)).field(0).type
 
     def make():
-        place, table, typical = shared.value
-        find, get, covers = regex.compile(LETTERS).findall, place.get, {}
-
-        def cover(words: Counter) -> list[float]:
-            if len(covers) > CACHED_WORDS:
-                covers.clear()
-            new = [w for w in words if w not in covers]
-            if new:
-                covers.update(zip(new, coverage(typical, many, new)))
-            rows = np.array([covers[w] for w in words])
-            return (rows * np.fromiter(words.values(), np.float64, len(words))[:, None]).sum(axis=0).tolist()
+        place, table, covers, typical, lanes = shared.value
+        find, get = regex.compile(LETTERS).findall, place.get
 
         def run(*columns):
-            sizes, sums, covered, rest = [], [], [], []
+            sizes, sums, covered, rest, counts, ends = [], [], [], [], [], [0]
             for t in columns[-1]:
                 words = words_of(t, find)
-                counts = Counter(words)
-                at = [i for w in words if (i := get(w)) is not None]
+                at, ns, cover = [], [], 0
+                for w, n in Counter(words).items():
+                    if (i := get(w)) is not None:
+                        at.append(i)
+                        ns.append(n)
+                        continue
+                    rest.append(w)
+                    counts.append(n)
+                    if gate:
+                        cover += n * coverage(typical, lanes, many, w)
+                ns = np.array(ns, np.int64)
                 sizes.append(len(words))
-                sums.append(table[at].sum(axis=0, dtype=np.int64).tolist())
-                covered.append(cover(counts) if gate and counts else None)
-                rest.append([{"word": w, "n": n} for w, n in counts.items() if w not in place] if len(at) < len(words) else [])
-            return [*columns[:-1], sizes, sums, covered, rest]
+                sums.append((ns @ table[at]).tolist())
+                covered.append((ns @ covers[at] + apart(cover, many)).astype(float).tolist() if gate and words else None)
+                ends.append(len(rest))
+            pairs = pa.StructArray.from_arrays([pa.array(rest, pa.string()), pa.array(counts, pa.int64())], fields=list(kind.value_type))
+            return [*columns[:-1], sizes, sums, covered, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, type=kind)]
 
         return run
 
     kinds = dict(docs.dtypes)
-    return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n bigint, v array<bigint>, cover array<double>, rest array<struct<word: string, n: bigint>>", make)
+    return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n bigint, v array<bigint>, cover array<double>, " + REST, make)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), made: list[DataFrame] | None = None) -> DataFrame:
@@ -256,18 +275,23 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     if not many:
         return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("enough"))
     # rows get their number as they are written, so it stays
-    first = written(head_sums(docs, model, text, tuple(keep)).withColumn("row_id", F.monotonically_increasing_id()), "texts")
+    first = written(head_sums(docs, model, text, tuple(keep)).withColumn("row_id", F.monotonically_increasing_id()), "texts", cleaned=True)
     rest = first.select("row_id", F.explode("rest").alias("r")).select("row_id", F.col("r.word").alias("word"), F.col("r.n").alias("m"))
     # each word is told once, then joined with the texts that have it; what all languages get alike is left out
-    asked = written(rest.select("word").distinct(), "asked")
-    seen, unseen = word_logs(model).join(asked, "word", "left_semi"), asked.join(model.words, "word", "left_anti")
+    asked = written(rest.select("word").distinct(), "asked", cleaned=True)
+    seen = word_logs(model).join(asked, "word", "left_semi")
+    unseen = written(asked.join(model.words, "word", "left_anti").select("word"), "unseen", cleaned=True)
+    backed = unseen_logs(model, unseen)
     # what a language has more than the one that has least; rare words are mostly of one language
     more = F.posexplode(F.transform("v", lambda x: x - F.array_min("v"))).alias("l", "d")
-    told = written(seen.union(unseen_logs(model, unseen)).select("word", more).where("d != 0"), "told")
-    sums = rest.join(told, "word").groupBy("row_id", "l").agg(F.sum(F.col("d") * F.col("m")).alias("s"))
-    sums = written(sums.groupBy("row_id").agg(F.array(*[F.sum(F.when(F.col("l") == i, F.col("s")).otherwise(0)) for i in range(many)]).alias("w")), "sums")
-    for t in (asked, told):
+    told = written(reduce(DataFrame.union, backed, seen).select("word", more).where("d != 0"), "told", cleaned=True)
+    # written, so that the shuffle by word is gone before the one by text begins
+    pairs = written(rest.join(told, "word").select("row_id", "l", (F.col("d") * F.col("m")).alias("s")), "pairs", cleaned=True)
+    for t in (asked, told, unseen, *backed):
         dropped(t)
+    sums = pairs.groupBy("row_id", "l").agg(F.sum("s").alias("s"))
+    sums = written(sums.groupBy("row_id").agg(F.array(*[F.sum(F.when(F.col("l") == i, F.col("s")).otherwise(0)) for i in range(many)]).alias("w")), "sums", cleaned=True)
+    dropped(pairs)
     if made is not None:
         made += [first, sums]
     both = first.select(*keep, "row_id", "n", "v", "cover").join(sums, "row_id", "left")
@@ -299,7 +323,7 @@ def known_rows(docs: DataFrame, model: Model, least: float, text: str = "text")
     texts = docs.select(F.col(text).alias("_text")).withColumn("_key", text_key("_text"))
     made: list[DataFrame] = []
     told = scored(texts, model, "_text", ("_key",), made)
-    gone = written(told.where((F.col("lang_pred") == UND) | (F.col("score") < least) | ~F.col("enough")).select("_key").distinct(), "gone")
+    gone = written(told.where((F.col("lang_pred") == UND) | (F.col("score") < least) | ~F.col("enough")).select("_key").distinct(), "gone", cleaned=True)
     for t in made:
         dropped(t)
     return docs.withColumn("_key", text_key(text)).join(gone, "_key", "left_anti").select(*docs.columns)

@@ -20,6 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logweft.llm import bpe, decontam, langid, matroska, minhash, pii_semicrf, quality_mil, queries, secrets_index, url_filter, warc
+from logweft.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, row_key long, set_key string, spans string, found string, media string, id long"
@@ -496,6 +497,43 @@ def test_language_against_plain(spark, monkeypatch):
             assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3), (texts[r.doc_id], head)
 
 
+def test_language_coverage(spark, monkeypatch):
+    """Coverage by broadcast and by other words is the same, and tasks hold a number for each n-gram that coverage asks for, no other."""
+    train = [("a", "the cat and the dog and a bird"), ("b", "der hund und die katze i a"), ("b", "die katze")]
+    texts = spark.createDataFrame([(0, "the der a katze the xyz"), (1, "i a i"), (2, ""), (3, "mnop" * 50)], "doc_id long, text string")
+    model = langid.train(spark.createDataFrame([(0, t, x) for x, t in train], "doc_id long, text string, lang string"), F.lit(True), gate=True)
+    assert all(len(g) == 4 or (g[0], g[-1], len(g)) == ("^", "$", 3) for g in model.typical) and {type(x) for x in model.typical.values()} == {int}
+    grams = lambda w: [f"^{w}$"[i : i + min(4, len(w) + 2)] for i in range(max(1, len(w) - 1))]
+    known = {x: {g for lang, t in train if lang == x for w in t.split() for g in grams(w)} for x in "ab"}
+    seen = [[g for w in t.split() for g in grams(w)] for t in ("the der a katze the xyz", "i a i")]
+    for head in (0, 3, 300_000):
+        monkeypatch.setattr(langid, "HEAD", head)
+        got = {r.doc_id: r.cover for r in langid.head_sums(texts, model, "text", ("doc_id",)).collect()}
+        assert [got[k] for k in (0, 1)] == [[*(float(sum(g in known[x] for g in some)) for x in "ab"), float(len(some))] for some in seen]
+        assert got[2] is None and got[3][:2] == [0.0, 0.0]
+
+
+def test_backoff_by_length(spark):
+    """A length's n-grams are only made for words that no greater length told; all lengths are reached."""
+    model = langid.train(spark.createDataFrame([(0, "the cat", "a"), (1, "der hund", "b")], "doc_id long, text string, lang string"), F.lit(True))
+    found = langid.unseen_logs(model, spark.createDataFrame([("cats",), ("xcatx",), ("dexx",), ("qqtqq",), ("zzz",)], "word string"))
+    assert [sorted(r.word for r in t.collect()) for t in found] == [["cats"], ["dexx", "xcatx"], [], ["qqtqq", "zzz"]]
+    assert langid.grams_of(spark.createDataFrame([("cat",)], "word string"), "word", lengths=(4,)).count() == 2
+
+
+def test_shuffle_files_go_as_a_table_is_written(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f.getName()) for f in (files.apply(i) for files in [blocks.getAllFiles()] for i in range(files.size())) if f.getName().startswith("shuffle_")}
+    before = shuffles()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts", cleaned=True)
+    for _ in range(100):  # executors delete them on their own
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_long_runs_of_letters(spark):
     """Whole runs count, in training and in scoring, and no n-gram is lost between windows."""
     rng = random.Random(5)
