@@ -11,7 +11,7 @@ and ``read_ndjson`` take lines of one format.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +44,11 @@ SKIP_COLUMNS = SKIPS.fieldNames()
 
 
 class Read:
-    """Logs, and skips, which are made when they are asked for."""
+    """Logs, and skips, which are made when they are asked for. ``times``: (segment_id, timestamp_utc) of the logs, by a way that makes no more of them."""
 
-    def __init__(self, logs: DataFrame, skips: DataFrame | Callable[[], DataFrame]):
+    def __init__(self, logs: DataFrame, skips: DataFrame | Callable[[], DataFrame], times: Callable[[], DataFrame] | None = None):
         self.logs, self._skips = logs, skips
+        self.times = times or (lambda: logs.select("segment_id", "timestamp_utc"))
 
     @property
     def skips(self) -> DataFrame:
@@ -57,9 +58,17 @@ class Read:
 
 
 class Ingested(Read):
-    def __init__(self, logs: DataFrame, skips: DataFrame | Callable[[], DataFrame], segments: DataFrame):
+    """What was read, and its segments, which are made when they are asked for, too."""
+
+    def __init__(self, logs: DataFrame, skips: DataFrame | Callable[[], DataFrame], segments: DataFrame | Callable[[], DataFrame]):
         super().__init__(logs, skips)
-        self.segments = segments
+        self._segments = segments
+
+    @property
+    def segments(self) -> DataFrame:
+        if not isinstance(self._segments, DataFrame):
+            self._segments = self._segments()
+        return self._segments
 
 
 def stretch() -> Column:
@@ -212,21 +221,36 @@ def read_text(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame |
     more = F.sort_array(F.collect_list(F.when(F.col("line_no") > F.col("record"), F.struct("line_no", "line")))).alias("more")
     whole = owned.groupBy("path", "record").agg(head, more).select("path", "h.*", "more").where("utc is not null")
     whole = whole.withColumn("message", F.when(F.size("more") > 0, F.concat("message", F.lit("\n"), F.array_join(F.transform("more", lambda x: x["line"]), "\n"))).otherwise(F.col("message")))
-    return Read(as_logs(whole, run), skip_rows(unread_times(told.where(F.col("opens") & F.col("utc").isNull()), F.substring("line", 1, SAMPLE))))
+    # skips and segments need no more of the lines than these, once; a record is one opening line with a time
+    brief = told.where("opens").select("path", "logical_source_id", "segment_id", "line_no", "utc", F.when(F.col("utc").isNull(), F.substring("line", 1, SAMPLE)).alias("sample"))
+    opened = cache(lambda: written(brief, "opened"))
+    times = lambda: opened().where("utc is not null").select("segment_id", F.col("utc").alias("timestamp_utc"))
+    return Read(as_logs(whole, run), lambda: skip_rows(unread_times(opened().where("utc is null"), F.col("sample"))), times)
 
 
 def read_told(told: DataFrame, ends: DataFrame, kind: str, run: str) -> Read:
     """Rows and skips of lines that are records or bad. ``ends``: path, last_line and last_byte of each file."""
-    k = RESYNC[kind]
-    cut = stretched(told, "path", stretch())
-    good = F.col("bad").isNull()
-    numbered = along(cut, "path", "line_no", sums={"idx": F.lit(1), "k": (good & F.col("utc").isNotNull()).cast("long")}, marks={"bad_before": (~good, "idx"), "good_before": (good, "idx")})
-    # a file is given up with the first of so many bad lines in a row
-    over = numbered.where(~good & (F.col("idx") - F.coalesce("good_before", F.lit(0)) == ABANDON))
-    stops = over.groupBy("path").agg(F.min("idx").alias("stop_idx"))
-    kept = by_stretch(numbered, "path", stops, "left", cut).where(F.col("stop_idx").isNull() | (F.col("idx") <= F.col("stop_idx")))
-    logs = as_logs(kept.where(good & F.col("utc").isNotNull()), run)
-    return Read(logs, lambda: skip_rows(regions(kept, k, ends)))
+    k, good = RESYNC[kind], F.col("bad").isNull()
+
+    def kept(told: DataFrame) -> DataFrame:
+        cut = stretched(told, "path", stretch())
+        numbered = along(cut, "path", "line_no", sums={"idx": F.lit(1), "k": (good & F.col("utc").isNotNull()).cast("long")}, marks={"bad_before": (~good, "idx"), "good_before": (good, "idx")})
+        # a file is given up with the first of so many bad lines in a row
+        over = numbered.where(~good & (F.col("idx") - F.coalesce("good_before", F.lit(0)) == ABANDON))
+        stops = over.groupBy("path").agg(F.min("idx").alias("stop_idx"))
+        return by_stretch(numbered, "path", stops, "left", cut).where(F.col("stop_idx").isNull() | (F.col("idx") <= F.col("stop_idx")))
+
+    # skips and segments need no more of the lines than these, once
+    brief = cache(lambda: written(told.select("path", "logical_source_id", "segment_id", "line_no", "byte_end", "utc", "bad", "detail", "sample", "head"), "brief"))
+
+    def times() -> DataFrame:
+        rows = brief()
+        if not rows.where(~good).groupBy("path").count().where(F.col("count") >= ABANDON).isEmpty():  # else no file can be given up
+            rows = kept(rows)
+        return rows.where(good & F.col("utc").isNotNull()).select("segment_id", F.col("utc").alias("timestamp_utc"))
+
+    logs = as_logs(kept(told).where(good & F.col("utc").isNotNull()), run)
+    return Read(logs, lambda: skip_rows(regions(kept(brief()), k, ends)), times)
 
 
 def regions(kept: DataFrame, k: Column | int, ends: DataFrame) -> DataFrame:
@@ -307,14 +331,14 @@ def ingest(lines: DataFrame, run: str, zone: str = "UTC", files: DataFrame | Non
     if problems is not None:
         lost = lost.unionByName(problems.where("problem is not null").select(*reason(F.col("problem"), F.col("path"), logical_source(F.col("path")), F.lit("zip-entry"))))
     skips = lambda: reduce(DataFrame.unionByName, [p.skips for p in parts], lost)
-    counted = segment_statistics(logs)
     extra = [F.col(c) if c in files.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("size", "long"), ("modified", "timestamp_ntz"), ("hash", "string"))]
-    segments = told.select("segment_id", "logical_source_id", "physical_file_id", F.col("path").alias("source_path"), *extra).join(counted, "segment_id", "left")
+    segments = told.select("segment_id", "logical_source_id", "physical_file_id", F.col("path").alias("source_path"), *extra)
     rows = F.coalesce("row_count", F.lit(0))
     named = {
         "row_count": rows, "last_ingest_run_id": F.lit(run), "active": F.lit(True), "last_byte_offset": F.when(rows > 0, F.col("size")).otherwise(F.lit(0)), "source_path": F.col("source_path"),
         "file_size_bytes": F.col("size"), "last_modified_utc": F.col("modified"), "file_hash": F.col("hash"),
     }
     ids = ("segment_id", "logical_source_id", "physical_file_id", "min_ts_utc", "max_ts_utc")
-    segments = segments.select(*ids, *[c.alias(n) for n, c in named.items()])
-    return Ingested(logs, skips, segments)
+    times = lambda: reduce(DataFrame.unionByName, [p.times() for p in parts], none("segment_id string, timestamp_utc timestamp_ntz"))
+    counted = lambda: segments.join(segment_statistics(times()), "segment_id", "left").select(*ids, *[c.alias(n) for n, c in named.items()])
+    return Ingested(logs, skips, counted)

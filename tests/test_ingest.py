@@ -256,3 +256,21 @@ def test_tail(spark, tmp_path):
     stream = tail.counted(tail.tail(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("tailed").outputMode("complete").trigger(availableNow=True).start()
     stream.awaitTermination(120)
     assert sorted((r.level, r.row_count) for r in spark.table("tailed").collect()) == [("ERROR", 1), ("INFO", 1), ("INFO", 1)]
+
+
+def test_skips_and_segments_share_what_was_told(spark, monkeypatch):
+    """Lines are told once for skips and segments, which hold what the logs say, also of files that are given up."""
+    texts = {"/l/a.log": ["2024-01-01 00:00:00 INFO x", "  more", "2024-99-99 00:00:00 INFO y", "2024-01-02 00:00:00 INFO z"], "/l/b.ndjson": ['{"ts": "2024-01-01"}', "{broken", '{"ts": "2024-01-03"}', "{a", "{b", "{c", '{"ts": "2024-01-04"}']}
+    lines = spark.createDataFrame([(p, k, 10 * k, x) for p, some in texts.items() for k, x in enumerate(some, 1)], "path string, line_no long, byte_end long, line string")
+    labels = []
+    monkeypatch.setattr(ingest, "written", lambda df, label, write=ingest.written: labels.append(label) or write(df, label))
+    formats = spark.createDataFrame([("/l/a.log",), ("/l/b.ndjson",)], "path string")
+    for most in (10_000, 3):
+        monkeypatch.setattr(ingest, "ABANDON", most)
+        parts = [ingest.read_text(lines.where("path = '/l/a.log'"), "r", files=ingest.identified(formats)), ingest.read_ndjson(lines.where("path = '/l/b.ndjson'"), "r", files=ingest.identified(formats))]
+        del labels[:]
+        for part, n, skips in zip(parts, (2, 3 if most > 3 else 2), (1, 1 if most > 3 else 2), strict=True):
+            logs, times = ([tuple(r) for r in rows.select("segment_id", "timestamp_utc").collect()] for rows in (part.logs, part.times()))
+            assert sorted(logs) == sorted(times) and len(logs) == n and part.skips.count() == skips
+            assert part.times().count() == n
+        assert labels == ["opened", "brief", "regions"]
