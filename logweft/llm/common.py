@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -94,6 +95,13 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         at = stop
 
 
+def released() -> None:
+    """Gives back to the system what a task has freed. Spark keeps its Python workers, which would else hold the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], arrow: bool = False, most: int = SLICE_BYTES) -> DataFrame:
     """Python over Arrow batches: ``make()`` runs once a task and gives a function of the batch's columns (lists of Python
     values, or Arrow arrays) that returns the output columns, as lists or Arrow arrays, in the order of ``schema``."""
@@ -102,13 +110,17 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for part in slices(batch, most):  # a slice at a time bounds what Python holds
                 got = f(*(part.columns if arrow else (c.to_pylist() for c in part.columns)))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(got, out, strict=True)], schema=out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from told(batches)  # what it held is free as it ends
+        released()
+
     return df.mapInArrow(run, schema)
 
 

@@ -137,17 +137,35 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_rows(both.select("a", "b", "s_a", "s_b"), f"a {kind}, b {kind}", lambda: run)
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose ids a written table has."""
+    ids = ids.withColumnRenamed("id", "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def shingle_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """id and shingles (the bytes of sorted 64-bit hashes) of a written table of ids."""
-    kind = dict(ids.dtypes)["id"]
-    ids = ids.withColumnRenamed("id", "doc_id")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def make():
         of = shingler(width)
         return lambda ids, texts: [ids, [of(t).tobytes() for t in texts]]
 
-    return map_rows(texts, f"id {kind}, shingles binary", make)
+    return map_rows(texts_of(ids, docs), f"id {dict(ids.dtypes)['id']}, shingles binary", make)
+
+
+def shingle_lists(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """id, n and h: the number of shingles and their hashes. One Python step, as each further one in a task keeps a worker of its own."""
+
+    def make():
+        of = shingler(width)
+
+        def run(ids, texts):
+            sets = [of(t).view(np.int64) for t in texts]
+            return [ids, [len(s) for s in sets], pa.array(sets, pa.list_(pa.int64()))]
+
+        return run
+
+    return map_rows(texts_of(ids, docs), f"id {dict(ids.dtypes)['id']}, n bigint, h array<bigint>", make)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -175,8 +193,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int, made: list[DataFrame] | None = None) -> DataFrame:
     """Pairs (a, b) of the members (a written table: id, component, outside) that may be links between components, without
     loss: every pair of at least ``percent``, one of them outside, of different components, comes out. The tables that the result reads are added to ``made``."""
-    sets = shingle_sets(members.select("id"), docs, width)
-    listed = map_rows(sets, f"id {dict(members.dtypes)['id']}, n bigint, h array<bigint>", lambda: lambda ids, sets: [ids, [len(s) // 8 for s in sets], pa.array([np.frombuffer(s, np.int64) for s in sets], pa.list_(pa.int64()))])
+    listed = shingle_lists(members.select("id"), docs, width)
     shingles = written(listed.distinct().select("id", "n", F.explode("h").alias("h")), "shingles")
     ranked = shingles.join(shingles.groupBy("h").count(), "h")
     order = Window.partitionBy("id").orderBy("count", "h")

@@ -785,6 +785,20 @@ def test_prefix_pairs_lose_nothing(spark):
     assert want <= got
 
 
+def test_a_task_has_one_python_step(spark, monkeypatch):
+    """Each further step in a task keeps a Python worker a core in the executor."""
+    steps = []
+
+    def counted(df, label, cleaned=False):
+        steps.append((label, df._jdf.queryExecution().sparkPlan().toString().count("MapInArrow")))
+        return written(df, label, cleaned)
+
+    monkeypatch.setattr(minhash, "written", counted)
+    members = spark.createDataFrame([(i, i, True) for i in range(6)], "id long, component long, outside boolean")
+    minhash.prefix_pairs(members, docs(spark, *near_copies(6, 3)), 4, 80).collect()
+    assert ("shingles", 1) in steps
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in minhash.components(links).collect()}
