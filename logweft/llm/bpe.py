@@ -94,56 +94,89 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def encoder(ranks_path: str, pattern: str):
+    """A function of texts that gives their ids one after another, and where those of each text end, with a 0 before."""
+    ranks, find, known, older = read_ranks(ranks_path), regex.compile(pattern).findall, {}, {}
+
+    def ids_of(piece: str) -> array:
+        ids = older.get(piece) or array("i", merge_piece(piece.encode(), ranks))
+        if len(piece) <= CACHED_CHARS:
+            if len(known) >= CACHED_PIECES // 2:
+                older.clear()
+                older.update(known)
+                known.clear()
+            known[piece] = ids
+        return ids
+
+    def of(texts: list[str | None]) -> tuple[array, list[int]]:
+        values, ends, seen = array("i"), [0], known.get
+        for t in texts:
+            for piece in find(t or ""):
+                values += seen(piece) or ids_of(piece)
+            ends.append(len(values))
+        return values, ends
+
+    return of
+
+
+def decoder(ranks_path: str):
+    """A function of ids, and where those of each row end with a 0 before, that gives what each row's ids stand for."""
+    token = {rank: b for b, rank in read_ranks(ranks_path).items()}.__getitem__
+    return lambda ids, ends: [b"".join(map(token, ids[a:b])) for a, b in zip(ends, ends[1:])]
+
+
+def listed(values: array, ends: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
+
+
+def fields(df: DataFrame, keep: tuple[str, ...]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>"
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, and ``ids`` array<int> of every whole text."""
 
     def make():
-        ranks, find, known, older = read_ranks(ranks_path), regex.compile(pattern).findall, {}, {}
-
-        def ids_of(piece: str) -> array:
-            ids = older.get(piece) or array("i", merge_piece(piece.encode(), ranks))
-            if len(piece) <= CACHED_CHARS:
-                if len(known) >= CACHED_PIECES // 2:
-                    older.clear()
-                    older.update(known)
-                    known.clear()
-                known[piece] = ids
-            return ids
+        of = encoder(ranks_path, pattern)
+        return lambda *columns: [*columns[:-1], listed(*of(columns[-1]))]
+
+    return map_rows(docs.select(*keep, text), fields(docs, keep), make)
+
+
+def decode(encoded: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, ``ids``, and ``bytes``: what the ids stand for. A null list gives no bytes."""
+
+    def make():
+        of = decoder(ranks_path)
 
         def run(*columns):
-            values, offsets, seen = array("i"), [0], known.get
-            for t in columns[-1]:
-                for piece in find(t or ""):
-                    values += seen(piece) or ids_of(piece)
-                offsets.append(len(values))
-            return [*columns[:-1], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(values, np.int32)))]
+            ids = columns[-1].fill_null([]) if columns[-1].null_count else columns[-1]
+            return [*columns, of(ids.flatten().to_numpy().tolist(), [0, *np.cumsum(ids.value_lengths().to_numpy()).tolist()])]
 
         return run
 
-    kinds = dict(docs.dtypes)
-    return map_rows(docs.select(*keep, text), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>", make)
+    return map_rows(encoded.select(*keep, "ids"), fields(encoded, keep) + ", bytes binary", make, arrow=True)
 
 
-def decode(encoded: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``ids``, and ``bytes``: what the ids stand for. A null list gives no bytes."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What ``decode`` gives of ``encode``, in one Python step: two in a task keep two workers a core in the executor."""
 
     def make():
-        token = {rank: b for b, rank in read_ranks(ranks_path).items()}.__getitem__
+        of, back = encoder(ranks_path, pattern), decoder(ranks_path)
 
         def run(*columns):
-            ids = columns[-1].fill_null([]) if columns[-1].null_count else columns[-1]
-            flat, ends = ids.flatten().to_numpy().tolist(), np.cumsum(ids.value_lengths().to_numpy()).tolist()
-            return [*columns, [b"".join(map(token, flat[a:b])) for a, b in zip([0, *ends], ends)]]
+            values, ends = of(columns[-1])
+            return [*columns[:-1], listed(values, ends), back(values, ends)]
 
         return run
 
-    kinds = dict(encoded.dtypes)
-    return map_rows(encoded.select(*keep, "ids"), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", ids array<int>, bytes binary", make, arrow=True)
+    return map_rows(docs.select(*keep, text), fields(docs, keep) + ", bytes binary", make)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: n_tokens, ids_sha256 and decoded_sha256, from the ids and from what they decode to."""
-    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
+    return round_trip(docs, ranks_path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -102,6 +102,24 @@ def released() -> None:
         trim(0)
 
 
+#: The most that Spark puts into an Arrow batch for Python; its own bound of 64 MB is held by each task's JVM side and by its worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def python_step(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``run`` over Arrow batches that end with the row that reaches ``SLICE_BYTES``. The bound is the session's from here on, as the
+    plan reads it when it runs; a smaller one stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_BYTES).rstrip("b")) <= SLICE_BYTES:
+        conf.set(BATCH_BYTES, str(SLICE_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)  # what it held is free as it ends
+        released()
+
+    return df.mapInArrow(whole, schema)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]], arrow: bool = False, most: int = SLICE_BYTES) -> DataFrame:
     """Python over Arrow batches: ``make()`` runs once a task and gives a function of the batch's columns (lists of Python
     values, or Arrow arrays) that returns the output columns, as lists or Arrow arrays, in the order of ``schema``."""
@@ -110,18 +128,14 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list]]
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
             for part in slices(batch, most):  # a slice at a time bounds what Python holds
                 got = f(*(part.columns if arrow else (c.to_pylist() for c in part.columns)))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(got, out, strict=True)], schema=out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from told(batches)  # what it held is free as it ends
-        released()
-
-    return df.mapInArrow(run, schema)
+    return python_step(df, run, schema)
 
 
 def change_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], tuple[list | None, list | None]]]) -> DataFrame:
@@ -138,4 +152,4 @@ def change_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list],
                     part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
                 yield part if stay is None else part.filter(pa.array(stay, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return python_step(df, run, df.schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, map_rows, slices, written
+from .common import dropped, map_rows, python_step, slices, written
 
 BANDS, ROWS = 40, 6
 #: Pairs with a smaller share of equal signature bytes are no candidates: 6 standard deviations below 0.8.
@@ -337,4 +337,4 @@ def signed_rows(docs: DataFrame, width: int) -> DataFrame:
 
         return run
 
-    return docs.mapInArrow(make(), docs.withColumn("_set", F.lit(None).cast("binary")).schema)
+    return python_step(docs, make(), docs.withColumn("_set", F.lit(None).cast("binary")).schema)

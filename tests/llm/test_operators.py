@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -20,7 +21,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logweft.llm import bpe, decontam, langid, matroska, minhash, pii_semicrf, quality_mil, queries, secrets_index, url_filter, warc
-from logweft.llm.common import written
+from logweft.llm.common import change_rows, written
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, row_key long, set_key string, spans string, found string, media string, id long"
@@ -799,6 +800,14 @@ def test_a_task_has_one_python_step(spark, monkeypatch):
     assert ("shingles", 1) in steps
 
 
+def test_batches_for_python_are_bounded(spark):
+    """Spark's own bound of 64 MB would be held by each task's JVM side and by its worker."""
+    many = spark.range(0, 60, 1, 1).select("id", F.repeat(F.lit("a"), 1 << 20).alias("text"))
+    change_rows(many, "text", lambda: lambda texts: (None, None))
+    sizes = many.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()
+    assert sum(r.n for r in sizes) >= 60 << 20 and max(r.n for r in sizes) < 10 << 20
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in minhash.components(links).collect()}
@@ -833,3 +842,13 @@ def test_encode_and_decode(spark):
         want[r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
     assert got == want
     assert bpe.digests(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_is_one_python_step(spark):
+    """Two in a task would keep two Python workers a core in the executor. What comes out is what ``decode`` gives of ``encode``."""
+    df = docs(spark, "some words", "some other words", "\u00e4\u00f6 \U0001f600")
+    assert bpe.digests(df, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    kept = ("doc_id", "lang")
+    once = bpe.round_trip(df, RANKS, public_tokenizers.PATTERN, keep=kept)
+    twice = bpe.decode(bpe.encode(df, RANKS, public_tokenizers.PATTERN, keep=kept), RANKS, kept)
+    assert once.schema == twice.schema and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
