@@ -59,6 +59,12 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is never a broadcast. Spark tells a table's size by its compressed files, of the columns that are read by
+    their share: so it would broadcast tables that take ten times its bound and more in the driver."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

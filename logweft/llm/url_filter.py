@@ -6,8 +6,8 @@ into words: the words' shares come from the text of all pages, every counted wor
 table passes through the driver. Letters that are in no word come out as pieces of their own. A multinomial naive Bayes
 with add-one smoothing learns, from all urls that rules decide, the tokens of block and allow: each piece and number by
 where it stands. A token's log odds are joined with the names that have it, a name's sum with the urls that have the name;
-frequent names (``HEAD`` of all or more) are broadcast for that, as they stand in so many urls. It decides the urls that no
-rule fits. Log odds are whole numbers of 1/65536, so sums don't depend on their order.
+frequent names (``HEAD`` of all or more) are broadcast for that, as they stand in so many urls; nothing else is, as all other
+tables grow with the pages and a broadcast passes through the driver (``shuffled``). It decides the urls that no rule fits. Log odds are whole numbers of 1/65536, so sums don't depend on their order.
 
 Null urls, and urls without ``://``: empty host and path. No url decided by rules: everything else is allowed, score 0.5.
 Equal odds: allow. Of rules that fit, the longest wins, then the first by text. Equal urls get equal results; repeated rows
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_rows, written
+from .common import dropped, map_rows, shuffled, written
 
 #: Longest word inside a longer name, in letters; a name itself is looked up at any length.
 LONGEST = 24
@@ -102,8 +102,8 @@ def segments(names: DataFrame, words: DataFrame, total: int) -> DataFrame:
     inside = lambda x: list({x, *(x[i : i + k] for i in range(len(x)) for k in range(1, min(LONGEST, len(x) - i) + 1))})
     parts = map_rows(names.select("name"), "name string, parts array<string>", lambda: lambda n: [n, list(map(inside, n))]).select("name", F.explode("parts").alias("word"))
     share = F.log(F.col("n") / F.lit(float(max(total, 1))))
-    known = parts.join(words, "word").select("name", F.struct("word", share.alias("share")).alias("w"))
-    held = names.join(known.groupBy("name").agg(F.collect_list("w").alias("words")), "name", "left")
+    known = parts.join(shuffled(words), "word").select("name", F.struct("word", share.alias("share")).alias("w"))
+    held = names.join(shuffled(known.groupBy("name").agg(F.collect_list("w").alias("words"))), "name", "left")
     return map_rows(held.select("name", "words"), "name string, pieces array<string>", lambda: lambda n, w: [n, [segment(x, {y["word"]: y["share"] for y in ws or []}, total) for x, ws in zip(n, w)]])
 
 
@@ -134,19 +134,19 @@ def filtered(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", h
     split = written(segments(names.select("name").distinct(), words, total), "segments")
     # the two classes' counts of each name, then of its pieces: a name that many urls have is one row for each class
     counted = names.where("verdict is not null").groupBy("verdict", "at", "name").agg(F.sum("n").alias("n"))
-    tokens = counted.join(split, "name").select("verdict", "at", "n", F.explode("pieces").alias("piece"))
+    tokens = counted.join(shuffled(split), "name").select("verdict", "at", "n", F.explode("pieces").alias("piece"))
     token_odds, prior = odds(tokens.groupBy("verdict", "at", "piece").agg(F.sum("n").alias("n")), rows)
     pieces = split.select("name", "pieces", F.explode(F.array(F.lit("h"), F.lit("p"))).alias("at")).select("at", "name", F.explode("pieces").alias("piece"))
-    worth = written(pieces.join(token_odds, ["at", "piece"]).groupBy("at", "name").agg(F.sum("o").alias("o")), "worth")
+    worth = written(pieces.join(shuffled(token_odds), ["at", "piece"]).groupBy("at", "name").agg(F.sum("o").alias("o")), "worth")
     most = names.count()
-    frequent = names.groupBy("at", "name").count().where(F.col("count") >= max(HEAD * most, 1)).join(worth, ["at", "name"]).select("at", "name", "o")
+    frequent = names.groupBy("at", "name").count().where(F.col("count") >= max(HEAD * most, 1)).join(shuffled(worth), ["at", "name"]).select("at", "name", "o")
     frequent = written(frequent, "frequent")  # at most 1/HEAD
     told = names.select("host", "path", "at", "name").join(F.broadcast(frequent), ["at", "name"], "left")
-    rare = told.where("o is null").drop("o").join(worth, ["at", "name"])
+    rare = told.where("o is null").drop("o").join(shuffled(worth), ["at", "name"])
     sums = told.where("o is not null").select("host", "path", "o").union(rare.select("host", "path", "o")).groupBy("host", "path").agg(F.sum("o").alias("o"))
     sums = written(sums, "sums")
     for t in (words, urls, names, split, worth, frequent):
         dropped(t)
     score = F.lit(1.0) / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), (F.coalesce("o", F.lit(0)) + prior) / F.lit(float(UNIT))))))
-    both = decided.join(sums, ["host", "path"], "left").withColumn("score", score)
+    both = decided.join(shuffled(sums), ["host", "path"], "left").withColumn("score", score)
     return both.select(*keep, "host", "path", "rule", F.coalesce("verdict", F.when(F.col("score") > 0.5, BLOCK).otherwise(ALLOW)).alias("verdict"), "score")

@@ -116,6 +116,15 @@ def test_url_filter(spark):
     assert url_filter.filtered(none, queries.RULES).count() == 0
 
 
+def test_only_frequent_names_are_broadcast(spark, monkeypatch):
+    """Every other table grows with the pages, however small its files are."""
+    plans, plan = {}, lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(url_filter, "written", lambda df, label: (plans.update({label: plan(df)}), written(df, label))[1])
+    plans["result"] = plan(url_filter.filtered(spark.read.parquet(f"{SF}/pages.parquet"), queries.RULES))
+    assert {k: n for k, p in plans.items() if (n := p.count("BroadcastHashJoin") + p.count("BroadcastNestedLoopJoin"))} == {"sums": 2}
+    assert all(p.count("SortMergeJoin") for k, p in plans.items() if k in ("segments", "worth", "frequent", "sums", "result"))
+
+
 # op2
 
 
