@@ -1,10 +1,13 @@
 """A file in any number of batches gives what ingest gives for the whole of it."""
 
+import datetime
+import json
 import os
 import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +129,98 @@ def test_more_lines_than_memory_holds():
         got = list(tail.in_order(iter(frames), held))
         assert [r["line_no"] for r in got] == [*range(1, 2001), 2000] and [r["is_end"] for r in got[-2:]] == [False, True]
         assert all((r["utc"] is None) == (r["line_no"] % 3 == 0) and r["bad"] == ("x" if r["line_no"] % 2 else None) for r in got if r["line_no"] < 2000)
+
+
+IDS = {"logical_source_id": "x", "segment_id": "y", "physical_file_id": "z"}
+TOLD = {"text": [("opens", pa.bool_()), ("line", pa.string())], "ndjson": [(c, pa.string()) for c in ("bad", "detail", "sample", "head")]}
+
+
+def told(kind: str, what: str, line_no: int, end: bool) -> dict:
+    """A told line: o(pens), u(nread time), c(ontinues), b(ad), g(ood)."""
+    read = what in "og" and not end
+    row = {"path": "p", "line_no": line_no, "byte_end": 2 * line_no, **IDS, "utc": datetime.datetime(2024, 1, 1, 0, 0, 0, line_no) if read else None, "basis": "Utc", "offset_minutes": 0, "original": "", "level": None, "message": f"m{line_no}" if what in "oug" else None, "fields_json": None, "is_end": end}
+    if kind == "text":
+        return row | {"opens": what in "ou" and not end, "line": None if end or what == "o" else f"{what}{line_no}"}
+    return row | {"bad": "JsonMalformed" if what == "b" and not end else None, "detail": "d", "sample": "s", "head": f"h{line_no}"}
+
+
+def by_line(kind: str, rows: list[dict], resync: int) -> tuple[list, list]:
+    """Logs (number, time, message) and skips of lines that are taken one after the other."""
+    if kind != "text":
+        follower = tail.Follower("p", "r", tail.FRESH)
+        for row in rows:
+            follower.lines, follower.bytes = row["line_no"], row["byte_end"]
+            follower.end() if row["is_end"] else follower.structured(row, resync)
+        logs = [(r["record_index"], r["timestamp_utc"], r["message"]) for r in follower.out if "record_index" in r]
+        return logs, [(r["segment_seq"], r["start_line"], r["end_line"], r["reason_code"]) for r in follower.out if "reason_code" in r]
+    logs, skips, last, n = [], [], None, 0
+    for row in rows:
+        if row["is_end"] or row["opens"]:
+            last, n = None, 0
+        if row["opens"] and row["utc"] is None:
+            skips.append((len(skips) + 1, row["line_no"], row["line_no"], "TimeParse"))
+        elif row["opens"]:
+            last = [len(logs), pd.Timestamp(row["utc"]), row["message"]]
+            logs.append(last)
+        elif last is not None and not row["is_end"] and (n := n + 1) <= tail.LOOKAHEAD:
+            last[2] += "\n" + row["line"]
+    return [tuple(r) for r in logs], skips
+
+
+@pytest.mark.parametrize("kind", TOLD)
+def test_pieces_as_lines(kind, monkeypatch):
+    """The state sees pieces instead of lines, wherever they are cut; records between are numbered and come out packed."""
+    monkeypatch.setattr(tail, "LOOKAHEAD", 5)
+    monkeypatch.setattr(tail, "ABANDON", 6)
+    dice, resync, few = random.Random(7), tail.RESYNC.get(kind), 0
+    names = ["path", "line_no", "byte_end", *IDS, "utc", "basis", "offset_minutes", "original", "level", "message", "fields_json", "is_end"]
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3, pa.timestamp("us"), pa.string(), pa.int32(), *[pa.string()] * 4, pa.bool_()]
+    schema = pa.schema([*zip(names, types), *TOLD[kind]])
+    for k in range(120):
+        letters = dice.choices("ocu" if kind == "text" else "gbu", [5, dice.choice([1, 20]), 1], k=60)
+        rows = [told(kind, x, 3 * n, False) for n, x in enumerate(letters, 1)]
+        for at in (60, dice.randrange(60)):
+            rows.insert(at, told(kind, "c", rows[at - 1]["line_no"] if at else 1, True))
+        monkeypatch.setattr(tail, "PIECE_LINES", dice.choice([1, 3, 7, 100]))
+        monkeypatch.setattr(tail, "PIECE_BYTES", dice.choice([1, 150, 10**6]))
+        cuts = sorted({0, *dice.choices(range(len(rows)), k=3), len(rows)})
+        cuts = [c for c in cuts if not 0 < c < len(rows) or rows[c - 1]["line_no"] < rows[c]["line_no"]]  # a line and its end are of one stretch
+        state, stepped = tail.FRESH, []
+        for a, b in zip(cuts, cuts[1:]):  # stretches, each a batch of its own
+            follower = tail.Follower("p", "r", state)
+            some = rows[a:b]
+            dice.shuffle(some)
+            found = tail.pieces(pa.Table.from_pylist(some, schema), kind).to_pylist()
+            few += len(found) < b - a
+            for piece in found:
+                follower.lines, follower.bytes = piece["last_line"], piece["last_byte"]
+                if piece["is_end"]:
+                    follower.end()
+                elif kind == "text":
+                    follower.text_piece(json.loads(piece["head"]), piece["line_no"], piece["logs"], piece["body"])
+                else:
+                    follower.structured_piece(json.loads(piece["head"]), piece["line_no"], piece["body"], resync)
+            state = follower.state()
+            stepped += pa.Table.from_pandas(follower.rows(), tail.to_arrow_schema(tail.STEPPED), preserve_index=False).to_batches()
+        got = pa.Table.from_batches(tail.unpacked(iter(stepped))).to_pylist()
+        logs, skips = by_line(kind, rows, resync)
+        assert sorted((r["record_index"], pd.Timestamp(r["timestamp_utc"]), r["message"]) for r in got if r["reason_code"] is None) == sorted(logs)
+        assert sorted((r["segment_seq"], r["start_line"], r["end_line"], r["reason_code"]) for r in got if r["reason_code"]) == sorted(skips)
+        assert all(r["logical_source_id"] == "x" and r["segment_id"] == "y" for r in got)
+    assert few > 100
+
+
+def test_state_gets_pieces(spark, tmp_path):
+    """A path's one task gets few rows, however many lines the path has."""
+    rows = [("/l/a.log", k, 30 * k, f"2024-01-01 00:00:00 INFO {k}") for k in range(1, 20_001)]
+    stream = tail.followed(batches(spark, tmp_path, rows, []), "text", "r")
+    query = stream.writeStream.format("memory").queryName("pieces_followed").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert spark.table("pieces_followed").count() == 19_999  # the last one is open
+    found, todo = [], [query._jsq.streamingQuery().lastExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "FlatMapGroupsInPandasWithState":
+            found.append(node.metrics().apply("numOutputRows").value())
+    assert len(found) == 1 and found[0] < 20_000 / 50
