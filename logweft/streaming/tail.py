@@ -46,7 +46,7 @@ HELD, READ, OUT = 100_000, 500, 10_000
 PIECE_BYTES, PIECE_LINES, LINE_BYTES, UNPACKED, IN_MEMORY = 32_768, 512, 32, 32, 16 << 20
 OF_LINE = [*IDENTITY, "utc", "basis", "offset_minutes", "original", "level", "message", "fields_json"]
 #: Lines of a path from ``line_no`` on, or its end: ``head`` (JSON) is what the state must see, ``body`` packs ``logs`` rows.
-PIECES = StructType([StructField("path", StringType()), *(StructField(n, LongType()) for n in ("line_no", "last_line", "last_byte", "logs")), StructField("is_end", BooleanType()), StructField("head", StringType()), StructField("body", BinaryType())])
+PIECES = StructType([StructField("path", StringType()), *(StructField(n, LongType()) for n in ("line_no", "last_line", "last_byte", "logs")), *(StructField(n, StringType()) for n in IDENTITY), StructField("is_end", BooleanType()), StructField("head", StringType()), StructField("body", BinaryType())])
 #: What a packed row has, by its name in ``FOLLOWED``.
 PACKED = {"timestamp_utc": "utc", "timestamp_basis": "basis", "timestamp_effective_offset_minutes": "offset_minutes", "timestamp_original": "original", "level": "level", "message": "message", "fields": "fields_json"}
 BODY = pa.schema([(PACKED[f.name], f.type) for f in to_arrow_schema(FOLLOWED) if f.name in PACKED])
@@ -225,7 +225,7 @@ def text_head(lines: pa.Table) -> tuple[dict, pa.Table]:
     read = opening["utc"].is_valid().to_numpy()
     if len(at):
         unread = [(n, text[a][:SAMPLE]) for n, a, r in zip(opening["line_no"].to_pylist(), at, read) if not r]
-        last = {c: str(x) if c == "utc" else x for c, x in opening.select(OF_LINE).slice(len(at) - 1).to_pylist()[0].items()} if read[-1] else None
+        last = {c: str(x) if c == "utc" else x for c, x in opening.select([c for c in OF_LINE if c not in IDENTITY]).slice(len(at) - 1).to_pylist()[0].items()} if read[-1] else None
         head |= {"unread": unread, "last": last, "more": more, "n_more": len(text) - int(at[-1]) - 1}
     whole = opening.set_column(opening.schema.get_field_index("message"), "message", pa.array(messages, pa.string()))
     return head, whole.slice(0, max(len(at) - 1, 0)).filter(pa.array(read[:-1]))
@@ -253,6 +253,7 @@ def body_of(rows: pa.Table) -> bytes:
 def pieces(lines: pa.Table, kind: str) -> pa.Table:
     """Told lines of a stretch of a path, in any order, as ``PIECES``. An end is a piece of its own."""
     lines = lines.take(np.lexsort((lines["is_end"].to_numpy(), lines["line_no"].to_numpy()))).combine_chunks()
+    ids = [c for c in IDENTITY if c in lines.column_names]
     texts = [c for c in ("line", "message", "original", "fields_json", "sample", "head") if c in lines.column_names]
     size = np.cumsum(LINE_BYTES + sum(pc.fill_null(pc.binary_length(lines[c]), 0).to_numpy().astype(np.int64) for c in texts))
     out, at = [], 0
@@ -262,13 +263,12 @@ def pieces(lines: pa.Table, kind: str) -> pa.Table:
             n = int(min(stop - at, PIECE_LINES, np.searchsorted(size[at:stop], done + PIECE_BYTES) + 1))
             part = lines.slice(at, n)
             head, rows = text_head(part) if kind == "text" else structured_head(part, RESYNC[kind])
-            (first,), (last,) = (part.select(["path", "line_no", "byte_end", *IDENTITY]).slice(k, 1).to_pylist() for k in (0, n - 1))
-            head["ids"] = {c: first[c] for c in IDENTITY}
-            out.append((first["path"], first["line_no"], last["line_no"], last["byte_end"], rows.num_rows, False, json.dumps(head), body_of(rows) if rows.num_rows else None))
+            (first,), (last,) = (part.select(["path", "line_no", "byte_end", *ids]).slice(k, 1).to_pylist() for k in (0, n - 1))
+            out.append((first["path"], first["line_no"], last["line_no"], last["byte_end"], rows.num_rows, *map(first.get, IDENTITY), False, json.dumps(head), body_of(rows) if rows.num_rows else None))
             at += n
         if stop < lines.num_rows:
             (end,) = lines.select(["path", "line_no", "byte_end"]).slice(stop, 1).to_pylist()
-            out.append((end["path"], end["line_no"], end["line_no"], end["byte_end"], 0, True, None, None))
+            out.append((end["path"], end["line_no"], end["line_no"], end["byte_end"], 0, None, None, None, True, None, None))
             at = int(stop) + 1
     schema = to_arrow_schema(PIECES)
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
@@ -299,12 +299,15 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def followed(lines: DataFrame, kind: str, run: str, zone: str = "UTC", files: DataFrame | None = None, silence: str | None = None) -> DataFrame:
     """Log rows and skips (told apart by ``reason_code``) of a stream of lines (path, line_no, byte_end, line) of one format. ``files`` has, by path, what a
     head tells: for CSV ``names``, ``header_line`` and ``delimiter``."""
-    rows = identified(lines.withColumn("start", stretch()).repartition("path", "start"))
+    rows = lines.withColumn("start", stretch()).repartition("path", "start")
+    by_line = {"size", "modified"} <= set(lines.columns)  # else a file's identity goes by its path, and pieces get it
+    rows = identified(rows) if by_line else rows.withColumns({c: F.lit(None).cast("string") for c in IDENTITY})
     if files is not None:
         rows = rows.join(F.broadcast(files), "path", "left")
     rows = rows.withColumn("is_end", F.col("line").isNull())
     told = told_text(rows, zone) if kind == "text" else told_csv(rows, zone, None) if kind == "csv" else told_ndjson(rows, zone)
     told = told.withColumn("utc", F.col("utc").cast("timestamp_ntz"))
+    told = told if by_line else told.drop(*IDENTITY)
     if kind == "text":  # a line is needed unless it is an opening one whose time is read
         told = told.withColumns({"line": F.when(~F.col("opens") | F.col("utc").isNull(), F.col("line"))} | {c: F.when(F.col("opens"), F.col(c)) for c in ("message", "fields_json")})
     wait = int(pd.Timedelta(silence).total_seconds() * 1000) if silence else 0
@@ -325,7 +328,7 @@ def followed(lines: DataFrame, kind: str, run: str, zone: str = "UTC", files: Da
                         where.append((store.tell(), len(head), len(body)))
                         store.write(head)
                         store.write(body)
-                    yield frame[["line_no", "is_end", "last_line", "last_byte", "logs"]].assign(**dict(zip(("at", "head", "body"), np.array(where, np.int64).reshape(-1, 3).T)))
+                    yield frame[["line_no", "is_end", "last_line", "last_byte", "logs", *IDENTITY]].assign(**dict(zip(("at", "head", "body"), np.array(where, np.int64).reshape(-1, 3).T)))
 
             if state.hasTimedOut:
                 follower.close_record()
@@ -340,7 +343,7 @@ def followed(lines: DataFrame, kind: str, run: str, zone: str = "UTC", files: Da
                         follower.end()
                         continue
                     store.seek(piece["at"])
-                    head, body = json.loads(store.read(piece["head"])), store.read(piece["body"])
+                    head, body = json.loads(store.read(piece["head"])) | {"ids": {c: piece[c] for c in IDENTITY}}, store.read(piece["body"])
                     follower.text_piece(head, piece["line_no"], piece["logs"], body) if kind == "text" else follower.structured_piece(head, piece["line_no"], body, RESYNC[kind])
         state.update(follower.state())
         if follower.record is not None and wait:
@@ -348,6 +351,7 @@ def followed(lines: DataFrame, kind: str, run: str, zone: str = "UTC", files: Da
         yield follower.rows()
 
     made = told.groupBy("path", "start").applyInArrow(pack, PIECES)
+    made = made if by_line else identified(made)
     out = made.groupBy("path").applyInPandasWithState(step, STEPPED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
     # a state's rows go into an exchange only after a projection
     return out.withColumn("to", F.xxhash64("source_path", "first")).repartition("to").mapInArrow(unpacked, FOLLOWED)

@@ -197,9 +197,9 @@ def test_pieces_as_lines(kind, monkeypatch):
                 if piece["is_end"]:
                     follower.end()
                 elif kind == "text":
-                    follower.text_piece(json.loads(piece["head"]), piece["line_no"], piece["logs"], piece["body"])
+                    follower.text_piece(json.loads(piece["head"]) | {"ids": IDS}, piece["line_no"], piece["logs"], piece["body"])
                 else:
-                    follower.structured_piece(json.loads(piece["head"]), piece["line_no"], piece["body"], resync)
+                    follower.structured_piece(json.loads(piece["head"]) | {"ids": IDS}, piece["line_no"], piece["body"], resync)
             state = follower.state()
             stepped += pa.Table.from_pandas(follower.rows(), tail.to_arrow_schema(tail.STEPPED), preserve_index=False).to_batches()
         got = pa.Table.from_batches(tail.unpacked(iter(stepped))).to_pylist()
